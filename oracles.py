@@ -14,7 +14,10 @@ from ticketlens.sources.fixtures import (
     sql_queue, sql_rule, sql_str, sql_strip, sql_suffix, sql_word_count,
 )
 
+from ticketlens.operators.routing import UNPARSEABLE_REASON  # noqa: E402
+
 W = FX.fixture_ctes()
+MD5_ORDER = f"md5('{C.SEED}:' || CAST(id AS VARCHAR))"
 
 
 def _clean(x: str) -> str:
@@ -28,7 +31,7 @@ def _social_norm() -> str:
     return f"social_norm AS (SELECT id, {sql_normalize('text')} AS text FROM social_raw)"
 
 
-def _routed(with_replies: bool) -> str:
+def _routed(with_replies: bool, with_enrichment: bool = False) -> str:
     """CTEs ``staged`` and ``routed`` over ``scored`` (default thresholds 0.85 / 0.55)."""
     hi, lo = C.RoutingThresholds().high_confidence, C.RoutingThresholds().low_confidence
     parse = ""
@@ -49,8 +52,35 @@ fields AS (
   FROM parsed
 )"""
         src = "fields"
+        if with_enrichment:
+            parse += """,
+enr0 AS (
+  SELECT f.*, e.summary, e.resolution,
+         CASE WHEN json_valid(e.resolution) THEN e.resolution
+              ELSE regexp_extract(e.resolution, '(?s)\\{.*?\\}', 0) END AS rj
+  FROM fields f LEFT JOIN llm_enrichment e ON f.id = e.id AND f.st = 'mid'
+),
+enr AS (
+  SELECT *, (rj IS NOT NULL AND json_valid(rj) AND json_type(TRY_CAST(rj AS JSON)) = 'OBJECT') AS rok FROM enr0
+)"""
+            src = "enr"
     else:
         src = "(SELECT *, FALSE AS ok, CAST(NULL AS VARCHAR) AS li, CAST(NULL AS VARCHAR) AS lu FROM staged)"
+    if with_enrichment:
+        esc_field = "json_extract(TRY_CAST(rj AS JSON), '$.should_escalate')"
+        enrich_cols = f"""CASE WHEN st = 'mid' THEN coalesce(summary, '') ELSE '' END AS llm_summary,
+    CASE WHEN st = 'mid' THEN (CASE WHEN rok THEN coalesce(json_extract_string(TRY_CAST(rj AS JSON), '$.suggested_path'), '')
+                                    ELSE 'human_review' END) ELSE '' END AS suggested_path,
+    CASE WHEN st = 'mid' THEN (CASE WHEN NOT rok THEN 'True'
+                                    WHEN json_type({esc_field}) = 'BOOLEAN' THEN
+                                         (CASE WHEN json_extract_string(TRY_CAST(rj AS JSON), '$.should_escalate') = 'true'
+                                               THEN 'True' ELSE 'False' END)
+                                    ELSE coalesce(json_extract_string(TRY_CAST(rj AS JSON), '$.should_escalate'), '') END)
+         ELSE '' END AS should_escalate,
+    CASE WHEN st = 'mid' THEN (CASE WHEN rok THEN coalesce(json_extract_string(TRY_CAST(rj AS JSON), '$.reason'), '')
+                                    ELSE {sql_str(UNPARSEABLE_REASON)} END) ELSE '' END AS reason"""
+    else:
+        enrich_cols = "'' AS llm_summary, '' AS suggested_path, '' AS should_escalate, '' AS reason"
     return f""",
 ruled AS (
   SELECT *, {sql_rule('lower(text)', 1)} AS rq, {sql_rule('lower(text)', 2)} AS ri FROM scored
@@ -72,7 +102,7 @@ routed AS (
     CASE WHEN st = 'rule' THEN ri WHEN st = 'ml' THEN ''
          WHEN st = 'band' THEN (CASE WHEN ok THEN li ELSE '' END) ELSE label END AS llm_issue_type,
     CASE WHEN st = 'band' AND ok THEN lu ELSE urgency END AS llm_urgency,
-    '' AS llm_summary, '' AS suggested_path, '' AS should_escalate, '' AS reason
+    {enrich_cols}
   FROM {src}
 )
 """
@@ -234,5 +264,187 @@ SELECT 'estimated_policy_from_threshold_sweep' AS metric_type,
        (CAST({hi} AS DOUBLE) = threshold_high AND CAST({lo} AS DOUBLE) = threshold_low) AS thresholds_match_recommendation
 FROM sweep WHERE is_recommended_threshold"""
 
-    _ = (tax, sql_contains_any, sql_map)
+
+    # ---------------------------------------------------------------- evaluation
+    cnt = """,
+cnt AS (SELECT model, y AS actual_label, p AS predicted_label, count(*) AS n FROM predictions GROUP BY model, y, p),
+stats AS (
+  SELECT model, label, sum(tp) AS tp, sum(sup) AS sup, sum(pr) AS pr FROM (
+    SELECT model, actual_label AS label, CASE WHEN actual_label = predicted_label THEN n ELSE 0 END AS tp, n AS sup, 0 AS pr FROM cnt
+    UNION ALL
+    SELECT model, predicted_label AS label, 0 AS tp, 0 AS sup, n AS pr FROM cnt
+  ) GROUP BY model, label
+),
+m AS (
+  SELECT model, label,
+         CASE WHEN pr > 0 THEN CAST(tp AS DOUBLE) / CAST(pr AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS precision,
+         CASE WHEN sup > 0 THEN CAST(tp AS DOUBLE) / CAST(sup AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS recall,
+         CASE WHEN sup + pr > 0 THEN (2.0 * CAST(tp AS DOUBLE)) / CAST(sup + pr AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS f1_score,
+         CAST(sup AS DOUBLE) AS support, tp, sup, pr
+  FROM stats
+),
+summ AS (
+  SELECT model, CAST(sum(sup) AS BIGINT) AS n_eval_samples, CAST(sum(tp) AS DOUBLE) / CAST(sum(sup) AS DOUBLE) AS accuracy,
+         avg(f1_score) AS macro_f1, sum(f1_score * support) / sum(support) AS weighted_f1
+  FROM m GROUP BY model
+)
+"""
+    pc_cols = "model, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score, round(support, 6) AS support"
+    grid_sql = """,
+labs AS (SELECT DISTINCT model, label FROM ({src})),
+grid AS (SELECT a.model, a.label AS actual_label, b.label AS predicted_label FROM labs a JOIN labs b ON a.model = b.model)
+"""
+    union_labs = "SELECT model, actual_label AS label FROM cnt UNION ALL SELECT model, predicted_label AS label FROM cnt"
+    true_labs = "SELECT model, actual_label AS label FROM cnt"
+    q["confusion_long"] = W + cnt + grid_sql.format(src=union_labs) + """
+SELECT g.model, g.actual_label, g.predicted_label, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM grid g LEFT JOIN cnt c ON g.model = c.model AND g.actual_label = c.actual_label AND g.predicted_label = c.predicted_label"""
+    q["confusion_restricted"] = W + cnt + grid_sql.format(src=true_labs) + """
+SELECT g.model, g.actual_label AS "true", g.predicted_label AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM grid g LEFT JOIN cnt c ON g.model = c.model AND g.actual_label = c.actual_label AND g.predicted_label = c.predicted_label"""
+    wide_cols = ", ".join(
+        f"CAST(coalesce(sum(CASE WHEN predicted_label = {sql_str(l)} THEN count END), 0) AS BIGINT) AS {l}"
+        for l in C.ISSUE_TYPES)
+    q["confusion_wide"] = W + cnt + grid_sql.format(src=union_labs) + f""",
+cl AS (
+  SELECT g.model, g.actual_label, g.predicted_label, coalesce(c.n, 0) AS count
+  FROM grid g LEFT JOIN cnt c ON g.model = c.model AND g.actual_label = c.actual_label AND g.predicted_label = c.predicted_label
+)
+SELECT model, actual_label, {wide_cols} FROM cl GROUP BY model, actual_label"""
+    q["per_class"] = W + cnt + f"""
+SELECT {pc_cols} FROM m
+UNION ALL
+SELECT model, 'macro avg' AS label, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6), round(sum(support), 6)
+FROM m GROUP BY model
+UNION ALL
+SELECT model, 'weighted avg' AS label, round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1_score * support) / sum(support), 6), round(sum(support), 6)
+FROM m GROUP BY model"""
+    q["per_class_restricted"] = W + cnt + f"""
+SELECT {pc_cols} FROM m WHERE (model, label) IN (SELECT model, actual_label FROM cnt)"""
+    q["f1_summary"] = W + cnt + """
+SELECT model, n_eval_samples, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1
+FROM summ"""
+    pick = lambda mdl, c: f"max(CASE WHEN model = {sql_str(mdl)} THEN {c} END)"
+    ml, kw = "ml_tfidf_lr", "keyword_baseline"
+    q["lift"] = W + cnt + f""",
+lr AS (
+  SELECT {pick(ml, 'n_eval_samples')} AS n_eval_samples,
+         {pick(ml, 'accuracy')} AS ml_accuracy, {pick(kw, 'accuracy')} AS keyword_baseline_accuracy,
+         {pick(ml, 'macro_f1')} AS ml_macro_f1, {pick(kw, 'macro_f1')} AS keyword_macro_f1,
+         {pick(ml, 'weighted_f1')} AS ml_weighted_f1, {pick(kw, 'weighted_f1')} AS keyword_weighted_f1
+  FROM summ
+)
+SELECT 'measured_eval_set' AS metric_type, n_eval_samples,
+       round(ml_accuracy, 6) AS ml_accuracy, round(keyword_baseline_accuracy, 6) AS keyword_baseline_accuracy,
+       round(ml_accuracy - keyword_baseline_accuracy, 6) AS ml_accuracy_lift,
+       round(ml_macro_f1, 6) AS ml_macro_f1, round(keyword_macro_f1, 6) AS keyword_macro_f1,
+       round(ml_macro_f1 - keyword_macro_f1, 6) AS ml_macro_f1_lift,
+       round(ml_weighted_f1, 6) AS ml_weighted_f1, round(keyword_weighted_f1, 6) AS keyword_weighted_f1,
+       round(ml_weighted_f1 - keyword_weighted_f1, 6) AS ml_weighted_f1_lift
+FROM lr"""
+
+    # ---------------------------------------------------------------- sampling
+    q["dedup_norm"] = W + f""", {_social_norm()}
+SELECT id, norm FROM (SELECT id, text AS norm, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM social_norm)
+WHERE rn = 1"""
+    q["per_class_sample"] = W + f"""
+SELECT id, issue_type FROM (
+  SELECT id, issue_type, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn FROM labeled
+) WHERE rn <= {C.EVAL_ROWS_PER_CLASS}"""
+    q["stratified_split"] = W + f"""
+SELECT id, issue_type, CASE WHEN rn <= (n + 4) // 5 THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT id, issue_type, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn,
+         count(*) OVER (PARTITION BY issue_type) AS n FROM labeled)"""
+    q["kfold_assign"] = W + f"""
+SELECT id, issue_type, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM (
+  SELECT id, issue_type, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn FROM labeled)"""
+    q["hash_sample"] = W + f"SELECT id, text FROM labeled ORDER BY {MD5_ORDER}, id LIMIT {C.ROUTING_SAMPLE_CAP}"
+    q["positional_split"] = W + f"""
+SELECT id, CASE WHEN rn <= (n * 4) // 5 THEN 'train' ELSE 'test' END AS split FROM (
+  SELECT id, row_number() OVER (ORDER BY {MD5_ORDER}, id) AS rn, count(*) OVER () AS n FROM labeled)"""
+
+    # ---------------------------------------------------------------- eval set
+    ttype_key = f"lower({sql_strip('raw_ticket_type')})"
+    prio_key = f"lower({sql_strip('raw_priority')})"
+    ev = f""",
+cand0 AS (
+  SELECT id, {sql_strip(sql_strip("coalesce(subject, '')") + " || '. ' || " + _clean("coalesce(description, '')"))} AS text,
+         type AS raw_ticket_type, priority AS raw_priority
+  FROM tickets_raw
+),
+cand1 AS (
+  SELECT *, {sql_map(ttype_key, C.TICKET_TYPE_MAP)} AS issue_type,
+         coalesce({sql_map(prio_key, C.TICKET_PRIORITY_MAP)}, 'medium') AS urgency
+  FROM cand0 WHERE length(text) >= {C.EVAL_MIN_TEXT_LEN}
+),
+cand2 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {sql_normalize('text')} ORDER BY id) AS rn FROM cand1
+                 WHERE issue_type IS NOT NULL) WHERE rn = 1
+),
+cand AS (
+  SELECT id, text, issue_type, urgency, 'metadata_ticket_type' AS eval_label_source, raw_ticket_type, raw_priority
+  FROM (SELECT *, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn2 FROM cand2)
+  WHERE rn2 <= {C.EVAL_ROWS_PER_CLASS}
+),
+base AS (
+  SELECT id, text, issue_type, urgency, 'manually_written' AS eval_label_source, '' AS raw_ticket_type, urgency AS raw_priority
+  FROM labeled WHERE label_quality = 'real'
+),
+newc AS (
+  SELECT * FROM cand c
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE {sql_normalize('b.text')} = {sql_normalize('c.text')})
+),
+es AS (SELECT * FROM base UNION ALL SELECT * FROM newc)
+"""
+    q["anti_join_eval"] = W + ev + "SELECT * FROM newc"
+    q["eval_set"] = W + ev + "SELECT * FROM es"
+    q["eval_summary"] = W + ev + """,
+counts AS (SELECT eval_label_source, issue_type, count(*) AS n FROM es GROUP BY eval_label_source, issue_type),
+grid AS (
+  SELECT eval_label_source, unnest((SELECT list(DISTINCT issue_type) FROM counts)) AS issue_type
+  FROM (SELECT DISTINCT eval_label_source FROM counts)
+)
+SELECT g.eval_label_source, g.issue_type, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM grid g LEFT JOIN counts c ON g.eval_label_source = c.eval_label_source AND g.issue_type = c.issue_type
+ORDER BY 1, 2"""
+    q["unmapped_count"] = W + f"""
+SELECT CAST(count(*) FILTER (WHERE {sql_map(f"lower({sql_strip('type')})", C.TICKET_TYPE_MAP)} IS NULL) AS BIGINT) AS unmapped
+FROM tickets_raw"""
+
+    # ---------------------------------------------------------------- reports
+    q["route_enriched"] = W + _routed(True, True) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
+    R = W + _routed(True)
+    q["freq_tables"] = R + """
+SELECT 'stage' AS dimension, stage AS value, count(*) AS count FROM routed GROUP BY stage
+UNION ALL SELECT 'route', route, count(*) FROM routed GROUP BY route
+UNION ALL SELECT 'urgency', llm_urgency, count(*) FROM routed WHERE llm_urgency <> '' GROUP BY llm_urgency"""
+    q["confidence_histogram"] = R + """
+SELECT stage, CAST(least(floor(confidence * 40.0) + 1, 40) AS INTEGER) AS bin, count(*) AS count
+FROM routed GROUP BY 1, 2"""
+    q["urgency_order"] = R + """
+SELECT llm_urgency AS urgency, count(*) AS count,
+       CAST(list_position(['critical', 'high', 'medium', 'low'], llm_urgency) AS BIGINT) AS urgency_rank
+FROM routed WHERE llm_urgency <> '' GROUP BY llm_urgency"""
+    q["stage_display"] = R + f"""
+SELECT stage, coalesce({sql_map('stage', C.STAGE_LABELS)}, stage) AS stage_label, count(*) AS count FROM routed GROUP BY stage"""
+    SW = W + _sweep_sql()
+    q["rates_long"] = SW + " UNION ALL ".join(
+        f"SELECT round(threshold_high, 6) AS threshold_high, '{c}' AS variable, round({c}, 6) AS value FROM sweep"
+        for c in ("auto_routed_rate_estimated", "llm_fallback_rate_estimated", "human_fallback_rate_estimated"))
+    q["cost_curve"] = SW + """
+SELECT round(threshold_high, 6) AS threshold_high, round(cost_per_ticket_usd_estimated * 1000.0, 6) AS cost_milli_usd FROM sweep"""
+    q["f1_by_label_outer"] = W + cnt + f"""
+SELECT coalesce(a.label, b.label) AS label, round(coalesce(a.f1_score, 0.0), 6) AS f1_model,
+       round(coalesce(b.f1_score, 0.0), 6) AS f1_keyword
+FROM (SELECT label, f1_score FROM m WHERE model = '{ml}') a
+FULL OUTER JOIN (SELECT label, f1_score FROM m WHERE model = '{kw}') b ON a.label = b.label"""
+    q["best_model"] = W + cnt + f"""
+SELECT model, n_eval_samples, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1
+FROM summ WHERE model <> '{kw}' ORDER BY macro_f1 DESC, model LIMIT 1"""
+    q["enriched_listing"] = W + _routed(True, True) + """
+SELECT id, text, round(confidence, 6) AS confidence, llm_urgency, suggested_path, should_escalate, reason, llm_summary
+FROM routed WHERE stage = 'human_fallback' AND suggested_path <> ''"""
+
+    _ = (tax, sql_contains_any)
     return q

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import lookup as LK
 from ..functions import text as TX
+from ..operators import evalset as ES
+from ..operators import evaluation as EV
 from ..operators import kpis as KP
 from ..operators import labels as LB
 from ..operators import policy as PO
+from ..operators import reports as RP
 from ..operators import routing as RT
+from ..operators import sampling as SM
 from ..operators import unify as UN
 from ..sources import fixtures as FX
 
@@ -135,6 +139,141 @@ def q_recommend_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return r6(PO.recommend(PO.threshold_sweep(FX.scored(spark, sf))))
 
 
+# ----------------------------------------------------------------------------- evaluation
+
+def q_confusion_long(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.confusion_long(FX.predictions(spark, sf))
+
+
+def q_confusion_restricted(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.confusion_restricted(FX.predictions(spark, sf))
+
+
+def q_confusion_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return EV.confusion_wide(EV.confusion_long(FX.predictions(spark, sf)), list(C.ISSUE_TYPES))
+
+
+def q_per_class(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(EV.per_class(FX.predictions(spark, sf)))
+
+
+def q_per_class_restricted(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(EV.per_class_restricted(FX.predictions(spark, sf)))
+
+
+def q_f1_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(EV.f1_summary(FX.predictions(spark, sf)))
+
+
+def q_lift(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(EV.lift(EV.f1_summary(FX.predictions(spark, sf))))
+
+
+# ----------------------------------------------------------------------------- sampling
+
+def q_dedup_norm(spark: SparkSession, sf: str) -> DataFrame:
+    s = _social_norm(spark, sf)
+    return SM.dedup_keep_first(s, "text").select("id", F.col("text").alias("norm"))
+
+
+def q_per_class_sample(spark: SparkSession, sf: str) -> DataFrame:
+    lab = FX.labeled(spark, sf).select("id", "issue_type")
+    return SM.per_class_sample(lab, "issue_type", C.EVAL_ROWS_PER_CLASS, "id", C.SEED)
+
+
+def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    lab = FX.labeled(spark, sf).select("id", "issue_type")
+    return SM.stratified_split(lab, "issue_type", "id", C.SEED)
+
+
+def q_kfold_assign(spark: SparkSession, sf: str) -> DataFrame:
+    lab = FX.labeled(spark, sf).select("id", "issue_type")
+    return SM.kfold_assign(lab, "issue_type", "id", 5, C.SEED)
+
+
+def q_hash_sample(spark: SparkSession, sf: str) -> DataFrame:
+    lab = FX.labeled(spark, sf).select("id", "text")
+    return SM.hash_sample(lab, C.ROUTING_SAMPLE_CAP, "id", C.SEED)
+
+
+def q_positional_split(spark: SparkSession, sf: str) -> DataFrame:
+    lab = FX.labeled(spark, sf).select("id")
+    return SM.positional_split(lab, "id", C.SEED)
+
+
+# ----------------------------------------------------------------------------- eval set
+
+def _candidates(spark, sf):
+    return ES.candidate_rows(FX.tickets_raw(spark, sf))
+
+
+def _base(spark, sf):
+    return ES.base_from_labeled(FX.labeled(spark, sf))
+
+
+def q_anti_join_eval(spark: SparkSession, sf: str) -> DataFrame:
+    return ES.new_candidates(_base(spark, sf), _candidates(spark, sf))
+
+
+def q_eval_set(spark: SparkSession, sf: str) -> DataFrame:
+    return ES.merge_eval_set(_base(spark, sf), _candidates(spark, sf))
+
+
+def q_eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ES.eval_summary(ES.merge_eval_set(_base(spark, sf), _candidates(spark, sf)))
+
+
+def q_unmapped_count(spark: SparkSession, sf: str) -> DataFrame:
+    return ES.unmapped_count(FX.tickets_raw(spark, sf))
+
+
+# ----------------------------------------------------------------------------- reports
+
+def routed_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    return RT.route(FX.scored(spark, sf), replies=FX.llm_replies(spark, sf),
+                    enrichment=FX.llm_enrichment(spark, sf))
+
+
+def q_route_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(routed_enriched(spark, sf))
+
+
+def q_freq_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.frequency_tables(routed_with_replies(spark, sf))
+
+
+def q_confidence_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.confidence_histogram(routed_with_replies(spark, sf))
+
+
+def q_urgency_order(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.urgency_counts_ordered(routed_with_replies(spark, sf))
+
+
+def q_stage_display(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.stage_display(routed_with_replies(spark, sf))
+
+
+def q_rates_long(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(RP.rates_long(PO.threshold_sweep(FX.scored(spark, sf))))
+
+
+def q_cost_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(RP.cost_curve(PO.threshold_sweep(FX.scored(spark, sf))))
+
+
+def q_f1_by_label_outer(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(RP.f1_by_label(EV.per_class(FX.predictions(spark, sf))))
+
+
+def q_best_model(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(RP.best_model(EV.f1_summary(FX.predictions(spark, sf))))
+
+
+def q_enriched_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(RP.enriched_listing(routed_enriched(spark, sf)))
+
+
 QUERIES = {
     "normalize_text": q_normalize_text,
     "clean_placeholders": q_clean_placeholders,
@@ -156,4 +295,31 @@ QUERIES = {
     "queue_share": q_queue_share,
     "threshold_sweep": q_threshold_sweep,
     "recommend_threshold": q_recommend_threshold,
+    "confusion_long": q_confusion_long,
+    "confusion_restricted": q_confusion_restricted,
+    "confusion_wide": q_confusion_wide,
+    "per_class": q_per_class,
+    "per_class_restricted": q_per_class_restricted,
+    "f1_summary": q_f1_summary,
+    "lift": q_lift,
+    "dedup_norm": q_dedup_norm,
+    "per_class_sample": q_per_class_sample,
+    "stratified_split": q_stratified_split,
+    "kfold_assign": q_kfold_assign,
+    "hash_sample": q_hash_sample,
+    "positional_split": q_positional_split,
+    "anti_join_eval": q_anti_join_eval,
+    "eval_set": q_eval_set,
+    "eval_summary": q_eval_summary,
+    "unmapped_count": q_unmapped_count,
+    "route_enriched": q_route_enriched,
+    "freq_tables": q_freq_tables,
+    "confidence_histogram": q_confidence_histogram,
+    "urgency_order": q_urgency_order,
+    "stage_display": q_stage_display,
+    "rates_long": q_rates_long,
+    "cost_curve": q_cost_curve,
+    "f1_by_label_outer": q_f1_by_label_outer,
+    "best_model": q_best_model,
+    "enriched_listing": q_enriched_listing,
 }

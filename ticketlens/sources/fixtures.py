@@ -70,6 +70,12 @@ REPLIES: tuple[str, ...] = (
     '{"issue_type": "technical"}',
 )
 
+RESOLUTIONS: tuple[str, ...] = (
+    '{"suggested_path": "refund_review", "should_escalate": false, "reason": "policy allows a refund"}',
+    'Here you go: {"suggested_path": "tier2_engineering", "should_escalate": true, "reason": "possible outage"}',
+    "The model could not produce a resolution.",
+)
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -130,6 +136,13 @@ def llm_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("id", _pick(REPLIES, F.col("id")).alias("reply"))
 
 
+def llm_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary and resolution replies for every scored row (the router uses the middle band)."""
+    return scored(spark, sf_dir).select(
+        "id", F.concat(F.lit("Summary for ticket "), F.col("id").cast("string")).alias("summary"),
+        _pick(RESOLUTIONS, F.col("id")).alias("resolution"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = labeled(spark, sf_dir)
     idc = F.col("id")
@@ -272,6 +285,9 @@ scored AS (
 llm_replies AS (
   SELECT id, {sql_pick(REPLIES, 'id')} AS reply FROM scored
 ),
+llm_enrichment AS (
+  SELECT id, 'Summary for ticket ' || CAST(id AS VARCHAR) AS summary, {sql_pick(RESOLUTIONS, 'id')} AS resolution FROM scored
+),
 predictions AS (
   SELECT id, 'ml_tfidf_lr' AS model, issue_type AS y, {sql_pick(tax, 'id')} AS p FROM labeled
   UNION ALL
