@@ -446,5 +446,16 @@ FROM summ WHERE model <> '{kw}' ORDER BY macro_f1 DESC, model LIMIT 1"""
 SELECT id, text, round(confidence, 6) AS confidence, llm_urgency, suggested_path, should_escalate, reason, llm_summary
 FROM routed WHERE stage = 'human_fallback' AND suggested_path <> ''"""
 
+    # ---------------------------------------------------------------- models
+    pad = "(' ' || w || ' ')"
+    grams = (f"flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), "
+             f"lambda w: flatten(list_transform(range(3, least(5, length({pad})) + 1), "
+             f"lambda n: list_transform(range(0, length({pad}) - n + 1), lambda o: substring({pad}, o + 1, n))))))")
+    q["char_ngrams"] = W + f"""
+SELECT id, CAST(len(g) AS BIGINT) AS n_ngrams, CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct
+FROM (SELECT id, {grams} AS g FROM social_raw)"""
+    q["label_index"] = W + """
+SELECT id, issue_type, CAST(dense_rank() OVER (ORDER BY issue_type) - 1 AS INTEGER) AS label_index FROM labeled"""
+
     _ = (tax, sql_contains_any)
     return q

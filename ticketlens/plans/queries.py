@@ -274,6 +274,77 @@ def q_enriched_listing(spark: SparkSession, sf: str) -> DataFrame:
     return r6(RP.enriched_listing(routed_enriched(spark, sf)))
 
 
+# ----------------------------------------------------------------------------- models (rows-only checks)
+
+def q_char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import ml as ML
+
+    g = ML.char_wb_ngrams(F.col("text"))
+    return FX.social_raw(spark, sf).select("id", F.size(g).cast("long").alias("n_ngrams"),
+                                           F.size(F.array_distinct(g)).cast("long").alias("n_distinct"))
+
+
+def q_label_index(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import ml as ML
+
+    return ML.label_index(FX.labeled(spark, sf).select("id", "issue_type"), "issue_type") \
+        .select("id", "issue_type", "label_index")
+
+
+def _train_test(spark, sf):
+    lab = FX.labeled(spark, sf).select("id", "text", "issue_type")
+    return SM.stratified_split(lab, "issue_type", "id", C.SEED).cache()
+
+
+def q_tfidf_lr_score(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import ml as ML
+
+    sp = _train_test(spark, sf)
+    clf = ML.fit_classifier(sp.filter(F.col("split") == "train"), "issue_type", calibrate=False)
+    return clf.transform(sp).select("id", "split", "issue_type", "prediction", "confidence")
+
+
+def q_calibrated_score(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import ml as ML
+
+    sp = _train_test(spark, sf)
+    clf = ML.fit_classifier(sp.filter(F.col("split") == "train"), "issue_type", calibrate=True)
+    return clf.transform(sp).select("id", "split", "issue_type", "prediction", "confidence")
+
+
+def q_cv_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import ml as ML
+
+    return ML.cv_accuracy(FX.labeled(spark, sf).select("id", "text", "issue_type"), "issue_type")
+
+
+def q_benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from . import jobs as JB
+
+    return JB.run_benchmark(spark, FX.tickets_raw(spark, sf))["benchmark_summary"]
+
+
+def _stub_factory():
+    from ..operators import model_calls as MC
+
+    return MC.StubClient(FX.REPLIES, fail_marker="opening hours")
+
+
+def q_llm_classify_stub(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import model_calls as MC
+
+    band = RT.low_band(FX.scored(spark, sf))
+    return MC.call_model(band, MC.classify_prompt("text"), _stub_factory)
+
+
+def q_route_with_stub_client(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import model_calls as MC
+
+    scored = FX.scored(spark, sf)
+    replies = MC.classify_replies(RT.low_band(scored), _stub_factory)
+    return r6(RT.route(scored, replies=replies))
+
+
 QUERIES = {
     "normalize_text": q_normalize_text,
     "clean_placeholders": q_clean_placeholders,
@@ -322,4 +393,12 @@ QUERIES = {
     "f1_by_label_outer": q_f1_by_label_outer,
     "best_model": q_best_model,
     "enriched_listing": q_enriched_listing,
+    "char_ngrams": q_char_ngrams,
+    "label_index": q_label_index,
+    "llm_classify_stub": q_llm_classify_stub,
+    "route_with_stub_client": q_route_with_stub_client,
+    "tfidf_lr_score": q_tfidf_lr_score,
+    "calibrated_score": q_calibrated_score,
+    "cv_accuracy": q_cv_accuracy,
+    "benchmark_summary": q_benchmark_summary,
 }
