@@ -46,7 +46,8 @@ def route(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThreshol
           replies: DataFrame | None = None, enrichment: DataFrame | None = None,
           summary_only: bool = False, id_col: str = "id", text_col: str = "text",
           prob_col: str = "prob", label_col: str = "label", urgency_col: str | None = "urgency",
-          rules=C.RULE_PATTERNS, queue_map: dict[str, str] | None = None) -> DataFrame:
+          rules=C.RULE_PATTERNS, queue_map: dict[str, str] | None = None,
+          with_metadata: bool = False) -> DataFrame:
     """Route a scored table (``id, text, label, prob[, urgency]``).
 
     ``replies``: ``(id, reply)`` classification replies for the low band (null reply =
@@ -76,10 +77,11 @@ def route(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThreshol
             enrichment.select(F.col(id_col).alias("id"), "summary", "resolution"), "id", "left")
         parts.append(mid.select(*base.columns, null_s.alias("reply"), "summary", "resolution"))
     both = reduce(lambda a, b: a.unionByName(b), parts)
-    return _finalize(both, enrich=enrichment is not None, summary_only=summary_only, queue_map=queue_map)
+    return _finalize(both, enrich=enrichment is not None, summary_only=summary_only, queue_map=queue_map,
+                     with_metadata=with_metadata)
 
 
-def _finalize(df: DataFrame, enrich: bool, summary_only: bool, queue_map) -> DataFrame:
+def _finalize(df: DataFrame, enrich: bool, summary_only: bool, queue_map, with_metadata: bool = False) -> DataFrame:
     stage, prob, label, urg = F.col("_stage"), F.col("prob"), F.col("label"), F.col("urgency")
     v = RP.parse_reply(F.col("reply"))
     df = df.withColumn("_v", v)
@@ -123,13 +125,52 @@ def _finalize(df: DataFrame, enrich: bool, summary_only: bool, queue_map) -> Dat
     else:
         path_c = esc_c = reason_c = empty
 
-    return df.select(
+    cols = [
         "id", "text", route_c.alias("route"), stage_c.alias("stage"), conf_c.alias("confidence"),
         issue_c.alias("llm_issue_type"), urg_c.alias("llm_urgency"), summary_c.alias("llm_summary"),
         path_c.alias("suggested_path"), esc_c.alias("should_escalate"), reason_c.alias("reason"),
+    ]
+    if with_metadata:
+        cols.append(_metadata(is_rule, is_ml, is_band, ok, v, label, urg, summary_c, path_c, esc_c, reason_c,
+                              enrich and not summary_only, enrich).alias("metadata"))
+    return df.select(*cols)
+
+
+def _metadata(is_rule, is_ml, is_band, ok, v, label, urg, summary, path, esc, reason, with_resolution,
+              with_summary) -> Column:
+    """The single-ticket decision metadata: rule → issue, urgency, rule marker; ML → issue,
+    urgency; LLM → the whole reply; LLM failure → issue, urgency, ``llm_unavailable``;
+    human → issue, urgency (+ enrichment fields when enabled)."""
+    def m(*kv):
+        return F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+
+    human = m("issue_type", label, "urgency", urg)
+    if with_summary:
+        human = F.map_concat(human, m("llm_summary", summary))
+    if with_resolution:
+        human = F.map_concat(human, m("suggested_path", path, "should_escalate", esc, "reason", reason))
+    return (
+        F.when(is_rule, m("issue_type", F.col("_rule.issue_type"), "urgency", urg, "rule", "pattern_match"))
+        .when(is_ml, m("issue_type", label, "urgency", urg))
+        .when(is_band & ok, F.try_variant_get(v, "$", "map<string,string>"))
+        .when(is_band, m("issue_type", label, "urgency", urg, "reason", "llm_unavailable"))
+        .otherwise(human)
     )
 
 
+def route_one(spark, text: str, label: str, prob: float, urgency: str = "", reply: str | None = None,
+              thresholds: C.RoutingThresholds = C.RoutingThresholds(), call_model: bool = True) -> dict:
+    """Single-ticket form: the batch cascade over a one-row frame, returned as a dict
+    (``route, stage, confidence, metadata``).  ``reply`` is the classification reply the
+    low band would receive (None = the call failed or no client)."""
+    row = spark.createDataFrame([(0, text, label, float(prob), urgency)], "id long, text string, label string, "
+                                "prob double, urgency string")
+    replies = spark.createDataFrame([(0, reply)], "id long, reply string") if call_model else None
+    out = route(row, thresholds, replies=replies, with_metadata=True).first()
+    return {"route": out["route"], "stage": out["stage"], "confidence": out["confidence"],
+            "metadata": dict(out["metadata"] or {})}
+
+
 def low_band(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
              text_col: str = "text", prob_col: str = "prob") -> DataFrame:
     """Rows whose route needs a classification reply (no rule hit, ``prob <= low``, not ``>= high``)."""
