@@ -21,15 +21,23 @@ def null_safe_concat(a: str | Column, b: str | Column, sep: str = " ") -> Column
 def normalize_text(c: str | Column) -> Column:
     """lower → URLs to space → non ``[a-z0-9\\s]`` to space → collapse whitespace → trim.
 
-    After the last step only single spaces remain, so ``trim`` (spaces only) is enough.
+    Computed in one replacement: after the two middle steps every character outside
+    ``[a-z0-9]`` has become whitespace and every whitespace run one space, which is the
+    same as replacing each maximal ``[^a-z0-9]`` run by one space (one regex match per
+    run instead of one per punctuation mark).  Only single spaces remain at the ends, so
+    ``trim`` (spaces only) is enough.
     """
     t = F.lower(_col(c))
     t = F.regexp_replace(t, r"http\S+", " ")
-    t = F.regexp_replace(t, r"[^a-z0-9\s]", " ")
-    t = F.regexp_replace(t, r"\s+", " ")
+    t = F.regexp_replace(t, r"[^a-z0-9]+", " ")
     return F.trim(t)
 
 
+# Whitespace collapse ``\s+`` → ' ', matching only where a change happens: runs of two or
+# more whitespace characters, or a single whitespace character other than a space.
+_WS_TO_FIX = r"\s{2,}|[^\S ]"
+
+
 def strip_ws(c: str | Column) -> Column:
     """Strip leading/trailing whitespace of any ASCII class (Spark's trim removes spaces only)."""
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
@@ -45,7 +53,7 @@ def clean_placeholders(c: str | Column) -> Column:
     t = _col(c)
     for token, repl in C.PLACEHOLDERS:
         t = F.replace(t, F.lit(token), F.lit(repl))
-    return strip_ws(F.regexp_replace(t, r"\s+", " "))
+    return strip_ws(F.regexp_replace(t, _WS_TO_FIX, " "))
 
 
 def word_count(c: str | Column) -> Column:
@@ -61,7 +69,7 @@ def word_count(c: str | Column) -> Column:
 
 def word_count_any(c: str | Column) -> Column:
     """Word count of arbitrary text (runs of whitespace, leading/trailing ignored)."""
-    t = F.regexp_replace(_col(c), r"\s+", " ")
+    t = F.regexp_replace(_col(c), _WS_TO_FIX, " ")
     return word_count(F.trim(t))
 
 

@@ -78,12 +78,18 @@ def merge_eval_set(base: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def eval_summary(eval_set: DataFrame) -> DataFrame:
-    """Counts per (source, issue type) over every source × every issue type present, zeros kept."""
+    """Counts per (source, issue type) over every source × every issue type present, zeros
+    kept.  One aggregation pass; the grid is built from the (sources × labels) cell list."""
     counts = eval_set.groupBy("eval_label_source", "issue_type").agg(F.count(F.lit(1)).alias("count"))
-    dims = counts.agg(F.sort_array(F.collect_set("eval_label_source")).alias("s"),
-                      F.sort_array(F.collect_set("issue_type")).alias("i"))
-    grid = (dims.select(F.explode("s").alias("eval_label_source"), "i")
-            .select("eval_label_source", F.explode("i").alias("issue_type")))
-    return (grid.join(counts, ["eval_label_source", "issue_type"], "left")
-            .select("eval_label_source", "issue_type", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    one = counts.agg(F.collect_list(F.struct("eval_label_source", "issue_type", "count")).alias("cells"))
+    srcs = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["eval_label_source"])))
+    its = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["issue_type"])))
+    lookup = F.map_from_entries(F.transform(
+        "cells", lambda c: F.struct(F.concat_ws("\u0001", c["eval_label_source"], c["issue_type"]), c["count"])))
+    g = (one.select(srcs.alias("s"), its.alias("i"), lookup.alias("lookup"))
+         .select(F.explode("s").alias("eval_label_source"), "i", "lookup")
+         .select("eval_label_source", F.explode("i").alias("issue_type"), "lookup"))
+    key = F.concat_ws("\u0001", "eval_label_source", "issue_type")
+    return (g.select("eval_label_source", "issue_type",
+                     F.coalesce(F.element_at("lookup", key), F.lit(0)).cast("long").alias("count"))
             .orderBy("eval_label_source", "issue_type"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import config as C
 
 PER_CLASS_COLUMNS = ("model", "label", "precision", "recall", "f1_score", "support")
 SUMMARY_COLUMNS = ("model", "n_eval_samples", "accuracy", "macro_f1", "weighted_f1")
@@ -22,27 +21,32 @@ def confusion_counts(pred: DataFrame, model: str = "model", y: str = "y", p: str
                         F.col(p).alias("predicted_label")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def _label_sets(cnt: DataFrame, true_only: bool) -> DataFrame:
-    """Sorted label list per model: true labels, or true ∪ predicted."""
-    ys = F.collect_set("actual_label")
-    labels = ys if true_only else F.array_union(ys, F.collect_set("predicted_label"))
-    return cnt.groupBy("model").agg(F.sort_array(labels).alias("labels"))
+def _cells(cnt: DataFrame) -> DataFrame:
+    """One row per model: its non-zero cells (at most labels² of them — the size of the
+    confusion matrix itself), so the grid below needs no second pass over the counts."""
+    return cnt.groupBy("model").agg(
+        F.collect_list(F.struct("actual_label", "predicted_label", "count")).alias("cells"))
 
 
-def _grid(labels: DataFrame) -> DataFrame:
-    """All (actual, predicted) pairs of each model's label list (a dense confusion grid)."""
-    return (labels.select("model", F.explode("labels").alias("actual_label"), "labels")
-            .select("model", "actual_label", F.explode("labels").alias("predicted_label")))
+def _grid_from_cells(cells: DataFrame, true_only: bool) -> DataFrame:
+    """Dense (actual, predicted) grid over the model's labels with zero-filled counts."""
+    ys = F.array_distinct(F.transform("cells", lambda c: c["actual_label"]))
+    ps = F.array_distinct(F.transform("cells", lambda c: c["predicted_label"]))
+    labels = F.array_sort(ys if true_only else F.array_distinct(F.concat(ys, ps)))
+    lookup = F.map_from_entries(F.transform(
+        "cells", lambda c: F.struct(F.concat_ws("\u0001", c["actual_label"], c["predicted_label"]), c["count"])))
+    g = (cells.select("model", labels.alias("labels"), lookup.alias("lookup"))
+         .select("model", "lookup", "labels", F.explode("labels").alias("actual_label"))
+         .select("model", "lookup", "actual_label", F.explode("labels").alias("predicted_label")))
+    key = F.concat_ws("\u0001", "actual_label", "predicted_label")
+    return g.select("model", "actual_label", "predicted_label",
+                    F.coalesce(F.element_at("lookup", key), F.lit(0)).cast("long").alias("count"))
 
 
 def confusion_long(pred: DataFrame, true_only: bool = False, **cols) -> DataFrame:
     """Zero-filled long confusion matrix over true ∪ predicted labels (or true labels
-    only, in which case predictions outside them are dropped)."""
-    cnt = confusion_counts(pred, **cols)
-    grid = _grid(_label_sets(cnt, true_only))
-    return (grid.join(cnt, ["model", "actual_label", "predicted_label"], "left")
-            .select("model", "actual_label", "predicted_label",
-                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+    only, in which case predictions outside them are dropped).  One pass over the rows."""
+    return _grid_from_cells(_cells(confusion_counts(pred, **cols)), true_only)
 
 
 def confusion_restricted(pred: DataFrame, **cols) -> DataFrame:
@@ -84,20 +88,26 @@ def _metrics(stats: DataFrame) -> DataFrame:
 
 def per_class(pred: DataFrame, with_averages: bool = True, **cols) -> DataFrame:
     """Precision / recall / F1 / support per label over true ∪ predicted labels
-    (zero division → 0), plus the ``macro avg`` and ``weighted avg`` rows."""
+    (zero division → 0), plus the ``macro avg`` and ``weighted avg`` rows — all from
+    one pass over the predictions (the per-model rows are few: one per label)."""
     m = _metrics(_class_stats(confusion_counts(pred, **cols)))
     if not with_averages:
         return m
     s = F.sum("support")
-    macro = m.groupBy("model").agg(
-        F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-        F.avg("f1_score").alias("f1_score"), s.alias("support"))
-    weighted = m.groupBy("model").agg(
-        F.lit("weighted avg").alias("label"),
-        (F.sum(F.col("precision") * F.col("support")) / s).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / s).alias("recall"),
-        (F.sum(F.col("f1_score") * F.col("support")) / s).alias("f1_score"), s.alias("support"))
-    return m.unionByName(macro).unionByName(weighted)
+    per_model = m.groupBy("model").agg(
+        F.collect_list(F.struct("label", "precision", "recall", "f1_score", "support")).alias("rows"),
+        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"), s.alias("n"),
+        (F.sum(F.col("precision") * F.col("support")) / s).alias("wp"),
+        (F.sum(F.col("recall") * F.col("support")) / s).alias("wr"),
+        (F.sum(F.col("f1_score") * F.col("support")) / s).alias("wf"),
+    )
+    avg_rows = F.array(
+        F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
+                 F.col("mf").alias("f1_score"), F.col("n").alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
+                 F.col("wf").alias("f1_score"), F.col("n").alias("support")),
+    )
+    return per_model.select("model", F.inline(F.concat("rows", avg_rows)))
 
 
 def per_class_restricted(pred: DataFrame, **cols) -> DataFrame:
@@ -164,5 +174,3 @@ def keyword_predictions(df: DataFrame, text_col: str, label_col: str, model: str
     fn = keyword_fn or TX.keyword_issue
     return df.select("id", F.lit(model).alias("model"), F.col(label_col).alias("y"), fn(F.col(text_col)).alias("p"))
 
-
-_ = C

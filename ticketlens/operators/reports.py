@@ -58,12 +58,14 @@ def stage_display(routed: DataFrame) -> DataFrame:
 
 
 def f1_by_label(per_class: DataFrame, model_a: str = "ml_tfidf_lr", model_b: str = "keyword_baseline") -> DataFrame:
-    """Per-label F1 of two models side by side (full outer on label, missing → 0);
-    aggregate rows are left out."""
-    real = per_class.filter(~F.col("label").isin(*C.REPORT_AGGREGATE_ROWS))
-    a = real.filter(F.col("model") == model_a).select("label", F.col("f1_score").alias("f1_model"))
-    b = real.filter(F.col("model") == model_b).select("label", F.col("f1_score").alias("f1_keyword"))
-    return a.join(b, "label", "full_outer").na.fill(0.0, subset=["f1_model", "f1_keyword"])
+    """Per-label F1 of two models side by side (full-outer semantics: a label of either
+    model appears, missing → 0); aggregate rows are left out.  One conditional aggregation
+    instead of a self join."""
+    real = per_class.filter(~F.col("label").isin(*C.REPORT_AGGREGATE_ROWS) & F.col("model").isin(model_a, model_b))
+    return real.groupBy("label").agg(
+        F.coalesce(F.max(F.when(F.col("model") == model_a, F.col("f1_score"))), F.lit(0.0)).alias("f1_model"),
+        F.coalesce(F.max(F.when(F.col("model") == model_b, F.col("f1_score"))), F.lit(0.0)).alias("f1_keyword"),
+    )
 
 
 def best_model(summary: DataFrame, baseline: str = "keyword_baseline", name_col: str = "model") -> DataFrame:
