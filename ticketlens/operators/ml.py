@@ -305,17 +305,19 @@ class TrainingResult:
 
 
 def train_text_model(df: DataFrame, label_col: str, seed: int = 42, calibrate: bool = True,
-                     id_col: str = "id", with_cv: bool = True) -> TrainingResult:
+                     id_col: str = "id", with_cv: bool = True, max_iter: int = 300,
+                     folds: int = 5) -> TrainingResult:
     """Stratified 80/20 split → fit → held-out accuracy and per-class report → k-fold CV."""
     split = SM.stratified_split(df.select(id_col, "text", label_col), label_col, id_col, seed).cache()
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
-    clf = fit_classifier(train, label_col, calibrate=calibrate, seed=seed, id_col=id_col)
+    clf = fit_classifier(train, label_col, max_iter=max_iter, calibrate=calibrate, folds=folds, seed=seed,
+                         id_col=id_col)
     pred = clf.transform(test).select(id_col, F.lit(label_col).alias("model"), F.col(label_col).alias("y"),
                                       F.col("prediction").alias("p")).cache()
     acc = pred.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0] or 0.0
     report = EV.per_class(pred)
-    cv = cv_accuracy(df, label_col, seed=seed, id_col=id_col) if with_cv else None
+    cv = cv_accuracy(df, label_col, max_iter=max_iter, folds=folds, seed=seed, id_col=id_col) if with_cv else None
     return TrainingResult(clf, float(acc), report, cv)
 
 

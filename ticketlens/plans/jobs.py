@@ -56,6 +56,8 @@ class TriageConfig:
     label_targets: tuple[str, ...] = ("issue_type", "urgency", "complexity")
     call_partitions: int | None = None     # bound on concurrent model callers
     with_cv: bool = True
+    max_iter: int = 300
+    folds: int = 5
 
 
 def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out: str,
@@ -70,7 +72,7 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
     report: list[tuple[str, str, str]] = []
     models: dict[str, ML.TextClassifier] = {}
     for target in cfg.label_targets:
-        tr = ML.train_text_model(labeled, target, with_cv=cfg.with_cv)
+        tr = ML.train_text_model(labeled, target, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds)
         models[target] = tr.model
         SK.save_classifier(tr.model, f"{out}/models/{target}")
         report.append((target, "held_out_accuracy", f"{tr.accuracy:.4f}"))
