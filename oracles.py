@@ -446,6 +446,25 @@ FROM summ WHERE model <> '{kw}' ORDER BY macro_f1 DESC, model LIMIT 1"""
 SELECT id, text, round(confidence, 6) AS confidence, llm_urgency, suggested_path, should_escalate, reason, llm_summary
 FROM routed WHERE stage = 'human_fallback' AND suggested_path <> ''"""
 
+    q["queue_counts"] = R + """
+SELECT route, count, max(count) OVER () AS max_count FROM (SELECT route, count(*) AS count FROM routed GROUP BY route)"""
+    q["local_training_frame"] = W + ev + f""",
+lt AS (SELECT id, {sql_normalize('text')} AS text, issue_type, urgency FROM es)
+SELECT id, text, issue_type, urgency, {sql_complexity('text')} AS complexity, 'real' AS label_quality FROM lt"""
+    bmap = C.benchmark_type_map()
+    btype_key = "lower(" + sql_strip("coalesce(type, '')") + ")"
+    q["benchmark_rows"] = W + f""",
+b0 AS (
+  SELECT id, {sql_strip("coalesce(subject, '')")} || ' ' || {_clean("coalesce(description, '')")} AS text,
+         {sql_map(btype_key, bmap)} AS issue_type
+  FROM tickets_raw
+),
+b1 AS (
+  SELECT * FROM b0 WHERE issue_type IS NOT NULL AND length(text) >= {C.BENCHMARK_MIN_TEXT_LEN}
+)
+SELECT id, {sql_strip('text')} AS text, issue_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM b1) WHERE rn = 1"""
+
     # ---------------------------------------------------------------- models
     pad = "(' ' || w || ' ')"
     grams = (f"flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), "

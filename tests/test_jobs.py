@@ -36,3 +36,19 @@ def test_eval_set_job(spark):
                             shared_path(spark, "test_evalset"))
     summ = res["eval_summary"].collect()
     assert sum(r["count"] for r in summ) == res["eval_set"].count()
+
+
+def test_local_run_and_benchmark_observation(spark):
+    from pyspark.sql import Observation
+
+    from ticketlens.operators import evalset as ES
+
+    lab = FX.labeled(spark, SF001)
+    es = ES.merge_eval_set(ES.base_from_labeled(lab), ES.candidate_rows(FX.tickets_raw(spark, SF001)))
+    cfg = JB.TriageConfig(label_targets=("issue_type", "urgency"), with_cv=False, max_iter=10, folds=2)
+    res = JB.run_local(spark, es, shared_path(spark, "test_local"), cfg)
+    assert res["routed"].count() == es.count()
+    assert res["threshold_sweep"].count() == 10
+    obs = (Observation("before"), Observation("after"))
+    n = JB.benchmark_rows(FX.tickets_raw(spark, SF001), observation=obs).count()
+    assert JB.dedup_dropped(obs) >= 0 and n > 0

@@ -40,6 +40,14 @@ def urgency_counts_ordered(routed: DataFrame) -> DataFrame:
         .orderBy("urgency_rank", "urgency")
 
 
+def queue_counts(routed: DataFrame) -> DataFrame:
+    """Route counts in ascending order, with the largest count on every row (bar scale)."""
+    from pyspark.sql import Window
+
+    c = routed.groupBy("route").agg(F.count(F.lit(1)).alias("count"))
+    return c.withColumn("max_count", F.max("count").over(Window.partitionBy())).orderBy("count", "route")
+
+
 def rates_long(sweep: DataFrame, rate_cols=RATE_COLUMNS) -> DataFrame:
     """Wide sweep rates → ``(threshold_high, variable, value)``."""
     return sweep.unpivot("threshold_high", list(rate_cols), "variable", "value")
@@ -50,6 +58,14 @@ def cost_curve(sweep: DataFrame) -> DataFrame:
     return sweep.select("threshold_high", (F.col("cost_per_ticket_usd_estimated") * 1000.0).alias("cost_milli_usd"))
 
 
+def format_report(df: DataFrame, pct_cols=(), num_cols=(), digits: int = 4) -> DataFrame:
+    """Report numbers as text: percentages with one decimal, others with fixed digits."""
+    return df.withColumns({
+        **{c: F.concat(F.format_number(F.col(c) * 100.0, 1), F.lit("%")) for c in pct_cols},
+        **{c: F.format_number(F.col(c), digits) for c in num_cols},
+    })
+
+
 def stage_display(routed: DataFrame) -> DataFrame:
     """Stage counts with display names (unknown stages keep their key)."""
     counts = routed.groupBy("stage").agg(F.count(F.lit(1)).alias("count"))

@@ -30,6 +30,7 @@ from ..operators import policy as PO
 from ..operators import routing as RT
 from ..operators import sampling as SM
 from ..operators import unify as UN
+from ..sources import readers as RD
 from ..sources import sinks as SK
 
 
@@ -65,6 +66,8 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
                cfg: TriageConfig = TriageConfig(), ticket_aliases: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Load → unify → label → train → evaluate → score → route → KPIs → sweep → recommend."""
     out = out.rstrip("/")
+    RD.require_rows(social, "social message input")
+    RD.require_rows(tickets, "structured ticket input")
     unified = UN.unify_sources(social, tickets, aliases=ticket_aliases)
     labeled = SK.materialize(spark, LB.add_weak_labels(unified), f"{out}/labeled", ["label_quality"])
     results: dict[str, DataFrame] = {"labeled": labeled, "label_composition": LB.label_composition(labeled)}
@@ -131,7 +134,7 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
 # ----------------------------------------------------------------------------- benchmark
 
 def benchmark_rows(tickets: DataFrame, subject: str = "subject", description: str = "description",
-                   type_col: str = "type", id_col: str = "id") -> DataFrame:
+                   type_col: str = "type", id_col: str = "id", observation=None) -> DataFrame:
     """Clean text, benchmark type map, unmapped and short (< 20 chars) rows dropped,
     keep-first dedup on text, then whitespace strip."""
     text = F.concat(TX.strip_ws(F.coalesce(F.col(subject), F.lit(""))), F.lit(" "),
@@ -139,10 +142,20 @@ def benchmark_rows(tickets: DataFrame, subject: str = "subject", description: st
     issue = LK.map_lookup(TX.canon_key(F.coalesce(F.col(type_col), F.lit(""))), C.benchmark_type_map())
     d = tickets.select(F.col(id_col).alias("id"), text.alias("text"), issue.alias("issue_type"))
     d = d.filter(F.col("issue_type").isNotNull() & (F.length("text") >= C.BENCHMARK_MIN_TEXT_LEN))
+    if observation is not None:
+        d = d.observe(observation[0], F.count(F.lit(1)).alias("before_dedup"))
     d = SM.dedup_keep_first(d, "text")
+    if observation is not None:
+        d = d.observe(observation[1], F.count(F.lit(1)).alias("after_dedup"))
     return d.withColumn("text", TX.strip_ws("text"))
 
 
+def dedup_dropped(observation) -> int:
+    """Rows removed by the benchmark dedup, read from the two observations after an action
+    (collected alongside the job's own work; no extra pass)."""
+    return int(observation[0].get["before_dedup"]) - int(observation[1].get["after_dedup"])
+
+
 def run_benchmark(spark: SparkSession, tickets: DataFrame, out: str | None = None,
                   seed: int = C.SEED, **cols) -> dict[str, DataFrame]:
     """Keyword baseline, TF-IDF baseline and the improved model on a stratified 80/20 split."""
@@ -173,7 +186,7 @@ def run_benchmark(spark: SparkSession, tickets: DataFrame, out: str | None = Non
     compat_pc = per_class.filter(F.col("model").isin("ml_improved", "keyword_baseline")).withColumn(
         "model", F.when(F.col("model") == "ml_improved", F.lit("ml_tfidf_lr")).otherwise(F.col("model")))
     res = {"benchmark_summary": summary, "benchmark_per_class": per_class, "benchmark_confusion": confusion,
-           "eval_per_class_metrics": compat_pc}
+           "eval_per_class_metrics": compat_pc, "eval_comparison": benchmark_compat_row(summary)}
     if out:
         for k, v in res.items():
             SK.write_small(v, f"{out.rstrip('/')}/{k}")
@@ -192,3 +205,52 @@ def build_eval_set(spark: SparkSession, base: DataFrame, tickets: DataFrame, out
     if out:
         SK.write_small(summary, f"{out.rstrip('/')}/eval_set_summary")
     return {"eval_set": merged, "eval_summary": summary}
+
+
+def benchmark_compat_row(summary: DataFrame, model: str = "ml_improved", baseline: str = "keyword_baseline") -> DataFrame:
+    """The benchmark summary re-projected into the eval-comparison schema (one row)."""
+    def pick(name, c):
+        return F.max(F.when(F.col("model_name") == name, F.col(c)))
+
+    return summary.agg(
+        pick(model, "accuracy").alias("ml_accuracy"), pick(model, "macro_f1").alias("ml_macro_f1"),
+        pick(model, "weighted_f1").alias("ml_weighted_f1"),
+        pick(baseline, "accuracy").alias("keyword_baseline_accuracy"),
+        pick(baseline, "macro_f1").alias("keyword_macro_f1"), pick(baseline, "weighted_f1").alias("keyword_weighted_f1"),
+        pick(model, "n_test").alias("n_eval_samples"),
+    ).select("*", F.lit("metadata_ticket_type").alias("label_source"),
+             F.lit("structured support tickets").alias("dataset_source"),
+             F.lit("measured_holdout_metadata_labels").alias("metric_type"))
+
+
+# ----------------------------------------------------------------------------- local run
+
+def local_training_frame(eval_rows: DataFrame) -> DataFrame:
+    """Training rows from a labeled eval set: normalised text, complexity, real labels."""
+    t = TX.normalize_text("text")
+    return eval_rows.select("id", t.alias("text"), "issue_type", "urgency").withColumns({
+        "complexity": TX.complexity("text"), "label_quality": F.lit("real")})
+
+
+def run_local(spark: SparkSession, eval_rows: DataFrame, out: str, cfg: TriageConfig | None = None,
+              client_factory: MC.ClientFactory | None = None) -> dict[str, DataFrame]:
+    """Train issue and urgency models on the eval set itself, then score, route (with the
+    client or, without one, through the failure path), KPIs, sweep and recommendation."""
+    cfg = cfg or TriageConfig(label_targets=("issue_type", "urgency"))
+    out = out.rstrip("/")
+    frame = SK.materialize(spark, local_training_frame(eval_rows), f"{out}/local_labeled")
+    models = {t: ML.train_text_model(frame, t, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds).model
+              for t in cfg.label_targets}
+    scored = SK.materialize(spark, score(frame, models["issue_type"], models.get("urgency")), f"{out}/local_scored")
+    replies = None
+    if client_factory is not None:
+        replies = SK.materialize(spark, MC.classify_replies(RT.low_band(scored, cfg.thresholds), client_factory),
+                                 f"{out}/local_replies")
+    routed = SK.materialize(spark, RT.route(scored, cfg.thresholds, replies=replies), f"{out}/local_routed")
+    sweep = PO.threshold_sweep(scored, weights=cfg.weights)
+    res = {"routed": routed, "routing_metrics": KP.routing_kpis(routed), "threshold_sweep": sweep,
+           "policy_recommendation": PO.recommend(sweep, cfg.thresholds),
+           "stage_counts": routed.groupBy("stage").count(), "issue_counts": frame.groupBy("issue_type").count()}
+    for k in ("routing_metrics", "threshold_sweep", "policy_recommendation"):
+        SK.write_small(res[k], f"{out}/local_{k}")
+    return res

@@ -274,6 +274,22 @@ def q_enriched_listing(spark: SparkSession, sf: str) -> DataFrame:
     return r6(RP.enriched_listing(routed_enriched(spark, sf)))
 
 
+def q_queue_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return RP.queue_counts(routed_with_replies(spark, sf))
+
+
+def q_local_training_frame(spark: SparkSession, sf: str) -> DataFrame:
+    from . import jobs as JB
+
+    return JB.local_training_frame(ES.merge_eval_set(_base(spark, sf), _candidates(spark, sf)))
+
+
+def q_benchmark_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from . import jobs as JB
+
+    return JB.benchmark_rows(FX.tickets_raw(spark, sf))
+
+
 # ----------------------------------------------------------------------------- models (rows-only checks)
 
 def q_char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,6 +409,9 @@ QUERIES = {
     "f1_by_label_outer": q_f1_by_label_outer,
     "best_model": q_best_model,
     "enriched_listing": q_enriched_listing,
+    "queue_counts": q_queue_counts,
+    "local_training_frame": q_local_training_frame,
+    "benchmark_rows": q_benchmark_rows,
     "char_ngrams": q_char_ngrams,
     "label_index": q_label_index,
     "llm_classify_stub": q_llm_classify_stub,
