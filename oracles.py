@@ -11,10 +11,12 @@ from ticketlens import config as C
 from ticketlens.sources import fixtures as FX
 from ticketlens.sources.fixtures import (
     sql_complexity, sql_contains_any, sql_keyword_issue, sql_keyword_urgency, sql_map, sql_normalize,
-    sql_queue, sql_rule, sql_str, sql_strip, sql_suffix, sql_word_count,
+    sql_pick, sql_queue, sql_rule, sql_str, sql_strip, sql_suffix, sql_word_count,
 )
 
+from ticketlens.operators import model_calls as MC  # noqa: E402
 from ticketlens.operators.routing import UNPARSEABLE_REASON  # noqa: E402
+from ticketlens.plans import queries as QU  # noqa: E402
 
 W = FX.fixture_ctes()
 MD5_ORDER = f"md5('{C.SEED}:' || CAST(id AS VARCHAR))"
@@ -31,17 +33,33 @@ def _social_norm() -> str:
     return f"social_norm AS (SELECT id, {sql_normalize('text')} AS text FROM social_raw)"
 
 
-def _routed(with_replies: bool, with_enrichment: bool = False) -> str:
-    """CTEs ``staged`` and ``routed`` over ``scored`` (default thresholds 0.85 / 0.55)."""
+def _stub_reply_cte() -> str:
+    """``stub_replies(id, reply, error)``: what the stub client answers for each low-band row —
+    the reply picked by the first 8 hex digits of the prompt's md5, or a failure when the
+    prompt holds the marker phrase."""
+    prompt = f"({sql_str(MC.CLASSIFY_PROMPT)} || text)"
+    fail = f"strpos({prompt}, {sql_str(QU.STUB_FAIL_MARKER)}) > 0"
+    pick = sql_pick(FX.REPLIES, f"('0x' || substr(md5({prompt}), 1, 8))::BIGINT")
+    return f""",
+stub_replies AS (
+  SELECT id, CASE WHEN {fail} THEN NULL ELSE {pick} END AS reply,
+         CASE WHEN {fail} THEN {sql_str(MC.STUB_FAILURE)} END AS error
+  FROM staged WHERE st = 'band'
+)"""
+
+
+def _routed(with_replies: bool, with_enrichment: bool = False, replies: str = "llm_replies") -> str:
+    """CTEs ``staged`` and ``routed`` over ``scored`` (default thresholds 0.85 / 0.55).
+    ``replies = 'stub_replies'`` answers the low band with the stub client's replies."""
     hi, lo = C.RoutingThresholds().high_confidence, C.RoutingThresholds().low_confidence
     parse = ""
     if with_replies:
-        parse = """,
+        parse = (_stub_reply_cte() if replies == "stub_replies" else "") + """,
 parsed0 AS (
   SELECT s.*, r.reply,
          CASE WHEN json_valid(r.reply) THEN r.reply
               ELSE regexp_extract(r.reply, '(?s)\\{.*?\\}', 0) END AS j0
-  FROM staged s LEFT JOIN llm_replies r ON s.id = r.id AND s.st = 'band'
+  FROM staged s LEFT JOIN """ + replies + """ r ON s.id = r.id AND s.st = 'band'
 ),
 parsed AS (
   SELECT *, (j0 IS NOT NULL AND json_valid(j0) AND json_type(TRY_CAST(j0 AS JSON)) = 'OBJECT') AS ok FROM parsed0
@@ -215,6 +233,9 @@ FROM (SELECT label_quality, count(*) AS count FROM labeled GROUP BY label_qualit
 
     q["route_offline"] = W + _routed(False) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
     q["route_with_replies"] = W + _routed(True) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
+    q["llm_classify_stub"] = W + _routed(True, replies="stub_replies") + "SELECT id, reply, error FROM stub_replies"
+    q["route_with_stub_client"] = W + _routed(True, replies="stub_replies") + \
+        "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
 
     q["urgency_suffix"] = W + f"SELECT id, {sql_suffix(sql_queue('label'), 'urgency')} AS route FROM scored"
 

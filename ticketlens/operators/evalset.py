@@ -67,8 +67,10 @@ def tag_base(base: DataFrame) -> DataFrame:
 
 
 def new_candidates(base: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates whose normalised text is not in the base set (left anti join)."""
-    seen = base.select(TX.normalize_text("text").alias("_norm"))
+    """Candidates whose normalised text is not in the base set (left anti join).  The base
+    keys are de-duplicated first: a partial aggregate collapses a hot text on the map side,
+    and its shuffle already satisfies the join's distribution on ``_norm``."""
+    seen = base.select(TX.normalize_text("text").alias("_norm")).distinct()
     return (candidates.withColumn("_norm", TX.normalize_text("text"))
             .join(seen, "_norm", "left_anti").drop("_norm"))
 

@@ -155,14 +155,18 @@ def drop_internal(df: DataFrame, prefix: str = "_tf") -> DataFrame:
 
 # ----------------------------------------------------------------------------- classifier
 
-def balanced_weights(df: DataFrame, label_col: str, out_col: str = "_w") -> DataFrame:
-    """``n / (k · n_class)`` per row.  The class count table has k rows, so the window
-    without partitioning and the broadcast both run on k rows."""
-    g = Window.partitionBy()
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    counts = counts.select(label_col, (F.sum("_nc").over(g) / (F.count(F.lit(1)).over(g) * F.col("_nc")))
-                           .alias(out_col))
-    return df.join(F.broadcast(counts), label_col, "left")
+def balanced_weights(df: DataFrame, label_col: str, labels: list[str], out_col: str = "_w") -> DataFrame:
+    """``n / (k · n_class)`` per row.  ``labels`` is the fitted label index (already at the
+    driver, and as large as the model's coefficient matrix), so the per-class counts are
+    one partial aggregate of at most k rows, turned into a literal map: no join, no shuffle
+    of the training rows."""
+    rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc")).collect()
+    if len(rows) > len(labels):
+        raise ValueError(f"{len(rows)} classes in {label_col!r}, the label index has {len(labels)}")
+    n, k = sum(r["_nc"] for r in rows), len(rows)
+    weights = {r[label_col]: n / (k * r["_nc"]) for r in rows}
+    m = F.create_map(*[x for lab, w in weights.items() for x in (F.lit(lab), F.lit(float(w)))])
+    return df.withColumn(out_col, m[F.col(label_col)])
 
 
 @dataclass
@@ -230,7 +234,7 @@ def fit_classifier(train: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec
     data = drop_internal(feats_model.transform(indexer.transform(train)))
     weight_col = None
     if balanced:
-        data = balanced_weights(data, label_col)
+        data = balanced_weights(data, label_col, labels)
         weight_col = "_w"
     # Hash-repartition once: AQE then sizes the partitions from the data (few tasks per
     # optimizer iteration on small data, many on large), and the cache is balanced.
@@ -338,7 +342,8 @@ def fit_improved(train: DataFrame, label_col: str, max_iter: int = 1000, id_col:
         .fit(train)
     labels = list(indexer.stages[0].labels)
     data = feats.transform(indexer.transform(train))
-    data = balanced_weights(data.select(id_col, label_col, "features", "_y"), label_col).repartition(id_col).cache()
+    data = balanced_weights(data.select(id_col, label_col, "features", "_y"), label_col, labels) \
+        .repartition(id_col).cache()
     n = data.count()
     model = _lr(max_iter, 1.0 / max(n, 1), "_w").fit(data)
     data.unpersist()

@@ -11,7 +11,7 @@ does not pay for the calls a second time.  Parsing of the replies is native
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -123,9 +123,13 @@ def enrichment_replies(middle: DataFrame, client_factory: ClientFactory, text_co
     return out.select("id", F.coalesce(F.trim("summary"), F.lit("")).alias("summary"), resolution.alias("resolution"))
 
 
+STUB_FAILURE = "model service unavailable"
+
+
 class StubClient:
-    """Deterministic offline client for tests: a canned reply picked by a hash of the prompt;
-    prompts containing ``fail_marker`` raise, like an unavailable service."""
+    """Deterministic offline client for tests: a canned reply picked by the first 8 hex digits
+    of the prompt's md5 (so SQL can restate the pick); prompts containing ``fail_marker``
+    raise, like an unavailable service."""
 
     def __init__(self, replies: tuple[str, ...], fail_marker: str | None = None):
         self.replies = replies
@@ -135,5 +139,5 @@ class StubClient:
     def __call__(self, prompt: str) -> str:
         self.calls += 1
         if self.fail_marker and self.fail_marker in prompt:
-            raise RuntimeError("model service unavailable")
-        return self.replies[zlib.crc32(prompt.encode("utf-8")) % len(self.replies)]
+            raise RuntimeError(STUB_FAILURE)
+        return self.replies[int(hashlib.md5(prompt.encode("utf-8")).hexdigest()[:8], 16) % len(self.replies)]

@@ -340,10 +340,13 @@ def q_benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
     return JB.run_benchmark(spark, FX.tickets_raw(spark, sf))["benchmark_summary"]
 
 
+STUB_FAIL_MARKER = "opening hours"   # prompts holding this phrase make the stub client fail
+
+
 def _stub_factory():
     from ..operators import model_calls as MC
 
-    return MC.StubClient(FX.REPLIES, fail_marker="opening hours")
+    return MC.StubClient(FX.REPLIES, fail_marker=STUB_FAIL_MARKER)
 
 
 def q_llm_classify_stub(spark: SparkSession, sf: str) -> DataFrame:
