@@ -101,3 +101,21 @@ def test_rule_table_matches_literal_chain(spark):
         tab = LK.rule_match_table(df, "text", "id", LK.rule_registry(spark), max_broadcast_rows=cap)
         got = {r["id"]: (r["rule_queue"], r["rule_issue_type"]) for r in tab.collect()}
         assert got == lit
+
+
+def test_rule_table_brute_force_with_repeated_patterns(spark):
+    import random
+
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    pats = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(40)]
+    rules = [(p, f"q{i}", f"i{i}") for i, p in enumerate(pats)]   # repeated patterns: first wins
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {}
+    for k, t in enumerate(texts):
+        hit = next(((q, it) for p, q, it in rules if p in t), (None, None))
+        want[k] = hit
+    for cap in (10_000, 0):
+        tab = LK.rule_match_table(df, "text", "id", LK.rule_registry(spark, rules), max_broadcast_rows=cap)
+        got = {r["id"]: (r["rule_queue"], r["rule_issue_type"]) for r in tab.collect()}
+        assert got == want

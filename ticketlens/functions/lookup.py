@@ -16,8 +16,12 @@ from pyspark.sql import types as T
 from .. import config as C
 from .text import _col
 
-# Largest registry we broadcast for the theta (``contains``) join.
-MAX_BROADCAST_REGISTRY_ROWS = 50_000
+# Largest registry matched by the broadcast theta (``contains``) join.  Its cost per text
+# grows with the number of patterns; the exact equi-join below costs per text
+# ``length × distinct pattern lengths`` whatever the registry size, so it takes over here.
+MAX_BROADCAST_REGISTRY_ROWS = 1_000
+# Bound on distinct pattern lengths taken to the driver as a literal list.
+MAX_PATTERN_LENGTHS = 10_000
 
 
 def map_lookup(c: str | Column, mapping: dict[str, str]) -> Column:
@@ -85,21 +89,33 @@ def rule_match_table(df: DataFrame, text_col: str, key_col: str, registry: DataF
 
 
 def _substring_equi_hits(df: DataFrame, text_col: str, key_col: str, registry: DataFrame) -> DataFrame:
-    """Exact substring match for big registries: one row per (text position, pattern length),
-    equi-joined with the registry on ``(length, substring)``; the shuffle is on the pattern."""
-    lengths = registry.select(F.length("pattern").alias("plen")).distinct()
-    reg = registry.withColumn("plen", F.length("pattern"))
+    """Exact substring match for big registries.
+
+    The registry is reduced to one row per ``(length, pattern)`` (its first rule).  Each
+    text emits, per distinct pattern length, its distinct substrings of that length — the
+    de-duplication happens inside the row, with no shuffle — and those are equi-joined
+    with the registry: one shuffle of the substrings, on the pattern.  A very common
+    substring is a skewed join key that AQE's skew-join handling splits.  The distinct
+    lengths (at most the registry's row count and ``MAX_PATTERN_LENGTHS``) are a literal
+    list, so no join is needed to pair texts with lengths.
+    """
+    reg = (registry.withColumn("plen", F.length("pattern"))
+           .groupBy("plen", "pattern").agg(F.min(F.struct("ord", "queue", "issue_type")).alias("_r")))
+    lengths = sorted(r["plen"] for r in registry.select(F.length("pattern").alias("plen")).distinct()
+                     .limit(MAX_PATTERN_LENGTHS + 1).collect())
+    if len(lengths) > MAX_PATTERN_LENGTHS:
+        raise ValueError(f"registry has more than {MAX_PATTERN_LENGTHS} distinct pattern lengths")
+    t = F.col(text_col)
+    plen = F.explode(F.array(*[F.lit(int(n)) for n in lengths])).alias("plen")
     subs = (
-        df.select(key_col, text_col)
-        .join(lengths, F.length(F.col(text_col)) >= F.col("plen"), "inner")
-        .select(key_col, "plen",
-                F.explode(F.sequence(F.lit(1), F.length(F.col(text_col)) - F.col("plen") + 1)).alias("pos"),
-                text_col)
-        .select(key_col, "plen", F.substring(F.col(text_col), F.col("pos"), F.col("plen")).alias("pattern"))
-        .dropDuplicates([key_col, "plen", "pattern"])
+        df.select(key_col, text_col, plen)
+        .filter(F.length(t) >= F.col("plen"))
+        .select(key_col, "plen", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(t) - F.col("plen") + 1),
+            lambda pos: F.substring(t, pos, F.col("plen"))))).alias("pattern"))
     )
     return (
         subs.join(reg, ["plen", "pattern"], "inner")
         .groupBy(key_col)
-        .agg(F.min(F.struct("ord", "queue", "issue_type")).alias("_m"))
+        .agg(F.min("_r").alias("_m"))
     )

@@ -144,13 +144,15 @@ def llm_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows per labeled row (a model label and the keyword baseline), emitted in one
+    pass with ``inline`` so the labeled view is computed once, not once per model."""
     lab = labeled(spark, sf_dir)
-    idc = F.col("id")
-    ml = lab.select("id", F.lit("ml_tfidf_lr").alias("model"), F.col("issue_type").alias("y"),
-                    _pick(C.ISSUE_TYPES, idc).alias("p"))
-    kw = lab.select("id", F.lit("keyword_baseline").alias("model"), F.col("issue_type").alias("y"),
-                    TX.keyword_issue("text").alias("p"))
-    return ml.unionByName(kw)
+    y = F.col("issue_type")
+    rows = F.array(
+        F.struct(F.lit("ml_tfidf_lr").alias("model"), y.alias("y"), _pick(C.ISSUE_TYPES, F.col("id")).alias("p")),
+        F.struct(F.lit("keyword_baseline").alias("model"), y.alias("y"), TX.keyword_issue("text").alias("p")),
+    )
+    return lab.select("id", F.inline(rows))
 
 
 # ----------------------------------------------------------------------------- SQL side
