@@ -39,7 +39,9 @@ def assign_stage(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingT
         .when(prob <= F.lit(float(thresholds.low_confidence)), F.lit(_LOW_BAND))
         .otherwise(F.lit(_MIDDLE))
     )
-    return scored.withColumn("_rule", rule).withColumn("_stage", stage)
+    # ``_rule`` comes out of a one-element explode (a null match stays a row): stage filters
+    # stop above the generator, so the rule chain runs once per row, not again in each filter.
+    return scored.withColumn("_rule", F.explode(F.array(rule))).withColumn("_stage", stage)
 
 
 def route(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
