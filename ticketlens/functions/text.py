@@ -12,6 +12,17 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def evaluated_once(c: str | Column) -> Column:
+    """``c`` as the output of a one-element ``explode`` (a null value stays a row).
+
+    Use for an expensive column that a later filter tests: Catalyst pushes a filter on a
+    plain projection below it by copying the expression (and, through join keys, into
+    inferred filters on the other side), so the expression runs once per copy.  A filter
+    on generator output stops above the generator, so the expression runs once per row.
+    """
+    return F.explode(F.array(_col(c)))
+
+
 def null_safe_concat(a: str | Column, b: str | Column, sep: str = " ") -> Column:
     """``coalesce(a,'') || sep || coalesce(b,'')`` — keeps the separator when a side is null
     (``concat_ws`` would drop it)."""

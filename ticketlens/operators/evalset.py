@@ -28,12 +28,9 @@ def candidate_rows(tickets: DataFrame, subject: str = "subject", description: st
     """Length filter → type label (unmapped rows dropped) → urgency (default medium) →
     keep-first dedup on normalised text → up to ``per_class`` rows per label."""
     type_map = C.TICKET_TYPE_MAP if type_map is None else type_map
-    # The text is produced by a one-element explode: a filter on generator output is not
-    # pushed below it, so the regex chain runs once per row instead of once in the pushed
-    # filter (and in filters Catalyst infers through join keys) and again in the projection.
     c = tickets.select(
         F.col(id_col).alias("id"),
-        F.explode(F.array(candidate_text(F.col(subject), F.col(description)))).alias("text"),
+        TX.evaluated_once(candidate_text(F.col(subject), F.col(description))).alias("text"),
         F.col(type_col).alias("raw_ticket_type"), F.col(priority_col).alias("raw_priority"),
     ).filter(F.length("text") >= min_len)
     c = c.withColumn("issue_type", LK.map_lookup(TX.canon_key("raw_ticket_type"), type_map)) \

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import lookup as LK
 from ..functions import replies as RP
+from ..functions import text as TX
 
 ROUTED_COLUMNS = ("id", "text", "route", "stage", "confidence", "llm_issue_type", "llm_urgency",
                   "llm_summary", "suggested_path", "should_escalate", "reason")
@@ -39,9 +40,8 @@ def assign_stage(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingT
         .when(prob <= F.lit(float(thresholds.low_confidence)), F.lit(_LOW_BAND))
         .otherwise(F.lit(_MIDDLE))
     )
-    # ``_rule`` comes out of a one-element explode (a null match stays a row): stage filters
-    # stop above the generator, so the rule chain runs once per row, not again in each filter.
-    return scored.withColumn("_rule", F.explode(F.array(rule))).withColumn("_stage", stage)
+    # Band filters test ``_stage``; ``evaluated_once`` keeps the rule chain out of them.
+    return scored.withColumn("_rule", TX.evaluated_once(rule)).withColumn("_stage", stage)
 
 
 def route(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),

@@ -140,7 +140,7 @@ def benchmark_rows(tickets: DataFrame, subject: str = "subject", description: st
     text = F.concat(TX.strip_ws(F.coalesce(F.col(subject), F.lit(""))), F.lit(" "),
                     TX.clean_placeholders(F.coalesce(F.col(description), F.lit(""))))
     issue = LK.map_lookup(TX.canon_key(F.coalesce(F.col(type_col), F.lit(""))), C.benchmark_type_map())
-    d = tickets.select(F.col(id_col).alias("id"), text.alias("text"), issue.alias("issue_type"))
+    d = tickets.select(F.col(id_col).alias("id"), TX.evaluated_once(text).alias("text"), issue.alias("issue_type"))
     d = d.filter(F.col("issue_type").isNotNull() & (F.length("text") >= C.BENCHMARK_MIN_TEXT_LEN))
     if observation is not None:
         d = d.observe(observation[0], F.count(F.lit(1)).alias("before_dedup"))
