@@ -420,6 +420,31 @@ es AS (SELECT * FROM base UNION ALL SELECT * FROM newc)
 """
     q["anti_join_eval"] = W + ev + "SELECT * FROM newc"
     q["eval_set"] = W + ev + "SELECT * FROM es"
+    q["eval_set_checks"] = W + ev + f""",
+chk AS (
+  SELECT issue_type AS y, {sql_normalize('text')} AS norm,
+         (text IS NULL OR {sql_strip('text')} = '') AS missing
+  FROM es
+),
+chk2 AS (SELECT *, {sql_keyword_issue('norm')} AS kw FROM chk),
+r AS (
+  SELECT CAST(count(*) AS DOUBLE) AS n,
+         CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS DOUBLE) AS missing_text,
+         CAST(sum(CASE WHEN y IS NULL OR y NOT IN ({tax}) THEN 1 ELSE 0 END) AS DOUBLE) AS outside,
+         count(norm) AS with_text, count(DISTINCT norm) AS n_distinct,
+         CAST(sum(CASE WHEN kw <> 'other' AND kw = y THEN 1 ELSE 0 END) AS DOUBLE) AS easy
+  FROM chk2
+),
+pc AS (SELECT issue_type AS y, count(*) AS n FROM es GROUP BY issue_type)
+SELECT 'rows' AS check_name, n AS value FROM r
+UNION ALL SELECT 'missing_text', missing_text FROM r
+UNION ALL SELECT 'label_outside_taxonomy', outside FROM r
+UNION ALL SELECT 'duplicate_rows', CAST(with_text - n_distinct AS DOUBLE) FROM r
+UNION ALL SELECT 'duplicate_rate', round(CAST(with_text - n_distinct AS DOUBLE) / greatest(with_text, 1), 6) FROM r
+UNION ALL SELECT 'keyword_recoverable', easy FROM r
+UNION ALL SELECT 'keyword_recoverable_rate', round(easy / greatest(n, 1.0), 6) FROM r
+UNION ALL SELECT 'classes_below_min',
+  CAST({len(C.ISSUE_TYPES)} - (SELECT count(*) FROM pc WHERE y IN ({tax}) AND n >= {C.EVAL_MIN_PER_CLASS}) AS DOUBLE)"""
     q["eval_summary"] = W + ev + """,
 counts AS (SELECT eval_label_source, issue_type, count(*) AS n FROM es GROUP BY eval_label_source, issue_type),
 grid AS (

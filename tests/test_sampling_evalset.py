@@ -102,3 +102,30 @@ def test_eval_set_pipeline(spark):
                     ("metadata_ticket_type", "billing"): 1, ("metadata_ticket_type", "technical"): 0}
     assert ES.unmapped_count(tickets).first()["unmapped"] == 1
     _ = F
+
+
+def test_eval_set_checks_hand_made(spark):
+    from ticketlens.operators import evalset as ES
+
+    rows = [
+        (1, "Refund please!", "billing"),      # keyword rules give billing: easy row
+        (2, "refund   please", "billing"),     # same normalised text: a duplicate
+        (3, None, "billing"),                  # missing text
+        (4, "   ", "login"),                   # blank text
+        (5, "hello there", "weather"),         # label outside the taxonomy
+        (6, "login fails", None),              # null label: outside too
+    ]
+    df = spark.createDataFrame(rows, "id long, text string, issue_type string")
+    got = {r["check_name"]: r["value"] for r in ES.eval_set_checks(df, min_per_class=2).collect()}
+    assert got["rows"] == 6 and got["missing_text"] == 2 and got["label_outside_taxonomy"] == 2
+    assert got["duplicate_rows"] == 1 and abs(got["duplicate_rate"] - 1 / 5) < 1e-12
+    assert got["keyword_recoverable"] == 2                 # rows 1 and 2
+    assert got["classes_below_min"] == 5                   # only billing has >= 2 rows
+
+
+def test_eval_set_checks_empty(spark):
+    from ticketlens.operators import evalset as ES
+
+    df = spark.createDataFrame([], "id long, text string, issue_type string")
+    got = {r["check_name"]: r["value"] for r in ES.eval_set_checks(df).collect()}
+    assert got["rows"] == 0 and got["duplicate_rate"] == 0 and got["classes_below_min"] == 6

@@ -161,6 +161,7 @@ PLACEHOLDERS: tuple[tuple[str, str], ...] = (
 # Eval-set builder and benchmark parameters.
 EVAL_ROWS_PER_CLASS = 100
 EVAL_MIN_TEXT_LEN = 100
+EVAL_MIN_PER_CLASS = 70      # eval-set check: the lower end of the 70–90 rows-per-class target
 BENCHMARK_MIN_TEXT_LEN = 20
 SEED = 42
 ROUTING_SAMPLE_CAP = 5000

@@ -95,3 +95,55 @@ def eval_summary(eval_set: DataFrame) -> DataFrame:
     return (g.select("eval_label_source", "issue_type",
                      F.coalesce(F.element_at("lookup", key), F.lit(0)).cast("long").alias("count"))
             .orderBy("eval_label_source", "issue_type"))
+
+
+CHECK_COLUMNS = ("check_name", "value")
+
+
+def eval_set_checks(eval_set: DataFrame, min_per_class: int = C.EVAL_MIN_PER_CLASS,
+                    taxonomy: tuple[str, ...] = C.ISSUE_TYPES, text_col: str = "text",
+                    label_col: str = "issue_type") -> DataFrame:
+    """Eval-set quality checks as a long table ``(check_name, value)``:
+
+    * ``rows``; ``missing_text`` (null or blank text); ``label_outside_taxonomy``;
+    * ``duplicate_rows`` — rows with text minus distinct normalised texts — and
+      ``duplicate_rate`` over rows with text;
+    * ``classes_below_min`` — taxonomy classes with fewer than ``min_per_class`` rows;
+    * ``keyword_recoverable`` — rows whose keyword rules fire and give the row's label
+      (easy rows that flatter a keyword baseline) — and ``keyword_recoverable_rate``.
+
+    Two partial aggregates and no join: one over the rows (the distinct count of
+    normalised texts shuffles map-side de-duplicated keys), one over the per-class
+    count table (one row per label).
+    """
+    text, label = F.col(text_col), F.col(label_col)
+    norm = TX.normalize_text(text)
+    kw = TX.keyword_issue(norm)
+    d = eval_set.select(label.alias("_y"), text.isNull().alias("_null"),
+                        (text.isNull() | (TX.strip_ws(text) == "")).alias("_missing"),
+                        norm.alias("_norm"), ((kw != "other") & (kw == label)).alias("_easy"))
+    y = F.col("_y")
+    r = d.agg(
+        F.count(F.lit(1)).cast("double").alias("rows"),
+        F.count_if("_missing").cast("double").alias("missing_text"),
+        F.count_if(y.isNull() | ~y.isin(*taxonomy)).cast("double").alias("label_outside_taxonomy"),
+        F.count("_norm").alias("_with_text"),
+        F.count_distinct("_norm").alias("_distinct"),
+        F.count_if(F.coalesce(F.col("_easy"), F.lit(False))).cast("double").alias("keyword_recoverable"),
+    )
+    dup = (F.col("_with_text") - F.col("_distinct")).cast("double")
+    row_checks = r.select(F.inline(F.array(
+        *[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("value"))
+          for c in ("rows", "missing_text", "label_outside_taxonomy")],
+        F.struct(F.lit("duplicate_rows").alias("check_name"), dup.alias("value")),
+        F.struct(F.lit("duplicate_rate").alias("check_name"),
+                 (dup / F.greatest(F.col("_with_text"), F.lit(1))).alias("value")),
+        F.struct(F.lit("keyword_recoverable").alias("check_name"), F.col("keyword_recoverable").alias("value")),
+        F.struct(F.lit("keyword_recoverable_rate").alias("check_name"),
+                 (F.col("keyword_recoverable") / F.greatest(F.col("rows"), F.lit(1.0))).alias("value")),
+    )))
+    per_class = eval_set.groupBy(label.alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    ok = F.count_if(F.col("_y").isin(*taxonomy) & (F.col("_n") >= min_per_class))
+    class_checks = per_class.agg((F.lit(len(taxonomy)) - ok).cast("double").alias("value")) \
+        .select(F.lit("classes_below_min").alias("check_name"), "value")
+    return row_checks.unionByName(class_checks)

@@ -223,6 +223,10 @@ def q_eval_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ES.eval_summary(ES.merge_eval_set(_base(spark, sf), _candidates(spark, sf)))
 
 
+def q_eval_set_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(ES.eval_set_checks(ES.merge_eval_set(_base(spark, sf), _candidates(spark, sf))))
+
+
 def q_unmapped_count(spark: SparkSession, sf: str) -> DataFrame:
     return ES.unmapped_count(FX.tickets_raw(spark, sf))
 
@@ -401,6 +405,7 @@ QUERIES = {
     "anti_join_eval": q_anti_join_eval,
     "eval_set": q_eval_set,
     "eval_summary": q_eval_summary,
+    "eval_set_checks": q_eval_set_checks,
     "unmapped_count": q_unmapped_count,
     "route_enriched": q_route_enriched,
     "freq_tables": q_freq_tables,
