@@ -129,3 +129,28 @@ def test_eval_set_checks_empty(spark):
     df = spark.createDataFrame([], "id long, text string, issue_type string")
     got = {r["check_name"]: r["value"] for r in ES.eval_set_checks(df).collect()}
     assert got["rows"] == 0 and got["duplicate_rate"] == 0 and got["classes_below_min"] == 6
+
+
+def test_anti_join_with_a_hot_base_text(spark):
+    """One normalised base text holds a third of the base rows: the result equals brute force,
+    and the base keys are partially aggregated before their shuffle."""
+    import re
+
+    from ticketlens.operators import evalset as ES
+
+    def norm(t):
+        t = re.sub(r"http\S+", " ", t.lower())
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", t)).strip()
+
+    base_rows = [(i, "Refund, please!" if i % 3 == 0 else f"base text {i}", "billing", "low") for i in range(900)]
+    cand_rows = [(10_000 + i, t, "billing", "low", "metadata_ticket_type", "", "")
+                 for i, t in enumerate(["refund please", "REFUND   please", "base text 1", "base text 2",
+                                        "fresh text", "another fresh one"])]
+    base = ES.tag_base(spark.createDataFrame(base_rows, "id long, text string, issue_type string, urgency string"))
+    cand = spark.createDataFrame(cand_rows, "id long, text string, issue_type string, urgency string, "
+                                 "eval_label_source string, raw_ticket_type string, raw_priority string")
+    out = ES.new_candidates(base, cand)
+    seen = {norm(t) for _, t, _, _ in base_rows}
+    assert sorted(r["id"] for r in out.collect()) == sorted(i for i, t, *_ in cand_rows if norm(t) not in seen)
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert p.count("HashAggregate") >= 2
