@@ -261,6 +261,10 @@ SELECT round(tickets, 6) AS tickets, round(human_triage_rate, 6) AS human_triage
        round(CASE WHEN tickets > 0 THEN CAST({call!r} AS DOUBLE) END, 6) AS llm_cost_per_call_usd_estimated
 FROM k"""
 
+    pct = ", ".join(f"format('{{:,.1f}}', {c} * 100.0) || '%' AS {c}" for c in QU.REPORT_PCT_COLUMNS)
+    num = ", ".join(f"format('{{:,.4f}}', {c}) AS {c}" for c in QU.REPORT_NUM_COLUMNS)
+    q["report_format"] = f"SELECT tickets, {pct}, {num} FROM ({q['routing_kpis']}) kpis"
+
     q["queue_share"] = W + _routed(True) + """
 SELECT 'queue_pct_' || route AS metric, route, round(n / CAST(greatest(sum(n) OVER (), 1) AS DOUBLE), 6) AS share
 FROM (SELECT route, count(*) AS n FROM routed GROUP BY route)"""

@@ -125,6 +125,17 @@ def q_routing_kpis(spark: SparkSession, sf: str) -> DataFrame:
     return r6(KP.routing_kpis(routed_with_replies(spark, sf)))
 
 
+REPORT_PCT_COLUMNS = ("human_triage_rate", "llm_invocation_rate", "rule_based_rate", "ml_high_confidence_rate",
+                      "human_fallback_rate")
+REPORT_NUM_COLUMNS = ("avg_routing_confidence", "cost_per_ticket_usd_estimated")
+
+
+def q_report_format(spark: SparkSession, sf: str) -> DataFrame:
+    k = r6(KP.routing_kpis(routed_with_replies(spark, sf)))
+    return RP.format_report(k, REPORT_PCT_COLUMNS, REPORT_NUM_COLUMNS, digits=4) \
+        .select("tickets", *REPORT_PCT_COLUMNS, *REPORT_NUM_COLUMNS)
+
+
 def q_queue_share(spark: SparkSession, sf: str) -> DataFrame:
     return r6(KP.queue_share(routed_with_replies(spark, sf)))
 
@@ -386,6 +397,7 @@ QUERIES = {
     "route_with_replies": q_route_with_replies,
     "urgency_suffix": q_urgency_suffix,
     "routing_kpis": q_routing_kpis,
+    "report_format": q_report_format,
     "queue_share": q_queue_share,
     "threshold_sweep": q_threshold_sweep,
     "recommend_threshold": q_recommend_threshold,
