@@ -352,6 +352,21 @@ SELECT model, n_eval_samples, round(accuracy, 6) AS accuracy, round(macro_f1, 6)
 FROM summ"""
     pick = lambda mdl, c: f"max(CASE WHEN model = {sql_str(mdl)} THEN {c} END)"
     ml, kw = "ml_tfidf_lr", "keyword_baseline"
+    q["benchmark_summary_table"] = W + cnt + """
+SELECT model AS model_name, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+       round(weighted_f1, 6) AS weighted_f1, CAST(0 AS BIGINT) AS n_train, n_eval_samples AS n_test,
+       'measured_holdout_metadata_labels' AS metric_type, 'metadata_ticket_type' AS label_source,
+       'structured support tickets' AS dataset_source
+FROM summ"""
+    q["benchmark_compat"] = W + cnt + f"""
+SELECT round({pick(ml, 'accuracy')}, 6) AS ml_accuracy, round({pick(ml, 'macro_f1')}, 6) AS ml_macro_f1,
+       round({pick(ml, 'weighted_f1')}, 6) AS ml_weighted_f1,
+       round({pick(kw, 'accuracy')}, 6) AS keyword_baseline_accuracy,
+       round({pick(kw, 'macro_f1')}, 6) AS keyword_macro_f1, round({pick(kw, 'weighted_f1')}, 6) AS keyword_weighted_f1,
+       {pick(ml, 'n_eval_samples')} AS n_eval_samples,
+       'metadata_ticket_type' AS label_source, 'structured support tickets' AS dataset_source,
+       'measured_holdout_metadata_labels' AS metric_type
+FROM summ"""
     q["lift"] = W + cnt + f""",
 lr AS (
   SELECT {pick(ml, 'n_eval_samples')} AS n_eval_samples,

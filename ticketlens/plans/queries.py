@@ -176,6 +176,17 @@ def q_f1_summary(spark: SparkSession, sf: str) -> DataFrame:
     return r6(EV.f1_summary(FX.predictions(spark, sf)))
 
 
+def q_benchmark_summary_table(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(EV.benchmark_summary(EV.f1_summary(FX.predictions(spark, sf))))
+
+
+def q_benchmark_compat(spark: SparkSession, sf: str) -> DataFrame:
+    from . import jobs as JB
+
+    summary = EV.benchmark_summary(EV.f1_summary(FX.predictions(spark, sf)))
+    return r6(JB.benchmark_compat_row(summary, model="ml_tfidf_lr"))
+
+
 def q_lift(spark: SparkSession, sf: str) -> DataFrame:
     return r6(EV.lift(EV.f1_summary(FX.predictions(spark, sf))))
 
@@ -408,6 +419,8 @@ QUERIES = {
     "per_class_restricted": q_per_class_restricted,
     "f1_summary": q_f1_summary,
     "lift": q_lift,
+    "benchmark_summary_table": q_benchmark_summary_table,
+    "benchmark_compat": q_benchmark_compat,
     "dedup_norm": q_dedup_norm,
     "per_class_sample": q_per_class_sample,
     "stratified_split": q_stratified_split,
