@@ -518,7 +518,7 @@ lt AS (SELECT id, {sql_normalize('text')} AS text, issue_type, urgency FROM es)
 SELECT id, text, issue_type, urgency, {sql_complexity('text')} AS complexity, 'real' AS label_quality FROM lt"""
     bmap = C.benchmark_type_map()
     btype_key = "lower(" + sql_strip("coalesce(type, '')") + ")"
-    q["benchmark_rows"] = W + f""",
+    bench_ctes = f""",
 b0 AS (
   SELECT id, {sql_strip("coalesce(subject, '')")} || ' ' || {_clean("coalesce(description, '')")} AS text,
          {sql_map(btype_key, bmap)} AS issue_type
@@ -527,6 +527,9 @@ b0 AS (
 b1 AS (
   SELECT * FROM b0 WHERE issue_type IS NOT NULL AND length(text) >= {C.BENCHMARK_MIN_TEXT_LEN}
 )
+"""
+    q["benchmark_dedup_dropped"] = W + bench_ctes + "SELECT count(*) - count(DISTINCT text) AS dropped FROM b1"
+    q["benchmark_rows"] = W + bench_ctes + f"""
 SELECT id, {sql_strip('text')} AS text, issue_type FROM (
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS rn FROM b1) WHERE rn = 1"""
 

@@ -154,3 +154,11 @@ def test_anti_join_with_a_hot_base_text(spark):
     assert sorted(r["id"] for r in out.collect()) == sorted(i for i, t, *_ in cand_rows if norm(t) not in seen)
     p = out._jdf.queryExecution().executedPlan().toString()
     assert p.count("HashAggregate") >= 2
+
+
+def test_dedup_dropped_counts_what_keep_first_removes(spark):
+    from ticketlens.operators import sampling as SM
+
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (6, "a")], "id long, k string")
+    kept = SM.dedup_keep_first(df, "k").count()
+    assert SM.dedup_dropped(df, "k").first()["dropped"] == df.count() - kept == 3

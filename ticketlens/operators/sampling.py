@@ -102,3 +102,12 @@ def per_class_sample(df: DataFrame, label_col: str, n: int, id_col: str = "id",
 def dedup_keep_first(df: DataFrame, key_col: str, id_col: str = "id") -> DataFrame:
     """Keep-first dedup (lowest id = first in source order) on a computed key."""
     return keep_first(df, [key_col], [F.col(id_col)])
+
+
+def dedup_dropped(df: DataFrame, key_col: str) -> DataFrame:
+    """Rows a keep-first dedup on ``key_col`` removes (``count − count distinct``), as one
+    aggregate; the distinct count shuffles map-side de-duplicated keys.  Null keys are
+    kept by the dedup (one per null group) and counted as one key here too."""
+    k = F.col(key_col)
+    nulls = F.max(k.isNull().cast("int"))
+    return df.agg((F.count(F.lit(1)) - F.count_distinct(k) - F.coalesce(nulls, F.lit(0))).alias("dropped"))

@@ -133,15 +133,20 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
 
 # ----------------------------------------------------------------------------- benchmark
 
-def benchmark_rows(tickets: DataFrame, subject: str = "subject", description: str = "description",
-                   type_col: str = "type", id_col: str = "id", observation=None) -> DataFrame:
-    """Clean text, benchmark type map, unmapped and short (< 20 chars) rows dropped,
-    keep-first dedup on text, then whitespace strip."""
+def benchmark_candidates(tickets: DataFrame, subject: str = "subject", description: str = "description",
+                         type_col: str = "type", id_col: str = "id") -> DataFrame:
+    """Clean text and benchmark type map; unmapped and short (< 20 chars) rows dropped."""
     text = F.concat(TX.strip_ws(F.coalesce(F.col(subject), F.lit(""))), F.lit(" "),
                     TX.clean_placeholders(F.coalesce(F.col(description), F.lit(""))))
     issue = LK.map_lookup(TX.canon_key(F.coalesce(F.col(type_col), F.lit(""))), C.benchmark_type_map())
     d = tickets.select(F.col(id_col).alias("id"), TX.evaluated_once(text).alias("text"), issue.alias("issue_type"))
-    d = d.filter(F.col("issue_type").isNotNull() & (F.length("text") >= C.BENCHMARK_MIN_TEXT_LEN))
+    return d.filter(F.col("issue_type").isNotNull() & (F.length("text") >= C.BENCHMARK_MIN_TEXT_LEN))
+
+
+def benchmark_rows(tickets: DataFrame, subject: str = "subject", description: str = "description",
+                   type_col: str = "type", id_col: str = "id", observation=None) -> DataFrame:
+    """Benchmark candidates, keep-first dedup on text, then whitespace strip."""
+    d = benchmark_candidates(tickets, subject, description, type_col, id_col)
     if observation is not None:
         d = d.observe(observation[0], F.count(F.lit(1)).alias("before_dedup"))
     d = SM.dedup_keep_first(d, "text")

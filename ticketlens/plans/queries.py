@@ -316,6 +316,12 @@ def q_benchmark_rows(spark: SparkSession, sf: str) -> DataFrame:
     return JB.benchmark_rows(FX.tickets_raw(spark, sf))
 
 
+def q_benchmark_dedup_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    from . import jobs as JB
+
+    return SM.dedup_dropped(JB.benchmark_candidates(FX.tickets_raw(spark, sf)), "text")
+
+
 # ----------------------------------------------------------------------------- models (rows-only checks)
 
 def q_char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,6 +451,7 @@ QUERIES = {
     "queue_counts": q_queue_counts,
     "local_training_frame": q_local_training_frame,
     "benchmark_rows": q_benchmark_rows,
+    "benchmark_dedup_dropped": q_benchmark_dedup_dropped,
     "char_ngrams": q_char_ngrams,
     "label_index": q_label_index,
     "llm_classify_stub": q_llm_classify_stub,
