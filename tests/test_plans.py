@@ -59,3 +59,8 @@ def test_rule_chain_is_not_copied_into_band_filters(spark):
     for band in (RT.low_band, RT.middle_band):
         fs = _filters(band(FX.scored(spark, SF001)))
         assert fs and not any("Contains" in f or "contains(" in f for f in fs)
+
+
+def test_small_rule_registry_needs_no_join_or_shuffle(spark):
+    p = plan(Q.q_rule_match_table(spark, SF001))
+    assert "Join" not in p and "Exchange" not in p

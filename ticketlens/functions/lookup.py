@@ -1,8 +1,9 @@
 """Lookups: literal maps, ordered first-match over a registry.
 
 Small registries compile to ``CASE WHEN`` chains (short-circuit, codegen).
-Registry *tables* go through a broadcast theta join when their size is checked
-to be small, and through an exact exploded-substring equi-join otherwise.
+Registry *tables* whose row count is checked to be small are inlined into the
+expression (a literal array filtered per row: no join, no shuffle); larger ones go
+through an exact exploded-substring equi-join.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import types as T
 from .. import config as C
 from .text import _col
 
-# Largest registry matched by the broadcast theta (``contains``) join.  Its cost per text
-# grows with the number of patterns; the exact equi-join below costs per text
-# ``length × distinct pattern lengths`` whatever the registry size, so it takes over here.
+# Largest registry inlined into the expression.  Its cost per text grows with the number
+# of patterns; the exact equi-join below costs per text ``length × distinct pattern
+# lengths`` whatever the registry size, so it takes over here.
 MAX_BROADCAST_REGISTRY_ROWS = 1_000
 # Bound on distinct pattern lengths taken to the driver as a literal list.
 MAX_PATTERN_LENGTHS = 10_000
@@ -65,24 +66,28 @@ def rule_registry(spark: SparkSession, rules=C.RULE_PATTERNS) -> DataFrame:
 
 def rule_match_table(df: DataFrame, text_col: str, key_col: str, registry: DataFrame,
                      max_broadcast_rows: int = MAX_BROADCAST_REGISTRY_ROWS) -> DataFrame:
-    """Ordered first match of ``text`` against a registry table.
+    """Ordered first match of ``text`` against a registry table ``(ord, pattern, queue,
+    issue_type)``; lowest ``ord`` wins.
 
     Adds ``rule_queue`` and ``rule_issue_type`` (null when nothing matches).
-    ``key_col`` must be unique per row.  The registry size is counted first;
-    a small registry is broadcast into a nested-loop ``contains`` join, a large
-    one is matched exactly through an equi-join on exploded substrings whose
-    lengths are the registry's pattern lengths.
+    ``key_col`` must be unique per row.  The registry size is counted first: up to
+    ``max_broadcast_rows`` rows it is taken to the driver and inlined as a literal
+    array sorted by ``ord`` — each row keeps the patterns it contains and takes the
+    first, a projection with no join and no shuffle of the texts.  A larger registry is
+    matched exactly through an equi-join on exploded substrings.
     """
     n_rules = registry.count()
     if n_rules <= max_broadcast_rows:
-        hits = (
-            df.select(key_col, text_col)
-            .join(F.broadcast(registry), F.col(text_col).contains(F.col("pattern")), "inner")
-            .groupBy(key_col)
-            .agg(F.min(F.struct("ord", "queue", "issue_type")).alias("_m"))
-        )
-    else:
-        hits = _substring_equi_hits(df, text_col, key_col, registry)
+        rules = registry.select("ord", "pattern", "queue", "issue_type") \
+            .orderBy("ord", "queue", "issue_type").limit(max_broadcast_rows).collect()
+        if not rules:
+            none = F.lit(None).cast("string")
+            return df.withColumns({"rule_queue": none, "rule_issue_type": none})
+        arr = F.array(*[F.struct(F.lit(r["pattern"]).alias("pattern"), F.lit(r["queue"]).alias("queue"),
+                                 F.lit(r["issue_type"]).alias("issue_type")) for r in rules])
+        first = F.get(F.filter(arr, lambda r: F.col(text_col).contains(r["pattern"])), 0)
+        return df.withColumns({"rule_queue": first["queue"], "rule_issue_type": first["issue_type"]})
+    hits = _substring_equi_hits(df, text_col, key_col, registry)
     hits = hits.select(key_col, F.col("_m.queue").alias("rule_queue"),
                        F.col("_m.issue_type").alias("rule_issue_type"))
     return df.join(hits, key_col, "left")
