@@ -119,3 +119,28 @@ def test_rule_table_brute_force_with_repeated_patterns(spark):
         tab = LK.rule_match_table(df, "text", "id", LK.rule_registry(spark, rules), max_broadcast_rows=cap)
         got = {r["id"]: (r["rule_queue"], r["rule_issue_type"]) for r in tab.collect()}
         assert got == want
+
+
+def test_normalize_matches_python_on_random_text(spark):
+    """Randomised texts with tabs, newlines, non-breaking spaces, URLs and punctuation: the
+    native expression equals a plain Python restatement.  Excluded: a URL run glued to a
+    non-breaking space, where Python's Unicode ``\\S`` stops and Java's ASCII one does not."""
+    import random
+    import re
+
+    def py_norm(t):
+        t = re.sub(r"http\S+", " ", t.lower())
+        t = re.sub(r"[^a-z0-9\s]", " ", t)
+        return re.sub(r"\s+", " ", t).strip()
+
+    rnd = random.Random(11)
+    alphabet = list("abcXYZ019 .,!?'/:-_") + ["\t", "\n", "\u00a0", "http", "https://", "\u00e9"]
+    texts = []
+    while len(texts) < 300:
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30)))
+        if re.search("http[^ \t\n]*\u00a0", t):
+            continue
+        texts.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["n"] for r in df.select("id", TX.normalize_text("text").alias("n")).collect()}
+    assert got == {i: py_norm(t) for i, t in enumerate(texts)}
