@@ -30,8 +30,8 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import text as TX
 from . import evaluation as EV
 from . import sampling as SM
 
@@ -64,21 +64,13 @@ class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return dataset.withColumn(self.getOutputCol(), sublinear_tf(F.col(self.getInputCol())))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def char_wb_terms(text: pd.Series) -> pd.Series:
-    """In-word character 3–5-grams per text, in Arrow batches (same rule as ``char_wb_ngrams``)."""
-    def one(t):
-        out = []
-        for w in (t or "").lower().split():
-            p = f" {w} "
-            for n in range(3, min(5, len(p)) + 1):
-                out.extend(p[o:o + n] for o in range(len(p) - n + 1))
-        return out
-    return text.map(one)
-
-
 class CharWbTerms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Pipeline stage producing in-word character 3–5-grams (``char_wb_terms``)."""
+    """Pipeline stage producing in-word character 3–5-grams (``char_wb_ngrams``), natively.
+
+    The column comes out of ``evaluated_once`` (a one-element explode): with the higher-order
+    functions in a plain projection, Catalyst would collapse it into the projection of the
+    Python sublinear-tf stage downstream, which Spark then cannot extract ("Cannot evaluate
+    expression").  Behind the generator the Python stage reads a plain column."""
 
     @keyword_only
     def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
@@ -86,7 +78,8 @@ class CharWbTerms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn(self.getOutputCol(), char_wb_terms(F.col(self.getInputCol())))
+        return dataset.withColumn(self.getOutputCol(),
+                                  TX.evaluated_once(char_wb_ngrams(F.col(self.getInputCol()))))
 
 
 def char_wb_ngrams(text: str | Column, n_min: int = 3, n_max: int = 5) -> Column:
@@ -116,8 +109,6 @@ class TfidfSpec:
 def _terms_stages(spec: TfidfSpec, prefix: str) -> list[Transformer]:
     terms = f"{prefix}_terms"
     if spec.analyzer == "char_wb":
-        # Python n-grams here: a native higher-order-function version cannot feed the
-        # Python sublinear-tf stage in the same projection (the UDF is not extracted).
         return [CharWbTerms(inputCol=spec.input_col, outputCol=terms)]
     toks = f"{prefix}_tok"
     stages: list[Transformer] = [RegexTokenizer(inputCol=spec.input_col, outputCol=toks, pattern=TOKEN_PATTERN,
