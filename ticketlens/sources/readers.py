@@ -49,11 +49,14 @@ def read_labeled_eval(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_present(df: DataFrame, *names: str, default: Column | None = None) -> Column:
-    """The first of several alias columns that exists (legacy result names)."""
-    for n in names:
-        if n in df.columns:
-            return F.col(n)
-    return default if default is not None else F.lit(None)
+    """Per row, the first non-null of the alias columns that exist (current name first,
+    then legacy names); ``default`` (or null) when none exists or all are null."""
+    present = [F.col(f"`{n}`") for n in names if n in df.columns]
+    if default is not None:
+        present.append(default)
+    if not present:
+        return F.lit(None)
+    return present[0] if len(present) == 1 else F.coalesce(*present)
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame | None:
