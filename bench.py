@@ -5,8 +5,8 @@ driver collect) and timed:
 
 * registered queries over the driver tables (unify, labels, text, evaluation,
   sampling, eval set, rule table);
-* the triage job shape: the scored table and the reply tables are written once
-  under the checkpoint folder, then routing (written, partitioned by stage), KPIs,
+* the triage job shape: the scored table (with its routing band, partitioned by it) and the
+  reply tables are written once under the checkpoint folder, then routing (written, partitioned by stage), KPIs,
   shares, reports and the sweep read those tables — as ``plans.jobs.run_triage`` does.
 
 Prints one JSON line:
@@ -62,15 +62,17 @@ def main() -> None:
         timed(name, lambda n=name: _noop(QUERIES[n](spark, sf_dir)))
 
     run = shared_path(spark, "bench", uuid.uuid4().hex[:8])
-    scored = timed("job_materialize_scored", lambda: SK.materialize(spark, FX.scored(spark, sf_dir), f"{run}/scored"))
+    scored = timed("job_materialize_scored", lambda: SK.materialize(
+        spark, RT.stage_table(FX.scored(spark, sf_dir)), f"{run}/scored", [RT.BAND_COL]))
     replies = timed("job_materialize_replies", lambda: SK.materialize(
-        spark, FX.llm_replies(spark, sf_dir).join(RT.low_band(scored).select("id"), "id", "left_semi"),
+        spark, FX.llm_replies(spark, sf_dir).join(RT.low_band(scored, staged=True).select("id"), "id", "left_semi"),
         f"{run}/replies"))
     enrichment = timed("job_materialize_enrichment", lambda: SK.materialize(
-        spark, FX.llm_enrichment(spark, sf_dir).join(RT.middle_band(scored).select("id"), "id", "left_semi"),
+        spark, FX.llm_enrichment(spark, sf_dir).join(RT.middle_band(scored, staged=True).select("id"), "id",
+                                                     "left_semi"),
         f"{run}/enrichment"))
     routed = timed("job_route_write", lambda: SK.materialize(
-        spark, RT.route(scored, replies=replies, enrichment=enrichment), f"{run}/routed", ["stage"]))
+        spark, RT.route(scored, replies=replies, enrichment=enrichment, staged=True), f"{run}/routed", ["stage"]))
     timed("job_routing_kpis", lambda: _noop(KP.routing_kpis(routed)))
     timed("job_queue_share", lambda: _noop(KP.queue_share(routed)))
     timed("job_freq_tables", lambda: _noop(RP.frequency_tables(routed)))

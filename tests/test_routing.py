@@ -126,3 +126,26 @@ def test_single_ticket_metadata(spark):
     assert d["metadata"]["reason"] == "llm_unavailable" and d["stage"] == "human_fallback"
     d = RT.route_one(spark, "x", "other", 0.3, reply='{"issue_type": "ads", "urgency": "high"}')
     assert d["metadata"] == {"issue_type": "ads", "urgency": "high"}
+
+
+def test_staged_table_routes_like_scored_and_prunes_partitions(spark):
+    import tempfile
+
+    from ticketlens.operators import routing as RT
+    from ticketlens.sources import fixtures as FX
+    from ticketlens.sources import sinks as SK
+    from tests.conftest import SF001
+
+    scored = FX.scored(spark, SF001)
+    replies, enrichment = FX.llm_replies(spark, SF001), FX.llm_enrichment(spark, SF001)
+    path = tempfile.mkdtemp(prefix="ticketlens-staged-") + "/scored"
+    staged = SK.materialize(spark, RT.stage_table(scored), path, [RT.BAND_COL])
+
+    want = RT.route(scored, replies=replies, enrichment=enrichment)
+    got = RT.route(staged, replies=replies, enrichment=enrichment, staged=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    for band_fn in (RT.low_band, RT.middle_band):
+        a = band_fn(staged, staged=True)
+        assert sorted(r["id"] for r in a.collect()) == sorted(r["id"] for r in band_fn(scored).collect())
+        p = a._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(routing_band" in p

@@ -25,6 +25,10 @@ _MIDDLE = "_middle"
 
 UNPARSEABLE_REASON = "unparseable or failed model reply"
 
+# Band column of a staged table (``stage_table``).  A visible name: it is the partition
+# column of the written scored table, and readers skip folders whose names start with "_".
+BAND_COL = "routing_band"
+
 
 def assign_stage(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
                  text_col: str = "text", prob_col: str = "prob", rules=C.RULE_PATTERNS) -> DataFrame:
@@ -44,21 +48,40 @@ def assign_stage(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingT
     return scored.withColumn("_rule", TX.evaluated_once(rule)).withColumn("_stage", stage)
 
 
+def stage_table(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
+                text_col: str = "text", prob_col: str = "prob", rules=C.RULE_PATTERNS) -> DataFrame:
+    """The scored table with its rule match (``_rule``) and band (``routing_band``) stored.
+
+    Written partitioned by ``routing_band``, it lets routing, band selection for model calls
+    and enrichment read only the partitions they need (partition pruning) instead of
+    scanning the whole table once per branch and recomputing the rule chain each time.
+    Read it back with ``staged=True``; the thresholds are the ones used here.
+    """
+    return assign_stage(scored, thresholds, text_col, prob_col, rules).withColumnRenamed("_stage", BAND_COL)
+
+
+def _staged(scored: DataFrame, staged: bool, thresholds, text_col, prob_col, rules=C.RULE_PATTERNS) -> DataFrame:
+    if staged:
+        return scored.withColumnRenamed(BAND_COL, "_stage")
+    return assign_stage(scored, thresholds, text_col, prob_col, rules)
+
+
 def route(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
           replies: DataFrame | None = None, enrichment: DataFrame | None = None,
           summary_only: bool = False, id_col: str = "id", text_col: str = "text",
           prob_col: str = "prob", label_col: str = "label", urgency_col: str | None = "urgency",
           rules=C.RULE_PATTERNS, queue_map: dict[str, str] | None = None,
-          with_metadata: bool = False) -> DataFrame:
+          with_metadata: bool = False, staged: bool = False) -> DataFrame:
     """Route a scored table (``id, text, label, prob[, urgency]``).
 
     ``replies``: ``(id, reply)`` classification replies for the low band (null reply =
     failed call).  Without it every low-band row takes the failure path (human).
     ``enrichment``: ``(id, summary, resolution)`` for middle-band rows; with
-    ``summary_only`` only the summary is used.
+    ``summary_only`` only the summary is used.  ``staged``: the input comes from
+    ``stage_table`` (band and rule match stored; ``thresholds`` and ``rules`` unused).
     """
     urgency = F.coalesce(F.col(urgency_col), F.lit("")) if urgency_col else F.lit("")
-    base = assign_stage(scored, thresholds, text_col, prob_col, rules).select(
+    base = _staged(scored, staged, thresholds, text_col, prob_col, rules).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(prob_col).alias("prob"),
         F.col(label_col).alias("label"), urgency.alias("urgency"), "_rule", "_stage")
 
@@ -174,16 +197,16 @@ def route_one(spark, text: str, label: str, prob: float, urgency: str = "", repl
 
 
 def low_band(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
-             text_col: str = "text", prob_col: str = "prob") -> DataFrame:
+             text_col: str = "text", prob_col: str = "prob", staged: bool = False) -> DataFrame:
     """Rows whose route needs a classification reply (no rule hit, ``prob <= low``, not ``>= high``)."""
-    return assign_stage(scored, thresholds, text_col, prob_col).filter(F.col("_stage") == _LOW_BAND) \
+    return _staged(scored, staged, thresholds, text_col, prob_col).filter(F.col("_stage") == _LOW_BAND) \
         .drop("_rule", "_stage")
 
 
 def middle_band(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
-                text_col: str = "text", prob_col: str = "prob") -> DataFrame:
+                text_col: str = "text", prob_col: str = "prob", staged: bool = False) -> DataFrame:
     """Rows that fall to human triage by confidence (candidates for enrichment)."""
-    return assign_stage(scored, thresholds, text_col, prob_col).filter(F.col("_stage") == _MIDDLE) \
+    return _staged(scored, staged, thresholds, text_col, prob_col).filter(F.col("_stage") == _MIDDLE) \
         .drop("_rule", "_stage")
 
 

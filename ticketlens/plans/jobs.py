@@ -103,22 +103,24 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
             SK.overwrite_empty(spark, schema, path)
 
     to_route = labeled if cfg.sample_cap is None else SM.hash_sample(labeled, cfg.sample_cap)
-    scored = SK.materialize(spark, score(to_route, models["issue_type"], models.get("urgency")), f"{out}/scored")
+    # Written with its band as the partition column: the branches below read only theirs.
+    scored = SK.materialize(spark, RT.stage_table(score(to_route, models["issue_type"], models.get("urgency")),
+                                                  cfg.thresholds), f"{out}/scored", [RT.BAND_COL])
 
     replies = enrichment = None
     if client_factory is not None:
-        band = RT.low_band(scored, cfg.thresholds)
+        band = RT.low_band(scored, staged=True)
         replies = SK.materialize(spark, MC.classify_replies(band, client_factory, partitions=cfg.call_partitions),
                                  f"{out}/model_replies/classify")
         if cfg.enrich_human or cfg.summarize_human:
-            middle = RT.middle_band(scored, cfg.thresholds)
+            middle = RT.middle_band(scored, staged=True)
             enrichment = SK.materialize(
                 spark, MC.enrichment_replies(middle, client_factory, partitions=cfg.call_partitions,
                                              summary_only=not cfg.enrich_human),
                 f"{out}/model_replies/enrich")
     routed = SK.materialize(
         spark, RT.route(scored, cfg.thresholds, replies=replies, enrichment=enrichment,
-                        summary_only=cfg.summarize_human and not cfg.enrich_human),
+                        summary_only=cfg.summarize_human and not cfg.enrich_human, staged=True),
         f"{out}/routed", ["stage"])
     results["routed"] = routed
     results["routing_metrics"] = KP.routing_kpis(routed)
@@ -246,12 +248,14 @@ def run_local(spark: SparkSession, eval_rows: DataFrame, out: str, cfg: TriageCo
     frame = SK.materialize(spark, local_training_frame(eval_rows), f"{out}/local_labeled")
     models = {t: ML.train_text_model(frame, t, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds).model
               for t in cfg.label_targets}
-    scored = SK.materialize(spark, score(frame, models["issue_type"], models.get("urgency")), f"{out}/local_scored")
+    scored = SK.materialize(spark, RT.stage_table(score(frame, models["issue_type"], models.get("urgency")),
+                                                  cfg.thresholds), f"{out}/local_scored", [RT.BAND_COL])
     replies = None
     if client_factory is not None:
-        replies = SK.materialize(spark, MC.classify_replies(RT.low_band(scored, cfg.thresholds), client_factory),
+        replies = SK.materialize(spark, MC.classify_replies(RT.low_band(scored, staged=True), client_factory),
                                  f"{out}/local_replies")
-    routed = SK.materialize(spark, RT.route(scored, cfg.thresholds, replies=replies), f"{out}/local_routed")
+    routed = SK.materialize(spark, RT.route(scored, cfg.thresholds, replies=replies, staged=True),
+                            f"{out}/local_routed")
     sweep = PO.threshold_sweep(scored, weights=cfg.weights)
     res = {"routed": routed, "routing_metrics": KP.routing_kpis(routed), "threshold_sweep": sweep,
            "policy_recommendation": PO.recommend(sweep, cfg.thresholds),
