@@ -233,6 +233,7 @@ FROM (SELECT label_quality, count(*) AS count FROM labeled GROUP BY label_qualit
 
     q["route_offline"] = W + _routed(False) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
     q["route_with_replies"] = W + _routed(True) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
+    q["route_staged"] = q["route_with_replies"]
     q["llm_classify_stub"] = W + _routed(True, replies="stub_replies") + "SELECT id, reply, error FROM stub_replies"
     q["route_with_stub_client"] = W + _routed(True, replies="stub_replies") + \
         "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"

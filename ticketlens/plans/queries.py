@@ -113,6 +113,12 @@ def q_route_with_replies(spark: SparkSession, sf: str) -> DataFrame:
     return r6(RT.route(FX.scored(spark, sf), replies=FX.llm_replies(spark, sf)))
 
 
+def q_route_staged(spark: SparkSession, sf: str) -> DataFrame:
+    """The job's path: the scored table with its band stored, then the staged router."""
+    staged = RT.stage_table(FX.scored(spark, sf))
+    return r6(RT.route(staged, replies=FX.llm_replies(spark, sf), staged=True))
+
+
 def q_urgency_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return RT.urgency_suffix_routes(FX.scored(spark, sf))
 
@@ -412,6 +418,7 @@ QUERIES = {
     "label_composition": q_label_composition,
     "route_offline": q_route_offline,
     "route_with_replies": q_route_with_replies,
+    "route_staged": q_route_staged,
     "urgency_suffix": q_urgency_suffix,
     "routing_kpis": q_routing_kpis,
     "report_format": q_report_format,
