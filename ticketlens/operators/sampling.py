@@ -76,10 +76,34 @@ def kfold_assign(df: DataFrame, label_col: str, id_col: str = "id", k: int = 5,
     return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop(ORDER_COL, "_rank", "_group_n")
 
 
+def _bucket() -> F.Column:
+    return F.conv(F.substring(F.col(ORDER_COL), 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
+
+
 def hash_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Seeded sample of ``n`` rows (the cap is the feature): a top-n by hash order,
-    planned as TakeOrderedAndProject (n rows per task, then a merge)."""
-    return with_order_key(df, id_col, seed).orderBy(ORDER_COL, id_col).limit(n).drop(ORDER_COL)
+    """Seeded sample of ``n`` rows (the cap is the feature): the first ``n`` rows in
+    ``(md5 order key, id)`` order, exactly.
+
+    A plain ``orderBy().limit(n)`` sends up to ``n`` rows from every map task into one
+    final task.  Here the rows are first counted per order-key bucket (a partial aggregate
+    of at most 65,536 rows); the bucket where the running count reaches ``n`` is found on
+    that count table; every row of the earlier buckets is kept by a filter, and only the
+    remainder is taken as a top-k from that one bucket (about ``1/65,536`` of the rows).
+    """
+    d = with_order_key(df, id_col, seed).withColumn("_b", _bucket())
+    if n <= 0:
+        return d.limit(0).drop("_b", ORDER_COL)
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    running = counts.withColumn(
+        "_cum", F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cut = running.filter(F.col("_cum") >= n).orderBy("_b") \
+        .select("_b", (F.col("_cum") - F.col("_c")).alias("_before")).first()
+    if cut is None:                      # fewer than n rows: all of them
+        return d.orderBy(ORDER_COL, id_col).drop("_b", ORDER_COL)
+    below = d.filter(F.col("_b") < cut["_b"])
+    edge = d.filter(F.col("_b") == cut["_b"]).orderBy(ORDER_COL, id_col).limit(n - int(cut["_before"]))
+    # Returned in sample order, as a top-n is; the sort is over the n sampled rows only.
+    return below.unionByName(edge).orderBy(ORDER_COL, id_col).drop("_b", ORDER_COL)
 
 
 def positional_split(df: DataFrame, id_col: str = "id", seed: int = 42,
