@@ -118,9 +118,29 @@ def positional_split(df: DataFrame, id_col: str = "id", seed: int = 42,
 
 
 def per_class_sample(df: DataFrame, label_col: str, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows per class in seeded hash order."""
-    d = with_order_key(df, id_col, seed)
-    return top_n_per_group(d, [label_col], [F.col(ORDER_COL), F.col(id_col)], n).drop(ORDER_COL)
+    """Up to ``n`` rows per class: the first ``n`` in ``(md5 order key, id)`` order, exactly.
+
+    A windowed top-n would send up to ``n`` rows per class from every map task into one
+    task per class.  Instead, rows are counted per (class, order-key bucket) — a partial
+    aggregate of at most classes × 65,536 rows — and each class's cut bucket (where its
+    running count reaches ``n``) is found on that table.  Rows of earlier buckets are kept
+    by a filter; only the cut bucket's rows (about 1/65,536 of the class) are ranked.  The
+    cut table has one row per class, so AQE broadcasts it into the join.
+    """
+    d = with_order_key(df, id_col, seed).withColumn("_b", _bucket())
+    if n <= 0:
+        return d.limit(0).drop("_b", ORDER_COL)
+    counts = d.groupBy(F.col(label_col).alias("_lab"), "_b").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy("_lab").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = (counts.withColumn("_cum", F.sum("_c").over(run)).filter(F.col("_cum") >= n)
+            .groupBy("_lab").agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("_before"))).alias("_k"))
+            .select("_lab", F.col("_k._b").alias("_cut"), F.col("_k._before").alias("_before")))
+    j = d.join(cuts, F.col(label_col).eqNullSafe(F.col("_lab")), "left")
+    kept = j.filter(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")))
+    rank = Window.partitionBy(label_col).orderBy(F.col(ORDER_COL), F.col(id_col))
+    edge = (j.filter(F.col("_b") == F.col("_cut")).withColumn("_rn", F.row_number().over(rank))
+            .filter(F.col("_rn") <= F.lit(n) - F.col("_before")).drop("_rn"))
+    return kept.unionByName(edge).drop("_b", "_lab", "_cut", "_before", ORDER_COL)
 
 
 def dedup_keep_first(df: DataFrame, key_col: str, id_col: str = "id") -> DataFrame:
