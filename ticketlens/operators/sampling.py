@@ -3,9 +3,13 @@
 Order keys are ``md5('<seed>:<id>')`` hex strings (see ``functions.text.md5_order``):
 deterministic across runs, engines and retries.
 
-* keep-first / top-n per group use ``row_number`` with a ``rn <= n`` filter, which
-  Catalyst plans as a partial ``WindowGroupLimit`` before the shuffle: a hot group
-  sends at most ``n`` rows per map task.
+* keep-first dedup uses ``row_number`` with a ``rn = 1`` filter, which Catalyst plans
+  as a partial ``WindowGroupLimit`` before the shuffle: a hot key sends one row per map
+  task.
+* seeded samples (``hash_sample``, ``per_class_sample``) take exact top-n in order-key
+  order through bucket cuts: counts per order-key bucket, a cut bucket found on that
+  count table, a filter for the earlier buckets and a ranking of the cut bucket only —
+  no task receives ``n`` rows from every map task.
 * Exact ranks inside large groups (stratified split, folds) never sort a whole
   group in one task: rows are bucketed by the first 4 hex digits of the order key
   (65,536 ordered buckets), bucket sizes are counted and prefix-summed on the small
