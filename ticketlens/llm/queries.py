@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, url_filter
+from ticketlens.llm import decontaminate, histogram_sort, simhash, url_filter
 from ticketlens.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose SimHashes are linked at 4 bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every window of ``benchmark``."""
     found = decontaminate.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -32,6 +37,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_histogram_sort": op2_histogram_sort,
+    "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
 }
