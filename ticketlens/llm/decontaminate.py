@@ -234,8 +234,8 @@ def _search_step(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, test: T
     names: dict[int, set] = {}
     order = np.lexsort((pos, doc))
     doc, pos, length, window, longest = (x[order] for x in (doc, pos, length, window, longest))
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
-    for a, b in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True):
+    cuts = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         d = int(doc[a])
         begin, end = merged_spans(pos[a:b] - doc_off[d], pos[a:b] + length[a:b] - doc_off[d])
         in_span = np.searchsorted(begin, pos[a:b] - doc_off[d], "right") - 1
