@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, simhash, url_filter
+from ticketlens.llm import decontaminate, histogram_sort, packing, simhash, url_filter
 from ticketlens.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file, at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near-equal bytes over all documents."""
     placed = histogram_sort.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
@@ -35,11 +42,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
 QUERIES = {
     "op2_histogram_sort": op2_histogram_sort,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
