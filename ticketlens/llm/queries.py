@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, packing, simhash, url_filter
+from ticketlens.llm import decontaminate, histogram_sort, packing, simhash, suffix_dedup, url_filter
 from ticketlens.llm.common import table
 
 
@@ -42,6 +42,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 50-byte strings of documents with a smaller id, removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs, width=50))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
@@ -52,6 +58,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
