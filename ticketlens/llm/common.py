@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Text bytes that one vectorised step works on: bounds a Python worker's memory
@@ -44,6 +45,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: StructType, **more: str) -> StructType:
+    """``schema`` with further columns (name to type); the argument itself stays as it is."""
+    out = StructType(list(schema.fields))
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out
+
+
 def rate_sample(df: DataFrame, id_col: str, most: int, total: int, seed: int = 7) -> DataFrame:
     """About ``most`` of ``total`` rows (all, when there are no more), chosen by a hash
     of the id; used only where a bounded sample of labelled rows may fit a model."""

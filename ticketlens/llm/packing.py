@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import STEP_BYTES, stored
+from ticketlens.llm.common import STEP_BYTES, extended, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -261,5 +261,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pdf[columns].assign(sequence_id=runs["seq"][run] + rank - runs["lo"][run], offset=runs["offset"][run])
 
     columns = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    schema = pieces.select(*columns).schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(pieces.select(*columns).schema, sequence_id="long", offset="long")
     return base.select(*columns, "_rank").mapInPandas(placed, schema)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, packing, simhash, suffix_dedup, url_filter
-from ticketlens.llm.common import table
+from ticketlens.llm import decontaminate, histogram_sort, language_id, packing, simhash, suffix_dedup, url_filter
+from ticketlens.llm.common import crc_mod, table
 
 
 def tokenizer_path() -> str:
@@ -35,6 +35,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = language_id.fit(docs, held_out)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's four rules over every url of ``pages``."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -57,6 +66,7 @@ QUERIES = {
     "op2_histogram_sort": op2_histogram_sort,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,

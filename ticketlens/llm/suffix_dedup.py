@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ticketlens.llm.common import merged_spans, steps, stored, text_bytes
+from ticketlens.llm.common import extended, merged_spans, steps, stored, text_bytes
 from ticketlens.llm.induced_sort import sorted_suffixes
 
 WIDTH = 50
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     told = _shared_anchors(chunks, make, buckets)
     runs = _least_ids(chunks, told, make, width)
-    schema = docs.schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    schema = extended(docs.schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
     arrow = to_arrow_schema(schema)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
