@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, language_id, packing, simhash, suffix_dedup, url_filter
+from ticketlens.llm import decontaminate, histogram_sort, language_id, packing, simhash, suffix_dedup, syncmers, url_filter
 from ticketlens.llm.common import crc_mod, table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of every document and its edited text."""
+    return syncmers.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near-equal bytes over all documents."""
     placed = histogram_sort.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
@@ -63,6 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_syncmers": op1_syncmers,
     "op2_histogram_sort": op2_histogram_sort,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
