@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Text bytes that one vectorised step works on: bounds a Python worker's memory
@@ -45,7 +45,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def extended(schema: StructType, **more: str) -> StructType:
+def extended(schema: StructType, **more: str | DataType) -> StructType:
     """``schema`` with further columns (name to type); the argument itself stays as it is."""
     out = StructType(list(schema.fields))
     for name, kind in more.items():

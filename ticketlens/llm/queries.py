@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, language_id, packing, simhash, suffix_dedup, syncmers, toxicity, url_filter
+from ticketlens.llm import decontaminate, histogram_sort, language_id, packing, quality, simhash, suffix_dedup, syncmers, toxicity, url_filter
 from ticketlens.llm.common import crc_mod, table
 
 
@@ -38,6 +38,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
+                        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose SimHashes are linked at 4 bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4)
@@ -81,6 +91,7 @@ QUERIES = {
     "op1_syncmers": op1_syncmers,
     "op2_histogram_sort": op2_histogram_sort,
     "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
