@@ -291,12 +291,13 @@ RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, whole_characters: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes).
 
     Texts are UTF-8 bytes; a null is an empty text. A null id counts as greater than any other. Rows that share an id
     do not remove each other's bytes. Input columns named like a result column are replaced; an
-    empty table gives an empty result. ``width`` is from 24 to 128.
+    empty table gives an empty result. ``width`` is from 24 to 128. With ``whole_characters`` a
+    character is removed only with all its bytes, so that what is kept is UTF-8 again.
     """
     if not 24 <= width <= 128:
         raise ValueError("width must be from 24 to 128")
@@ -318,13 +319,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for data, bits, lists in zip(*(batch.column(k) for k in range(3)), strict=True):
                 c = make(data.as_py())
                 if c.rows is not None:
-                    yield _clean(c, bits.as_py() or [], lists.as_py() or [], arrow)
+                    yield _clean(c, bits.as_py() or [], lists.as_py() or [], arrow, whole_characters)
 
     both = chunks.select("chunk", "data").join(told, "chunk", "left").join(runs, "chunk", "left")
     return both.select("data", "told", "runs").mapInArrow(cleaned, schema)
 
 
-def _clean(c: _Chunk, bits: list, lists: list, arrow: pa.Schema) -> pa.RecordBatch:
+def _clean(c: _Chunk, bits: list, lists: list, arrow: pa.Schema, whole_characters: bool) -> pa.RecordBatch:
     n = len(c.off) - 1
     start = end = np.zeros(0, np.int64)
     if lists:
@@ -347,6 +348,13 @@ def _clean(c: _Chunk, bits: list, lists: list, arrow: pa.Schema) -> pa.RecordBat
     start, end = merged_spans(start, end)
     doc = np.searchsorted(c.off + np.arange(n + 1), start, "right") - 1
     start, end = start - doc, end - doc
+    if whole_characters and len(start):
+        # inwards to the next beginnings of characters; a span within one character vanishes
+        begins = np.flatnonzero(np.r_[(c.buf & 0xC0) != 0x80, True])
+        start = begins[np.searchsorted(begins, start)]
+        end = begins[np.searchsorted(begins, end, "right") - 1]
+        real = start < end
+        start, end, doc = start[real], end[real], doc[real]
     delta = np.zeros(len(c.buf) + 1, np.int8)
     delta[start] += 1
     np.subtract.at(delta, end, 1)
