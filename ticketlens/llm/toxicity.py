@@ -218,8 +218,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", most
 
 
 def _lexicon(candidates: dict[str, int], clean: dict[str, int], toxic: int, other: int) -> dict[str, tuple[int, int]]:
-    """Entries whose odds are sure; of nested stems the shortest that is as clean as the longer ones."""
+    """Entries whose odds are sure. A stem gives way to a longer entry found in the same toxic rows, then an entry to a
+    stem of it that is as clean."""
     sure = {e: (a, clean.get(e, 0)) for e, a in candidates.items() if log_odds(a, clean.get(e, 0), toxic, other)[1] > 0}
+    loose = set()
+    for e, (a, b) in sure.items():
+        word = e.rstrip("*")
+        stems = [s for n in STEMS if n < len(word) + (e[-1] != "*") and (s := word[:n] + "*") in sure]
+        loose.update(s for s in stems if sure[s][0] == a and sure[s][1] >= b)
+    sure = {e: n for e, n in sure.items() if e not in loose}
     out: dict[str, tuple[int, int]] = {}
     ranked = sorted(sure, key=lambda e: (len(e.rstrip("*")), e[-1] != "*", e))
     for e in ranked:
