@@ -14,7 +14,6 @@ from ticketlens.sources.fixtures import (
     sql_pick, sql_queue, sql_rule, sql_str, sql_strip, sql_suffix, sql_word_count,
 )
 
-from ticketlens.operators import model_calls as MC  # noqa: E402
 from ticketlens.operators.routing import UNPARSEABLE_REASON  # noqa: E402
 from ticketlens.plans import queries as QU  # noqa: E402
 
@@ -33,28 +32,12 @@ def _social_norm() -> str:
     return f"social_norm AS (SELECT id, {sql_normalize('text')} AS text FROM social_raw)"
 
 
-def _stub_reply_cte() -> str:
-    """``stub_replies(id, reply, error)``: what the stub client answers for each low-band row —
-    the reply picked by the first 8 hex digits of the prompt's md5, or a failure when the
-    prompt holds the marker phrase."""
-    prompt = f"({sql_str(MC.CLASSIFY_PROMPT)} || text)"
-    fail = f"strpos({prompt}, {sql_str(QU.STUB_FAIL_MARKER)}) > 0"
-    pick = sql_pick(FX.REPLIES, f"('0x' || substr(md5({prompt}), 1, 8))::BIGINT")
-    return f""",
-stub_replies AS (
-  SELECT id, CASE WHEN {fail} THEN NULL ELSE {pick} END AS reply,
-         CASE WHEN {fail} THEN {sql_str(MC.STUB_FAILURE)} END AS error
-  FROM staged WHERE st = 'band'
-)"""
-
-
 def _routed(with_replies: bool, with_enrichment: bool = False, replies: str = "llm_replies") -> str:
-    """CTEs ``staged`` and ``routed`` over ``scored`` (default thresholds 0.85 / 0.55).
-    ``replies = 'stub_replies'`` answers the low band with the stub client's replies."""
+    """CTEs ``staged`` and ``routed`` over ``scored`` (default thresholds 0.85 / 0.55)."""
     hi, lo = C.RoutingThresholds().high_confidence, C.RoutingThresholds().low_confidence
     parse = ""
     if with_replies:
-        parse = (_stub_reply_cte() if replies == "stub_replies" else "") + """,
+        parse = """,
 parsed0 AS (
   SELECT s.*, r.reply,
          CASE WHEN json_valid(r.reply) THEN r.reply
@@ -234,10 +217,6 @@ FROM (SELECT label_quality, count(*) AS count FROM labeled GROUP BY label_qualit
     q["route_offline"] = W + _routed(False) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
     q["route_with_replies"] = W + _routed(True) + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
     q["route_staged"] = q["route_with_replies"]
-    q["llm_classify_stub"] = W + _routed(True, replies="stub_replies") + "SELECT id, reply, error FROM stub_replies"
-    q["route_with_stub_client"] = W + _routed(True, replies="stub_replies") + \
-        "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM routed"
-
     q["urgency_suffix"] = W + f"SELECT id, {sql_suffix(sql_queue('label'), 'urgency')} AS route FROM scored"
 
     infra, call = C.INFRA_COST_PER_TICKET_USD, C.LLM_COST_PER_CALL_USD
@@ -262,8 +241,8 @@ SELECT round(tickets, 6) AS tickets, round(human_triage_rate, 6) AS human_triage
        round(CASE WHEN tickets > 0 THEN CAST({call!r} AS DOUBLE) END, 6) AS llm_cost_per_call_usd_estimated
 FROM k"""
 
-    pct = ", ".join(f"format('{{:,.1f}}', {c} * 100.0) || '%' AS {c}" for c in QU.REPORT_PCT_COLUMNS)
-    num = ", ".join(f"format('{{:,.4f}}', {c}) AS {c}" for c in QU.REPORT_NUM_COLUMNS)
+    pct = ", ".join(f"format('{{:.1f}}', {c} * 100.0) || '%' AS {c}" for c in QU.REPORT_PCT_COLUMNS)
+    num = ", ".join(f"format('{{:.4f}}', {c}) AS {c}" for c in QU.REPORT_NUM_COLUMNS)
     q["report_format"] = f"SELECT tickets, {pct}, {num} FROM ({q['routing_kpis']}) kpis"
 
     q["queue_share"] = W + _routed(True) + """
@@ -275,7 +254,7 @@ FROM (SELECT route, count(*) AS n FROM routed GROUP BY route)"""
     hi, lo = C.RoutingThresholds().high_confidence, C.RoutingThresholds().low_confidence
     q["recommend_threshold"] = W + _sweep_sql() + f"""
 SELECT 'estimated_policy_from_threshold_sweep' AS metric_type,
-       'analytic estimate only; does not account for routing accuracy or SLA' AS note,
+       'estimated from the score distribution; real accuracy and response times are not part of it' AS note,
        round(threshold_high, 6) AS recommended_threshold_high, round(threshold_low, 6) AS recommended_threshold_low,
        round(auto_routed_rate_estimated, 6) AS auto_routed_rate_estimated,
        round(llm_fallback_rate_estimated, 6) AS llm_fallback_rate_estimated,
@@ -325,6 +304,12 @@ grid AS (SELECT a.model, a.label AS actual_label, b.label AS predicted_label FRO
     q["confusion_long"] = W + cnt + grid_sql.format(src=union_labs) + """
 SELECT g.model, g.actual_label, g.predicted_label, CAST(coalesce(c.n, 0) AS BIGINT) AS count
 FROM grid g LEFT JOIN cnt c ON g.model = c.model AND g.actual_label = c.actual_label AND g.predicted_label = c.predicted_label"""
+    q["confusion_nulls"] = W + cnt.replace("FROM predictions", """FROM (
+  SELECT model, CASE WHEN id % 3 = 0 THEN NULL ELSE y END AS y, CASE WHEN id % 5 = 0 THEN NULL ELSE p END AS p FROM predictions)""", 1) \
+        + grid_sql.format(src=union_labs) + """
+SELECT g.model, g.actual_label, g.predicted_label, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM grid g LEFT JOIN cnt c ON g.model = c.model AND g.actual_label IS NOT DISTINCT FROM c.actual_label
+  AND g.predicted_label IS NOT DISTINCT FROM c.predicted_label"""
     q["confusion_restricted"] = W + cnt + grid_sql.format(src=true_labs) + """
 SELECT g.model, g.actual_label AS "true", g.predicted_label AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS count
 FROM grid g LEFT JOIN cnt c ON g.model = c.model AND g.actual_label = c.actual_label AND g.predicted_label = c.predicted_label"""
@@ -394,13 +379,32 @@ SELECT id, issue_type FROM (
   SELECT id, issue_type, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn FROM labeled
 ) WHERE rn <= {C.EVAL_ROWS_PER_CLASS}"""
     q["stratified_split"] = W + f"""
-SELECT id, issue_type, CASE WHEN rn <= (n + 4) // 5 THEN 'test' ELSE 'train' END AS split FROM (
+SELECT id, issue_type, CASE WHEN rn <= least((n + 4) // 5, n - 1) THEN 'test' ELSE 'train' END AS split FROM (
   SELECT id, issue_type, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn,
          count(*) OVER (PARTITION BY issue_type) AS n FROM labeled)"""
     q["kfold_assign"] = W + f"""
 SELECT id, issue_type, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM (
   SELECT id, issue_type, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn FROM labeled)"""
     q["hash_sample"] = W + f"SELECT id, text FROM labeled ORDER BY {MD5_ORDER}, id LIMIT {C.ROUTING_SAMPLE_CAP}"
+    q["hash_sample_small"] = W + f"SELECT id, text FROM labeled ORDER BY {MD5_ORDER}, id LIMIT 50"
+    nulls = "(SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE issue_type END AS issue_type FROM labeled)"
+    q["stratified_split_nulls"] = q["stratified_split"].replace("FROM labeled)", f"FROM {nulls})")
+    q["kfold_assign_nulls"] = q["kfold_assign"].replace("FROM labeled)", f"FROM {nulls})")
+    q["route_nan"] = W.replace("CAST((id * 37) % 71 + 29 AS DOUBLE) / 100.0 AS prob",
+                               "CASE WHEN id % 4 = 1 THEN NULL ELSE CAST((id * 37) % 71 + 29 AS DOUBLE) / 100.0 END AS prob") \
+        + _routed(False) + "SELECT id, route, stage FROM routed"
+    q["route_repeated_replies"] = q["route_with_replies"]
+    q["rule_match_wide"] = W + """,
+rules AS (SELECT DISTINCT n FROM (SELECT p_partkey * 7 % 10007 AS n FROM part UNION ALL SELECT o_orderkey * 3 + 100 FROM orders)),
+texts AS (SELECT DISTINCT lower(description) AS text FROM tickets_raw WHERE description IS NOT NULL),
+refs AS (SELECT text, regexp_extract(text, 'ref ([0-9]+)$', 1) AS ref FROM texts),
+hits AS (
+  SELECT text, min(n) AS n FROM (SELECT text, substr(ref, 1, CAST(k AS INTEGER)) AS lead FROM (SELECT text, ref, unnest(range(1, length(ref) + 1)) AS k FROM refs))
+  JOIN rules ON lead = CAST(n AS VARCHAR) GROUP BY text
+)
+SELECT t.id % 7 AS id, lower(t.description) AS text, 'queue_' || CAST(n % 11 AS VARCHAR) AS rule_queue,
+       'issue_' || CAST(n % 5 AS VARCHAR) AS rule_issue_type
+FROM tickets_raw t LEFT JOIN hits h ON lower(t.description) = h.text"""
     q["positional_split"] = W + f"""
 SELECT id, CASE WHEN rn <= (n * 4) // 5 THEN 'train' ELSE 'test' END AS split FROM (
   SELECT id, row_number() OVER (ORDER BY {MD5_ORDER}, id) AS rn, count(*) OVER () AS n FROM labeled)"""
@@ -517,7 +521,7 @@ SELECT route, count, max(count) OVER () AS max_count FROM (SELECT route, count(*
     q["local_training_frame"] = W + ev + f""",
 lt AS (SELECT id, {sql_normalize('text')} AS text, issue_type, urgency FROM es)
 SELECT id, text, issue_type, urgency, {sql_complexity('text')} AS complexity, 'real' AS label_quality FROM lt"""
-    bmap = C.benchmark_type_map()
+    bmap = C.BENCHMARK_TYPE_MAP
     btype_key = "lower(" + sql_strip("coalesce(type, '')") + ")"
     bench_ctes = f""",
 b0 AS (

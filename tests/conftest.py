@@ -12,10 +12,11 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from ticketlens.session import ensure_checkpoint_dir, local_session
+    from ticketlens.session import CHECKPOINT_CONF, local_session
 
     s = local_session(4, shuffle_partitions=4, app="ticketlens-tests")
-    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="ticketlens-test-ckpt-"))
+    if not s.conf.get(CHECKPOINT_CONF, None):
+        s.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="ticketlens-test-ckpt-"))
     yield s
     s.stop()
 

@@ -1,6 +1,6 @@
 """End-to-end jobs on the smallest driver tables (small iteration budgets)."""
 
-from ticketlens.operators import model_calls as MC
+from tests.stub_client import StubClient
 from ticketlens.plans import jobs as JB
 from ticketlens.session import shared_path
 from ticketlens.sources import fixtures as FX
@@ -8,7 +8,7 @@ from tests.conftest import SF001
 
 
 def _factory():
-    return MC.StubClient(FX.REPLIES + ('{"suggested_path": "p", "should_escalate": true, "reason": "r"}',))
+    return StubClient(FX.REPLIES + ('{"suggested_path": "p", "should_escalate": true, "reason": "r"}',))
 
 
 def test_triage_job(spark):

@@ -1,5 +1,6 @@
 """Model-call transport: injected client, failures as data, one pass for enrichment."""
 
+from tests.stub_client import StubClient
 from ticketlens.operators import model_calls as MC
 from ticketlens.operators import routing as RT
 from ticketlens.session import shared_path
@@ -8,7 +9,7 @@ REPLIES = ('{"issue_type": "ads", "urgency": "high"}',)
 
 
 def factory():
-    return MC.StubClient(REPLIES, fail_marker="BROKEN")
+    return StubClient(REPLIES, fail_marker="BROKEN")
 
 
 def test_call_model_failures_are_rows(spark):
@@ -33,6 +34,29 @@ def test_low_band_only_and_routing(spark):
 def test_enrichment_one_pass(spark):
     mid = spark.createDataFrame([(7, "odd")], "id long, text string")
     e = MC.enrichment_replies(mid, factory)
-    assert e.columns == ["id", "summary", "resolution"]
+    assert e.columns == ["id", "summary", "resolution", "resolution_error"]
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "Join" not in plan
+
+
+def test_each_call_run_uses_its_own_client(spark):
+    """Many factories in one session: every run is answered by its own client."""
+    df = spark.createDataFrame([(k, "odd") for k in range(4)], "id long, text string")
+    for n in range(25):
+        rows = MC.call_model(df, MC.classify_prompt("text"), lambda n=n: (lambda prompt: f"answer {n}")).collect()
+        assert {r["reply"] for r in rows} == {f"answer {n}"}
+
+
+def test_error_text_is_kept_whole_and_becomes_the_reason(spark):
+    long = "service down " * 300
+
+    def failing():
+        def call(prompt):
+            raise RuntimeError(long)
+        return call
+
+    mid = spark.createDataFrame([(7, "odd", "other", 0.7, "")], "id long, text string, label string, prob double, urgency string")
+    e = MC.enrichment_replies(mid, failing)
+    assert e.first()["resolution_error"] == long
+    routed = RT.route(mid, enrichment=e).first()
+    assert routed["reason"] == long and routed["should_escalate"] == "True"

@@ -61,6 +61,18 @@ def test_rule_chain_is_not_copied_into_band_filters(spark):
         assert fs and not any("Contains" in f or "contains(" in f for f in fs)
 
 
-def test_small_rule_registry_needs_no_join_or_shuffle(spark):
+def test_rule_registry_ships_hashes_not_texts_to_the_gram_join(spark):
     p = plan(Q.q_rule_match_table(spark, SF001))
-    assert "Join" not in p and "Exchange" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p and "Python" not in p
+
+
+def test_per_class_sample_has_no_exchange_on_the_label_alone(spark):
+    import re
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(Q.q_per_class_sample(spark, SF001))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"hashpartitioning\(([^)]*(?:\([^)]*\)[^)]*)*), \d+\)", p)
+    assert keys and not [k for k in keys if "_b" not in k and "issue_type" in k and "_c" in k]

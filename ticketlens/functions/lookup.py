@@ -1,9 +1,7 @@
 """Lookups: literal maps, ordered first-match over a registry.
 
-Small registries compile to ``CASE WHEN`` chains (short-circuit, codegen).
-Registry *tables* whose row count is checked to be small are inlined into the
-expression (a literal array filtered per row: no join, no shuffle); larger ones go
-through an exact exploded-substring equi-join.
+Rules given as values compile to ``CASE WHEN`` chains (short-circuit, codegen).  A registry
+*table*, whatever its size, goes through one exact join on short substrings.
 """
 
 from __future__ import annotations
@@ -17,14 +15,6 @@ from pyspark.sql import types as T
 from .. import config as C
 from .text import _col
 
-# Largest registry inlined into the expression.  Its cost per text grows with the number
-# of patterns; the exact equi-join below costs per text ``length × distinct pattern
-# lengths`` whatever the registry size, so it takes over here.
-MAX_BROADCAST_REGISTRY_ROWS = 1_000
-# Bound on distinct pattern lengths taken to the driver as a literal list.
-MAX_PATTERN_LENGTHS = 10_000
-
-
 def map_lookup(c: str | Column, mapping: dict[str, str]) -> Column:
     """``mapping[c]`` or null, as a literal map (tiny, lives in the expression)."""
     m = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
@@ -64,63 +54,47 @@ def rule_registry(spark: SparkSession, rules=C.RULE_PATTERNS) -> DataFrame:
     return spark.createDataFrame([(i, p, q, it) for i, (p, q, it) in enumerate(rules)], schema)
 
 
-def rule_match_table(df: DataFrame, text_col: str, key_col: str, registry: DataFrame,
-                     max_broadcast_rows: int = MAX_BROADCAST_REGISTRY_ROWS) -> DataFrame:
+def rule_match_table(df: DataFrame, text_col: str, registry: DataFrame) -> DataFrame:
     """Ordered first match of ``text`` against a registry table ``(ord, pattern, queue,
     issue_type)``; lowest ``ord`` wins.
 
-    Adds ``rule_queue`` and ``rule_issue_type`` (null when nothing matches).
-    ``key_col`` must be unique per row.  The registry size is counted first: up to
-    ``max_broadcast_rows`` rows it is taken to the driver and inlined as a literal
-    array sorted by ``ord`` — each row keeps the patterns it contains and takes the
-    first, a projection with no join and no shuffle of the texts.  A larger registry is
-    matched exactly through an equi-join on exploded substrings.
-    """
-    n_rules = registry.count()
-    if n_rules <= max_broadcast_rows:
-        rules = registry.select("ord", "pattern", "queue", "issue_type") \
-            .orderBy("ord", "queue", "issue_type").limit(max_broadcast_rows).collect()
-        if not rules:
-            none = F.lit(None).cast("string")
-            return df.withColumns({"rule_queue": none, "rule_issue_type": none})
-        arr = F.array(*[F.struct(F.lit(r["pattern"]).alias("pattern"), F.lit(r["queue"]).alias("queue"),
-                                 F.lit(r["issue_type"]).alias("issue_type")) for r in rules])
-        first = F.get(F.filter(arr, lambda r: F.col(text_col).contains(r["pattern"])), 0)
-        return df.withColumns({"rule_queue": first["queue"], "rule_issue_type": first["issue_type"]})
-    hits = _substring_equi_hits(df, text_col, key_col, registry)
-    hits = hits.select(key_col, F.col("_m.queue").alias("rule_queue"),
-                       F.col("_m.issue_type").alias("rule_issue_type"))
-    return df.join(hits, key_col, "left")
-
-
-def _substring_equi_hits(df: DataFrame, text_col: str, key_col: str, registry: DataFrame) -> DataFrame:
-    """Exact substring match for big registries.
-
-    The registry is reduced to one row per ``(length, pattern)`` (its first rule).  Each
-    text emits, per distinct pattern length, its distinct substrings of that length — the
-    de-duplication happens inside the row, with no shuffle — and those are equi-joined
-    with the registry: one shuffle of the substrings, on the pattern.  A very common
-    substring is a skewed join key that AQE's skew-join handling splits.  The distinct
-    lengths (at most the registry's row count and ``MAX_PATTERN_LENGTHS``) are a literal
-    list, so no join is needed to pair texts with lengths.
+    Adds ``rule_queue`` and ``rule_issue_type`` (null when nothing matches, and for a null
+    text).  One plan for a registry of any size: the answer depends on the text alone, so
+    distinct texts are matched and joined back on the text.  A pattern is indexed by one of its
+    three-character grams (the one that the fewest patterns have; a shorter pattern is its own
+    gram); a text sends its distinct grams, with a hash in place of itself, to that index, and only
+    the patterns that come back are tested with ``contains``.
     """
-    reg = (registry.withColumn("plen", F.length("pattern"))
-           .groupBy("plen", "pattern").agg(F.min(F.struct("ord", "queue", "issue_type")).alias("_r")))
-    lengths = sorted(r["plen"] for r in registry.select(F.length("pattern").alias("plen")).distinct()
-                     .limit(MAX_PATTERN_LENGTHS + 1).collect())
-    if len(lengths) > MAX_PATTERN_LENGTHS:
-        raise ValueError(f"registry has more than {MAX_PATTERN_LENGTHS} distinct pattern lengths")
     t = F.col(text_col)
-    plen = F.explode(F.array(*[F.lit(int(n)) for n in lengths])).alias("plen")
-    subs = (
-        df.select(key_col, text_col, plen)
-        .filter(F.length(t) >= F.col("plen"))
-        .select(key_col, "plen", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(t) - F.col("plen") + 1),
-            lambda pos: F.substring(t, pos, F.col("plen"))))).alias("pattern"))
-    )
-    return (
-        subs.join(reg, ["plen", "pattern"], "inner")
-        .groupBy(key_col)
-        .agg(F.min("_r").alias("_m"))
-    )
+    rules = registry.groupBy("pattern").agg(F.min(F.struct("ord", "queue", "issue_type")).alias("_r"))
+    own = rules.select("pattern", "_r", F.explode(_grams(F.col("pattern"), longest_only=True)).alias("_gram"))
+    shared = own.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    index = (own.join(shared, "_gram").groupBy("pattern")
+             .agg(F.min("_r").alias("_r"), F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram")))
+    texts = df.where(t.isNotNull()).select(t.alias("_text")).distinct().withColumn("_h", F.xxhash64("_text"))
+    found = (texts.select("_h", F.explode(_grams(F.col("_text"))).alias("_gram")).join(index, "_gram")
+             .select("_h", "pattern", "_r").distinct())
+    hits = (texts.join(found, "_h").where(F.col("_text").contains(F.col("pattern")))
+            .groupBy("_text").agg(F.min("_r").alias("_m"))
+            .select(F.col("_text").alias("_hit_text"), F.col("_m.queue").alias("rule_queue"),
+                    F.col("_m.issue_type").alias("rule_issue_type")))
+    return df.join(hits, t == F.col("_hit_text"), "left").drop("_hit_text")
+
+
+GRAM = 3
+
+
+def _grams(c: Column, longest_only: bool = False) -> Column:
+    """Distinct substrings of ``GRAM`` characters or fewer (the empty one included); for a
+    pattern (``longest_only``) those of its longest such length."""
+    def of(n):
+        return F.when(F.length(c) >= n, F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda p: F.substring(c, p, n))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    if longest_only:
+        out = F.array(F.lit(""))
+        for n in range(1, GRAM + 1):
+            out = F.when(F.length(c) >= n, of(n)).otherwise(out)
+        return F.array_distinct(out)
+    return F.array_distinct(F.concat(F.array(F.lit("")), *(of(n) for n in range(1, GRAM + 1))))

@@ -87,11 +87,11 @@ def eval_summary(eval_set: DataFrame) -> DataFrame:
     srcs = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["eval_label_source"])))
     its = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["issue_type"])))
     lookup = F.map_from_entries(F.transform(
-        "cells", lambda c: F.struct(F.concat_ws("\u0001", c["eval_label_source"], c["issue_type"]), c["count"])))
+        "cells", lambda c: F.struct(F.struct(c["eval_label_source"], c["issue_type"]), c["count"])))
     g = (one.select(srcs.alias("s"), its.alias("i"), lookup.alias("lookup"))
          .select(F.explode("s").alias("eval_label_source"), "i", "lookup")
          .select("eval_label_source", F.explode("i").alias("issue_type"), "lookup"))
-    key = F.concat_ws("\u0001", "eval_label_source", "issue_type")
+    key = F.struct("eval_label_source", "issue_type")
     return (g.select("eval_label_source", "issue_type",
                      F.coalesce(F.element_at("lookup", key), F.lit(0)).cast("long").alias("count"))
             .orderBy("eval_label_source", "issue_type"))

@@ -34,11 +34,11 @@ def _grid_from_cells(cells: DataFrame, true_only: bool) -> DataFrame:
     ps = F.array_distinct(F.transform("cells", lambda c: c["predicted_label"]))
     labels = F.array_sort(ys if true_only else F.array_distinct(F.concat(ys, ps)))
     lookup = F.map_from_entries(F.transform(
-        "cells", lambda c: F.struct(F.concat_ws("\u0001", c["actual_label"], c["predicted_label"]), c["count"])))
+        "cells", lambda c: F.struct(F.struct(c["actual_label"], c["predicted_label"]), c["count"])))
     g = (cells.select("model", labels.alias("labels"), lookup.alias("lookup"))
          .select("model", "lookup", "labels", F.explode("labels").alias("actual_label"))
          .select("model", "lookup", "actual_label", F.explode("labels").alias("predicted_label")))
-    key = F.concat_ws("\u0001", "actual_label", "predicted_label")
+    key = F.struct("actual_label", "predicted_label")      # a null label is a label of its own
     return g.select("model", "actual_label", "predicted_label",
                     F.coalesce(F.element_at("lookup", key), F.lit(0)).cast("long").alias("count"))
 

@@ -101,7 +101,7 @@ class TfidfSpec:
     analyzer: str = "word"          # "word" or "char_wb"
     ngram_max: int = 2              # word n-grams 1..ngram_max
     char_range: tuple[int, int] = (3, 5)
-    vocab_size: int = 40_000
+    vocab_size: int | None = 40_000  # None: as many as the terms that reach min_df, counted first
     min_df: float = 1.0
     sublinear: bool = False
 
@@ -125,7 +125,11 @@ def fit_tfidf(df: DataFrame, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf")
     """Fit terms → counts (→ 1+ln) → idf+1 → L2 as one PipelineModel."""
     pre = Pipeline(stages=_terms_stages(spec, prefix)).fit(df)
     terms = pre.transform(df)
-    cv = CountVectorizer(inputCol=f"{prefix}_terms", outputCol=f"{prefix}_cnt", vocabSize=spec.vocab_size,
+    size = spec.vocab_size
+    if size is None:
+        size = max(1, terms.select(F.explode(F.array_distinct(f"{prefix}_terms")).alias("t")).groupBy("t").count()
+                   .where(F.col("count") >= spec.min_df).count())
+    cv = CountVectorizer(inputCol=f"{prefix}_terms", outputCol=f"{prefix}_cnt", vocabSize=size,
                          minDF=spec.min_df).fit(terms)
     counts = cv.transform(terms)
     tf_col = f"{prefix}_cnt"
@@ -140,8 +144,13 @@ def fit_tfidf(df: DataFrame, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf")
     return PipelineModel(stages=stages)
 
 
-def drop_internal(df: DataFrame, prefix: str = "_tf") -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+def drop_internal(df: DataFrame, prefixes: tuple[str, ...] = ("_tf", "_tfw", "_tfc")) -> DataFrame:
+    """Without the feature pipeline's own columns (a user's column is kept, whatever its name)."""
+    return df.drop(*(f"{p}_{s}" for p in prefixes for s in ("terms", "tok", "cnt", "tf", "w", *(f"g{n}" for n in range(2, 10)))))
+
+
+def _with_text(df: DataFrame, text_col: str) -> DataFrame:
+    return df if text_col == "text" else df.withColumn("text", F.col(text_col))
 
 
 # ----------------------------------------------------------------------------- classifier
@@ -172,8 +181,11 @@ class TextClassifier:
     feature_col: str = "features"
 
     def transform(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """Adds ``prediction`` (label) and ``confidence`` (max probability)."""
-        feats = drop_internal(self.features.transform(df.withColumnRenamed(text_col, "text") if text_col != "text" else df))
+        """Adds ``prediction`` (label) and ``confidence`` (max probability); all input columns stay."""
+        own = df.columns
+        if text_col != "text" and "text" in own:
+            df = df.withColumnRenamed("text", "_own_text")
+        feats = drop_internal(self.features.transform(_with_text(df, text_col)))
         k = len(self.labels)
         if self.isotonic is None:
             scored = self.lr_models[0].setProbabilityCol("_prob").setRawPredictionCol("_raw") \
@@ -198,8 +210,8 @@ class TextClassifier:
         best = F.array_max("_parr")
         idx = F.array_position("_parr", best) - 1
         lab = F.element_at(F.array(*[F.lit(x) for x in self.labels]), (idx + 1).cast("int"))
-        keep = [c for c in df.columns]
-        return with_p.select(*keep, lab.alias("prediction"), best.alias("confidence"),
+        kept = [F.col("_own_text").alias("text") if c == "text" and text_col != "text" else F.col(c) for c in own]
+        return with_p.select(*kept, lab.alias("prediction"), best.alias("confidence"),
                              F.col("_parr").alias("probabilities"))
 
 
@@ -242,6 +254,8 @@ def fit_classifier(train: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec
 
     def fit_fold(f: int):
         tr = foldded.filter(F.col("fold") != f)
+        if balanced:      # weights of the fold's own rows: they sum to the row count that sets regParam
+            tr = balanced_weights(tr.drop("_w"), label_col, labels)
         ho = foldded.filter(F.col("fold") == f)
         m = _lr(max_iter, 1.0 / max(tr.count(), 1), weight_col).fit(tr)
         raw = m.setRawPredictionCol("_raw").transform(ho).select("_raw", "_y").cache()
@@ -318,7 +332,7 @@ def train_text_model(df: DataFrame, label_col: str, seed: int = 42, calibrate: b
 
 # ----------------------------------------------------------------------------- benchmark models
 
-BASELINE_SPEC = TfidfSpec(ngram_max=1, min_df=2.0, sublinear=True, vocab_size=1 << 18)
+BASELINE_SPEC = TfidfSpec(ngram_max=1, min_df=2.0, sublinear=True, vocab_size=None)
 IMPROVED_WORD = TfidfSpec(output_col="f_word", ngram_max=2, min_df=2.0, sublinear=True, vocab_size=50_000)
 IMPROVED_CHAR = TfidfSpec(output_col="f_char", analyzer="char_wb", min_df=2.0, sublinear=True, vocab_size=30_000)
 

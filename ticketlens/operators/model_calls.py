@@ -1,8 +1,8 @@
 """Transport for language-model calls with an injected client.
 
 Only the rows that need a reply are sent (filter *before* ``mapInPandas``; Catalyst
-cannot push a filter through a Python operator).  Each Python worker builds one
-client from the factory and reuses it; a failed call yields a null reply plus
+cannot push a filter through a Python operator).  Each task builds one client
+from the factory; a failed call yields a null reply plus
 its error text, never an exception.  Replies are written to a table in the
 shared checkpoint folder and read back, so a recomputed partition downstream
 does not pay for the calls a second time.  Parsing of the replies is native
@@ -11,7 +11,6 @@ does not pay for the calls a second time.  Parsing of the replies is native
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,8 +36,6 @@ RESOLUTION_PROMPT = (
     "object only, with keys suggested_path (text), should_escalate (true or false) and reason (text).\n\nTicket: "
 )
 
-_CLIENTS: dict[int, Client] = {}
-
 
 def classify_prompt(text: str | Column) -> Column:
     return F.concat(F.lit(CLASSIFY_PROMPT), F.col(text) if isinstance(text, str) else text)
@@ -52,13 +49,6 @@ def resolution_prompt(text: str | Column) -> Column:
     return F.concat(F.lit(RESOLUTION_PROMPT), F.col(text) if isinstance(text, str) else text)
 
 
-def _client(factory: ClientFactory) -> Client:
-    key = id(factory)
-    if key not in _CLIENTS:
-        _CLIENTS[key] = factory()
-    return _CLIENTS[key]
-
-
 def call_model(df: DataFrame, prompt: Column, client_factory: ClientFactory, id_col: str = "id",
                partitions: int | None = None, strip: bool = False) -> DataFrame:
     """``(id, reply, error)`` for every row of ``df``.  ``partitions`` bounds the number of
@@ -77,7 +67,7 @@ def call_model_multi(df: DataFrame, prompts: dict[str, Column], client_factory:
     schema = "id long, " + ", ".join(f"{n} string, {n}_error string" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = _client(client_factory)
+        client = client_factory()
         for pdf in batches:
             out = {"id": pdf["id"].astype("int64")}
             for n in names:
@@ -89,7 +79,7 @@ def call_model_multi(df: DataFrame, prompts: dict[str, Column], client_factory:
                         errors.append(None)
                     except Exception as exc:  # noqa: BLE001 - a failed call is data, not a crash
                         replies.append(None)
-                        errors.append(str(exc)[:1000])
+                        errors.append(str(exc))
                 out[n] = replies
                 out[f"{n}_error"] = errors
             yield pd.DataFrame(out)
@@ -106,38 +96,20 @@ def persist_replies(spark: SparkSession, replies: DataFrame, name: str) -> DataF
 
 def classify_replies(band: DataFrame, client_factory: ClientFactory, text_col: str = "text",
                      partitions: int | None = None) -> DataFrame:
-    """Classification replies ``(id, reply)`` for the low band (null reply = failed call)."""
-    return call_model(band, classify_prompt(text_col), client_factory, partitions=partitions).select("id", "reply")
+    """Classification replies ``(id, reply, error)`` for the low band (null reply = failed call)."""
+    return call_model(band, classify_prompt(text_col), client_factory, partitions=partitions)
 
 
 def enrichment_replies(middle: DataFrame, client_factory: ClientFactory, text_col: str = "text",
                        partitions: int | None = None, summary_only: bool = False) -> DataFrame:
-    """``(id, summary, resolution)`` for middle-band rows, both calls in one pass (only the
-    summary with ``summary_only``).  A failed summary is ``''``; a failed resolution stays
-    null and takes the router's failure path."""
+    """``(id, summary, resolution, resolution_error)`` for middle-band rows, both calls in one pass
+    (only the summary with ``summary_only``).  A failed summary is ``''``; a failed resolution stays
+    null and takes the router's failure path, with the error's text as reason."""
     prompts = {"summary": summary_prompt(text_col)}
     if not summary_only:
         prompts["resolution"] = resolution_prompt(text_col)
     out = call_model_multi(middle, prompts, client_factory, partitions=partitions)
-    resolution = F.col("resolution") if not summary_only else F.lit(None).cast("string")
-    return out.select("id", F.coalesce(F.trim("summary"), F.lit("")).alias("summary"), resolution.alias("resolution"))
-
-
-STUB_FAILURE = "model service unavailable"
-
-
-class StubClient:
-    """Deterministic offline client for tests: a canned reply picked by the first 8 hex digits
-    of the prompt's md5 (so SQL can restate the pick); prompts containing ``fail_marker``
-    raise, like an unavailable service."""
-
-    def __init__(self, replies: tuple[str, ...], fail_marker: str | None = None):
-        self.replies = replies
-        self.fail_marker = fail_marker
-        self.calls = 0
-
-    def __call__(self, prompt: str) -> str:
-        self.calls += 1
-        if self.fail_marker and self.fail_marker in prompt:
-            raise RuntimeError(STUB_FAILURE)
-        return self.replies[int(hashlib.md5(prompt.encode("utf-8")).hexdigest()[:8], 16) % len(self.replies)]
+    none = F.lit(None).cast("string")
+    return out.select("id", F.coalesce(F.trim("summary"), F.lit("")).alias("summary"),
+                      (none if summary_only else F.col("resolution")).alias("resolution"),
+                      (none if summary_only else F.col("resolution_error")).alias("resolution_error"))

@@ -61,8 +61,8 @@ def cost_curve(sweep: DataFrame) -> DataFrame:
 def format_report(df: DataFrame, pct_cols=(), num_cols=(), digits: int = 4) -> DataFrame:
     """Report numbers as text: percentages with one decimal, others with fixed digits."""
     return df.withColumns({
-        **{c: F.concat(F.format_number(F.col(c) * 100.0, 1), F.lit("%")) for c in pct_cols},
-        **{c: F.format_number(F.col(c), digits) for c in num_cols},
+        **{c: F.format_string("%.1f%%", F.col(c) * 100.0) for c in pct_cols},
+        **{c: F.format_string(f"%.{int(digits)}f", F.col(c).cast("double")) for c in num_cols},
     })
 
 

@@ -40,7 +40,8 @@ def assign_stage(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingT
     prob = F.col(prob_col)
     stage = (
         F.when(F.col("_rule").isNotNull(), F.lit(C.STAGE_RULE))
-        .when(prob >= F.lit(float(thresholds.high_confidence)), F.lit(C.STAGE_ML))
+        # Spark orders NaN above all numbers; a NaN probability meets neither threshold
+        .when(~F.isnan(prob) & (prob >= F.lit(float(thresholds.high_confidence))), F.lit(C.STAGE_ML))
         .when(prob <= F.lit(float(thresholds.low_confidence)), F.lit(_LOW_BAND))
         .otherwise(F.lit(_MIDDLE))
     )
@@ -76,8 +77,8 @@ def route(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThreshol
 
     ``replies``: ``(id, reply)`` classification replies for the low band (null reply =
     failed call).  Without it every low-band row takes the failure path (human).
-    ``enrichment``: ``(id, summary, resolution)`` for middle-band rows; with
-    ``summary_only`` only the summary is used.  ``staged``: the input comes from
+    ``enrichment``: ``(id, summary, resolution[, resolution_error])`` for middle-band rows; with
+    ``summary_only`` only the summary is used.  Of several rows with one id one is taken.  ``staged``: the input comes from
     ``stage_table`` (band and rule match stored; ``thresholds`` and ``rules`` unused).
     """
     urgency = F.coalesce(F.col(urgency_col), F.lit("")) if urgency_col else F.lit("")
@@ -92,20 +93,30 @@ def route(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThreshol
     if enrichment is not None:
         special.append(_MIDDLE)
     plain = base.filter(~F.col("_stage").isin(*special)) if special else base
-    parts = [plain.select("*", null_s.alias("reply"), null_s.alias("summary"), null_s.alias("resolution"))]
+    parts = [plain.select("*", null_s.alias("reply"), null_s.alias("summary"), null_s.alias("resolution"),
+                          null_s.alias("resolution_error"))]
     if replies is not None:
         band = base.filter(F.col("_stage") == _LOW_BAND).join(
-            replies.select(F.col(id_col).alias("id"), F.col("reply")), "id", "left")
-        parts.append(band.select("*", null_s.alias("summary"), null_s.alias("resolution")))
+            _one_per_id(replies, id_col, ["reply"]), "id", "left")
+        parts.append(band.select("*", null_s.alias("summary"), null_s.alias("resolution"), null_s.alias("resolution_error")))
     if enrichment is not None:
         mid = base.filter(F.col("_stage") == _MIDDLE).join(
-            enrichment.select(F.col(id_col).alias("id"), "summary", "resolution"), "id", "left")
-        parts.append(mid.select(*base.columns, null_s.alias("reply"), "summary", "resolution"))
+            _one_per_id(enrichment, id_col, ["summary", "resolution", "resolution_error"]), "id", "left")
+        parts.append(mid.select(*base.columns, null_s.alias("reply"), "summary", "resolution", "resolution_error"))
     both = reduce(lambda a, b: a.unionByName(b), parts)
     return _finalize(both, enrich=enrichment is not None, summary_only=summary_only, queue_map=queue_map,
                      with_metadata=with_metadata)
 
 
+def _one_per_id(table: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """One row per id, so that a repeated reply row cannot multiply a ticket: the least by the
+    columns' values, real replies before nulls.  A column the table lacks is null."""
+    cols = [(F.col(c) if c in table.columns else F.lit(None).cast("string")).alias(c) for c in columns]
+    rows = table.select(F.col(id_col).alias("id"), *cols)
+    least = F.min(F.struct(*(x for c in columns for x in (F.col(c).isNull().alias(f"_{c}"), F.col(c)))))
+    return rows.groupBy("id").agg(least.alias("_one")).select("id", *(F.col(f"_one.{c}").alias(c) for c in columns))
+
+
 def _finalize(df: DataFrame, enrich: bool, summary_only: bool, queue_map, with_metadata: bool = False) -> DataFrame:
     stage, prob, label, urg = F.col("_stage"), F.col("prob"), F.col("label"), F.col("urgency")
     v = RP.parse_reply(F.col("reply"))
@@ -146,7 +157,7 @@ def _finalize(df: DataFrame, enrich: bool, summary_only: bool, queue_map, with_m
         esc_c = F.when(is_mid, F.when(rok, RP.reply_text_field(r, "should_escalate"))
                        .otherwise(F.lit("True"))).otherwise(empty)
         reason_c = F.when(is_mid, F.when(rok, RP.reply_text_field(r, "reason"))
-                          .otherwise(F.lit(UNPARSEABLE_REASON))).otherwise(empty)
+                          .otherwise(F.coalesce("resolution_error", F.lit(UNPARSEABLE_REASON)))).otherwise(empty)
     else:
         path_c = esc_c = reason_c = empty
 
@@ -213,11 +224,3 @@ def middle_band(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingTh
 def urgency_suffix_routes(scored: DataFrame, label_col: str = "label", urgency_col: str = "urgency") -> DataFrame:
     """Queue of each row's label with the ``_priority`` suffix for high / critical urgency."""
     return scored.select("id", LK.urgency_suffix(LK.queue_for(F.col(label_col)), F.col(urgency_col)).alias("route"))
-
-
-def routing_metadata(routed: DataFrame) -> Column:
-    """Per-row decision metadata as a map (the single-ticket form's ``metadata`` dict)."""
-    return F.map_from_arrays(
-        F.array(F.lit("issue_type"), F.lit("urgency")),
-        F.array(F.col("llm_issue_type"), F.col("llm_urgency")),
-    )

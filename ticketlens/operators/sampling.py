@@ -44,8 +44,8 @@ def with_order_key(df: DataFrame, id_col: str = "id", seed: int = 42) -> DataFra
 def exact_rank(df: DataFrame, group_cols: list[str], order_col: str = ORDER_COL, tie_col: str = "id") -> DataFrame:
     """Adds ``_rank`` (1-based, by ``order_col`` then ``tie_col``) and ``_group_n``.
 
-    ``order_col`` must be a lower-case hex string (an md5 order key).  Group keys
-    must be non-null.
+    ``order_col`` must be a lower-case hex string (an md5 order key).  A null group key is a
+    group, a null order key comes first: no row is dropped.
     """
     b = F.conv(F.substring(F.col(order_col), 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
     d = df.withColumn("_b", b)
@@ -59,7 +59,9 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_col: str = ORDER_COL,
         F.sum("_c").over(g).alias("_group_n"),
     )
     inner = Window.partitionBy(*keys).orderBy(F.col(order_col), F.col(tie_col))
-    return (d.join(offsets, keys, "inner")
+    other = {k: f"_of_{i}" for i, k in enumerate(keys)}      # a null key equals a null key
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+    return (d.join(offsets.withColumnsRenamed(other), same, "inner").drop(*other.values())
             .withColumn("_rank", F.col("_off") + F.row_number().over(inner))
             .drop("_b", "_off"))
 
@@ -67,9 +69,10 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_col: str = ORDER_COL,
 def stratified_split(df: DataFrame, label_col: str, id_col: str = "id", seed: int = 42,
                      test_num: int = 1, test_den: int = 5) -> DataFrame:
     """Adds ``split``: the first ``ceil(n_label * test_num / test_den)`` rows of each label
-    in seeded hash order are ``test``, the rest ``train``."""
+    in seeded hash order are ``test``, the rest ``train``.  A label keeps at least one row in
+    train (a label with a single row is trained on, never only tested); null labels are a label."""
     r = exact_rank(with_order_key(df, id_col, seed), [label_col], ORDER_COL, id_col)
-    n_test = F.expr(f"(_group_n * {int(test_num)} + {int(test_den) - 1}) div {int(test_den)}")
+    n_test = F.expr(f"least((_group_n * {int(test_num)} + {int(test_den) - 1}) div {int(test_den)}, _group_n - 1)")
     return r.withColumn("split", F.when(F.col("_rank") <= n_test, F.lit("test")).otherwise(F.lit("train"))) \
         .drop(ORDER_COL, "_rank", "_group_n")
 
@@ -80,34 +83,26 @@ def kfold_assign(df: DataFrame, label_col: str, id_col: str = "id", k: int = 5,
     return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop(ORDER_COL, "_rank", "_group_n")
 
 
-def _bucket() -> F.Column:
-    return F.conv(F.substring(F.col(ORDER_COL), 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
-
-
 def hash_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Seeded sample of ``n`` rows (the cap is the feature): the first ``n`` rows in
     ``(md5 order key, id)`` order, exactly.
 
     A plain ``orderBy().limit(n)`` sends up to ``n`` rows from every map task into one
-    final task.  Here the rows are first counted per order-key bucket (a partial aggregate
-    of at most 65,536 rows); the bucket where the running count reaches ``n`` is found on
-    that count table; every row of the earlier buckets is kept by a filter, and only the
-    remainder is taken as a top-k from that one bucket (about ``1/65,536`` of the rows).
+    final task.  Here one plan serves every input: the rows are ranked exactly (counts per
+    order-key bucket, ranks within a bucket) and the first ``n`` ranks are kept.
+    """
+    ranked = _ranked_by_bucket(df, [], id_col, seed)
+    return ranked.where(F.col("_rank") <= n).orderBy("_rank").drop("_rank")
+
+
+def _ranked_by_bucket(df: DataFrame, group_cols: list[str], id_col: str, seed: int) -> DataFrame:
+    """``df`` plus ``_rank`` by (order key, id) within the groups.
+
+    Counts per (group, bucket) are prefix-summed on the count table and joined back on
+    (group, bucket): 65,536 buckets spread a group that holds most of the rows.
     """
-    d = with_order_key(df, id_col, seed).withColumn("_b", _bucket())
-    if n <= 0:
-        return d.limit(0).drop("_b", ORDER_COL)
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    running = counts.withColumn(
-        "_cum", F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    cut = running.filter(F.col("_cum") >= n).orderBy("_b") \
-        .select("_b", (F.col("_cum") - F.col("_c")).alias("_before")).first()
-    if cut is None:                      # fewer than n rows: all of them
-        return d.orderBy(ORDER_COL, id_col).drop("_b", ORDER_COL)
-    below = d.filter(F.col("_b") < cut["_b"])
-    edge = d.filter(F.col("_b") == cut["_b"]).orderBy(ORDER_COL, id_col).limit(n - int(cut["_before"]))
-    # Returned in sample order, as a top-n is; the sort is over the n sampled rows only.
-    return below.unionByName(edge).orderBy(ORDER_COL, id_col).drop("_b", ORDER_COL)
+    d = with_order_key(df.withColumn("_all", F.lit(0)), id_col, seed)
+    return exact_rank(d, ["_all", *group_cols], ORDER_COL, id_col).drop("_all", "_group_n", ORDER_COL)
 
 
 def positional_split(df: DataFrame, id_col: str = "id", seed: int = 42,
@@ -125,26 +120,10 @@ def per_class_sample(df: DataFrame, label_col: str, n: int, id_col: str = "id",
     """Up to ``n`` rows per class: the first ``n`` in ``(md5 order key, id)`` order, exactly.
 
     A windowed top-n would send up to ``n`` rows per class from every map task into one
-    task per class.  Instead, rows are counted per (class, order-key bucket) — a partial
-    aggregate of at most classes × 65,536 rows — and each class's cut bucket (where its
-    running count reaches ``n``) is found on that table.  Rows of earlier buckets are kept
-    by a filter; only the cut bucket's rows (about 1/65,536 of the class) are ranked.  The
-    cut table has one row per class, so AQE broadcasts it into the join.
+    task per class, and a join on the class alone would send a class's rows to one task.  Here rows
+    are ranked through counts per (class, order-key bucket), joined on both; a null class is a class.
     """
-    d = with_order_key(df, id_col, seed).withColumn("_b", _bucket())
-    if n <= 0:
-        return d.limit(0).drop("_b", ORDER_COL)
-    counts = d.groupBy(F.col(label_col).alias("_lab"), "_b").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy("_lab").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = (counts.withColumn("_cum", F.sum("_c").over(run)).filter(F.col("_cum") >= n)
-            .groupBy("_lab").agg(F.min(F.struct("_b", (F.col("_cum") - F.col("_c")).alias("_before"))).alias("_k"))
-            .select("_lab", F.col("_k._b").alias("_cut"), F.col("_k._before").alias("_before")))
-    j = d.join(cuts, F.col(label_col).eqNullSafe(F.col("_lab")), "left")
-    kept = j.filter(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")))
-    rank = Window.partitionBy(label_col).orderBy(F.col(ORDER_COL), F.col(id_col))
-    edge = (j.filter(F.col("_b") == F.col("_cut")).withColumn("_rn", F.row_number().over(rank))
-            .filter(F.col("_rn") <= F.lit(n) - F.col("_before")).drop("_rn"))
-    return kept.unionByName(edge).drop("_b", "_lab", "_cut", "_before", ORDER_COL)
+    return _ranked_by_bucket(df, [label_col], id_col, seed).where(F.col("_rank") <= n).drop("_rank")
 
 
 def dedup_keep_first(df: DataFrame, key_col: str, id_col: str = "id") -> DataFrame:

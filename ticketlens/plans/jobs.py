@@ -140,7 +140,7 @@ def benchmark_candidates(tickets: DataFrame, subject: str = "subject", descripti
     """Clean text and benchmark type map; unmapped and short (< 20 chars) rows dropped."""
     text = F.concat(TX.strip_ws(F.coalesce(F.col(subject), F.lit(""))), F.lit(" "),
                     TX.clean_placeholders(F.coalesce(F.col(description), F.lit(""))))
-    issue = LK.map_lookup(TX.canon_key(F.coalesce(F.col(type_col), F.lit(""))), C.benchmark_type_map())
+    issue = LK.map_lookup(TX.canon_key(F.coalesce(F.col(type_col), F.lit(""))), C.BENCHMARK_TYPE_MAP)
     d = tickets.select(F.col(id_col).alias("id"), TX.evaluated_once(text).alias("text"), issue.alias("issue_type"))
     return d.filter(F.col("issue_type").isNotNull() & (F.length("text") >= C.BENCHMARK_MIN_TEXT_LEN))
 

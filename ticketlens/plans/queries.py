@@ -77,10 +77,23 @@ def q_rule_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_rule_match_table(spark: SparkSession, sf: str) -> DataFrame:
     s = _social_norm(spark, sf)
-    out = LK.rule_match_table(s, "text", "id", LK.rule_registry(spark))
+    out = LK.rule_match_table(s, "text", LK.rule_registry(spark))
     return out.select("id", "rule_queue", "rule_issue_type")
 
 
+def q_rule_match_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry that Spark derives from the tables (a pattern per part and per order), over
+    tickets whose ids repeat: the plan and the answer per row do not depend on either."""
+    t = FX.tickets_raw(spark, sf).select((F.col("id") % 7).alias("id"), F.lower("description").alias("text"))
+    part = FX.read_table(spark, sf, "part").select((F.col("p_partkey") * 7 % 10007).alias("n"))
+    order = FX.read_table(spark, sf, "orders").select((F.col("o_orderkey") * 3 + 100).alias("n"))
+    rules = part.unionByName(order).distinct().select(
+        F.col("n").cast("int").alias("ord"), F.concat(F.lit("ref "), F.col("n").cast("string")).alias("pattern"),
+        F.concat(F.lit("queue_"), (F.col("n") % 11).cast("string")).alias("queue"),
+        F.concat(F.lit("issue_"), (F.col("n") % 5).cast("string")).alias("issue_type"))
+    return LK.rule_match_table(t, "text", rules).select("id", "text", "rule_queue", "rule_issue_type")
+
+
 # ----------------------------------------------------------------------------- unify / labels
 
 def q_inbound_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,6 +237,46 @@ def q_hash_sample(spark: SparkSession, sf: str) -> DataFrame:
     return SM.hash_sample(lab, C.ROUTING_SAMPLE_CAP, "id", C.SEED)
 
 
+def q_hash_sample_small(spark: SparkSession, sf: str) -> DataFrame:
+    """A cap that bites at every scale."""
+    return SM.hash_sample(FX.labeled(spark, sf).select("id", "text"), 50, "id", C.SEED)
+
+
+def _null_labels(spark, sf):
+    lab = FX.labeled(spark, sf).select("id", "issue_type")
+    return lab.withColumn("issue_type", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("issue_type")))
+
+
+def q_stratified_split_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the labels null: a label of their own, no row dropped."""
+    return SM.stratified_split(_null_labels(spark, sf), "issue_type", "id", C.SEED)
+
+
+def q_kfold_assign_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    return SM.kfold_assign(_null_labels(spark, sf), "issue_type", "id", 5, C.SEED)
+
+
+def q_confusion_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Null true and predicted labels are labels of their own in the grid."""
+    pred = FX.predictions(spark, sf)
+    return EV.confusion_long(pred.withColumns({
+        "y": F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("y")),
+        "p": F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("p"))}))
+
+
+def q_route_nan(spark: SparkSession, sf: str) -> DataFrame:
+    """A NaN probability meets no threshold: a human, not the top band."""
+    s = FX.scored(spark, sf)
+    s = s.withColumn("prob", F.when(F.col("id") % 4 == 1, F.lit(float("nan"))).otherwise(F.col("prob")))
+    return RT.route(s).select("id", "route", "stage")
+
+
+def q_route_repeated_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Reply rows that repeat: every ticket is still routed once."""
+    replies = FX.llm_replies(spark, sf)
+    return r6(RT.route(FX.scored(spark, sf), replies=replies.unionByName(replies)))
+
+
 def q_positional_split(spark: SparkSession, sf: str) -> DataFrame:
     lab = FX.labeled(spark, sf).select("id")
     return SM.positional_split(lab, "id", C.SEED)
@@ -347,7 +400,7 @@ def q_label_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def _train_test(spark, sf):
     lab = FX.labeled(spark, sf).select("id", "text", "issue_type")
-    return SM.stratified_split(lab, "issue_type", "id", C.SEED).cache()
+    return SM.stratified_split(lab, "issue_type", "id", C.SEED)
 
 
 def q_tfidf_lr_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,30 +431,6 @@ def q_benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
     return JB.run_benchmark(spark, FX.tickets_raw(spark, sf))["benchmark_summary"]
 
 
-STUB_FAIL_MARKER = "opening hours"   # prompts holding this phrase make the stub client fail
-
-
-def _stub_factory():
-    from ..operators import model_calls as MC
-
-    return MC.StubClient(FX.REPLIES, fail_marker=STUB_FAIL_MARKER)
-
-
-def q_llm_classify_stub(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import model_calls as MC
-
-    band = RT.low_band(FX.scored(spark, sf))
-    return MC.call_model(band, MC.classify_prompt("text"), _stub_factory)
-
-
-def q_route_with_stub_client(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import model_calls as MC
-
-    scored = FX.scored(spark, sf)
-    replies = MC.classify_replies(RT.low_band(scored), _stub_factory)
-    return r6(RT.route(scored, replies=replies))
-
-
 QUERIES = {
     "normalize_text": q_normalize_text,
     "clean_placeholders": q_clean_placeholders,
@@ -439,6 +468,13 @@ QUERIES = {
     "stratified_split": q_stratified_split,
     "kfold_assign": q_kfold_assign,
     "hash_sample": q_hash_sample,
+    "hash_sample_small": q_hash_sample_small,
+    "stratified_split_nulls": q_stratified_split_nulls,
+    "kfold_assign_nulls": q_kfold_assign_nulls,
+    "confusion_nulls": q_confusion_nulls,
+    "route_nan": q_route_nan,
+    "route_repeated_replies": q_route_repeated_replies,
+    "rule_match_wide": q_rule_match_wide,
     "positional_split": q_positional_split,
     "anti_join_eval": q_anti_join_eval,
     "eval_set": q_eval_set,
@@ -461,8 +497,6 @@ QUERIES = {
     "benchmark_dedup_dropped": q_benchmark_dedup_dropped,
     "char_ngrams": q_char_ngrams,
     "label_index": q_label_index,
-    "llm_classify_stub": q_llm_classify_stub,
-    "route_with_stub_client": q_route_with_stub_client,
     "tfidf_lr_score": q_tfidf_lr_score,
     "calibrated_score": q_calibrated_score,
     "cv_accuracy": q_cv_accuracy,

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -27,30 +24,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster names it; only when it is unset (local tests, bench) do we set one,
-    a fresh scratch folder, so lineage cuts and persisted replies have a home.
-    """
-    if spark.conf.get(CHECKPOINT_CONF, None):
-        return checkpoint_dir(spark)
-    path = fallback or tempfile.mkdtemp(prefix="ticketlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; error when unset."""
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
         raise RuntimeError(
-            f"{CHECKPOINT_CONF} is not set; name a shared folder (tests call ensure_checkpoint_dir)")
+            f"{CHECKPOINT_CONF} is not set; name a shared folder (tests and the bench set one)")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current

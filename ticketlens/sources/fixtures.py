@@ -51,7 +51,10 @@ PHRASES: tuple[str, ...] = (
     "Thanks, all good now!",
 )
 N_PHRASES = len(PHRASES)
-REF_MOD = 500          # descriptions repeat every 500 keys -> real duplicates for dedup
+# Every 5th key repeats one of at most 100 references and every 50th key the same one (duplicates
+# and a hot text for dedup); all other keys have a reference of their own, so the views grow
+# with the tables.
+REF_MOD = 500
 NULL_DESC_MOD = 97     # every 97th ticket has a null description
 
 EVENT_TYPE_TO_TICKET_TYPE: tuple[tuple[str, str], ...] = (
@@ -81,6 +84,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _ref(k):
+    ref = F.when(k % 50 == 0, F.lit(0)).when(k % 5 == 0, k % REF_MOD).otherwise(k)
+    return F.concat(F.lit(" ref "), ref.cast("long").cast("string"))
+
+
+def sql_ref(k: str) -> str:
+    return f"' ref ' || CAST(CASE WHEN {k} % 50 = 0 THEN 0 WHEN {k} % 5 = 0 THEN {k} % {REF_MOD} ELSE {k} END AS VARCHAR)"
+
+
 def _pick(values, idx):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values) + 1).cast("int"))
 
@@ -91,7 +103,7 @@ def social_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations")
     k = F.col("conv_id") * 100 + F.col("turn")
     phrase = _pick(PHRASES, k)
-    text = F.when(k % 10 == 0, F.concat(phrase, F.lit(" ref "), (k % REF_MOD).cast("string"))) \
+    text = F.when(k % 10 == 0, F.concat(phrase, _ref(k))) \
         .otherwise(F.concat(phrase, F.lit(" "), F.col("text")))
     inbound = F.when(F.col("role") == "user", F.lit(True)).when(F.col("role") == "assistant", F.lit(False))
     return conv.select((k * 2).alias("id"), text.alias("text"), inbound.alias("inbound"))
@@ -100,7 +112,7 @@ def social_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tickets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "event_type")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    k = F.col("event_id")
+    k = F.coalesce("event_id", "o_orderkey")
     phrase = _pick(PHRASES, k)
     ttype = None
     for et, tt in EVENT_TYPE_TO_TICKET_TYPE:
@@ -108,9 +120,9 @@ def tickets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             else ttype.when(F.col("event_type") == et, F.lit(tt))
     ttype = ttype.otherwise(F.lit(UNMAPPED_TICKET_TYPE))
     desc = F.when(k % NULL_DESC_MOD == 0, F.lit(None).cast("string")) \
-        .otherwise(F.concat(phrase, F.lit(" ref "), (k % REF_MOD).cast("string")))
+        .otherwise(F.concat(phrase, _ref(k)))
     return (
-        ev.join(od, ev.event_id == od.o_orderkey, "inner")
+        ev.join(od, ev.event_id == od.o_orderkey, "full")
         .select((k * 2 + 1).alias("id"), phrase.alias("subject"), desc.alias("description"),
                 ttype.alias("type"), F.substring_index("o_orderpriority", "-", -1).alias("priority"))
     )
@@ -230,19 +242,19 @@ def fixture_ctes() -> str:
     return f"""
 WITH social_raw AS (
   SELECT {k_s} * 2 AS id,
-         CASE WHEN {k_s} % 10 = 0 THEN {sql_pick(PHRASES, k_s)} || ' ref ' || CAST({k_s} % {REF_MOD} AS VARCHAR)
+         CASE WHEN {k_s} % 10 = 0 THEN {sql_pick(PHRASES, k_s)} || {sql_ref(k_s)}
               ELSE {sql_pick(PHRASES, k_s)} || ' ' || text END AS text,
          CASE WHEN role = 'user' THEN TRUE WHEN role = 'assistant' THEN FALSE END AS inbound
   FROM conversations
 ),
 tickets_raw AS (
-  SELECT event_id * 2 + 1 AS id,
-         {sql_pick(PHRASES, 'event_id')} AS subject,
-         CASE WHEN event_id % {NULL_DESC_MOD} = 0 THEN NULL
-              ELSE {sql_pick(PHRASES, 'event_id')} || ' ref ' || CAST(event_id % {REF_MOD} AS VARCHAR) END AS description,
+  SELECT k * 2 + 1 AS id,
+         {sql_pick(PHRASES, 'k')} AS subject,
+         CASE WHEN k % {NULL_DESC_MOD} = 0 THEN NULL
+              ELSE {sql_pick(PHRASES, 'k')} || {sql_ref('k')} END AS description,
          CASE event_type {ttype_whens} ELSE {sql_str(UNMAPPED_TICKET_TYPE)} END AS type,
          split_part(o_orderpriority, '-', 2) AS priority
-  FROM events JOIN orders ON event_id = o_orderkey
+  FROM (SELECT *, coalesce(event_id, o_orderkey) AS k FROM events FULL JOIN orders ON event_id = o_orderkey)
 ),
 social_mapped AS (
   SELECT id, text AS subject, text AS description, 'customer_message' AS category, '' AS priority,
