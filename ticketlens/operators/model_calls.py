@@ -28,7 +28,14 @@ REPLY_SCHEMA = "id long, reply string, error string"
 CLASSIFY_PROMPT = (
     "Classify this customer support ticket. Answer with one JSON object only, with keys "
     "issue_type (billing, ads, login, technical, account or other), urgency (low, medium, high "
-    "or critical) and complexity (low, medium or high).\n\nTicket: "
+    "or critical) and complexity (low, medium or high).\n\n"
+    "Ticket: The card I pay with ran out and the shop closes tonight unless the fee goes through.\n"
+    'Answer: {"issue_type": "billing", "urgency": "high", "complexity": "low"}\n\n'
+    "Ticket: Since the update the import stops half way, sometimes with a timeout, on two of our sites.\n"
+    'Answer: {"issue_type": "technical", "urgency": "medium", "complexity": "high"}\n\n'
+    "Ticket: Where can I change the name shown on my profile?\n"
+    'Answer: {"issue_type": "account", "urgency": "low", "complexity": "low"}\n\n'
+    "Ticket: "
 )
 SUMMARY_PROMPT = "Write a one or two sentence summary of this support ticket for the agent who picks it up:\n\n"
 RESOLUTION_PROMPT = (

@@ -11,6 +11,7 @@ would repeat paid model calls:
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from ..operators import policy as PO
 from ..operators import routing as RT
 from ..operators import sampling as SM
 from ..operators import unify as UN
+from ..session import shared_path
 from ..sources import readers as RD
 from ..sources import sinks as SK
 
@@ -57,6 +59,7 @@ class TriageConfig:
     label_targets: tuple[str, ...] = ("issue_type", "urgency", "complexity")
     call_partitions: int | None = None     # bound on concurrent model callers
     with_cv: bool = True
+    fit_rows: int = ML.MAX_FIT_ROWS        # labelled rows that fit a model; scoring covers all
     max_iter: int = 300
     folds: int = 5
 
@@ -75,7 +78,8 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
     report: list[tuple[str, str, str]] = []
     models: dict[str, ML.TextClassifier] = {}
     for target in cfg.label_targets:
-        tr = ML.train_text_model(labeled, target, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds)
+        tr = ML.train_text_model(labeled, target, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds,
+                                 max_rows=cfg.fit_rows)
         models[target] = tr.model
         SK.save_classifier(tr.model, f"{out}/models/{target}")
         report.append((target, "held_out_accuracy", f"{tr.accuracy:.4f}"))
@@ -84,6 +88,13 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
             report.append((target, "cv_mean", f"{cv['cv_mean']:.4f}"))
             report.append((target, "cv_std", f"{cv['cv_std']:.4f}"))
         SK.write_small(tr.report, f"{out}/reports/per_class_{target}")
+        if target == "complexity":
+            report.append((target, "note", "labels follow the word count of the text: the scores measure how well it is recovered"))
+        for row in tr.report.collect():        # a row per label
+            for metric in ("precision", "recall", "f1_score", "support"):
+                report.append((target, f"{row['label']}: {metric}", f"{row[metric]:.4f}"))
+    for row in results["label_composition"].collect():
+        report.append(("label_composition", str(row["label_quality"]), f"{row['count']} rows, {row['pct']:.1f}%"))
 
     eval_paths = [f"{out}/eval_comparison", f"{out}/eval_per_class_metrics", f"{out}/eval_confusion_matrix"]
     if eval_rows is not None:
@@ -98,6 +109,8 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
         results["eval_confusion_matrix"] = EV.confusion_long(pred)
         for name, path in zip(("eval_comparison", "eval_per_class_metrics", "eval_confusion_matrix"), eval_paths):
             SK.write_small(results[name], path)
+        for name, value in results["eval_comparison"].first().asDict().items():
+            report.append(("eval_set", name, f"{value:.4f}" if isinstance(value, float) else str(value)))
     else:
         for schema, path in zip((SC.EVAL_COMPARISON, SC.PER_CLASS, SC.CONFUSION), eval_paths):
             SK.overwrite_empty(spark, schema, path)
@@ -168,10 +181,8 @@ def run_benchmark(spark: SparkSession, tickets: DataFrame, out: str | None = Non
     """Keyword baseline, TF-IDF baseline and the improved model on a stratified 80/20 split."""
     rows = benchmark_rows(tickets, **cols)
     split = SM.stratified_split(rows, "issue_type", "id", seed)
-    if out:
-        split = SK.materialize(spark, split, f"{out.rstrip('/')}/benchmark_split")
-    else:
-        split = split.cache()
+    at = out.rstrip("/") if out else shared_path(spark, "benchmark", uuid.uuid4().hex)
+    split = SK.materialize(spark, split, f"{at}/benchmark_split")
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
     n_train = train.count()
@@ -186,7 +197,7 @@ def run_benchmark(spark: SparkSession, tickets: DataFrame, out: str | None = Non
                                           F.col("prediction").alias("p"))
 
     pred = kw.unionByName(preds(base, "ml_baseline")).unionByName(preds(improved, "ml_improved"))
-    pred = SK.materialize(spark, pred, f"{out.rstrip('/')}/benchmark_predictions") if out else pred.cache()
+    pred = SK.materialize(spark, pred, f"{at}/benchmark_predictions")
     summary = EV.benchmark_summary(EV.f1_summary(pred), {"ml_baseline": n_train, "ml_improved": n_train})
     per_class = EV.per_class_restricted(pred)
     confusion = EV.confusion_restricted(pred)
@@ -246,7 +257,8 @@ def run_local(spark: SparkSession, eval_rows: DataFrame, out: str, cfg: TriageCo
     cfg = cfg or TriageConfig(label_targets=("issue_type", "urgency"))
     out = out.rstrip("/")
     frame = SK.materialize(spark, local_training_frame(eval_rows), f"{out}/local_labeled")
-    models = {t: ML.train_text_model(frame, t, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds).model
+    models = {t: ML.train_text_model(frame, t, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds,
+                                     max_rows=cfg.fit_rows).model
               for t in cfg.label_targets}
     scored = SK.materialize(spark, RT.stage_table(score(frame, models["issue_type"], models.get("urgency")),
                                                   cfg.thresholds), f"{out}/local_scored", [RT.BAND_COL])

@@ -7,7 +7,7 @@ can be compared with an independent SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -403,32 +403,94 @@ def _train_test(spark, sf):
     return SM.stratified_split(lab, "issue_type", "id", C.SEED)
 
 
+def q_tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """L2-normalised smooth TF-IDF weight of every term of every labelled text."""
+    from ..operators import ml as ML
+
+    rows = FX.labeled(spark, sf).select("id", "text")
+    model = ML.fit_tfidf(rows, ML.TfidfSpec(ngram_max=1, vocab_size=None))
+    return r6(ML.tfidf_rows(rows, model))
+
+
+def q_tfidf_weights_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Sublinear weights of whole documents (terms of two documents or more): count of terms and the
+    sum of the weights' squares per document, which is 1 where a term is left."""
+    from ..operators import ml as ML
+
+    docs = FX.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), TX.normalize_text("text").alias("text"))
+    rows = ML.tfidf_rows(docs, ML.fit_tfidf(docs, ML.BASELINE_SPEC))
+    return r6(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.col("weight") * F.col("weight")).alias("norm")))
+
+
+def q_balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import ml as ML
+
+    lab = FX.labeled(spark, sf).select("id", "issue_type")
+    labels = sorted(r[0] for r in lab.select("issue_type").distinct().collect())
+    return r6(ML.balanced_weights(lab, "issue_type", labels, "weight"))
+
+
+def _score_checks(scored: DataFrame, k: int) -> DataFrame:
+    """Facts that hold for any fitted classifier: rows per split, probabilities that sum to 1, the
+    confidence their greatest and the prediction its label."""
+    p = F.col("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    rules = F.when((F.abs(total - 1) < 1e-6) & (F.size(p) == k) & (F.array_min(p) >= 0)
+                   & (F.abs(F.array_max(p) - F.col("confidence")) < 1e-12)
+                   & F.col("confidence").between(1.0 / k - 1e-9, 1.0 + 1e-9), 1).otherwise(0)
+    return scored.groupBy("split", "issue_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(rules).alias("n_sound"), F.count("prediction").alias("n_predicted"))
+
+
 def q_tfidf_lr_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on the train split, score all rows; the facts any fit must meet, per split and label."""
     from ..operators import ml as ML
 
     sp = _train_test(spark, sf)
     clf = ML.fit_classifier(sp.filter(F.col("split") == "train"), "issue_type", calibrate=False)
-    return clf.transform(sp).select("id", "split", "issue_type", "prediction", "confidence")
+    return _score_checks(clf.transform(sp), len(clf.labels))
 
 
 def q_calibrated_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the fold-averaged, calibrated model."""
     from ..operators import ml as ML
 
     sp = _train_test(spark, sf)
     clf = ML.fit_classifier(sp.filter(F.col("split") == "train"), "issue_type", calibrate=True)
-    return clf.transform(sp).select("id", "split", "issue_type", "prediction", "confidence")
+    return _score_checks(clf.transform(sp), len(clf.labels))
 
 
 def q_cv_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Five folds, each accuracy a share of its rows, mean and deviation those of the folds."""
     from ..operators import ml as ML
 
-    return ML.cv_accuracy(FX.labeled(spark, sf).select("id", "text", "issue_type"), "issue_type")
+    cv = ML.cv_accuracy(FX.labeled(spark, sf).select("id", "text", "issue_type"), "issue_type")
+    return cv.select("fold", F.col("accuracy").between(0, 1).alias("is_share"),
+                     (F.abs(F.col("cv_mean") - F.avg("accuracy").over(Window.partitionBy())) < 1e-9).alias("mean_fits"),
+                     (F.abs(F.col("cv_std") - F.stddev_pop("accuracy").over(Window.partitionBy())) < 1e-9).alias("std_fits"))
 
 
 def q_benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark run's row counts per model, and whether its scores are shares."""
+    from . import jobs as JB
+
+    out = JB.run_benchmark(spark, FX.tickets_raw(spark, sf))["benchmark_summary"]
+    return out.select(F.col("model_name").alias("model"), "n_train", "n_test",
+                      (F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1)
+                       & F.col("weighted_f1").between(0, 1)).alias("are_shares"))
+
+
+def q_model_to_route(spark: SparkSession, sf: str) -> DataFrame:
+    """A fitted model's label and confidence through the cascade: rule rows by stage, and no row lost."""
+    from ..operators import ml as ML
     from . import jobs as JB
 
-    return JB.run_benchmark(spark, FX.tickets_raw(spark, sf))["benchmark_summary"]
+    lab = FX.labeled(spark, sf).select("id", "text", "issue_type")
+    sp = SM.stratified_split(lab, "issue_type", "id", C.SEED)
+    clf = ML.fit_classifier(sp.filter(F.col("split") == "train"), "issue_type", calibrate=False, max_iter=50)
+    routed = RT.route(JB.score(lab, clf))
+    return routed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("stage") == C.STAGE_RULE).alias("n_rule"),
+                      F.count_if(F.col("route").isNull()).alias("n_without_route"))
 
 
 QUERIES = {
@@ -497,6 +559,10 @@ QUERIES = {
     "benchmark_dedup_dropped": q_benchmark_dedup_dropped,
     "char_ngrams": q_char_ngrams,
     "label_index": q_label_index,
+    "tfidf_weights": q_tfidf_weights,
+    "tfidf_weights_documents": q_tfidf_weights_documents,
+    "balanced_weights": q_balanced_weights,
+    "model_to_route": q_model_to_route,
     "tfidf_lr_score": q_tfidf_lr_score,
     "calibrated_score": q_calibrated_score,
     "cv_accuracy": q_cv_accuracy,

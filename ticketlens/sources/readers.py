@@ -6,22 +6,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .. import schemas as S
 
-
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV with header, quoted multi-line fields and an explicit schema when given."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+    """CSV with header and an explicit schema when given.  ``multi_line`` accepts line breaks
+    inside quoted fields; such a file cannot be split, so it is one task and off by default."""
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
 
 
-def read_table_set(spark: SparkSession, paths: dict[str, str], schemas: dict | None = None) -> dict[str, DataFrame]:
-    """Named tables (name → path).  Names are given explicitly: a folder's listing order
-    is not a contract, so "the first table" is never picked implicitly."""
+def read_table_set(spark: SparkSession, paths: dict[str, str], schemas: dict | None = None,
+                   multi_line: bool = False) -> dict[str, DataFrame]:
+    """Named tables (name → path)."""
     schemas = schemas or {}
-    return {name: read_csv(spark, p, schemas.get(name)) for name, p in paths.items()}
+    return {name: read_csv(spark, p, schemas.get(name), multi_line) for name, p in paths.items()}
+
+
+def read_folder(spark: SparkSession, folder: str, schemas: dict | None = None, multi_line: bool = False) -> dict[str, DataFrame]:
+    """The CSV files of a folder as tables named by file (without the ending), in name order.
+
+    Files are listed by Spark, so the folder may be in any store; only paths are read.  A folder
+    without a CSV file is an error.
+    """
+    try:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()
+    except AnalysisException as exc:
+        raise FileNotFoundError(f"no folder at {folder}") from exc
+    paths = {r["path"].rsplit("/", 1)[-1].removesuffix(".csv"): r["path"] for r in listed}
+    if not paths:
+        raise FileNotFoundError(f"no CSV file in {folder}")
+    return read_table_set(spark, dict(sorted(paths.items())), schemas, multi_line)
+
+
+def first_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """The table whose name comes first."""
+    return tables[min(tables)]
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -31,16 +51,16 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def read_required(spark: SparkSession, path: str, schema=None, what: str = "input") -> DataFrame:
+def read_required(spark: SparkSession, path: str, schema=None, what: str = "input", multi_line: bool = False) -> DataFrame:
     try:
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line)
     except AnalysisException as exc:
         raise FileNotFoundError(f"{what} not found at {path}") from exc
 
 
-def read_labeled_eval(spark: SparkSession, path: str) -> DataFrame:
+def read_labeled_eval(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Labeled eval rows; ``text`` is built from subject and description when absent."""
-    df = read_csv(spark, path)
+    df = read_csv(spark, path, multi_line=multi_line)
     if "text" not in df.columns:
         subj = F.col("subject") if "subject" in df.columns else F.lit("")
         desc = F.col("description") if "description" in df.columns else F.lit("")
@@ -70,5 +90,3 @@ def read_result(spark: SparkSession, path: str) -> DataFrame | None:
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
-
-_ = S
