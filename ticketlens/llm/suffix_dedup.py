@@ -7,6 +7,7 @@ smaller id. The work is cut so that no shard needs the whole corpus:
 2. Every window of ``width`` bytes has an anchor, the 16-byte string with the least hash in it. Equal windows have equal
    anchors, so anchors (each once per chunk) are dealt to buckets by hash, and each bucket tells its chunks
    which of them occur in more than one document. Nothing else can hold a repeated window.
+   Copies of whole texts, found by a hash, are marked and take no part in what follows.
 3. The texts around shared anchors (each distinct text once per chunk, with its least id) go to the bucket of
    the anchor. A bucket sorts their suffixes by external induced sorting, with common-prefix values; a run of
    suffixes that share ``width`` bytes is one string, whose least id goes back to the chunks.
@@ -18,6 +19,7 @@ A passage held by a third of all documents is one entry per chunk, not one per d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,8 @@ ANCHOR = 16
 BUCKET_BYTES = 16 << 20       # text bytes per bucket
 LEAST_BUCKETS = 64
 _BLOCK = 1 << 19              # windows handled at a time
+_SPANS = 1 << 14              # spans handled at a time
+_ANCHOR_BYTES = 5             # of an anchor's hash within its bucket; a clash only adds a candidate
 _NO_ID = np.iinfo(np.int64).max
 
 _VALUE = np.random.default_rng(20240602).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -60,10 +64,10 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[n
         h ^= h >> np.uint64(29)
         h *= _STEP[5]
         h ^= h >> np.uint64(32)
-        place = np.arange(len(h), dtype=np.uint64) & np.uint64(63)
-        least = _least_in(h & ~np.uint64(63) | place, width - ANCHOR + 1)
+        place = np.arange(len(h), dtype=np.uint64) & np.uint64(127)
+        least = _least_in(h & ~np.uint64(127) | place, width - ANCHOR + 1)
         window = np.arange(len(least))
-        anchor = window + (((least & np.uint64(63)).astype(np.int64) - window) & 63)
+        anchor = window + (((least & np.uint64(127)).astype(np.int64) - window) & 127)
         valid = np.ones(len(least), bool)
         for edge in off[np.searchsorted(off, a + 1): np.searchsorted(off, a + len(part))] - a:
             valid[max(0, edge - width + 1): edge] = False
@@ -72,7 +76,7 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[n
         last = np.flatnonzero(valid & np.r_[new[1:] | ~valid[1:], True])
         starts.append(first + a)
         stops.append(last + 1 + a)
-        hashes.append(least[first] >> np.uint64(6))
+        hashes.append(least[first] >> np.uint64(7))
     if not starts:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64)
@@ -81,9 +85,21 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[n
 
 def _matrix(buf: np.ndarray, start: np.ndarray, size: np.ndarray, wide: int) -> np.ndarray:
     """One row of ``wide`` bytes per span, zeros past its end."""
-    at = start[:, None] + np.arange(wide)
-    inside = np.arange(wide) < size[:, None]
-    return np.where(inside, buf[np.minimum(at, len(buf) - 1)], 0).astype(np.uint8)
+    out = np.zeros((len(start), wide), np.uint8)
+    for a in range(0, len(start), _SPANS):
+        at = start[a: a + _SPANS, None] + np.arange(wide)
+        inside = np.arange(wide) < size[a: a + _SPANS, None]
+        out[a: a + _SPANS] = np.where(inside, buf[np.minimum(at, len(buf) - 1)], 0)
+    return out
+
+
+def _joined(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one after the other."""
+    out = []
+    for a in range(0, len(start), _SPANS):
+        n = size[a: a + _SPANS]
+        out.append(buf[np.repeat(start[a: a + _SPANS] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return np.concatenate(out) if out else buf[:0]
 
 
 def distinct_spans(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +114,11 @@ def distinct_spans(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tupl
         h = (h ^ words[:, k]) * _STEP[7]
         h ^= h >> np.uint64(31)
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
-    same = (words == words[first[number]]).all(axis=1) & (size == size[first[number]])
-    if not same.all():      # two texts with one hash
+    same = True
+    for a in range(0, len(size), _SPANS):
+        own, its = slice(a, a + _SPANS), first[number[a: a + _SPANS]]
+        same &= bool((words[own] == words[its]).all() and (size[own] == size[its]).all())
+    if not same:      # two texts with one hash
         full = np.c_[rows, size.astype("<u4").view(np.uint8).reshape(-1, 4)]
         keys = np.ascontiguousarray(full).view(f"V{full.shape[1]}").ravel()
         _, first, number = np.unique(keys, return_index=True, return_inverse=True)
@@ -112,7 +131,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         number = 0
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
         for batch in batches:
             _, off = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in steps(off):
@@ -139,12 +158,12 @@ class _Chunk:
         self.start, self.stop, anchor = anchor_runs(self.buf, self.off, width)
         self.doc = np.searchsorted(self.off, self.start, "right") - 1
         self.anchors, self.anchor = np.unique(anchor, return_inverse=True)
-        self.bucket = ((self.anchors >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        self.bucket = ((self.anchors >> np.uint64(8 * _ANCHOR_BYTES)) % np.uint64(buckets)).astype(np.int64)
         self.by_bucket = np.argsort(self.bucket, kind="stable")
         self.width = width
 
-    def shared_runs(self, told: list[tuple[int, bytes]]) -> np.ndarray:
-        """Runs whose anchor some bucket has called shared."""
+    def shared_runs(self, told: list[tuple[int, bytes]], copies: list[int]) -> np.ndarray:
+        """Runs whose anchor some bucket has called shared, but for those in copies of whole texts."""
         flag = np.zeros(len(self.anchors), bool)
         cut = np.searchsorted(self.bucket[self.by_bucket], [b for b, _ in told])
         for at, (_, bits) in zip(cut.tolist(), told, strict=True):
@@ -152,17 +171,48 @@ class _Chunk:
             n = min(len(one), len(flag) - at)
             own = self.by_bucket[at: at + n]
             flag[own[one[:n] == 1]] = True
-        return np.flatnonzero(flag[self.anchor])
+        alone = np.ones(len(self.off), bool)
+        alone[copies] = False
+        return np.flatnonzero(flag[self.anchor] & alone[self.doc])
 
-    def regions(self, told: list[tuple[int, bytes]]):
+    def regions(self, told: list[tuple[int, bytes]], copies: list[int]):
         """(runs, span of each distinct region, number of each run's region)."""
-        runs = self.shared_runs(told)
+        runs = self.shared_runs(told, copies)
         first, number = distinct_spans(self.buf, self.start[runs], self.stop[runs] - self.start[runs] + self.width - 1)
         return runs, runs[first], number
 
 
-def _shared_anchors(chunks: DataFrame, make, buckets: int) -> DataFrame:
-    """(chunk, told: array of (bucket, bits)): which of a chunk's anchors occur in two documents or more."""
+def _short(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_ANCHOR_BYTES].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _ANCHOR_BYTES, 8), np.uint8)
+    out[:, :_ANCHOR_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _ANCHOR_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _copies(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, copies: array of row numbers): rows whose whole text a smaller id has too."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, data in zip(pdf["chunk"], pdf["data"], strict=True):
+                table = pa.ipc.open_stream(data).read_all().combine_chunks()
+                buf, off = text_bytes(table.column(text_col))
+                raw, off = buf.tobytes(), off.tolist()
+                yield pd.DataFrame({"chunk": chunk, "row": np.arange(len(off) - 1, dtype=np.int32),
+                                    "id": table.column(id_col).fill_null(_NO_ID).to_numpy().astype(np.int64),
+                                    "key": [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(off, off[1:], strict=False)]})
+
+    rows = stored(chunks.select("chunk", "data").mapInPandas(hashed, "chunk long, row int, id long, key binary"), "texts")
+    first = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return (rows.join(first.select("key", "least"), "key").where("id > least")
+            .groupBy("chunk").agg(F.collect_list("row").alias("copies")))
+
+
+def _shared_anchors(chunks: DataFrame, make, copies: DataFrame) -> DataFrame:
+    """(chunk, told: array of (bucket, bits), copies): which of a chunk's anchors occur in two documents or more."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -174,11 +224,11 @@ def _shared_anchors(chunks: DataFrame, make, buckets: int) -> DataFrame:
                 cut = np.flatnonzero(np.r_[True, np.diff(c.bucket[order]) > 0]) if len(order) else np.zeros(0, int)
                 yield pd.DataFrame({
                     "bucket": c.bucket[order][cut], "chunk": chunk,
-                    "anchors": [x.tobytes() for x in np.split(c.anchors[order], cut[1:])] if len(cut) else [],
+                    "anchors": [_short(x) for x in np.split(c.anchors[order], cut[1:])] if len(cut) else [],
                     "many": [np.packbits(x, bitorder="little").tobytes() for x in np.split(many[order], cut[1:])] if len(cut) else []})
 
     def told(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(x, np.uint64) for x in pdf["anchors"]]
+        lists = [_long(x) for x in pdf["anchors"]]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")[: len(a)].astype(bool)
                  for x, a in zip(pdf["many"], lists, strict=True)]
         _, number, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
@@ -189,8 +239,9 @@ def _shared_anchors(chunks: DataFrame, make, buckets: int) -> DataFrame:
         return out[out["bits"].notna()]
 
     lists = chunks.select("chunk", "data").mapInPandas(listed, "bucket long, chunk long, anchors binary, many binary")
-    return stored(lists.groupBy("bucket").applyInPandas(told, "chunk long, bucket long, bits binary")
-                  .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")), "shared-anchors")
+    told = (lists.groupBy("bucket").applyInPandas(told, "chunk long, bucket long, bits binary")
+            .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")))
+    return stored(told.join(copies, "chunk", "full"), "shared-anchors")
 
 
 def _bucket_suffixes(text: np.ndarray, size: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +249,9 @@ def _bucket_suffixes(text: np.ndarray, size: np.ndarray, ids: np.ndarray, width:
     ends = np.cumsum(size)
     windows = size - width + 1
     at = np.cumsum(windows) - windows
-    region = np.repeat(np.arange(len(size)), size + 1)      # by place in the marked text
-    inside = np.arange(len(region)) - (ends - size + np.arange(len(size)))[region]
-    whole = inside < windows[region]
+    region = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)      # by place in the marked text
+    inside = (np.arange(len(region)) - np.repeat(ends - size + np.arange(len(size)), size + 1)).astype(np.int32)
+    whole = inside < windows.astype(np.int32)[region]
     places, groups, seen = [], [], 0
     for suffix, common in sorted_suffixes(text, ends, width):
         group = np.cumsum(common < width) + seen      # a shared prefix of the width: the same string
@@ -223,9 +274,9 @@ def _least_ids(chunks: DataFrame, told: DataFrame, make, width: int) -> DataFram
 
     def shipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for chunk, data, bits in zip(pdf["chunk"], pdf["data"], pdf["told"], strict=True):
+            for chunk, data, bits, copies in zip(pdf["chunk"], pdf["data"], pdf["told"], pdf["copies"], strict=True):
                 c = make(data)
-                runs, spans, number = c.regions([(t["bucket"], t["bits"]) for t in _sorted_told(bits)])
+                runs, spans, number = c.regions(_sorted_told(bits), _row_list(copies))
                 if not len(runs):
                     continue
                 least, most = np.full(len(spans), _NO_ID), np.full(len(spans), np.iinfo(np.int64).min)
@@ -237,10 +288,9 @@ def _least_ids(chunks: DataFrame, told: DataFrame, make, width: int) -> DataFram
                 cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
                 rows = []
                 for own in np.split(order, cut[1:]):
-                    at = c.start[spans[own]]
-                    place = np.repeat(at - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
+                    text = _joined(c.buf, c.start[spans[own]], size[own]).tobytes()
                     rows.append((int(bucket[own[0]]), chunk, own.astype("<u4").tobytes(), size[own].astype("<u2").tobytes(),
-                                 least[own].tobytes(), most[own].tobytes(), c.buf[place].tobytes()))
+                                 least[own].tobytes(), most[own].tobytes(), pa.compress(text, "zstd", asbytes=True)))
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "number", "size", "least", "most", "text"])
 
     def resolved(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,13 +299,15 @@ def _least_ids(chunks: DataFrame, told: DataFrame, make, width: int) -> DataFram
         most = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["most"]])
         number = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["number"]])
         chunk = np.repeat(pdf["chunk"].to_numpy(), [len(x) // 2 for x in pdf["size"]])
-        text = np.frombuffer(b"".join(pdf["text"]), np.uint8)
+        lengths = [int(np.frombuffer(x, "<u2").sum(dtype=np.int64)) for x in pdf["size"]]
+        text = np.concatenate([np.frombuffer(pa.decompress(x, n, "zstd", asbytes=True), np.uint8)
+                               for x, n in zip(pdf["text"], lengths, strict=True)])
         start = np.cumsum(size) - size
         first, same = distinct_spans(text, start, size)
         ids = np.full(len(first), _NO_ID)
         np.minimum.at(ids, same, least)
-        own = np.repeat(start[first] - (np.cumsum(size[first]) - size[first]), size[first]) + np.arange(size[first].sum())
-        value, at = _bucket_suffixes(text[own], size[first], ids, width)
+        text = _joined(text, start[first], size[first])
+        value, at = _bucket_suffixes(text, size[first], ids, width)
         # runs of windows with one least id, per distinct region
         edge = np.r_[True, value[1:] != value[:-1]]
         edge[at] = True
@@ -283,8 +335,12 @@ def _least_ids(chunks: DataFrame, told: DataFrame, make, width: int) -> DataFram
                   .groupBy("chunk").agg(F.collect_list(F.struct("number", "begin", "stop", "least")).alias("runs")), "least-ids")
 
 
-def _sorted_told(bits) -> list:
-    return sorted(bits, key=lambda t: t["bucket"])
+def _sorted_told(bits) -> list[tuple[int, bytes]]:
+    return sorted((t["bucket"], t["bits"]) for t in bits) if bits is not None else []
+
+
+def _row_list(rows) -> list[int]:
+    return list(rows) if rows is not None else []
 
 
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
@@ -309,27 +365,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def make(data: bytes) -> _Chunk:
         return _Chunk(data, id_col, text_col, width, buckets)
 
-    told = _shared_anchors(chunks, make, buckets)
+    told = _shared_anchors(chunks, make, _copies(chunks, id_col, text_col))
     runs = _least_ids(chunks, told, make, width)
     schema = extended(docs.schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
     arrow = to_arrow_schema(schema)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, bits, lists in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for data, bits, copies, lists in zip(*(batch.column(k) for k in range(4)), strict=True):
                 c = make(data.as_py())
                 if c.rows is not None:
-                    yield _clean(c, bits.as_py() or [], lists.as_py() or [], arrow, whole_characters)
+                    yield _clean(c, _sorted_told(bits.as_py()), copies.as_py() or [], lists.as_py() or [], arrow, whole_characters)
 
     both = chunks.select("chunk", "data").join(told, "chunk", "left").join(runs, "chunk", "left")
-    return both.select("data", "told", "runs").mapInArrow(cleaned, schema)
+    return both.select("data", "told", "copies", "runs").mapInArrow(cleaned, schema)
 
 
-def _clean(c: _Chunk, bits: list, lists: list, arrow: pa.Schema, whole_characters: bool) -> pa.RecordBatch:
+def _clean(c: _Chunk, bits: list, copies: list[int], lists: list, arrow: pa.Schema,
+           whole_characters: bool) -> pa.RecordBatch:
     n = len(c.off) - 1
     start = end = np.zeros(0, np.int64)
     if lists:
-        runs, spans, number = c.regions([(t["bucket"], t["bits"]) for t in _sorted_told(bits)])
+        runs, spans, number = c.regions(bits, copies)
         region = np.concatenate([np.frombuffer(x["number"], "<u4") for x in lists]).astype(np.int64)
         begin = np.concatenate([np.frombuffer(x["begin"], np.uint8) for x in lists]).astype(np.int64)
         stop = np.concatenate([np.frombuffer(x["stop"], np.uint8) for x in lists]).astype(np.int64)
@@ -345,7 +402,9 @@ def _clean(c: _Chunk, bits: list, lists: list, arrow: pa.Schema, whole_character
         gap = c.doc[runs[of]]           # one free place between documents keeps their spans apart
         start = c.start[runs[of]] + begin[k] + gap
         end = c.start[runs[of]] + stop[k] + c.width - 1 + gap
-    start, end = merged_spans(start, end)
+    # a copy loses all of its text, if that holds a string of the width at all
+    whole = np.array([k for k in copies if c.off[k + 1] - c.off[k] >= c.width], np.int64)
+    start, end = merged_spans(np.r_[start, c.off[whole] + whole], np.r_[end, c.off[whole + 1] + whole])
     doc = np.searchsorted(c.off + np.arange(n + 1), start, "right") - 1
     start, end = start - doc, end - doc
     if whole_characters and len(start):
