@@ -31,6 +31,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..session import shared_path
@@ -380,7 +381,7 @@ def tfidf_rows(df: DataFrame, model: PipelineModel, id_col: str = "id", prefix:
             .join(named, "_i").select("id", "term", "weight"))
 
 
-@F.pandas_udf("array<struct<i:int,v:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", T.DoubleType())])))
 def sparse_entries(v: pd.DataFrame) -> pd.Series:
     """Index and value of a vector's stored entries."""
     return pd.Series([[{"i": int(i), "v": float(x)} for i, x in zip(a, b) if x != 0] if a is not None
