@@ -9,7 +9,7 @@ pair is one more than the least value between its two sources. Queues live in me
 budget and in an unlinked spill file of the task beyond it, and are read back in bounded batches.
 
 Recursion on names is needed to order equal leftmost-S substrings; as no more than ``depth`` bytes count here, the
-rounds that refine ties seven characters at a time take its place and end after ``depth`` bytes.
+rounds that refine ties some characters at a time take its place and end after ``depth`` bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 
 _BATCH = 1 << 18
-_PACK = 7             # characters of 9 bits in one sort key
 
 
 class Queues:
@@ -90,34 +89,46 @@ def _types(x: np.ndarray) -> np.ndarray:
     return s
 
 
-def _packed(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _packed(code: np.ndarray, at: np.ndarray, chars: int, bits: int) -> np.ndarray:
     key = np.zeros(len(at), np.uint64)
-    for j in range(_PACK):
-        key = key << np.uint64(9) | x[np.minimum(at + j, len(x) - 1)].astype(np.uint64)
+    for j in range(chars):
+        key <<= np.uint64(bits)
+        key |= code[np.minimum(at + j, len(code) - 1)]
     return key
 
 
 def _sorted_seeds(x: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted to ``depth`` characters, and each one's common prefix with the one before."""
-    at, common = at.copy(), np.zeros(len(at), np.int64)
-    tied, group = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for done in range(0, depth, _PACK):
-        if not len(tied):
-            break
-        key = _packed(x, at[tied].astype(np.int64) + done)
-        order = np.lexsort((key, group))
-        at[tied], key, group = at[tied][order], key[order], group[order]
-        beside = group[1:] == group[:-1]
+    """Suffixes sorted to ``depth`` characters, and each one's common prefix with the one before.
+
+    Each round sorts the suffixes that are still tied by one number: their group and as many of
+    their next characters (as ranks among those that occur) as fit beside it.
+    """
+    used = np.bincount(x, minlength=1) > 0
+    bits = max(1, int(used.sum() - 1).bit_length())
+    code = (np.cumsum(used) - 1).astype(np.uint8 if bits <= 8 else np.uint16)[x]
+    at = at.astype(np.int64)
+    common = np.zeros(len(at), np.int64)
+    tied, group, done = np.arange(len(at)), np.zeros(len(at), np.uint64), 0
+    while len(tied) and done < depth:
+        chars = min((63 - int(group[-1]).bit_length()) // bits, depth - done)
+        width = np.uint64(chars * bits)
+        key = group << width | _packed(code, at[tied] + done, chars, bits)
+        order = np.argsort(key)
+        at[tied], key = at[tied][order], key[order]
         differ = key[1:] ^ key[:-1]
         same = np.zeros(len(differ), np.int64)
-        for j in range(_PACK):
-            same += (differ >> np.uint64(9 * j)) == 0
+        for j in range(chars):
+            same += (differ >> np.uint64(bits * j)) == 0
+        beside = differ >> width == 0
         common[tied[1:][beside]] = done + same[beside]
-        equal = np.r_[False, beside & (differ == 0)]
+        equal = np.r_[False, differ == 0]
         keep = equal | np.r_[equal[1:], False]
-        new = np.cumsum(~equal)
-        tied, group = tied[keep], new[keep]
-    return at, np.minimum(common, depth).astype(np.uint8)
+        done += chars
+        tied = tied[keep]
+        group = (np.cumsum(~equal)[keep]).astype(np.uint64)
+        if len(group):      # dense numbers leave room for characters
+            group = (np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1).astype(np.uint64)
+    return at.astype(np.int32), np.minimum(common, depth).astype(np.uint8)
 
 
 class _Sweep:
@@ -183,7 +194,7 @@ def _direct(x: np.ndarray, a: int, b: int, depth: int) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def sorted_suffixes(parts: list[np.ndarray] | np.ndarray, ends: np.ndarray, depth: int,
+def sorted_suffixes(parts: np.ndarray, ends: np.ndarray, depth: int,
                     budget: int = 256 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (suffix, common prefix with the suffix before), in suffix order.
 
@@ -192,14 +203,13 @@ def sorted_suffixes(parts: list[np.ndarray] | np.ndarray, ends: np.ndarray, dept
     exact up to ``depth``; order beyond it is not defined. ``budget`` bounds the bytes of queues kept in memory.
     """
     n = len(parts) + len(ends) + 1
-    x = np.empty(n, np.uint16)
-    sizes = np.diff(np.r_[0, ends])
-    place = np.arange(len(parts)) + np.repeat(np.arange(len(ends)), sizes)
-    x[place] = parts
-    x[place] += 2
-    x[ends + np.arange(len(ends))] = 1
+    x = np.ones(n, np.uint16)
+    inside = np.ones(n, bool)
+    inside[ends + np.arange(len(ends))] = False
+    inside[-1] = False
+    x[inside] = parts.astype(np.uint16) + np.uint16(2)
     x[-1] = 0
-    del place
+    del inside
     small = _types(x)
     seeds = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + np.int32(1)
     seeds, seed_common = _sorted_seeds(x, seeds, depth)

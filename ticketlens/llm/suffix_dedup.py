@@ -34,9 +34,9 @@ from ticketlens.llm.induced_sort import sorted_suffixes
 
 WIDTH = 50
 ANCHOR = 16
-BUCKET_BYTES = 16 << 20       # text bytes per bucket
+BUCKET_BYTES = 8 << 20        # text bytes per bucket
 LEAST_BUCKETS = 64
-_BLOCK = 1 << 19              # windows handled at a time
+_BLOCK = 1 << 15              # windows handled at a time
 _SPANS = 1 << 14              # spans handled at a time
 _ANCHOR_BYTES = 5             # of an anchor's hash within its bucket; a clash only adds a candidate
 _NO_ID = np.iinfo(np.int64).max
@@ -131,7 +131,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         number = 0
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
             _, off = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in steps(off):
