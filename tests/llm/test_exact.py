@@ -213,9 +213,9 @@ def removed(df):
     return {i: sorted(v) for i, v in got.items()}
 
 
-@pytest.mark.parametrize("width", [24, 50, 128])
-def test_repeats_removed(spark, docs, texts, width):
-    got = suffix_dedup.remove_repeats(docs.repartition(5), width=width)
+@pytest.mark.parametrize(("width", "hot_runs"), [(24, 1 << 15), (50, 1 << 15), (50, 2), (50, 0), (128, 1 << 15)])
+def test_repeats_removed(spark, docs, texts, width, hot_runs):
+    got = suffix_dedup.remove_repeats(docs.repartition(5), width=width, hot_runs=hot_runs)
     assert [c for c in got.columns if c not in suffix_dedup.RESULT] == [c for c in docs.columns if c != "kept"]
     assert removed(got) == brute_removed(texts, width)
 

@@ -205,11 +205,11 @@ def test_language_edges(spark, docs, no_docs):
     train = spark.createDataFrame([*french, *english, (3000, "no language", None)], "doc_id long, text string, lang string")
     model = language_id.fit(train, F.lit(False))
     assert model.languages == ["en", "fr"]
-    own = spark.createDataFrame([(1, "La souris et le chat"), (2, "THE MOUSE AND THE CAT"), (3, None), (4, "12 !!"), (5, "日本語"), (6, "")],
+    own = spark.createDataFrame([(1, "La souris et le chat"), (2, "THE MOUSE AND THE CAT"), (3, None), (4, "12 !!"), (5, "日本語"), (6, ""), (7, "😀 ½ 、。")],
                                 "doc_id long, text string")
     got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language_id.identify(own, model).collect()}
     assert got[1][0] == "fr" and got[2][0] == "en" and got[1][1] > 0.5
-    assert got[3] == got[4] == got[6] == ("und", 0.0) and got[5] == ("en", 0.0)
+    assert got[3] == got[4] == got[6] == got[7] == ("und", 0.0) and got[5] == ("en", 0.0)
     assert language_id.identify(docs, model).columns == [*docs.columns, "lang_pred", "lang_score"]
     assert language_id.identify(no_docs, model).count() == 0
     nothing = language_id.fit(no_docs, F.lit(False))

@@ -13,6 +13,7 @@ language does not make its n-grams part of this one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,12 @@ HASHES = 3
 MOST_LABELLED = 20_000     # bound on the labelled rows that fit the filter (about; chosen by a hash)
 UNDETERMINED = "und"
 _STEP = np.random.default_rng(20240604).integers(1, 1 << 62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x3000)])
+
+
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    """For every code point: is it a letter?"""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 class Model(NamedTuple):
@@ -46,7 +52,7 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = [" " + t.lower() + "  " for t in texts]
     size = np.array([len(t) for t in low], np.int64)
     cps = np.frombuffer("".join(low).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-    letter = (cps >= len(_LETTER)) | _LETTER[np.minimum(cps, len(_LETTER) - 1)]
+    letter = _is_letter()[cps]
     doc = np.repeat(np.arange(len(texts)), size)
     letters = np.bincount(doc[letter], minlength=len(texts))
     value = np.where(letter, cps, 32).astype(np.uint64)
