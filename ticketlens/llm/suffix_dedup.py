@@ -13,13 +13,16 @@ smaller id. The work is cut so that no shard needs the whole corpus:
    suffixes that share ``width`` bytes is one string, whose least id goes back to the chunks.
 4. Each chunk marks the windows that have a smaller id elsewhere and removes what they cover.
 
-A passage held by a third of all documents is one entry per chunk, not one per document.
+A passage held by a third of all documents is one entry per chunk, not one per document. Where such a passage meets the
+differing text around it, its anchor has a text of its own per document; the windows of such a hot anchor are
+dealt one by one, by their own text, so that no bucket grows with it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,7 @@ LEAST_BUCKETS = 64
 _BLOCK = 1 << 15              # windows handled at a time
 _SPANS = 1 << 14              # spans handled at a time
 _ANCHOR_BYTES = 5             # of an anchor's hash within its bucket; a clash only adds a candidate
+HOT_RUNS = 1 << 15            # an anchor with more runs has its windows dealt one by one
 _NO_ID = np.iinfo(np.int64).max
 
 _VALUE = np.random.default_rng(20240602).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -102,17 +106,17 @@ def _joined(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else buf[:0]
 
 
-def distinct_spans(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first span of each distinct text, number of its text for every span); exact."""
+def distinct_spans(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first span of each distinct text, number of its text for every span, a hash of each span); exact."""
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     wide = -(-int(size.max()) // 8) * 8
     rows = _matrix(buf, start, size, wide)
     words = rows.view(np.uint64)
     h = size.astype(np.uint64) * _STEP[6]
-    for k in range(words.shape[1]):
-        h = (h ^ words[:, k]) * _STEP[7]
-        h ^= h >> np.uint64(31)
+    for k in range(words.shape[1]):      # only words that the text reaches: the hash is the same in every chunk
+        mixed = (h ^ words[:, k]) * _STEP[7]
+        h = np.where(size > 8 * k, mixed ^ (mixed >> np.uint64(31)), h)
     _, first, number = np.unique(h, return_index=True, return_inverse=True)
     same = True
     for a in range(0, len(size), _SPANS):
@@ -122,7 +126,7 @@ def distinct_spans(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tupl
         full = np.c_[rows, size.astype("<u4").view(np.uint8).reshape(-1, 4)]
         keys = np.ascontiguousarray(full).view(f"V{full.shape[1]}").ravel()
         _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    return first, number
+    return first, number, h
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,26 +164,46 @@ class _Chunk:
         self.anchors, self.anchor = np.unique(anchor, return_inverse=True)
         self.bucket = ((self.anchors >> np.uint64(8 * _ANCHOR_BYTES)) % np.uint64(buckets)).astype(np.int64)
         self.by_bucket = np.argsort(self.bucket, kind="stable")
-        self.width = width
+        self.width, self.buckets = width, buckets
 
-    def shared_runs(self, told: list[tuple[int, bytes]], copies: list[int]) -> np.ndarray:
-        """Runs whose anchor some bucket has called shared, but for those in copies of whole texts."""
+    def _marked(self, told: list[tuple[int, bytes, bytes]], which: int) -> np.ndarray:
+        """Anchors that some bucket has marked, in the order in which they were listed to it."""
         flag = np.zeros(len(self.anchors), bool)
-        cut = np.searchsorted(self.bucket[self.by_bucket], [b for b, _ in told])
-        for at, (_, bits) in zip(cut.tolist(), told, strict=True):
-            one = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+        cut = np.searchsorted(self.bucket[self.by_bucket], [t[0] for t in told])
+        for at, t in zip(cut.tolist(), told, strict=True):
+            one = np.unpackbits(np.frombuffer(t[which], np.uint8), bitorder="little")
             n = min(len(one), len(flag) - at)
-            own = self.by_bucket[at: at + n]
-            flag[own[one[:n] == 1]] = True
+            flag[self.by_bucket[at: at + n][one[:n] == 1]] = True
+        return flag
+
+    def regions(self, told: list[tuple[int, bytes, bytes]], copies: list[int]) -> _Regions:
+        """The texts around shared anchors, but for those in copies of whole texts.
+
+        A run's text goes to the bucket of its anchor. The runs of a hot anchor (one with very many runs in
+        the corpus) stand window by window, each in the bucket of its own text.
+        """
         alone = np.ones(len(self.off), bool)
         alone[copies] = False
-        return np.flatnonzero(flag[self.anchor] & alone[self.doc])
-
-    def regions(self, told: list[tuple[int, bytes]], copies: list[int]):
-        """(runs, span of each distinct region, number of each run's region)."""
-        runs = self.shared_runs(told, copies)
-        first, number = distinct_spans(self.buf, self.start[runs], self.stop[runs] - self.start[runs] + self.width - 1)
-        return runs, runs[first], number
+        runs = np.flatnonzero(self._marked(told, 1)[self.anchor] & alone[self.doc])
+        hot = self._marked(told, 2)[self.anchor[runs]]
+        cold, warm = runs[~hot], runs[hot]
+        each = self.stop[warm] - self.start[warm]
+        place = np.repeat(self.start[warm] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        start = np.r_[self.start[cold], place]
+        windows = np.r_[self.stop[cold] - self.start[cold], np.ones(len(place), np.int64)]
+        doc = np.r_[self.doc[cold], np.repeat(self.doc[warm], each)]
+        first, number, h = distinct_spans(self.buf, start, windows + self.width - 1)
+        own = ((h[len(cold):] >> np.uint64(8)) % np.uint64(self.buckets)).astype(np.int64)
+        return _Regions(start, windows, doc, np.r_[self.bucket[self.anchor[cold]], own], first, number)
+
+
+class _Regions(NamedTuple):
+    start: np.ndarray       # first window of each text
+    windows: np.ndarray     # how many windows it holds
+    doc: np.ndarray         # its document in the chunk
+    bucket: np.ndarray
+    first: np.ndarray       # one of each distinct text
+    number: np.ndarray      # the distinct text of each
 
 
 def _short(hashes: np.ndarray) -> bytes:
@@ -206,13 +230,15 @@ def _copies(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                     "key": [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(off, off[1:], strict=False)]})
 
     rows = stored(chunks.select("chunk", "data").mapInPandas(hashed, "chunk long, row int, id long, key binary"), "texts")
-    first = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (rows.join(first.select("key", "least"), "key").where("id > least")
+    first = stored(rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                   .select("key", "least"), "first-texts")      # a table of its own: Spark can split the join's hot keys
+    return (rows.join(first, "key").where("id > least")
             .groupBy("chunk").agg(F.collect_list("row").alias("copies")))
 
 
-def _shared_anchors(chunks: DataFrame, make, copies: DataFrame) -> DataFrame:
-    """(chunk, told: array of (bucket, bits), copies): which of a chunk's anchors occur in two documents or more."""
+def _shared_anchors(chunks: DataFrame, make, copies: DataFrame, hot_runs: int) -> DataFrame:
+    """(chunk, told: array of (bucket, bits, hot), copies): which of a chunk's anchors occur in two documents or
+    more, and which have more than ``hot_runs`` runs."""
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -220,12 +246,14 @@ def _shared_anchors(chunks: DataFrame, make, copies: DataFrame) -> DataFrame:
                 c = make(data)
                 pairs = np.unique(c.anchor.astype(np.int64) * len(c.off) + c.doc)
                 many = np.bincount(pairs // len(c.off), minlength=len(c.anchors)) > 1
+                times = np.minimum(np.bincount(c.anchor, minlength=len(c.anchors)), 255).astype(np.uint8)
                 order = c.by_bucket
                 cut = np.flatnonzero(np.r_[True, np.diff(c.bucket[order]) > 0]) if len(order) else np.zeros(0, int)
                 yield pd.DataFrame({
                     "bucket": c.bucket[order][cut], "chunk": chunk,
                     "anchors": [_short(x) for x in np.split(c.anchors[order], cut[1:])] if len(cut) else [],
-                    "many": [np.packbits(x, bitorder="little").tobytes() for x in np.split(many[order], cut[1:])] if len(cut) else []})
+                    "many": [np.packbits(x, bitorder="little").tobytes() for x in np.split(many[order], cut[1:])] if len(cut) else [],
+                    "times": [x.tobytes() for x in np.split(times[order], cut[1:])] if len(cut) else []})
 
     def told(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [_long(x) for x in pdf["anchors"]]
@@ -234,13 +262,17 @@ def _shared_anchors(chunks: DataFrame, make, copies: DataFrame) -> DataFrame:
         _, number, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         shared = count > 1
         shared |= np.bincount(number[np.concatenate(flags)], minlength=len(count)) > 0
-        split = np.split(shared[number], np.cumsum([len(a) for a in lists])[:-1])
-        out = pdf[["chunk", "bucket"]].assign(bits=[np.packbits(x, bitorder="little").tobytes() if x.any() else None for x in split])
+        times = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["times"]])
+        hot = np.bincount(number, times, len(count)) > hot_runs
+        ends = np.cumsum([len(a) for a in lists])[:-1]
+        out = pdf[["chunk", "bucket"]].assign(
+            bits=[np.packbits(x, bitorder="little").tobytes() if x.any() else None for x in np.split(shared[number], ends)],
+            hot=[np.packbits(x, bitorder="little").tobytes() if x.any() else b"" for x in np.split(hot[number], ends)])
         return out[out["bits"].notna()]
 
-    lists = chunks.select("chunk", "data").mapInPandas(listed, "bucket long, chunk long, anchors binary, many binary")
-    told = (lists.groupBy("bucket").applyInPandas(told, "chunk long, bucket long, bits binary")
-            .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")))
+    lists = chunks.select("chunk", "data").mapInPandas(listed, "bucket long, chunk long, anchors binary, many binary, times binary")
+    told = (lists.groupBy("bucket").applyInPandas(told, "chunk long, bucket long, bits binary, hot binary")
+            .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("told")))
     return stored(told.join(copies, "chunk", "full"), "shared-anchors")
 
 
@@ -276,19 +308,18 @@ def _least_ids(chunks: DataFrame, told: DataFrame, make, width: int) -> DataFram
         for pdf in batches:
             for chunk, data, bits, copies in zip(pdf["chunk"], pdf["data"], pdf["told"], pdf["copies"], strict=True):
                 c = make(data)
-                runs, spans, number = c.regions(_sorted_told(bits), _row_list(copies))
-                if not len(runs):
+                r = c.regions(_sorted_told(bits), _row_list(copies))
+                if not len(r.first):
                     continue
-                least, most = np.full(len(spans), _NO_ID), np.full(len(spans), np.iinfo(np.int64).min)
-                np.minimum.at(least, number, c.ids[c.doc[runs]])
-                np.maximum.at(most, number, c.ids[c.doc[runs]])
-                size = c.stop[spans] - c.start[spans] + width - 1
-                bucket = c.bucket[c.anchor[spans]]
+                least, most = np.full(len(r.first), _NO_ID), np.full(len(r.first), np.iinfo(np.int64).min)
+                np.minimum.at(least, r.number, c.ids[r.doc])
+                np.maximum.at(most, r.number, c.ids[r.doc])
+                start, size, bucket = r.start[r.first], r.windows[r.first] + width - 1, r.bucket[r.first]
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
                 rows = []
                 for own in np.split(order, cut[1:]):
-                    text = _joined(c.buf, c.start[spans[own]], size[own]).tobytes()
+                    text = _joined(c.buf, start[own], size[own]).tobytes()
                     rows.append((int(bucket[own[0]]), chunk, own.astype("<u4").tobytes(), size[own].astype("<u2").tobytes(),
                                  least[own].tobytes(), most[own].tobytes(), pa.compress(text, "zstd", asbytes=True)))
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "number", "size", "least", "most", "text"])
@@ -303,7 +334,7 @@ def _least_ids(chunks: DataFrame, told: DataFrame, make, width: int) -> DataFram
         text = np.concatenate([np.frombuffer(pa.decompress(x, n, "zstd", asbytes=True), np.uint8)
                                for x, n in zip(pdf["text"], lengths, strict=True)])
         start = np.cumsum(size) - size
-        first, same = distinct_spans(text, start, size)
+        first, same, _ = distinct_spans(text, start, size)
         ids = np.full(len(first), _NO_ID)
         np.minimum.at(ids, same, least)
         text = _joined(text, start[first], size[first])
@@ -335,8 +366,8 @@ def _least_ids(chunks: DataFrame, told: DataFrame, make, width: int) -> DataFram
                   .groupBy("chunk").agg(F.collect_list(F.struct("number", "begin", "stop", "least")).alias("runs")), "least-ids")
 
 
-def _sorted_told(bits) -> list[tuple[int, bytes]]:
-    return sorted((t["bucket"], t["bits"]) for t in bits) if bits is not None else []
+def _sorted_told(bits) -> list[tuple[int, bytes, bytes]]:
+    return sorted((t["bucket"], t["bits"], t["hot"]) for t in bits) if bits is not None else []
 
 
 def _row_list(rows) -> list[int]:
@@ -347,7 +378,8 @@ RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                   bucket_bytes: int = BUCKET_BYTES, whole_characters: bool = False) -> DataFrame:
+                   bucket_bytes: int = BUCKET_BYTES, whole_characters: bool = False,
+                   hot_runs: int = HOT_RUNS) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes).
 
     Texts are UTF-8 bytes; a null is an empty text. A null id counts as greater than any other. Rows that share an id
@@ -365,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def make(data: bytes) -> _Chunk:
         return _Chunk(data, id_col, text_col, width, buckets)
 
-    told = _shared_anchors(chunks, make, _copies(chunks, id_col, text_col))
+    told = _shared_anchors(chunks, make, _copies(chunks, id_col, text_col), hot_runs)
     runs = _least_ids(chunks, told, make, width)
     schema = extended(docs.schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
     arrow = to_arrow_schema(schema)
@@ -386,22 +418,22 @@ def _clean(c: _Chunk, bits: list, copies: list[int], lists: list, arrow: pa.Sche
     n = len(c.off) - 1
     start = end = np.zeros(0, np.int64)
     if lists:
-        runs, spans, number = c.regions(bits, copies)
+        r = c.regions(bits, copies)
         region = np.concatenate([np.frombuffer(x["number"], "<u4") for x in lists]).astype(np.int64)
         begin = np.concatenate([np.frombuffer(x["begin"], np.uint8) for x in lists]).astype(np.int64)
         stop = np.concatenate([np.frombuffer(x["stop"], np.uint8) for x in lists]).astype(np.int64)
         least = np.concatenate([np.frombuffer(x["least"], np.int64) for x in lists])
         order = np.argsort(region, kind="stable")
         region, begin, stop, least = region[order], begin[order], stop[order], least[order]
-        lo, hi = np.searchsorted(region, number, "left"), np.searchsorted(region, number, "right")
+        lo, hi = np.searchsorted(region, r.number, "left"), np.searchsorted(region, r.number, "right")
         each = hi - lo
-        of = np.repeat(np.arange(len(runs)), each)
+        of = np.repeat(np.arange(len(r.number)), each)
         k = np.repeat(lo, each) + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-        lost = least[k] < c.ids[c.doc[runs[of]]]
+        lost = least[k] < c.ids[r.doc[of]]
         of, k = of[lost], k[lost]
-        gap = c.doc[runs[of]]           # one free place between documents keeps their spans apart
-        start = c.start[runs[of]] + begin[k] + gap
-        end = c.start[runs[of]] + stop[k] + c.width - 1 + gap
+        gap = r.doc[of]                 # one free place between documents keeps their spans apart
+        start = r.start[of] + begin[k] + gap
+        end = r.start[of] + stop[k] + c.width - 1 + gap
     # a copy loses all of its text, if that holds a string of the width at all
     whole = np.array([k for k in copies if c.off[k + 1] - c.off[k] >= c.width], np.int64)
     start, end = merged_spans(np.r_[start, c.off[whole] + whole], np.r_[end, c.off[whole + 1] + whole])
