@@ -78,12 +78,6 @@ def word_count(c: str | Column) -> Column:
     )
 
 
-def word_count_any(c: str | Column) -> Column:
-    """Word count of arbitrary text (runs of whitespace, leading/trailing ignored)."""
-    t = F.regexp_replace(_col(c), _WS_TO_FIX, " ")
-    return word_count(F.trim(t))
-
-
 def complexity(text: str | Column) -> Column:
     n = word_count(text)
     return (
