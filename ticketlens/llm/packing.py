@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import STEP_BYTES, extended, stored
+from ticketlens.llm.common import STEP_BYTES, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -253,13 +253,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = ranked(pieces, max(64, parts), [id_col, "piece", "start", "ids_crc32"])
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = runs["size"] << 44 | runs["lo"]
-        for pdf in batches:
-            size, rank = pdf["length"].to_numpy(), pdf["_rank"].to_numpy()
-            run = np.searchsorted(key, size << 44 | rank, "right") - 1
-            yield pdf[columns].assign(sequence_id=runs["seq"][run] + rank - runs["lo"][run], offset=runs["offset"][run])
+    key = runs["size"] << 44 | runs["lo"]
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        """Only two numbers of a piece go to Python; its ids, if any, stay where they are."""
+        size, rank = size.to_numpy(), rank.to_numpy()
+        run = np.searchsorted(key, size << 44 | rank, "right") - 1
+        return pd.DataFrame({"sequence_id": runs["seq"][run] + rank - runs["lo"][run], "offset": runs["offset"][run]})
 
     columns = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    schema = extended(pieces.select(*columns).schema, sequence_id="long", offset="long")
-    return base.select(*columns, "_rank").mapInPandas(placed, schema)
+    return (base.withColumn("_place", placed("length", "_rank"))
+            .select(*columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset")))
