@@ -37,7 +37,7 @@ from ticketlens.llm.induced_sort import sorted_suffixes
 
 WIDTH = 50
 ANCHOR = 16
-BUCKET_BYTES = 8 << 20        # text bytes per bucket
+BUCKET_BYTES = 4 << 20        # text bytes per bucket
 LEAST_BUCKETS = 64
 _BLOCK = 1 << 15              # windows handled at a time
 _SPANS = 1 << 14              # spans handled at a time
