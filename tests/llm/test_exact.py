@@ -313,6 +313,50 @@ def test_bins_are_complete_and_few(seed):
     assert bins <= 1.02 * max(over_half, -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)) + 1
 
 
+@pytest.mark.parametrize("n", [1, 7, 300])
+def test_completion_returns_to_other_fillings(n):
+    counts = np.zeros(2049, np.int64)
+    counts[[916, 838, 816, 674, 636, 596, 570, 562, 536]] = n
+    assert sum(k for _, k in packing.complete_bins(counts, 2048)) == 3 * n == packing.lower_bound(counts, 2048)
+
+
+def fewest_bins(items, capacity):
+    """By trying every place of every item, the largest first."""
+    best = [len(items)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for j in {room: j for j, room in enumerate(rooms) if room >= items[k]}.values():
+            place(k + 1, [*rooms[:j], rooms[j] - items[k], *rooms[j + 1:]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    items = sorted(items, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_completion_is_optimal_on_small_inputs():
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        capacity = int(r.integers(10, 60))
+        items = r.integers(max(1, capacity // 8), capacity * 2 // 3 + 1, int(r.integers(3, 13))).tolist()
+        counts = np.bincount(items, minlength=capacity + 1)
+        made = packing.complete_bins(counts, capacity)
+        assert sum(k for _, k in made) == fewest_bins(items, capacity) >= packing.lower_bound(counts, capacity)
+        assert sorted(s for f, k in made for s in f * k) == sorted(items) and all(sum(f) <= capacity for f, _ in made)
+
+
+def test_least_waste_beyond_the_node_limit(monkeypatch):
+    counts = np.bincount([997, 601, 499, 303, 205, 107], minlength=2049)
+    want = packing._filling(counts, 1500, np.flatnonzero(counts))
+    monkeypatch.setattr(packing, "NODES", 1)
+    assert sum(packing._filling(counts, 1500, np.flatnonzero(counts))) == sum(want) == 1496
+
+
 def test_packing_no_documents(no_docs):
     assert packing.pack(no_docs, tokenizer_path()).count() == 0
 

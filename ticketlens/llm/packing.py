@@ -2,10 +2,11 @@
 
 Documents become token ids once, in the tasks; ids longer than a sequence are cut into full pieces, the first
 piece holding the remainder. What the packing needs of the corpus is the number of pieces per length: at most
-``capacity`` numbers. On them, bin completion runs: the largest length left is completed by a
-branch and bound over the undominated fillings of the room it leaves, pruned by the waste that can
-still be reached, with the best-fit filling as the first incumbent; the filling found is used as often as the
-counts allow. The result is a list of patterns. Every piece then finds its sequence and
+``capacity`` numbers. On them, bin completion runs: best fit is the incumbent, and for a number of sequences
+between the lower bound and the incumbent's, a depth-first search completes the largest length left by one of its
+undominated fillings, least waste first, as often as the counts allow, and returns to the others (and to fewer
+uses) once the waste exceeds what that number allows. The search of one number ends after STATES steps; up to there it is
+exact. The result is a list of patterns. Every piece then finds its sequence and
 place from its rank among the pieces of its length, so no task and no driver ever holds the pieces of a
 length together.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,8 @@ from ticketlens.llm.common import STEP_BYTES, stored
 
 CAPACITY = 2048
 END_ID = 0
-NODES = 4000          # nodes of the search for one filling; the incumbent stands beyond
+NODES = 4000          # nodes of the depth-first search for one filling; sums by dynamic programming beyond
+STATES = 10000        # fillings tried for one number of sequences; the next number is tried beyond
 
 
 @lru_cache(maxsize=4)
@@ -141,13 +144,78 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [g for room in groups.values() for g in room]
 
 
+def _sums(counts: np.ndarray, room: int, sizes: list[int]) -> list[int]:
+    """Bit sets: entry k has bit x where pieces of sizes[:k] can sum to x, x at most ``room``."""
+    whole = (1 << (room + 1)) - 1
+    out = [1]
+    for size in sizes:
+        bits, many, step = out[-1], min(int(counts[size]), room // size), 1
+        while many:
+            step = min(step, many)
+            bits |= bits << step * size & whole
+            many -= step
+            step *= 2
+        out.append(bits)
+    return out
+
+
+def _of_sum(counts: np.ndarray, sums: list[int], sizes: list[int], total: int) -> Iterator[list[int]]:
+    """All multisets of pieces that sum to ``total``, those with more of the larger pieces first."""
+    def options(k: int, left: int) -> Iterator[int]:
+        size = sizes[k]
+        return iter(range(min(int(counts[size]), left // size), -1, -1))
+
+    if not total:
+        yield []
+        return
+    path: list[tuple[int, int]] = []
+    frames = [(len(sizes) - 1, total, options(len(sizes) - 1, total))] if sizes else []
+    while frames:
+        k, left, many = frames[-1]
+        n = next((n for n in many if sums[k] >> (left - n * sizes[k]) & 1), None)
+        if n is None:
+            frames.pop()
+            if frames:
+                path.pop()
+            continue
+        left -= n * sizes[k]
+        if left:
+            path.append((sizes[k], n))
+            frames.append((k - 1, left, options(k - 1, left)))
+        else:
+            yield [s for s, m in [*path, (sizes[k], n)] for _ in range(m)]
+
+
+def _dominated(filling: list[int], waste: int, counts: np.ndarray, room: int) -> bool:
+    """Whether an unused piece can take the place of nothing, of one smaller piece or of several that sum to no more."""
+    free = counts[: room + 1].copy()
+    for size in filling:
+        free[size] -= 1
+    unused = sum(1 << int(x) for x in np.flatnonzero(free > 0))
+    one, several = 1, 0       # bit x: no piece or one piece of x; two or more that sum to x
+    for size in filling:
+        several |= several << size | (one & ~1) << size
+        one |= 1 << size
+
+    def up_to(bits: int, least: int) -> int:
+        """Each bit moved up by every step from ``least`` to ``waste``."""
+        out, width = bits, 1
+        steps = waste - least + 1
+        while width < steps:
+            more = min(width, steps - width)
+            out |= out << more
+            width += more
+        return out << least if steps > 0 else 0
+
+    return bool(unused & (up_to(one, 1) | up_to(several, 0)))
+
+
 def _filling(counts: np.ndarray, room: int, sizes: np.ndarray) -> list[int]:
-    """An undominated filling of ``room`` with the least waste found.
+    """A filling of ``room`` with the least waste.
 
     Depth-first from the largest length that fits, so best fit is the first incumbent. A branch is cut when all
-    pieces it may still use leave as much waste as the incumbent has. A filling that a larger or a further piece
-    would improve is dominated: it has more waste than the one with that piece, so it never
-    becomes the incumbent for good.
+    pieces it may still use leave as much waste as the incumbent has. Where that takes more than NODES nodes, the
+    reachable sums decide.
     """
     supply = np.cumsum(counts[sizes] * sizes)
     best: list[int] = []
@@ -173,38 +241,127 @@ def _filling(counts: np.ndarray, room: int, sizes: np.ndarray) -> list[int]:
         frames.pop()
         if path and frames:
             used[path.pop()] -= 1
+    if least and not nodes:
+        own = [int(s) for s in sizes if s <= room and counts[s]]
+        sums = _sums(counts, room, own)
+        if room - sums[-1].bit_length() + 1 < least:
+            best = next(_of_sum(counts, sums, own, sums[-1].bit_length() - 1))
     return best
 
 
-def complete_bins(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Bin completion on counts per length; best fit's packing where that needs fewer sequences."""
-    incumbent = best_fit(counts, capacity)
-    most = sum(n for _, n in incumbent)
-    spare = most * capacity - int((counts * np.arange(capacity + 1)).sum())
-    left = counts.copy()
-    made: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        made.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """No packing has fewer sequences: total over capacity, and the same with every piece over half in its own
+    sequence and pieces below k left out, for the best k."""
+    size = np.arange(capacity + 1)
+    n, total = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * size)]
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    large = n[-1] - n[half + 1]                               # pieces over half
+    room = (n[capacity - k + 1] - n[half + 1]) * capacity - (total[capacity - k + 1] - total[half + 1])
+    small = total[half + 1] - total[k]                        # pieces from k to half
+    return max(int((large + np.maximum(0, -(-(small - room) // capacity))).max()), -(-int(total[-1]) // capacity))
+
+
+def _choices(left: np.ndarray, capacity: int, spare: int, tries: list[int]) -> Iterator[tuple[list[int], int, int]]:
+    """(pieces, times, waste) for the largest length left: the least waste first, then every other undominated
+    filling within ``spare``, all as often as possible; then the same less often. ``left`` is as it was at every step."""
     sizes = np.flatnonzero(left)
-    while len(sizes):
-        large = int(sizes[-1])
-        left[large] -= 1
-        filling = [large, *_filling(left, capacity - large, sizes)]
-        left[large] += 1
+    large = int(sizes[-1])
+    room = capacity - large
+
+    def times(filling: list[int], waste: int) -> int:
         need: dict[int, int] = {}
         for s in filling:
             need[s] = need.get(s, 0) + 1
-        times = min(int(left[s]) // n for s, n in need.items())
-        made.append((tuple(filling), times))
-        spare -= (capacity - sum(filling)) * times
-        if spare < 0:
-            return incumbent          # more waste by now than best fit has in all
-        for s, n in need.items():
-            left[s] -= n * times
-        if any(not left[s] for s in need):
-            sizes = np.flatnonzero(left)
-    return made
+        most = min(int(left[s]) // n for s, n in need.items())
+        return min(most, spare // waste) if waste else most
+
+    less = left.copy()
+    less[large] -= 1
+    first = _filling(less, room, sizes)
+    waste = room - sum(first)
+    if waste > spare:
+        return
+    kept = [([large, *first], waste)]
+    yield kept[0][0], times(*kept[0]), waste
+    own = [int(s) for s in sizes if s <= room and less[s]]
+    sums = _sums(less, room, own)
+    for waste in range(waste, min(spare, room) + 1):
+        if not sums[-1] >> (room - waste) & 1:
+            continue
+        for filling in _of_sum(less, sums, own, room - waste):
+            tries[0] -= 1
+            if tries[0] <= 0:
+                return
+            if sorted(filling) == sorted(first) or _dominated(filling, waste, less, room):
+                continue
+            kept.append(([large, *filling], waste))
+            yield kept[-1][0], times(*kept[-1]), waste
+    for filling, waste in kept:
+        for n in range(times(filling, waste) - 1, 0, -1):
+            yield filling, n, waste
+
+
+def _within(counts: np.ndarray, capacity: int, most: int, states: int) -> list[tuple[tuple[int, ...], int]] | None:
+    """A packing into ``most`` sequences or fewer; None where there is none or ``states`` tries found none."""
+    spare = most * capacity - int((counts * np.arange(capacity + 1)).sum())
+    if spare < 0:
+        return None
+    left, tries = counts.copy(), [states]
+    made: list[tuple[list[int], int, int]] = []
+    failed: dict[bytes, int] = {}          # counts from which no packing with that much spare waste exists
+
+    def state() -> bytes:
+        return blake2b(left.tobytes(), digest_size=16).digest()
+
+    def put(filling: list[int], n: int) -> None:
+        for s in filling:
+            left[s] -= n
+
+    if not left.any():
+        return []
+    frames = [_choices(left, capacity, spare, tries)]
+    while frames:
+        pick = next(frames[-1], None)
+        tries[0] -= 1
+        if tries[0] <= 0:
+            return None
+        if pick is None:
+            frames.pop()
+            failed[state()] = spare
+            if made:
+                filling, n, waste = made.pop()
+                put(filling, -n)
+                spare += waste * n
+            continue
+        filling, n, waste = pick
+        put(filling, n)
+        if not left.any():
+            return [(tuple(f), k) for f, k, _ in [*made, pick]]
+        if failed.get(state(), -1) >= spare - waste * n:
+            put(filling, -n)
+            continue
+        made.append(pick)
+        spare -= waste * n
+        frames.append(_choices(left, capacity, spare, tries))
+    return None
+
+
+def complete_bins(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion on counts per length; best fit's packing where no search finds fewer sequences.
+
+    Numbers of sequences are tried from the lower bound on, in steps that double as long as none is found.
+    """
+    incumbent = best_fit(counts, capacity)
+    most = sum(n for _, n in incumbent)
+    least, step = lower_bound(counts, capacity), 1
+    while least < most:
+        goal = min(least + step - 1, most - 1)
+        made = _within(counts, capacity, goal, STATES)
+        if made is None:
+            least, step = goal + 1, step * 2
+        else:
+            incumbent, most, step = made, sum(n for _, n in made), 1
+    return incumbent
 
 
 def _places(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, np.ndarray]:
