@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ticketlens.llm import language_id, quality, queries, syncmers, toxicity
 from ticketlens.llm.common import crc_mod
+from ticketlens.llm.queries import tokenizer_path
 from tests.llm.conftest import prose
 from tests.llm.test_exact import brute_classes, brute_fingerprint, brute_hits, brute_removed
 
@@ -258,6 +259,22 @@ def test_stages_against_brute_force(spark, docs, texts, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {i for i, _ in texts}
 
 
+def test_packed_stage_carries_the_ids_of_every_row(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    rows = [(None, "no id"), (None, "no id"), (None, "other"), (7, "again"), (7, "again"), (8, None), (9, "word " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = dict(corpus_pipeline.STAGES)["best-fit packing"](spark, docs, str(tmp_path)).collect()
+    starts = sorted((str(r["doc_id"]), tuple(r["ids"])) for r in packed if r["doc_id"] != 9)
+    assert starts == sorted((str(i), (*own.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows if i != 9)
+    long = [x for r in sorted((r for r in packed if r["doc_id"] == 9), key=lambda r: r["piece"]) for x in r["ids"]]
+    assert long == [*own.encode("word " * 5000, add_special_tokens=False).ids, 0]
+    assert all(len(r["ids"]) == r["length"] for r in packed)
+    places = {(r["sequence_id"], r["offset"] + k) for r in packed for k in range(r["length"])}
+    assert len(places) == sum(r["length"] for r in packed)
+
+
 def test_pipeline_runs_over_a_whole_table(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     by = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))

@@ -402,23 +402,29 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     A null or empty text is the end id alone. Null ids and repeated rows are packed like any row (equal pieces take
     either place); an empty table gives an empty result. Other columns are not read.
     """
-    pieces = stored(token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids), "pieces")
+    made = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids)
+    pieces = stored(made.withColumn("_row", F.monotonically_increasing_id()) if with_ids else made, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in pieces.groupBy("length").count().collect():     # at most `capacity` rows
         counts[size] = n
     runs = _places(complete_bins(counts, capacity), capacity)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = ranked(pieces, max(64, parts), [id_col, "piece", "start", "ids_crc32"])
+    base = ranked(pieces.drop("ids"), max(64, parts), [id_col, "piece", "start", "ids_crc32"])
 
     key = runs["size"] << 44 | runs["lo"]
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        """Only two numbers of a piece go to Python; its ids, if any, stay where they are."""
+        """Only two numbers of a piece go to Python."""
         size, rank = size.to_numpy(), rank.to_numpy()
         run = np.searchsorted(key, size << 44 | rank, "right") - 1
         return pd.DataFrame({"sequence_id": runs["seq"][run] + rank - runs["lo"][run], "offset": runs["offset"][run]})
 
-    columns = [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    return (base.withColumn("_place", placed("length", "_rank"))
-            .select(*columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset")))
+    columns = [id_col, "piece", "start", "length", "ids_crc32"]
+    place = [F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset")]
+    at = base.withColumn("_place", placed("length", "_rank"))
+    if not with_ids:
+        return at.select(*columns, *place)
+    # The ids pass one exchange and no sort: they meet the narrow rows' hash table, by the key they were stored with.
+    narrow = at.select("_row", *place).hint("shuffle_hash")
+    return pieces.join(narrow, "_row").select(*columns, "ids", "sequence_id", "offset")
