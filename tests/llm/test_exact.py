@@ -88,6 +88,19 @@ def test_simhash_classes(docs, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in texts if classes[i] == i)
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    from tests.llm.conftest import prose
+
+    alone, all_null, mixed, low, other = (prose(40, 900 + k) for k in range(5))
+    rows = [(None, alone), (None, all_null), (None, all_null), (None, mixed), (6, mixed), (5, mixed),
+            (1, low), (7, low), (7, other), (7, other), (9, other), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    want = [(None, alone), (None, all_null), (5, mixed), (1, low), (7, other), (7, other), (None, "")]
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted((str(i), t) for i, t in want)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_trie_join_finds_all_pairs(seed):
     r = np.random.default_rng(seed)

@@ -48,19 +48,26 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long; null, empty and blank texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 with_md5: bool = False) -> DataFrame:
+    """(id, fp) and, on demand, the text's md5: the fingerprint as a signed long; null, empty and blank texts have 0."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
             raw, off = buf.tobytes(), off.tolist()
             fps = [fingerprint(raw[a:b], shingle) for a, b in zip(off, off[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))],
-                                             names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                                              *batch.columns[2:]], names=[id_col, "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        hashed, f"`{id_col}` long, fp long")
+    more = [_md5(text_col).alias("md5")] if with_md5 else []
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"), *more).mapInArrow(
+        hashed, f"`{id_col}` long, fp long" + (", md5 string" if with_md5 else ""))
+
+
+def _md5(text_col: str):
+    """The text's md5; a null is an empty text."""
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
 
 
 class Trie:
@@ -278,18 +285,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. Other columns are not read.
     """
     marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    roots = component_roots(close_links(classes, budget))
-    rooted = stored(classes.join(roots, F.col("fp") == F.col("node"), "left")
-                    .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _rooted(marked, id_col, budget)
     named = (rooted.groupBy("root").agg(F.min("least").alias("component_id"))
              .join(rooted.select("fp", "root"), "root").select("fp", "component_id"))
     return (marked.join(named, "fp")
             .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document (the least id) of each class. Of rows that share that id, all stay."""
-    kept = (near_duplicates(docs, id_col, text_col, **options)
-            .where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+def _rooted(marked: DataFrame, id_col: str, budget: int) -> DataFrame:
+    """(fp, least, root): every fingerprint with its least id and the least fingerprint of its class."""
+    classes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    roots = component_roots(close_links(classes, budget))
+    return stored(classes.join(roots, F.col("fp") == F.col("node"), "left")
+                  .select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                budget: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each class: the least id, a null after every other, and of one id the least md5 of the text.
+
+    Of rows that repeat that id with that text (one document read twice), all stay; of null ids, one row.
+    """
+    marked = stored(fingerprints(docs, id_col, text_col, shingle, with_md5=True), "fingerprints")
+    rooted = _rooted(marked, id_col, budget)
+    least = F.min(F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), "md5")).alias("k")
+    each = marked.groupBy("fp").agg(least).join(rooted.select("fp", "root"), "fp")
+    kept = stored(each.groupBy("root").agg(F.min("k").alias("k"))
+                  .select("k.nameless", F.col("k.id").alias("_id"), F.col("k.md5").alias("_md5")), "kept")
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_md5": _md5(text_col)})
+    named = keyed.where(F.col(id_col).isNotNull()).join(kept.where("not nameless"), ["_id", "_md5"], "left_semi")
+    nameless = (keyed.where(F.col(id_col).isNull()).join(kept.where("nameless"), "_md5", "left_semi")
+                .dropDuplicates(["_md5"]))
+    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
