@@ -33,6 +33,16 @@ def test_shards_hold_near_equal_bytes_and_gapless_slots(docs, texts):
     assert set(by) <= set(range(4))
 
 
+def test_sharded_rows_keep_every_column(docs):
+    rows = histogram_sort.shard_documents(docs, shards=4)
+    assert rows.columns == [*docs.columns, "shard", "slot"]
+    assert sorted(map(str, rows.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    places = {(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in rows.collect()}
+    assert len({p[2:] for p in places}) == len(places) == docs.count()
+    assert {(i, s, n) for i, _, s, n in places} == {
+        (r["doc_id"], r["shard"], r["slot"]) for r in histogram_sort.shard_by_bytes(docs, shards=4).collect()}
+
+
 def test_shards_of_even_rows_are_even(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lpad(F.col("id").cast("string"), 99, "x").alias("text"))
     sizes = [r["b"] for r in histogram_sort.shard_by_bytes(df).groupBy("shard").agg(F.sum("size").alias("b")).collect()]

@@ -101,23 +101,19 @@ def _splitters(narrow: DataFrame, cells: int, tolerance: float) -> tuple[list[in
     return splitters, _count(narrow, splitters)
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
-                   tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per input row: id, size, text_crc32, shard, slot.
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
+                    tolerance: float = TOLERANCE) -> DataFrame:
+    """``docs``, all columns, with shard and slot; whole rows are exchanged once, by cell.
 
-    size is the text's UTF-8 bytes plus 1 (null: 1). Shards hold near-equal bytes: each boundary is
+    A row weighs its text's UTF-8 bytes plus 1 (null: 1). Shards hold near-equal bytes: each boundary is
     within ``tolerance`` of a shard's mean bytes or at the nearest row. Slots are gapless from 0 in a shard, in
     the order (text hash, id). A null id sorts first; rows with equal id and text stay
-    together in either order; an empty table gives an empty result. Other columns are not read.
+    together in either order; an empty table gives an empty result. Columns named shard or slot are replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = stored(docs.select(
-        F.col(id_col).cast("long").alias(id_col),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("_h"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
-    ), "histogram-sort")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = {"_h": F.xxhash64(text), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))}
+    narrow = stored(docs.select((F.octet_length(text).cast("long") + 1).alias("size"),
+                                *(c.alias(name) for name, c in key.items())), "histogram-sort")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per = max(8, -(-parts // shards))
     total = narrow.agg(F.sum("size")).first()[0] or 0
@@ -129,18 +125,25 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         before.append(at)
         at += rows.get(cell, 0)
     bounds = np.array([_as_key(s) for s in splitters], "S16")
-    columns = [id_col, "size", "text_crc32", "_h", "_id"]
 
-    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["_cell"] = (np.searchsorted(bounds, _keys(pdf), "right") if len(bounds)
-                            else np.zeros(len(pdf))).astype(np.int32)
-            yield pdf[[*columns, "_cell"]]
+    @F.pandas_udf("int")
+    def cell_of(h: pd.Series, i: pd.Series) -> pd.Series:
+        """Only the key of a row goes to Python."""
+        keys = _keys(pd.DataFrame({"_h": h, "_id": i}))
+        return pd.Series((np.searchsorted(bounds, keys, "right") if len(bounds) else np.zeros(len(keys))).astype(np.int32))
 
-    schema = f"`{id_col}` long, size long, text_crc32 long, _h long, _id long, _cell int"
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", "_id"))
     start = F.element_at(F.lit(before), F.col("_cell") + 1)
-    return (narrow.select(*columns).mapInPandas(celled, schema)
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    return (docs.select(*columns).withColumns(key).withColumn("_cell", cell_of("_h", "_id"))
             .withColumn("slot", start.cast("long") + rank - 1)
-            .select(id_col, "size", "text_crc32",
-                    F.floor(F.col("_cell") / per).cast("int").alias("shard"), "slot"))
+            .select(*columns, F.floor(F.col("_cell") / per).cast("int").alias("shard"), "slot"))
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
+                   tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per input row: id, size, text_crc32, shard, slot, from the rows of ``shard_documents``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return shard_documents(docs, shards, id_col, text_col, tolerance).select(
+        F.col(id_col).cast("long").alias(id_col), (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "slot")

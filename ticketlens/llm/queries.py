@@ -23,8 +23,10 @@ def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near-equal bytes over all documents."""
-    placed = histogram_sort.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    placed = histogram_sort.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return placed.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
+                         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
