@@ -191,6 +191,25 @@ def test_decontamination_finds_every_window(spark, docs, texts, block_words):
     assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in got if not r[-1]]
 
 
+def test_test_blocks_are_shipped_one_after_the_other(spark, docs, monkeypatch):
+    alive, most = [], []
+    ship = type(spark.sparkContext).broadcast
+
+    def shipped(context, value):
+        block = ship(context, value)
+        end = block.destroy
+        alive.append(block)
+        most.append(len(alive))
+        block.destroy = lambda *a: (alive.remove(block), end(*a))
+        return block
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", shipped)
+    items = spark.createDataFrame([(k, f"item {k} of some words") for k in range(4)], "item_id long, text string")
+    found = decontaminate.find_matches(docs, items, block_words=5)
+    assert len(most) == 4 and max(most) == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_longest_match_reaches_past_the_window(spark):
     words = [f"w{k}" for k in range(40)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(words[5:30]) + " c")], "doc_id long, text string")

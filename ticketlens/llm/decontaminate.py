@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import merged_spans, steps, text_bytes
+from ticketlens.llm.common import merged_spans, steps, stored, text_bytes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -174,7 +174,7 @@ class TestBlock:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[TestBlock]:
-    """Test items in blocks of at most ``most`` words (an item with more stands alone)."""
+    """Test items in blocks of at most ``most`` words (an item with more stands alone); an empty block where there is no item."""
     ids, lists, held = [], [], 0
     for row in items.select(id_col, text_col).toLocalIterator():
         raw = np.frombuffer((row[1] or "").encode(), np.uint8)
@@ -185,8 +185,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int
         ids.append("" if row[0] is None else str(row[0]))
         lists.append(words)
         held += len(words)
-    if ids:
-        yield TestBlock(ids, lists, window)
+    yield TestBlock(ids, lists, window)      # never left out: a full block is given only when an item follows it
 
 
 FOUND = ("n_words", "hit_spans", "items")
@@ -200,7 +199,8 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
 
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is
     one window. Null and empty texts have no words. Input columns named like a result
-    column are replaced; repeated rows are treated alike; an empty test set finds nothing.
+    column are replaced; repeated rows are treated alike; an empty test set finds nothing. Blocks of the test set are
+    searched one after the other, what they find is stored between them: one block at a time is at the driver and the executors.
     """
     docs = docs.drop(*FOUND)
     spans = "array<struct<begin:int,end:int,longest:int>>"
@@ -208,9 +208,13 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
                         F.lit(None).cast("array<string>").alias("items"))
     schema = found.schema
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in _blocks(items, item_id_col, item_text_col, window, block_words)]
     arrow = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("longest", pa.int32())])
-    for block in blocks or [context.broadcast(TestBlock([], [], window))]:
+    before = None
+    for made in _blocks(items, item_id_col, item_text_col, window, block_words):
+        if before is not None:      # the block before is done and released before this one is shipped
+            found = stored(found, "decontaminate")
+            before.destroy()
+        before = block = context.broadcast(made)
 
         def searched(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             test = block.value
