@@ -2,8 +2,8 @@
 
 A text is a sequence of tokens (runs of non-space characters, cut every eight). Its k-mers are k neighbouring tokens; a
 k-mer is chosen when the least hash among its inner s-mers is that of the first or the last one. The choice looks
-at nothing outside the k-mer, so the same passage gives the same anchors wherever it stands: anchors, with their
-places, match passages between texts. The fingerprint is the least ``SKETCH`` distinct anchor hashes
+at nothing outside the k-mer, so the same passage of spaced words gives the same anchors wherever it stands; within a longer
+unspaced run the cuts, and so the anchors, depend on where the run begins. The fingerprint is the least ``SKETCH`` distinct anchor hashes
 of the whole text; likeness is the Jaccard estimate of two such sketches.
 """
 
