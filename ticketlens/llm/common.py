@@ -53,6 +53,17 @@ def extended(schema: StructType, **more: str | DataType) -> StructType:
     return out
 
 
+def free_names(taken, *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column of ``taken`` is called so (in any case of letters)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def rate_sample(df: DataFrame, id_col: str, most: int, total: int, seed: int = 7) -> DataFrame:
     """About ``most`` of ``total`` rows (all, when there are no more), chosen by a hash
     of the id; used only where a bounded sample of labelled rows may fit a model."""

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, language_id, packing, quality, simhash, suffix_dedup, syncmers, toxicity, url_filter
-from ticketlens.llm.common import crc_mod, table
+from ticketlens.llm import (
+    conversation, decontaminate, histogram_sort, importance, language_id, mixing, packing, quality, simhash, suffix_dedup, syncmers, toxicity,
+    url_filter,
+)
+from ticketlens.llm.common import crc_mod, stored, table
 
 
 def tokenizer_path() -> str:
@@ -89,6 +92,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the contract's rule and repaired by the cheapest edits."""
+    rows = conversation.damaged(table(spark, sf_dir, "conversations"))
+    found = conversation.digest(conversation.repair(rows, present=F.col("present")))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the words and word pairs of ``benchmark``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.resample(docs, table(spark, sf_dir, "benchmark"), share=25, least_words=20, seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3 in turn, at most three times each."""
+    docs = table(spark, sf_dir, "documents")
+    sized = stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "mixing-sizes")
+    found = mixing.mix(sized, weights=(1, 2, 3), most=3)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
     "op1_syncmers": op1_syncmers,
     "op2_histogram_sort": op2_histogram_sort,
@@ -100,6 +125,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_pivotal_mixing": op13_pivotal_mixing,
 }
 
 ORACLE_SQL = {
