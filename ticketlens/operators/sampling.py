@@ -6,10 +6,10 @@ deterministic across runs, engines and retries.
 * keep-first dedup uses ``row_number`` with a ``rn = 1`` filter, which Catalyst plans
   as a partial ``WindowGroupLimit`` before the shuffle: a hot key sends one row per map
   task.
-* seeded samples (``hash_sample``, ``per_class_sample``) take exact top-n in order-key
-  order through bucket cuts: counts per order-key bucket, a cut bucket found on that
-  count table, a filter for the earlier buckets and a ranking of the cut bucket only —
-  no task receives ``n`` rows from every map task.
+* seeded samples (``hash_sample``, ``per_class_sample``) take exact top-n in order-key order without
+  moving the table: rows are counted per order-key bucket, the bucket that holds the n-th row is
+  a scalar subquery (for classes: a map), and rows beyond it are filtered out before the first exchange.
+  Only the rows left, n and a bucket's worth, are ranked.
 * Exact ranks inside large groups (stratified split, folds) never sort a whole
   group in one task: rows are bucketed by the first 4 hex digits of the order key
   (65,536 ordered buckets), bucket sizes are counted and prefix-summed on the small
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..functions.names import free_names
 
 ORDER_COL = "_ord"
 BUCKET_HEX_DIGITS = 4
@@ -34,36 +35,57 @@ def keep_first(df: DataFrame, key_cols, order_cols) -> DataFrame:
 
 def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int) -> DataFrame:
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    rn, = free_names(df.columns, "_rn")
+    return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= n).drop(rn)
 
 
 def with_order_key(df: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
     return df.withColumn(ORDER_COL, TX.md5_order(seed, F.col(id_col)))
 
 
-def exact_rank(df: DataFrame, group_cols: list[str], order_col: str = ORDER_COL, tie_col: str = "id") -> DataFrame:
-    """Adds ``_rank`` (1-based, by ``order_col`` then ``tie_col``) and ``_group_n``.
+def _bucket(order_col: str):
+    return F.conv(F.substring(F.col(order_col), 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
+
+
+def _bucket_counts(keyed: DataFrame, group_cols: list[str], b: str, c: str, upto: str, total: str) -> DataFrame:
+    """Rows per (group, bucket), with the running count up to the bucket and the group's total."""
+    counts = keyed.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias(c))
+    g = Window.partitionBy(*group_cols)
+    return counts.select(*group_cols, b, c, F.sum(c).over(g.orderBy(b).rowsBetween(Window.unboundedPreceding, 0)).alias(upto),
+                         F.sum(c).over(g).alias(total))
+
+
+def _ranked(rows: DataFrame, counts: DataFrame, group_cols: list[str], order: str, tie: str, b: str, c: str, upto: str,
+            total: str, rank: str) -> DataFrame:
+    """``rows`` plus ``rank`` and ``total``: rows of earlier buckets and the place within the bucket."""
+    keys = [*group_cols, b]
+    of = free_names([*rows.columns, *counts.columns, rank], *(f"_of_{i}" for i in range(len(keys))))
+    off, = free_names([*rows.columns, *counts.columns, rank, *of], "_off")
+    offsets = counts.select(*[F.col(k).alias(o) for k, o in zip(keys, of, strict=True)], (F.col(upto) - F.col(c)).alias(off), total)
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, of, strict=True)]      # a null key equals a null key
+    inner = Window.partitionBy(*keys).orderBy(F.col(order), F.col(tie))
+    return rows.join(offsets, same, "inner").withColumn(rank, F.col(off) + F.row_number().over(inner)).drop(*of, off)
+
+
+def exact_rank(df: DataFrame, group_cols: list[str], order_col: str = ORDER_COL, tie_col: str = "id",
+               rank_col: str = "_rank", total_col: str = "_group_n") -> DataFrame:
+    """Adds ``rank_col`` (1-based, by ``order_col`` then ``tie_col``) and ``total_col``, the size of the group.
 
     ``order_col`` must be a lower-case hex string (an md5 order key).  A null group key is a
-    group, a null order key comes first: no row is dropped.
+    group, a null order key comes first: no row is dropped.  Columns of these two names are replaced.
     """
-    b = F.conv(F.substring(F.col(order_col), 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
-    d = df.withColumn("_b", b)
-    keys = [*group_cols, "_b"]
-    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    g = Window.partitionBy(*group_cols)
-    offsets = counts.select(
-        *keys,
-        F.coalesce(F.sum("_c").over(g.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_c").over(g).alias("_group_n"),
-    )
-    inner = Window.partitionBy(*keys).orderBy(F.col(order_col), F.col(tie_col))
-    other = {k: f"_of_{i}" for i, k in enumerate(keys)}      # a null key equals a null key
-    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
-    return (d.join(offsets.withColumnsRenamed(other), same, "inner").drop(*other.values())
-            .withColumn("_rank", F.col("_off") + F.row_number().over(inner))
-            .drop("_b", "_off"))
+    df = df.drop(rank_col, total_col)
+    b, c, upto = free_names([*df.columns, rank_col, total_col], "_b", "_c", "_upto")
+    keyed = df.withColumn(b, _bucket(order_col))
+    counts = _bucket_counts(keyed, group_cols, b, c, upto, total_col)
+    return _ranked(keyed, counts, group_cols, order_col, tie_col, b, c, upto, total_col, rank_col).drop(b)
+
+
+def _with_rank(df: DataFrame, group_cols: list[str], id_col: str, seed: int) -> tuple[DataFrame, str, str, list[str]]:
+    """``df`` ranked by its order key: (rows, rank column, group size column, helper columns)."""
+    order, rank, total = free_names(df.columns, ORDER_COL, "_rank", "_group_n")
+    keyed = df.withColumn(order, TX.md5_order(seed, F.col(id_col)))
+    return exact_rank(keyed, group_cols, order, id_col, rank, total), rank, total, [order, rank, total]
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str = "id", seed: int = 42,
@@ -71,59 +93,73 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str = "id", seed: in
     """Adds ``split``: the first ``ceil(n_label * test_num / test_den)`` rows of each label
     in seeded hash order are ``test``, the rest ``train``.  A label keeps at least one row in
     train (a label with a single row is trained on, never only tested); null labels are a label."""
-    r = exact_rank(with_order_key(df, id_col, seed), [label_col], ORDER_COL, id_col)
-    n_test = F.expr(f"least((_group_n * {int(test_num)} + {int(test_den) - 1}) div {int(test_den)}, _group_n - 1)")
-    return r.withColumn("split", F.when(F.col("_rank") <= n_test, F.lit("test")).otherwise(F.lit("train"))) \
-        .drop(ORDER_COL, "_rank", "_group_n")
+    r, rank, total, own = _with_rank(df, [label_col], id_col, seed)
+    n_test = F.expr(f"least((`{total}` * {int(test_num)} + {int(test_den) - 1}) div {int(test_den)}, `{total}` - 1)")
+    return r.withColumn("split", F.when(F.col(rank) <= n_test, F.lit("test")).otherwise(F.lit("train"))).drop(*own)
 
 
 def kfold_assign(df: DataFrame, label_col: str, id_col: str = "id", k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold`` in ``0..k-1``: stratified round-robin over the seeded hash order."""
-    r = exact_rank(with_order_key(df, id_col, seed), [label_col], ORDER_COL, id_col)
-    return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop(ORDER_COL, "_rank", "_group_n")
+    r, rank, _, own = _with_rank(df, [label_col], id_col, seed)
+    return r.withColumn("fold", ((F.col(rank) - 1) % k).cast("int")).drop(*own)
 
 
-def hash_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Seeded sample of ``n`` rows (the cap is the feature): the first ``n`` rows in
-    ``(md5 order key, id)`` order, exactly.
+def _cut_sample(df: DataFrame, group_cols: list[str], n: int, id_col: str, seed: int) -> tuple[DataFrame, str, list[str]]:
+    """The first ``n`` rows (of each group) in ``(md5 order key, id)`` order: (rows, rank column, helper columns).
 
-    A plain ``orderBy().limit(n)`` sends up to ``n`` rows from every map task into one
-    final task.  Here one plan serves every input: the rows are ranked exactly (counts per
-    order-key bucket, ranks within a bucket) and the first ``n`` ranks are kept.
+    The cut bucket, where the running count reaches ``n``, is found on the count table by a scalar subquery; rows of later
+    buckets never reach an exchange.
     """
-    ranked = _ranked_by_bucket(df, [], id_col, seed)
-    return ranked.where(F.col("_rank") <= n).orderBy("_rank").drop("_rank")
+    order, b, c, upto, total, rank = free_names(df.columns, ORDER_COL, "_b", "_c", "_upto", "_total", "_rank")
+    keyed = df.withColumn(order, TX.md5_order(seed, F.col(id_col)))
+    keyed = keyed.withColumn(b, F.coalesce(_bucket(order), F.lit(-1)))      # a null key comes first
+    counts = _bucket_counts(keyed, group_cols, b, c, upto, total)
+    cut = F.min(F.when(F.col(upto) >= n, F.col(b)))
+    last = F.lit(1 << 4 * BUCKET_HEX_DIGITS)
+    if group_cols:
+        label = F.col(group_cols[0])
+        cuts = counts.groupBy(label).agg(cut.alias(c)).where(F.col(c).isNotNull())
+        entry = F.when(label.isNotNull(), F.struct(label.alias("k"), F.col(c).alias("v")))
+        one = cuts.agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.max(F.when(label.isNull(), F.col(c))).alias("z"))
+        found = one.select(F.struct("m", "z")).scalar()      # a number per class
+        limit = F.when(label.isNull(), found["z"]).otherwise(F.try_element_at(found["m"], label))
+    else:
+        limit = counts.agg(cut).scalar()
+    near = keyed.where(F.col(b) <= F.coalesce(limit, last))
+    rows = _ranked(near, counts, group_cols, order, id_col, b, c, upto, total, rank).where(F.col(rank) <= n)
+    return rows, rank, [order, b, total, rank]
 
 
-def _ranked_by_bucket(df: DataFrame, group_cols: list[str], id_col: str, seed: int) -> DataFrame:
-    """``df`` plus ``_rank`` by (order key, id) within the groups.
+def hash_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """Seeded sample of ``n`` rows (the cap is the feature): the first ``n`` rows in
+    ``(md5 order key, id)`` order, exactly.
 
-    Counts per (group, bucket) are prefix-summed on the count table and joined back on
-    (group, bucket): 65,536 buckets spread a group that holds most of the rows.
+    One plan serves every input: the table is read twice, once to count rows per order-key bucket and once
+    to take those up to the bucket that holds the ``n``-th row; what is beyond it is never shuffled.
     """
-    d = with_order_key(df.withColumn("_all", F.lit(0)), id_col, seed)
-    return exact_rank(d, ["_all", *group_cols], ORDER_COL, id_col).drop("_all", "_group_n", ORDER_COL)
+    rows, rank, own = _cut_sample(df, [], n, id_col, seed)
+    return rows.orderBy(rank).drop(*own)
 
 
 def positional_split(df: DataFrame, id_col: str = "id", seed: int = 42,
                      train_num: int = 4, train_den: int = 5) -> DataFrame:
     """Adds ``split``: the first ``floor(n * train_num / train_den)`` rows in seeded hash
     order are ``train`` (not stratified); exact ranks via hash buckets, no global sort task."""
-    d = with_order_key(df, id_col, seed).withColumn("_all", F.lit(0))
-    r = exact_rank(d, ["_all"], ORDER_COL, id_col)
-    n_train = F.expr(f"(_group_n * {int(train_num)}) div {int(train_den)}")
-    return r.withColumn("split", F.when(F.col("_rank") <= n_train, F.lit("train")).otherwise(F.lit("test"))) \
-        .drop(ORDER_COL, "_rank", "_group_n", "_all")
+    everything, = free_names(df.columns, "_all")
+    r, rank, total, own = _with_rank(df.withColumn(everything, F.lit(0)), [everything], id_col, seed)
+    n_train = F.expr(f"(`{total}` * {int(train_num)}) div {int(train_den)}")
+    return r.withColumn("split", F.when(F.col(rank) <= n_train, F.lit("train")).otherwise(F.lit("test"))).drop(*own, everything)
 
 
 def per_class_sample(df: DataFrame, label_col: str, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows per class: the first ``n`` in ``(md5 order key, id)`` order, exactly.
+    """Up to ``n`` rows per class: the first ``n`` in ``(md5 order key, id)`` order, exactly; a null class is a class.
 
     A windowed top-n would send up to ``n`` rows per class from every map task into one
-    task per class, and a join on the class alone would send a class's rows to one task.  Here rows
-    are ranked through counts per (class, order-key bucket), joined on both; a null class is a class.
+    task per class, and a join on the class alone would send a class's rows to one task.  Here only rows up to
+    their class's cut bucket are shuffled, by (class, bucket).
     """
-    return _ranked_by_bucket(df, [label_col], id_col, seed).where(F.col("_rank") <= n).drop("_rank")
+    rows, _, own = _cut_sample(df, [label_col], n, id_col, seed)
+    return rows.drop(*own)
 
 
 def dedup_keep_first(df: DataFrame, key_col: str, id_col: str = "id") -> DataFrame:
