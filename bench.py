@@ -19,7 +19,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 import uuid
 
@@ -41,7 +40,7 @@ def main() -> None:
     from ticketlens.operators import reports as RP
     from ticketlens.operators import routing as RT
     from ticketlens.plans.queries import QUERIES
-    from ticketlens.session import CHECKPOINT_CONF, local_session, shared_path
+    from ticketlens.session import local_session, shared_path, use_local_folder
     from ticketlens.sources import fixtures as FX
     from ticketlens.sources import sinks as SK
 
@@ -49,8 +48,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "8")),
                           app="ticketlens-bench")
-    if not spark.conf.get(CHECKPOINT_CONF, None):      # one machine, no cluster folder named
-        spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="ticketlens-bench-"))
+    use_local_folder(spark)
     times: dict[str, float] = {}
 
     def timed(name, fn):

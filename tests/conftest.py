@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,12 +11,10 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from ticketlens.session import CHECKPOINT_CONF, local_session
+    from ticketlens.session import local_session, use_local_folder
 
     s = local_session(4, shuffle_partitions=4, app="ticketlens-tests")
-    if not s.conf.get(CHECKPOINT_CONF, None):
-        s.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="ticketlens-test-ckpt-"))
-    yield s
+    yield use_local_folder(s)
     s.stop()
 
 

@@ -7,13 +7,17 @@ Rules given as values compile to ``CASE WHEN`` chains (short-circuit, codegen).
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from .text import _col
+from ..session import shared_path
+from .names import free_names
+from .text import _col, evaluated_once
+
 
 def map_lookup(c: str | Column, mapping: dict[str, str]) -> Column:
     """``mapping[c]`` or null, as a literal map (tiny, lives in the expression)."""
@@ -59,42 +63,82 @@ def rule_match_table(df: DataFrame, text_col: str, registry: DataFrame) -> DataF
     issue_type)``; lowest ``ord`` wins.
 
     Adds ``rule_queue`` and ``rule_issue_type`` (null when nothing matches, and for a null
-    text).  One plan for a registry of any size: the answer depends on the text alone, so
-    distinct texts are matched and joined back on the text.  A pattern is indexed by one of its
+    text).  One plan for a registry of any size; the answer depends on the text alone.  A pattern is indexed by one of its
     three-character grams (the one that the fewest patterns have; a shorter pattern is its own
-    gram); a text sends its distinct grams, with a hash in place of itself, to that index, and only
-    the patterns that come back are tested with ``contains``.
+    gram).  The index is written first, so that Spark plans the join with it by its true size, and leaves a bitmap of
+    gram hashes: a text tests its grams there in the task that reads it, and only grams that the bitmap lets through go on to
+    the index; only texts with such a gram are shuffled, once each, and only the patterns that come back are tested with
+    ``contains``.  Rows meet their answer by a hash of the text (SHA-256).  Columns named like a result are replaced.
     """
+    spark = df.sparkSession
+    df = df.drop(*RULE_COLUMNS)
+    h, found_h, grams, bits = free_names([*df.columns, *RULE_COLUMNS], "_h", "_found_h", "_grams", "_bits")
     t = F.col(text_col)
-    rules = registry.groupBy("pattern").agg(F.min(F.struct("ord", "queue", "issue_type")).alias("_r"))
-    own = rules.select("pattern", "_r", F.explode(_grams(F.col("pattern"), longest_only=True)).alias("_gram"))
-    shared = own.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    index = (own.join(shared, "_gram").groupBy("pattern")
-             .agg(F.min("_r").alias("_r"), F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram")))
-    texts = df.where(t.isNotNull()).select(t.alias("_text")).distinct().withColumn("_h", F.xxhash64("_text"))
-    found = (texts.select("_h", F.explode(_grams(F.col("_text"))).alias("_gram")).join(index, "_gram")
-             .select("_h", "pattern", "_r").distinct())
-    hits = (texts.join(found, "_h").where(F.col("_text").contains(F.col("pattern")))
-            .groupBy("_text").agg(F.min("_r").alias("_m"))
-            .select(F.col("_text").alias("_hit_text"), F.col("_m.queue").alias("rule_queue"),
-                    F.col("_m.issue_type").alias("rule_issue_type")))
-    return df.join(hits, t == F.col("_hit_text"), "left").drop("_hit_text")
+    index = _rule_index(spark, registry)
+    n_bits = index.select(_filter_bits(F.count(F.lit(1)))).first()[0]
+    lengths = [r[0] for r in index.select(F.length("gram")).distinct().collect()]      # at most four numbers
+    keyed = df.withColumn(h, F.sha2(t.cast("binary"), 256))
+    passing = F.filter(_grams(F.col("text"), lengths), lambda g: _in_filter(F.col(bits), g, n_bits))
+    texts = (keyed.where(t.isNotNull()).select(h, t.alias("text"), _filter_words(index, n_bits).scalar().alias(bits))
+             .select(h, "text", evaluated_once(passing).alias(grams)).where(F.size(grams) > 0))
+    texts = texts.groupBy(h).agg(F.first("text").alias("text"), F.first(grams).alias(grams))      # one of equal texts
+    hits = (texts.select(h, "text", F.explode(F.array_distinct(grams)).alias("gram")).join(index, "gram")
+            .where(F.col("text").contains(F.col("pattern"))).groupBy(h).agg(F.min("rule").alias("rule"))
+            .select(F.col(h).alias(found_h), F.col("rule.queue").alias("rule_queue"), F.col("rule.issue_type").alias("rule_issue_type")))
+    return keyed.join(hits, F.col(h) == F.col(found_h), "left").drop(h, found_h)
+
+
+RULE_COLUMNS = ("rule_queue", "rule_issue_type")
+GRAM = 3
+BITS_PER_PATTERN = 64
+LEAST_BITS, MOST_BITS = 1 << 12, 1 << 22      # a fuller filter lets more grams through, none is lost
 
 
-GRAM = 3
+def _rule_index(spark: SparkSession, registry: DataFrame) -> DataFrame:
+    """(pattern, rule, gram), a row per pattern, written to the shared folder."""
+    rules = registry.groupBy("pattern").agg(F.min(F.struct("ord", "queue", "issue_type")).alias("rule"))
+    own = rules.select("pattern", "rule", F.explode(_grams(F.col("pattern"))).alias("gram"))
+    shared = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    index = (own.join(shared, "gram").groupBy("pattern")
+             .agg(F.min("rule").alias("rule"), F.min(F.struct("n", "gram"))["gram"].alias("gram")))
+    path = shared_path(spark, "rule_index", uuid.uuid4().hex)
+    index.write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _grams(c: Column, longest_only: bool = False) -> Column:
-    """Distinct substrings of ``GRAM`` characters or fewer (the empty one included); for a
-    pattern (``longest_only``) those of its longest such length."""
+def _grams(c: Column, lengths: list[int] | None = None) -> Column:
+    """Distinct substrings of the given numbers of characters (0: the empty one); without ``lengths`` those of a pattern,
+    of ``GRAM`` characters, or the pattern itself where it is shorter."""
     def of(n):
-        return F.when(F.length(c) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda p: F.substring(c, p, n))) \
+        if n == 0:
+            return F.array(F.lit(""))
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda p: F.substring(c, p, n))) \
             .otherwise(F.array().cast("array<string>"))
 
-    if longest_only:
-        out = F.array(F.lit(""))
-        for n in range(1, GRAM + 1):
-            out = F.when(F.length(c) >= n, of(n)).otherwise(out)
-        return F.array_distinct(out)
-    return F.array_distinct(F.concat(F.array(F.lit("")), *(of(n) for n in range(1, GRAM + 1))))
+    if lengths is None:
+        return F.when(F.length(c) < GRAM, F.array(c)).otherwise(F.array_distinct(of(GRAM)))
+    return F.concat(F.array().cast("array<string>"), *(of(n) for n in sorted(lengths)))
+
+
+def _filter_bits(n: Column) -> Column:
+    """Bits of the filter of ``n`` patterns: a power of two."""
+    wanted = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1)) * BITS_PER_PATTERN)))
+    return F.least(F.greatest(wanted, F.lit(float(LEAST_BITS))), F.lit(float(MOST_BITS))).cast("long")
+
+
+def _bit(gram: Column, n_bits: int) -> Column:
+    return F.xxhash64(gram).bitwiseAND(n_bits - 1)
+
+
+def _filter_words(index: DataFrame, n_bits: int) -> DataFrame:
+    """One row: the filter as an array of n_bits / 64 numbers."""
+    bit = _bit(F.col("gram"), n_bits)
+    words = index.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64(gram) & 63 as int))").alias("b")) \
+        .groupBy("w").agg(F.bit_or("b").alias("b"))
+    every = index.sparkSession.range(n_bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]))
+
+
+def _in_filter(words: Column, gram: Column, n_bits: int) -> Column:
+    word = F.get(words, F.shiftright(_bit(gram, n_bits), 6).cast("int"))
+    return F.getbit(word, F.xxhash64(gram).bitwiseAND(63).cast("int")) == 1

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+LOCAL_FOLDER_CONF = "ticketlens.local.folder"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "ticketlens") -> SparkSession:
@@ -27,12 +30,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def named_folder(spark: SparkSession) -> str | None:
+    """The shared folder of this session: the cluster's, or the one that ``use_local_folder`` chose."""
+    return spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(LOCAL_FOLDER_CONF, None)
+
+
+def use_local_folder(spark: SparkSession) -> SparkSession:
+    """Where the session names no folder and runs on one machine (tests, bench, smoke runs): a new one of our own.
+
+    ``spark.checkpoint.dir`` cannot be set on a running session, so the choice is kept under a key of our own; on a cluster nothing
+    is chosen, and ``checkpoint_dir`` fails.
+    """
+    if not named_folder(spark) and spark.sparkContext.master.split("[")[0] == "local":
+        spark.conf.set(LOCAL_FOLDER_CONF, tempfile.mkdtemp(prefix="ticketlens-"))
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; error when unset."""
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    current = named_folder(spark)
     if not current:
         raise RuntimeError(
-            f"{CHECKPOINT_CONF} is not set; name a shared folder (tests and the bench set one)")
+            f"{CHECKPOINT_CONF} is not set; name a shared folder (tests and the bench choose one on their machine)")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
