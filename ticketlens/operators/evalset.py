@@ -81,19 +81,14 @@ def merge_eval_set(base: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def eval_summary(eval_set: DataFrame) -> DataFrame:
     """Counts per (source, issue type) over every source × every issue type present, zeros
-    kept.  One aggregation pass; the grid is built from the (sources × labels) cell list."""
-    counts = eval_set.groupBy("eval_label_source", "issue_type").agg(F.count(F.lit(1)).alias("count"))
-    one = counts.agg(F.collect_list(F.struct("eval_label_source", "issue_type", "count")).alias("cells"))
-    srcs = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["eval_label_source"])))
-    its = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["issue_type"])))
-    lookup = F.map_from_entries(F.transform(
-        "cells", lambda c: F.struct(F.struct(c["eval_label_source"], c["issue_type"]), c["count"])))
-    g = (one.select(srcs.alias("s"), its.alias("i"), lookup.alias("lookup"))
-         .select(F.explode("s").alias("eval_label_source"), "i", "lookup")
-         .select("eval_label_source", F.explode("i").alias("issue_type"), "lookup"))
-    key = F.struct("eval_label_source", "issue_type")
-    return (g.select("eval_label_source", "issue_type",
-                     F.coalesce(F.element_at("lookup", key), F.lit(0)).cast("long").alias("count"))
+    kept.  One aggregation pass; the two lists of distinct values make the grid, which is left-joined to the counts."""
+    counts = eval_set.groupBy("eval_label_source", "issue_type").agg(F.count(F.lit(1)).alias("count")).where("count > 0")
+    grid = (counts.agg(F.collect_set(F.struct("eval_label_source")).alias("s"), F.collect_set(F.struct("issue_type")).alias("i"))
+            .select("i", F.inline("s")).select("eval_label_source", F.inline("i")))
+    of = counts.select(F.col("eval_label_source").alias("_s"), F.col("issue_type").alias("_i"), "count")
+    same = F.col("eval_label_source").eqNullSafe(F.col("_s")) & F.col("issue_type").eqNullSafe(F.col("_i"))
+    return (grid.join(of, same, "left")
+            .select("eval_label_source", "issue_type", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
             .orderBy("eval_label_source", "issue_type"))
 
 

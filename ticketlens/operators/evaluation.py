@@ -21,32 +21,26 @@ def confusion_counts(pred: DataFrame, model: str = "model", y: str = "y", p: str
                         F.col(p).alias("predicted_label")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def _cells(cnt: DataFrame) -> DataFrame:
-    """One row per model: its non-zero cells (at most labels² of them — the size of the
-    confusion matrix itself), so the grid below needs no second pass over the counts."""
-    return cnt.groupBy("model").agg(
-        F.collect_list(F.struct("actual_label", "predicted_label", "count")).alias("cells"))
-
-
-def _grid_from_cells(cells: DataFrame, true_only: bool) -> DataFrame:
-    """Dense (actual, predicted) grid over the model's labels with zero-filled counts."""
-    ys = F.array_distinct(F.transform("cells", lambda c: c["actual_label"]))
-    ps = F.array_distinct(F.transform("cells", lambda c: c["predicted_label"]))
-    labels = F.array_sort(ys if true_only else F.array_distinct(F.concat(ys, ps)))
-    lookup = F.map_from_entries(F.transform(
-        "cells", lambda c: F.struct(F.struct(c["actual_label"], c["predicted_label"]), c["count"])))
-    g = (cells.select("model", labels.alias("labels"), lookup.alias("lookup"))
-         .select("model", "lookup", "labels", F.explode("labels").alias("actual_label"))
-         .select("model", "lookup", "actual_label", F.explode("labels").alias("predicted_label")))
-    key = F.struct("actual_label", "predicted_label")      # a null label is a label of its own
-    return g.select("model", "actual_label", "predicted_label",
-                    F.coalesce(F.element_at("lookup", key), F.lit(0)).cast("long").alias("count"))
+def _grid(cnt: DataFrame, true_only: bool) -> DataFrame:
+    """Dense (actual, predicted) grid over the model's labels with zero-filled counts: a model's labels, one list of
+    them, are paired, and the pairs left-joined to the counts (a null label is a label of its own)."""
+    cnt = cnt.where("count > 0")      # always true; keeps the counts in both branches, which then share one exchange
+    ys = F.collect_set(F.struct(F.col("actual_label").alias("l")))
+    labels = ys if true_only else F.array_union(ys, F.collect_set(F.struct(F.col("predicted_label").alias("l"))))
+    pairs = (cnt.groupBy("model").agg(labels.alias("labels"))
+             .select("model", "labels", F.inline("labels").alias("actual_label"))
+             .select("model", "actual_label", F.inline("labels").alias("predicted_label")))
+    of = cnt.select(F.col("model").alias("_m"), F.col("actual_label").alias("_a"), F.col("predicted_label").alias("_p"), "count")
+    same = F.col("model").eqNullSafe(F.col("_m")) & F.col("actual_label").eqNullSafe(F.col("_a")) \
+        & F.col("predicted_label").eqNullSafe(F.col("_p"))
+    return pairs.join(of, same, "left").select("model", "actual_label", "predicted_label",
+                                               F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def confusion_long(pred: DataFrame, true_only: bool = False, **cols) -> DataFrame:
     """Zero-filled long confusion matrix over true ∪ predicted labels (or true labels
     only, in which case predictions outside them are dropped).  One pass over the rows."""
-    return _grid_from_cells(_cells(confusion_counts(pred, **cols)), true_only)
+    return _grid(confusion_counts(pred, **cols), true_only)
 
 
 def confusion_restricted(pred: DataFrame, **cols) -> DataFrame:

@@ -5,8 +5,12 @@ Scikit-learn parity notes (stated, not bit-equal): smooth idf is ``ln((1+n)/(1+d
 while Spark's ``IDF`` gives ``ln((n+1)/(df+1))``, so the fitted idf vector is shifted by
 one through ``ElementwiseProduct``; an L2 penalty with ``C = 1`` equals ``regParam =
 1 / Σweights`` with ``standardization = False``; "balanced" weights are
-``n / (k · n_class)``.  Vocabulary building (``CountVectorizer``) collects at most
-``vocabSize`` terms at the driver — bounded by the parameter, not by the data.
+``n / (k · n_class)``.
+
+Texts are tokenised once: a stored table of terms serves the vocabulary, every fold and every target.  Term totals
+(occurrences, documents) are summed per fold in one pass, and what a fold trains on is the total minus the fold's own share;
+no fold tokenises or counts again.  A vocabulary brings at most ``vocab_size`` terms to the driver, and calibration
+fits at most ``CALIBRATION_CELLS`` weighted points per class, whatever the number of held-out rows.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
-    SQLTransformer, StringIndexer, VectorAssembler,
+    CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
+    SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -34,15 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..functions.names import free_names
 from ..session import shared_path
 from . import evaluation as EV
 from . import sampling as SM
 
 TOKEN_PATTERN = r"\b\w\w+\b"   # words of two or more word characters
 # Bound on the labelled rows that fit a model (drawn by ``sampling.hash_sample``); scoring always
-# covers the whole table.  The isotonic step pools held-out scores, so this bounds it too.
+# covers the whole table.
 MAX_FIT_ROWS = 200_000
 LR_TOL = 1e-4                   # the lbfgs stopping tolerance of the scikit-learn models
+CALIBRATION_CELLS = 4096        # weighted points that a calibration curve is fitted on, at most
 
 
 # ----------------------------------------------------------------------------- features
@@ -128,29 +134,72 @@ def _terms_stages(spec: TfidfSpec, prefix: str) -> list[Transformer]:
     return stages
 
 
-def fit_tfidf(df: DataFrame, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf") -> PipelineModel:
-    """Fit terms → counts (→ 1+ln) → idf+1 → L2 as one PipelineModel."""
-    pre = Pipeline(stages=_terms_stages(spec, prefix)).fit(df)
-    terms = pre.transform(df)
-    size = spec.vocab_size
-    if size is None:
-        size = max(1, terms.select(F.explode(F.array_distinct(f"{prefix}_terms")).alias("t")).groupBy("t").count()
-                   .where(F.col("count") >= spec.min_df).count())
-    cv = CountVectorizer(inputCol=f"{prefix}_terms", outputCol=f"{prefix}_cnt", vocabSize=size,
-                         minDF=spec.min_df).fit(terms)
-    counts = cv.transform(terms)
+def tokenised(df: DataFrame, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf") -> DataFrame:
+    """``df`` with the column ``<prefix>_terms``; nothing else of the feature pipeline."""
+    kept = df.columns
+    terms = f"{prefix}_terms"
+    return Pipeline(stages=_terms_stages(spec, prefix)).fit(df).transform(df).select(*[c for c in kept if c != terms], terms)
+
+
+def term_totals(terms: DataFrame, terms_col: str, parts: dict[str, Column] | None = None) -> DataFrame:
+    """``(term, tf, df)`` over all rows: occurrences, and rows that have the term; with ``parts`` (name → condition on a
+    row) also ``tf_<name>, df_<name>`` over the rows that meet it.  One pass whatever the number of parts: a row's terms
+    are sorted, so the first of equal ones marks the row.
+    """
+    parts = parts or {}
+    marked = F.transform(F.array_sort(terms_col), lambda t: t)
+    d = terms.select(marked.alias("_ts"), *[c.alias(f"_in_{name}") for name, c in parts.items()])
+    each = F.transform("_ts", lambda t, i: F.struct(
+        t.alias("term"), F.when((i > 0) & (F.get(F.col("_ts"), i - 1) == t), F.lit(0)).otherwise(F.lit(1)).alias("_new")))
+    e = d.select(F.inline(each), *[f"_in_{name}" for name in parts])
+    one = F.lit(1)
+    sums = [F.count(one).alias("tf"), F.sum("_new").alias("df")]
+    for name in parts:
+        inside = F.col(f"_in_{name}")
+        sums += [F.count(F.when(inside, one)).alias(f"tf_{name}"), F.coalesce(F.sum(F.when(inside, F.col("_new"))), F.lit(0)).alias(f"df_{name}")]
+    return e.groupBy("term").agg(*sums)
+
+
+def without_part(totals: DataFrame, name: str) -> DataFrame:
+    """``(term, tf, df)`` of the rows outside a part: total minus the part's share."""
+    return totals.select("term", (F.col("tf") - F.col(f"tf_{name}")).alias("tf"), (F.col("df") - F.col(f"df_{name}")).alias("df"))
+
+
+def of_part(totals: DataFrame, name: str) -> DataFrame:
+    return totals.select("term", F.col(f"tf_{name}").alias("tf"), F.col(f"df_{name}").alias("df"))
+
+
+def weighting(totals: DataFrame, n: int, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf") -> PipelineModel:
+    """Terms → counts (→ 1+ln) → smooth idf + 1 → L2, from ``(term, tf, df)`` over ``n`` rows: the ``vocab_size`` most
+    frequent terms that ``min_df`` rows have (ties by term)."""
+    least = spec.min_df if spec.min_df >= 1 else spec.min_df * n
+    kept = totals.where((F.col("df") >= max(least, 1)) & (F.col("tf") > 0)).orderBy(F.col("tf").desc(), "term")
+    rows = (kept if spec.vocab_size is None else kept.limit(spec.vocab_size)).select("term", "df").collect()
+    if not rows:
+        raise ValueError("no term is in as many rows as the vocabulary asks for")
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=f"{prefix}_terms", outputCol=f"{prefix}_cnt")
+    idf = np.log((n + 1.0) / (np.array([r["df"] for r in rows], float) + 1.0)) + 1.0
+    stages: list[Transformer] = [cv]
     tf_col = f"{prefix}_cnt"
-    stages: list[Transformer] = [*pre.stages, cv]
     if spec.sublinear:
         stages.append(SublinearTF(inputCol=tf_col, outputCol=f"{prefix}_tf"))
         tf_col = f"{prefix}_tf"
-    idf = IDF(inputCol=f"{prefix}_cnt", outputCol=f"{prefix}_idf0").fit(counts)
-    shifted = Vectors.dense(idf.idf.toArray() + 1.0)
-    stages += [ElementwiseProduct(scalingVec=shifted, inputCol=tf_col, outputCol=f"{prefix}_w"),
+    stages += [ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=tf_col, outputCol=f"{prefix}_w"),
                Normalizer(p=2.0, inputCol=f"{prefix}_w", outputCol=spec.output_col)]
     return PipelineModel(stages=stages)
 
 
+def _with_terms(spec: TfidfSpec, weights: PipelineModel, df: DataFrame, prefix: str = "_tf") -> PipelineModel:
+    """The pipeline from texts on: tokenising, then ``weights``."""
+    return PipelineModel(stages=[*Pipeline(stages=_terms_stages(spec, prefix)).fit(df).stages, *weights.stages])
+
+
+def fit_tfidf(df: DataFrame, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf") -> PipelineModel:
+    """Fit terms → counts (→ 1+ln) → idf+1 → L2 as one PipelineModel: one pass over the texts."""
+    n = df.count()
+    return _with_terms(spec, weighting(term_totals(tokenised(df, spec, prefix), f"{prefix}_terms"), n, spec, prefix), df, prefix)
+
+
 def drop_internal(df: DataFrame, prefixes: tuple[str, ...] = ("_tf", "_tfw", "_tfc")) -> DataFrame:
     """Without the feature pipeline's own columns (a user's column is kept, whatever its name)."""
     return df.drop(*(f"{p}_{s}" for p in prefixes for s in ("terms", "tok", "cnt", "tf", "w", *(f"g{n}" for n in range(2, 10)))))
@@ -168,6 +217,8 @@ def balanced_weights(df: DataFrame, label_col: str, labels: list[str], out_col:
     one partial aggregate of at most k rows, turned into a literal map: no join, no shuffle
     of the training rows."""
     rows = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc")).collect()
+    if any(r[label_col] is None for r in rows):
+        raise ValueError(f"{label_col!r} has null labels: drop or fill them before training")
     if len(rows) > len(labels):
         raise ValueError(f"{len(rows)} classes in {label_col!r}, the label index has {len(labels)}")
     n, k = sum(r["_nc"] for r in rows), len(rows)
@@ -193,6 +244,11 @@ class TextClassifier:
         if text_col != "text" and "text" in own:
             df = df.withColumnRenamed("text", "_own_text")
         feats = drop_internal(self.features.transform(_with_text(df, text_col)))
+        kept = [F.col("_own_text").alias("text") if c == "text" and text_col != "text" else F.col(c) for c in own]
+        return self.scored(feats, kept)
+
+    def scored(self, feats: DataFrame, kept: list) -> DataFrame:
+        """The same for rows that have their features (column ``features``) already."""
         k = len(self.labels)
         if self.isotonic is None:
             scored = self.lr_models[0].setProbabilityCol("_prob").setRawPredictionCol("_raw") \
@@ -217,7 +273,6 @@ class TextClassifier:
         best = F.array_max("_parr")
         idx = F.array_position("_parr", best) - 1
         lab = F.element_at(F.array(*[F.lit(x) for x in self.labels]), (idx + 1).cast("int"))
-        kept = [F.col("_own_text").alias("text") if c == "text" and text_col != "text" else F.col(c) for c in own]
         return with_p.select(*kept, lab.alias("prediction"), best.alias("confidence"),
                              F.col("_parr").alias("probabilities"))
 
@@ -238,49 +293,92 @@ def _lr(max_iter: int, reg: float, weight_col: str | None) -> LogisticRegression
     return lr
 
 
-def fit_classifier(train: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec(), balanced: bool = True,
-                   max_iter: int = 300, calibrate: bool = True, folds: int = 5, seed: int = 42,
-                   id_col: str = "id", parallelism: int = 5) -> TextClassifier:
-    """Fit TF-IDF + logistic regression; with ``calibrate`` the vectoriser is fitted once and
-    ``folds`` LR models are fitted on out-of-fold splits, each followed by one isotonic
-    regression per class on its held-out decision scores; probabilities are normalised
-    per fold and averaged."""
-    indexer = Pipeline(stages=[StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc")]) \
-        .fit(train)
-    labels = list(indexer.stages[0].labels)
-    feats_model = fit_tfidf(train, spec)
-    data = drop_internal(feats_model.transform(indexer.transform(train)))
+def label_indexer(rows: DataFrame, label_col: str) -> tuple[PipelineModel, list[str]]:
+    """Labels in order → 0..k-1, as a pipeline, and the labels."""
+    labels = sorted((r[0] for r in rows.select(label_col).distinct().collect()), key=lambda x: (x is None, x))
+    if labels and labels[-1] is None:
+        raise ValueError(f"{label_col!r} has null labels: drop or fill them before training")
+    model = StringIndexerModel.from_labels([str(x) for x in labels], inputCol=label_col, outputCol="_y")
+    return PipelineModel(stages=[model]), [str(x) for x in labels]
+
+
+def calibration_points(scores: DataFrame, keys: list[str], score: str = "score", hit: str = "hit",
+                       cells: int = CALIBRATION_CELLS) -> DataFrame:
+    """``(keys, cell, score, hits, n)``: rows summed by cells of the score's logistic curve, mean score, hits and rows of each.
+
+    A mergeable summary: partial sums leave the tasks, at most ``cells`` rows per key are left.  The isotonic fit of the
+    summary has, at the edge of every cell, running totals of fitted values within the rows of the largest
+    cell (of those with more than one score) of the exact fit's: the summary's cumulative diagram is the exact one at the cells'
+    edges, and between them hits rise by at most one a row.
+    """
+    z = F.col(score).cast("double")
+    cell = F.least(F.floor(cells / (1 + F.exp(-z))), F.lit(cells - 1)).cast("int")
+    return (scores.groupBy(*keys, cell.alias("cell"))
+            .agg((F.sum(z) / F.count(z)).alias("score"), F.sum(F.col(hit).cast("double")).alias("hits"), F.count(F.lit(1)).alias("n")))
+
+
+def isotonic_fit(points: DataFrame):
+    """Monotone curve through summarised points ``(score, hits, n)``."""
+    d = points.select(F.col("score").alias("_raw"), (F.col("hits") / F.col("n")).alias("_t"), F.col("n").cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol="_raw", labelCol="_t", weightCol="_w", isotonic=True).fit(d)
+
+
+def fit_features(data: DataFrame, label_col: str, labels: list[str], features: PipelineModel, indexer: PipelineModel, balanced: bool = True,
+                 max_iter: int = 300, calibrate: bool = True, folds: int = 5, seed: int = 42, id_col: str = "id",
+                 parallelism: int = 5) -> TextClassifier:
+    """Fit logistic regression on rows ``(id, label, features)``; see ``fit_classifier``."""
+    data = indexer.transform(data)
     weight_col = None
     if balanced:
         data = balanced_weights(data, label_col, labels)
         weight_col = "_w"
-    # Hash-repartition once: AQE then sizes the partitions from the data (few tasks per
-    # optimizer iteration on small data, many on large), and the cache is balanced.
-    data = _kept(data.select(id_col, label_col, "features", "_y", *([weight_col] if weight_col else []))
-                 .repartition(id_col))
-    n = data.count()
-    reg = 1.0 / max(n, 1)   # C = 1: the weights sum to n in both the balanced and the unit case
+    data = data.select(id_col, label_col, "features", "_y", *([weight_col] if weight_col else []))
     if not calibrate:
-        model = _lr(max_iter, reg, weight_col).fit(data)
-        return TextClassifier(feats_model, indexer, [model], None, labels)
+        data = _kept(data)
+        model = _lr(max_iter, 1.0 / max(data.count(), 1), weight_col).fit(data)      # C = 1: the weights sum to n
+        return TextClassifier(features, indexer, [model], None, labels)
     foldded = _kept(SM.kfold_assign(data, label_col, id_col, folds, seed))
 
     def fit_fold(f: int):
         tr = foldded.filter(F.col("fold") != f)
         if balanced:      # weights of the fold's own rows: they sum to the row count that sets regParam
             tr = balanced_weights(tr.drop("_w"), label_col, labels)
-        ho = foldded.filter(F.col("fold") == f)
-        m = _lr(max_iter, 1.0 / max(tr.count(), 1), weight_col).fit(tr)
-        raw = m.setRawPredictionCol("_raw").transform(ho).select("_raw", "_y")
-        per_class = [
-            IsotonicRegression(featuresCol="_raw", labelCol="_t", featureIndex=c, isotonic=True)
-            .fit(raw.withColumn("_t", (F.col("_y") == float(c)).cast("double")))
-            for c in range(len(labels))
-        ]
-        return m, per_class
+        return _lr(max_iter, 1.0 / max(tr.count(), 1), weight_col).fit(tr)
+
+    models = _parallel(fit_fold, range(folds), parallelism)
+    curves = _calibration(foldded, models, len(labels), parallelism)
+    return TextClassifier(features, indexer, models, curves, labels)
+
+
+def _calibration(foldded: DataFrame, models: list[LogisticRegressionModel], k: int, parallelism: int) -> list[list]:
+    """One curve per fold and class, on the fold's held-out scores: all of them summed in one table of cells."""
+    held = None
+    for f, m in enumerate(models):
+        raw = m.setRawPredictionCol("_raw").transform(foldded.filter(F.col("fold") == f)).select("fold", "_y", vector_to_array("_raw").alias("_r"))
+        held = raw if held is None else held.unionByName(raw)
+    each = held.select("fold", "_y", F.posexplode("_r").alias("class", "score")).withColumn("hit", F.col("_y") == F.col("class"))
+    points = _kept(calibration_points(each, ["fold", "class"]))
 
-    fitted = _parallel(fit_fold, range(folds), parallelism)
-    return TextClassifier(feats_model, indexer, [m for m, _ in fitted], [p for _, p in fitted], labels)
+    def curve(at):
+        return isotonic_fit(points.where((F.col("fold") == at[0]) & (F.col("class") == at[1])))
+
+    flat = _parallel(curve, [(f, c) for f in range(len(models)) for c in range(k)], parallelism)
+    return [flat[f * k:(f + 1) * k] for f in range(len(models))]
+
+
+def fit_classifier(train: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec(), balanced: bool = True,
+                   max_iter: int = 300, calibrate: bool = True, folds: int = 5, seed: int = 42,
+                   id_col: str = "id", parallelism: int = 5) -> TextClassifier:
+    """Fit TF-IDF + logistic regression; with ``calibrate`` the vectoriser is fitted once and
+    ``folds`` LR models are fitted on out-of-fold splits, each followed by one isotonic
+    curve per class on its held-out decision scores (``calibration_points``); probabilities are normalised
+    per fold and averaged.  Null labels are an error."""
+    terms = _kept(tokenised(train.select(id_col, label_col, F.col(spec.input_col)), spec).drop(spec.input_col))
+    indexer, labels = label_indexer(terms, label_col)
+    weights = weighting(term_totals(terms, "_tf_terms"), terms.count(), spec)
+    data = drop_internal(weights.transform(terms))
+    return fit_features(data, label_col, labels, _with_terms(spec, weights, train.select(spec.input_col)), indexer, balanced, max_iter,
+                        calibrate, folds, seed, id_col, parallelism)
 
 
 def _parallel(fn, items, parallelism: int):
@@ -296,19 +394,32 @@ def _parallel(fn, items, parallelism: int):
 def cv_accuracy(df: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec(), balanced: bool = True,
                 max_iter: int = 300, folds: int = 5, seed: int = 42, id_col: str = "id",
                 parallelism: int = 5) -> DataFrame:
-    """Stratified k-fold accuracy of the uncalibrated model, vectoriser refitted per fold.
+    """Stratified k-fold accuracy of the uncalibrated model, with each fold's own vocabulary and idf.
     Returns one row per fold plus mean and population std as columns."""
-    d = _kept(SM.kfold_assign(df.select(id_col, "text", label_col), label_col, id_col, folds, seed))
+    terms = tokenised(df.select(id_col, label_col, F.col(spec.input_col)), spec).drop(spec.input_col)
+    terms = _kept(SM.kfold_assign(terms, label_col, id_col, folds, seed))
+    totals = _kept(term_totals(terms, "_tf_terms", {str(f): F.col("fold") == f for f in range(folds)}))
+    return _fold_accuracies(terms, totals, "", label_col, spec, balanced, max_iter, folds, id_col, parallelism)
+
+
+def _fold_accuracies(terms: DataFrame, totals: DataFrame, prefix: str, label_col: str, spec: TfidfSpec, balanced: bool, max_iter: int,
+                     folds: int, id_col: str, parallelism: int) -> DataFrame:
+    """Accuracy on each fold of the model fitted on the others: ``terms`` has the folds, ``totals`` the term totals per fold."""
+    sizes = {r["fold"]: r["n"] for r in terms.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(sizes.values())
 
     def one_fold(f: int):
-        tr, te = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
-        clf = fit_classifier(tr, label_col, spec, balanced, max_iter, calibrate=False, id_col=id_col)
-        acc = clf.transform(te).agg(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0]
+        weights = weighting(without_part(totals, f"{prefix}{f}"), n - sizes.get(f, 0), spec)
+        tr, te = terms.filter(F.col("fold") != f), terms.filter(F.col("fold") == f)
+        indexer, labels = label_indexer(tr, label_col)
+        clf = fit_features(drop_internal(weights.transform(tr)), label_col, labels, weights, indexer, balanced, max_iter, calibrate=False,
+                           id_col=id_col)
+        hits = clf.scored(drop_internal(weights.transform(te)), [F.col(label_col)])
+        acc = hits.agg(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0]
         return (f, float(acc) if acc is not None else 0.0)
 
     rows = _parallel(one_fold, range(folds), parallelism)
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, "fold int, accuracy double")
+    out = terms.sparkSession.createDataFrame(rows, "fold int, accuracy double")
     g = Window.partitionBy()
     return out.withColumn("cv_mean", F.avg("accuracy").over(g)).withColumn("cv_std", F.stddev_pop("accuracy").over(g))
 
@@ -321,24 +432,54 @@ class TrainingResult:
     cv: DataFrame
 
 
+def train_text_models(df: DataFrame, targets: list[str], seed: int = 42, calibrate: bool = True, id_col: str = "id", with_cv: bool = True,
+                      max_iter: int = 300, folds: int = 5, max_rows: int = MAX_FIT_ROWS,
+                      spec: TfidfSpec = TfidfSpec()) -> dict[str, TrainingResult]:
+    """For each target: stratified 80/20 split → fit → held-out accuracy and per-class report → k-fold CV, on at
+    most ``max_rows`` labelled rows (the same ones for all targets).
+
+    The texts are read and tokenised once.  Splits and folds of all targets are columns beside the terms, and one pass sums the
+    terms' totals for every target's training rows and every target's folds.
+    """
+    rows = SM.hash_sample(df.select(id_col, F.col(spec.input_col), *targets), max_rows, id_col, seed)
+    row, = free_names([id_col, spec.input_col, *targets, "_tf_terms"], "_row")
+    terms = _kept(tokenised(rows, spec).drop(spec.input_col).withColumn(row, F.monotonically_increasing_id()))
+    members = terms
+    for t in targets:      # narrow: ranks are found on (row, id, label) and meet the terms by the row's number
+        labelled = terms.select(row, id_col, t)
+        split = SM.stratified_split(labelled, t, id_col, seed).select(F.col(row).alias("_of"), F.col("split").alias(f"_split_{t}"))
+        members = members.join(split, F.col(row) == F.col("_of")).drop("_of")
+        if with_cv:
+            fold = SM.kfold_assign(labelled, t, id_col, folds, seed).select(F.col(row).alias("_of"), F.col("fold").alias(f"_fold_{t}"))
+            members = members.join(fold, F.col(row) == F.col("_of")).drop("_of")
+    terms = _kept(members.drop(row))
+    parts = {f"{t}_train": F.col(f"_split_{t}") == "train" for t in targets}
+    if with_cv:
+        parts |= {f"{t}_{f}": F.col(f"_fold_{t}") == f for t in targets for f in range(folds)}
+    totals = _kept(term_totals(terms, "_tf_terms", parts))
+    return {t: _train_target(terms, totals, t, df, spec, seed, calibrate, id_col, with_cv, max_iter, folds) for t in targets}
+
+
+def _train_target(terms, totals, target, df, spec, seed, calibrate, id_col, with_cv, max_iter, folds) -> TrainingResult:
+    own = terms.select(id_col, target, "_tf_terms", F.col(f"_split_{target}").alias("split"),
+                       *([F.col(f"_fold_{target}").alias("fold")] if with_cv else []))
+    train, test = own.where("split = 'train'").drop("split", "fold"), own.where("split = 'test'")
+    indexer, labels = label_indexer(train, target)
+    weights = weighting(of_part(totals, f"{target}_train"), train.count(), spec)
+    clf = fit_features(drop_internal(weights.transform(train)), target, labels, _with_terms(spec, weights, df.select(spec.input_col)), indexer,
+                       True, max_iter, calibrate, folds, seed, id_col)
+    pred = clf.scored(drop_internal(weights.transform(test)), [F.col(id_col), F.col(target)])
+    pred = _kept(pred.select(id_col, F.lit(target).alias("model"), F.col(target).alias("y"), F.col("prediction").alias("p")))
+    acc = pred.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0] or 0.0
+    cv = _fold_accuracies(own.drop("split"), totals, f"{target}_", target, spec, True, max_iter, folds, id_col, 5) if with_cv else None
+    return TrainingResult(clf, float(acc), EV.per_class(pred), cv)
+
+
 def train_text_model(df: DataFrame, label_col: str, seed: int = 42, calibrate: bool = True,
                      id_col: str = "id", with_cv: bool = True, max_iter: int = 300,
                      folds: int = 5, max_rows: int = MAX_FIT_ROWS) -> TrainingResult:
-    """Stratified 80/20 split → fit → held-out accuracy and per-class report → k-fold CV, on at
-    most ``max_rows`` labelled rows."""
-    df = _kept(SM.hash_sample(df.select(id_col, "text", label_col), max_rows, id_col, seed))
-    split = SM.stratified_split(df, label_col, id_col, seed)
-    train = split.filter(F.col("split") == "train").drop("split")
-    test = split.filter(F.col("split") == "test").drop("split")
-    clf = fit_classifier(train, label_col, max_iter=max_iter, calibrate=calibrate, folds=folds, seed=seed,
-                         id_col=id_col)
-    pred = clf.transform(test).select(id_col, F.lit(label_col).alias("model"), F.col(label_col).alias("y"),
-                                      F.col("prediction").alias("p"))
-    pred = _kept(pred)
-    acc = pred.agg(F.avg((F.col("y") == F.col("p")).cast("double"))).first()[0] or 0.0
-    report = EV.per_class(pred)
-    cv = cv_accuracy(df, label_col, max_iter=max_iter, folds=folds, seed=seed, id_col=id_col) if with_cv else None
-    return TrainingResult(clf, float(acc), report, cv)
+    """``train_text_models`` for one target."""
+    return train_text_models(df, [label_col], seed, calibrate, id_col, with_cv, max_iter, folds, max_rows)[label_col]
 
 
 # ----------------------------------------------------------------------------- benchmark models
@@ -354,16 +495,9 @@ def fit_improved(train: DataFrame, label_col: str, max_iter: int = 1000, id_col:
     char = fit_tfidf(train, IMPROVED_CHAR, prefix="_tfc")
     asm = VectorAssembler(inputCols=["f_word", "f_char"], outputCol="features")
     feats = PipelineModel(stages=[*word.stages, *char.stages, asm])
-    indexer = Pipeline(stages=[StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc")]) \
-        .fit(train)
-    labels = list(indexer.stages[0].labels)
-    data = feats.transform(indexer.transform(train))
-    data = balanced_weights(data.select(id_col, label_col, "features", "_y"), label_col, labels) \
-        .repartition(id_col)
-    data = _kept(data)
-    n = data.count()
-    model = _lr(max_iter, 1.0 / max(n, 1), "_w").fit(data)
-    return TextClassifier(feats, indexer, [model], None, labels)
+    indexer, labels = label_indexer(train, label_col)
+    data = feats.transform(train.select(id_col, label_col, "text")).select(id_col, label_col, "features")
+    return fit_features(data, label_col, labels, feats, indexer, balanced=True, max_iter=max_iter, calibrate=False, id_col=id_col)
 
 
 def fit_baseline(train: DataFrame, label_col: str, max_iter: int = 500, id_col: str = "id") -> TextClassifier:

@@ -37,16 +37,19 @@ def assign_stage(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingT
     Order matters: rules beat any probability; ``>= high`` is tested before ``<= low``.
     """
     rule = LK.rule_match(F.lower(F.col(text_col)), rules)
-    prob = F.col(prob_col)
-    stage = (
+    # Band filters test ``_stage``; ``evaluated_once`` keeps the rule chain out of them.
+    return scored.withColumn("_rule", TX.evaluated_once(rule)).withColumn("_stage", _stage_of(F.col(prob_col), thresholds))
+
+
+def _stage_of(prob: Column, thresholds: C.RoutingThresholds) -> Column:
+    """The stage of a row with column ``_rule`` (null: no rule hit)."""
+    return (
         F.when(F.col("_rule").isNotNull(), F.lit(C.STAGE_RULE))
         # Spark orders NaN above all numbers; a NaN probability meets neither threshold
         .when(~F.isnan(prob) & (prob >= F.lit(float(thresholds.high_confidence))), F.lit(C.STAGE_ML))
         .when(prob <= F.lit(float(thresholds.low_confidence)), F.lit(_LOW_BAND))
         .otherwise(F.lit(_MIDDLE))
     )
-    # Band filters test ``_stage``; ``evaluated_once`` keeps the rule chain out of them.
-    return scored.withColumn("_rule", TX.evaluated_once(rule)).withColumn("_stage", stage)
 
 
 def stage_table(scored: DataFrame, thresholds: C.RoutingThresholds = C.RoutingThresholds(),
@@ -195,14 +198,22 @@ def _metadata(is_rule, is_ml, is_band, ok, v, label, urg, summary, path, esc, re
 
 
 def route_one(spark, text: str, label: str, prob: float, urgency: str = "", reply: str | None = None,
-              thresholds: C.RoutingThresholds = C.RoutingThresholds(), call_model: bool = True) -> dict:
-    """Single-ticket form: the batch cascade over a one-row frame, returned as a dict
-    (``route, stage, confidence, metadata``).  ``reply`` is the classification reply the
-    low band would receive (None = the call failed or no client)."""
-    row = spark.createDataFrame([(0, text, label, float(prob), urgency)], "id long, text string, label string, "
-                                "prob double, urgency string")
-    replies = spark.createDataFrame([(0, reply)], "id long, reply string") if call_model else None
-    out = route(row, thresholds, replies=replies, with_metadata=True).first()
+              thresholds: C.RoutingThresholds = C.RoutingThresholds(), call_model: bool = True,
+              rules=C.RULE_PATTERNS, queue_map: dict[str, str] | None = None) -> dict:
+    """Single-ticket form of the cascade, returned as a dict (``route, stage, confidence, metadata``).  ``reply`` is
+    the classification reply the low band would receive (None = the call failed or no client).
+
+    The expressions are those of the batch cascade, over literals on a one-row relation: the optimiser folds them into that
+    row, so the answer comes from planning alone and no Spark job runs.
+    """
+    one = spark.sql("SELECT * FROM VALUES (CAST(0 AS BIGINT)) AS t(id)")
+    null_s = F.lit(None).cast("string")
+    row = one.select("id", F.lit(text).cast("string").alias("text"), F.lit(float(prob)).alias("prob"), F.lit(label).cast("string").alias("label"),
+                     F.lit(urgency or "").alias("urgency"), LK.rule_match(F.lower(F.lit(text).cast("string")), rules).alias("_rule"))
+    row = row.withColumn("_stage", _stage_of(F.col("prob"), thresholds))
+    row = row.select("*", F.lit(reply if call_model else None).cast("string").alias("reply"),
+                     *(null_s.alias(c) for c in ("summary", "resolution", "resolution_error")))
+    out, = _finalize(row, enrich=False, summary_only=False, queue_map=queue_map, with_metadata=True).collect()
     return {"route": out["route"], "stage": out["stage"], "confidence": out["confidence"],
             "metadata": dict(out["metadata"] or {})}
 

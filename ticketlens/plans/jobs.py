@@ -6,7 +6,8 @@ would repeat paid model calls:
 
 1. labeled table (training and scoring both read it);
 2. scored table (routing, KPIs and the sweep all read it);
-3. model replies (paid; written once, then joined).
+3. model replies (paid; committed to a ledger in units, then joined: a job that is started again pays only for
+   calls that no committed unit holds).
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ class TriageConfig:
     sample_cap: int | None = None          # None: route the whole table
     label_targets: tuple[str, ...] = ("issue_type", "urgency", "complexity")
     call_partitions: int | None = None     # bound on concurrent model callers
+    unit_calls: int = MC.UNIT_CALLS        # calls committed together: as many can be paid twice at most
     with_cv: bool = True
     fit_rows: int = ML.MAX_FIT_ROWS        # labelled rows that fit a model; scoring covers all
     max_iter: int = 300
@@ -77,9 +79,9 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
 
     report: list[tuple[str, str, str]] = []
     models: dict[str, ML.TextClassifier] = {}
-    for target in cfg.label_targets:
-        tr = ML.train_text_model(labeled, target, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds,
-                                 max_rows=cfg.fit_rows)
+    trained = ML.train_text_models(labeled, list(cfg.label_targets), with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds,
+                                   max_rows=cfg.fit_rows)
+    for target, tr in trained.items():
         models[target] = tr.model
         SK.save_classifier(tr.model, f"{out}/models/{target}")
         report.append((target, "held_out_accuracy", f"{tr.accuracy:.4f}"))
@@ -123,13 +125,15 @@ def run_triage(spark: SparkSession, social: DataFrame, tickets: DataFrame, out:
     replies = enrichment = None
     if client_factory is not None:
         band = RT.low_band(scored, staged=True)
-        replies = SK.materialize(spark, MC.classify_replies(band, client_factory, partitions=cfg.call_partitions),
+        replies = SK.materialize(spark, MC.classify_replies(band, client_factory, partitions=cfg.call_partitions,
+                                                                    ledger=f"{out}/model_replies/ledger", unit_calls=cfg.unit_calls),
                                  f"{out}/model_replies/classify")
         if cfg.enrich_human or cfg.summarize_human:
             middle = RT.middle_band(scored, staged=True)
             enrichment = SK.materialize(
                 spark, MC.enrichment_replies(middle, client_factory, partitions=cfg.call_partitions,
-                                             summary_only=not cfg.enrich_human),
+                                             summary_only=not cfg.enrich_human, ledger=f"{out}/model_replies/ledger",
+                                             unit_calls=cfg.unit_calls),
                 f"{out}/model_replies/enrich")
     routed = SK.materialize(
         spark, RT.route(scored, cfg.thresholds, replies=replies, enrichment=enrichment,
@@ -257,14 +261,15 @@ def run_local(spark: SparkSession, eval_rows: DataFrame, out: str, cfg: TriageCo
     cfg = cfg or TriageConfig(label_targets=("issue_type", "urgency"))
     out = out.rstrip("/")
     frame = SK.materialize(spark, local_training_frame(eval_rows), f"{out}/local_labeled")
-    models = {t: ML.train_text_model(frame, t, with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds,
-                                     max_rows=cfg.fit_rows).model
-              for t in cfg.label_targets}
+    trained = ML.train_text_models(frame, list(cfg.label_targets), with_cv=cfg.with_cv, max_iter=cfg.max_iter, folds=cfg.folds,
+                                   max_rows=cfg.fit_rows)
+    models = {t: r.model for t, r in trained.items()}
     scored = SK.materialize(spark, RT.stage_table(score(frame, models["issue_type"], models.get("urgency")),
                                                   cfg.thresholds), f"{out}/local_scored", [RT.BAND_COL])
     replies = None
     if client_factory is not None:
-        replies = SK.materialize(spark, MC.classify_replies(RT.low_band(scored, staged=True), client_factory),
+        replies = SK.materialize(spark, MC.classify_replies(RT.low_band(scored, staged=True), client_factory, partitions=cfg.call_partitions,
+                                                                    ledger=f"{out}/local_ledger", unit_calls=cfg.unit_calls),
                                  f"{out}/local_replies")
     routed = SK.materialize(spark, RT.route(scored, cfg.thresholds, replies=replies, staged=True),
                             f"{out}/local_routed")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
-    """CSV with header and an explicit schema when given.  ``multi_line`` accepts line breaks
-    inside quoted fields; such a file cannot be split, so it is one task and off by default."""
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """CSV with header and an explicit schema when given.  Line breaks inside quoted fields are part of the
+    field; such a file cannot be split, so a file is one task.  ``multi_line=False`` reads large files of which it is known
+    that no field has a line break in several tasks."""
     r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         r = r.schema(schema)
@@ -17,13 +18,13 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Fal
 
 
 def read_table_set(spark: SparkSession, paths: dict[str, str], schemas: dict | None = None,
-                   multi_line: bool = False) -> dict[str, DataFrame]:
+                   multi_line: bool = True) -> dict[str, DataFrame]:
     """Named tables (name → path)."""
     schemas = schemas or {}
     return {name: read_csv(spark, p, schemas.get(name), multi_line) for name, p in paths.items()}
 
 
-def read_folder(spark: SparkSession, folder: str, schemas: dict | None = None, multi_line: bool = False) -> dict[str, DataFrame]:
+def read_folder(spark: SparkSession, folder: str, schemas: dict | None = None, multi_line: bool = True) -> dict[str, DataFrame]:
     """The CSV files of a folder as tables named by file (without the ending), in name order.
 
     Files are listed by Spark, so the folder may be in any store; only paths are read.  A folder
@@ -51,14 +52,14 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def read_required(spark: SparkSession, path: str, schema=None, what: str = "input", multi_line: bool = False) -> DataFrame:
+def read_required(spark: SparkSession, path: str, schema=None, what: str = "input", multi_line: bool = True) -> DataFrame:
     try:
         return read_csv(spark, path, schema, multi_line)
     except AnalysisException as exc:
         raise FileNotFoundError(f"{what} not found at {path}") from exc
 
 
-def read_labeled_eval(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_labeled_eval(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Labeled eval rows; ``text`` is built from subject and description when absent."""
     df = read_csv(spark, path, multi_line=multi_line)
     if "text" not in df.columns:
