@@ -109,14 +109,11 @@ def _rule_index(spark: SparkSession, registry: DataFrame) -> DataFrame:
 def _grams(c: Column, lengths: list[int] | None = None) -> Column:
     """Distinct substrings of the given numbers of characters (0: the empty one); without ``lengths`` those of a pattern,
     of ``GRAM`` characters, or the pattern itself where it is shorter."""
-    def of(n):
-        if n == 0:
-            return F.array(F.lit(""))
-        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda p: F.substring(c, p, n))) \
-            .otherwise(F.array().cast("array<string>"))
+    def of(n):      # one pass of the expression engine over the text, a capture at every place
+        return F.array(F.lit("")) if n == 0 else F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     if lengths is None:
-        return F.when(F.length(c) < GRAM, F.array(c)).otherwise(F.array_distinct(of(GRAM)))
+        return F.when(F.length(c) < GRAM, F.array(c)).otherwise(F.array_distinct(of(GRAM)))      # never none: the pattern is that long
     return F.concat(F.array().cast("array<string>"), *(of(n) for n in sorted(lengths)))
 
 

@@ -55,16 +55,28 @@ def _bucket_counts(keyed: DataFrame, group_cols: list[str], b: str, c: str, upto
                          F.sum(c).over(g).alias(total))
 
 
+def _plain_keys(df: DataFrame, group_cols: list[str], names: list[str]) -> dict:
+    """Columns that are equal where the group's columns are, nulls included, and never null themselves: one exchange by them
+    serves a join and a window."""
+    out = {}
+    for k, g in enumerate(group_cols):
+        out |= {names[2 * k]: F.coalesce(F.col(g).cast("string"), F.lit("")), names[2 * k + 1]: F.col(g).isNull()}
+    return out
+
+
 def _ranked(rows: DataFrame, counts: DataFrame, group_cols: list[str], order: str, tie: str, b: str, c: str, upto: str,
             total: str, rank: str) -> DataFrame:
     """``rows`` plus ``rank`` and ``total``: rows of earlier buckets and the place within the bucket."""
-    keys = [*group_cols, b]
-    of = free_names([*rows.columns, *counts.columns, rank], *(f"_of_{i}" for i in range(len(keys))))
-    off, = free_names([*rows.columns, *counts.columns, rank, *of], "_off")
-    offsets = counts.select(*[F.col(k).alias(o) for k, o in zip(keys, of, strict=True)], (F.col(upto) - F.col(c)).alias(off), total)
-    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, of, strict=True)]      # a null key equals a null key
+    taken = [*rows.columns, *counts.columns, rank]
+    names = free_names(taken, *(f"_{x}{i}" for i in range(len(group_cols)) for x in ("key", "null")))
+    off, rn, bucket = free_names([*taken, *names], "_off", "_rn", "_bucket")
+    offsets = counts.select((F.col(upto) - F.col(c)).alias(off), total, F.coalesce(F.col(b), F.lit(-1)).alias(bucket),
+                            *(x.alias(n) for n, x in _plain_keys(counts, group_cols, names).items()))
+    keys = [*names, bucket]
+    keyed = rows.withColumns({bucket: F.coalesce(F.col(b), F.lit(-1)), **_plain_keys(rows, group_cols, names)})
     inner = Window.partitionBy(*keys).orderBy(F.col(order), F.col(tie))
-    return rows.join(offsets, same, "inner").withColumn(rank, F.col(off) + F.row_number().over(inner)).drop(*of, off)
+    return (keyed.withColumn(rn, F.row_number().over(inner)).join(offsets, keys)
+            .withColumn(rank, F.col(off) + F.col(rn)).drop(*keys, off, rn))
 
 
 def exact_rank(df: DataFrame, group_cols: list[str], order_col: str = ORDER_COL, tie_col: str = "id",
@@ -105,29 +117,32 @@ def kfold_assign(df: DataFrame, label_col: str, id_col: str = "id", k: int = 5,
 
 
 def _cut_sample(df: DataFrame, group_cols: list[str], n: int, id_col: str, seed: int) -> tuple[DataFrame, str, list[str]]:
-    """The first ``n`` rows (of each group) in ``(md5 order key, id)`` order: (rows, rank column, helper columns).
+    """The first ``n`` rows (of each group) in ``(md5 order key, id)`` order: (rows, order column, helper columns).
 
-    The cut bucket, where the running count reaches ``n``, is found on the count table by a scalar subquery; rows of later
-    buckets never reach an exchange.
+    The cut bucket, where the running count reaches ``n``, and how many of its rows are needed are found on the count table by a
+    scalar subquery.  Rows of later buckets never reach an exchange, those of earlier ones are in, those of the cut bucket are ranked.
     """
-    order, b, c, upto, total, rank = free_names(df.columns, ORDER_COL, "_b", "_c", "_upto", "_total", "_rank")
+    order, b, c, upto, total, rn, cut = free_names(df.columns, ORDER_COL, "_b", "_c", "_upto", "_total", "_rn", "_cut")
     keyed = df.withColumn(order, TX.md5_order(seed, F.col(id_col)))
     keyed = keyed.withColumn(b, F.coalesce(_bucket(order), F.lit(-1)))      # a null key comes first
     counts = _bucket_counts(keyed, group_cols, b, c, upto, total)
-    cut = F.min(F.when(F.col(upto) >= n, F.col(b)))
-    last = F.lit(1 << 4 * BUCKET_HEX_DIGITS)
+    place = F.min(F.when(F.col(upto) >= n, F.struct(F.col(b).alias("b"), (n - F.col(upto) + F.col(c)).alias("need"))))
     if group_cols:
         label = F.col(group_cols[0])
-        cuts = counts.groupBy(label).agg(cut.alias(c)).where(F.col(c).isNotNull())
+        cuts = counts.groupBy(label).agg(place.alias(c)).where(F.col(c).isNotNull())
         entry = F.when(label.isNotNull(), F.struct(label.alias("k"), F.col(c).alias("v")))
         one = cuts.agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.max(F.when(label.isNull(), F.col(c))).alias("z"))
-        found = one.select(F.struct("m", "z")).scalar()      # a number per class
+        found = one.select(F.struct("m", "z")).scalar()      # two numbers per class
         limit = F.when(label.isNull(), found["z"]).otherwise(F.try_element_at(found["m"], label))
     else:
-        limit = counts.agg(cut).scalar()
-    near = keyed.where(F.col(b) <= F.coalesce(limit, last))
-    rows = _ranked(near, counts, group_cols, order, id_col, b, c, upto, total, rank).where(F.col(rank) <= n)
-    return rows, rank, [order, b, total, rank]
+        limit = counts.agg(place).scalar()
+    # evaluated once: a filter on a plain column would copy the label's and the key's expressions
+    near = keyed.withColumn(cut, TX.evaluated_once(F.struct(limit.alias("at"), F.col(b).alias("b"))))
+    near = near.where(F.col(f"{cut}.at").isNull() | (F.col(f"{cut}.b") <= F.col(f"{cut}.at.b")))
+    inner = Window.partitionBy(*group_cols, b).orderBy(F.col(order), F.col(id_col))
+    at = F.col(f"{cut}.at")
+    rows = near.withColumn(rn, F.row_number().over(inner)).where(at.isNull() | (F.col(b) < at["b"]) | (F.col(rn) <= at["need"]))
+    return rows, order, [b, rn, cut]
 
 
 def hash_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
@@ -137,8 +152,8 @@ def hash_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> Da
     One plan serves every input: the table is read twice, once to count rows per order-key bucket and once
     to take those up to the bucket that holds the ``n``-th row; what is beyond it is never shuffled.
     """
-    rows, rank, own = _cut_sample(df, [], n, id_col, seed)
-    return rows.orderBy(rank).drop(*own)
+    rows, order, own = _cut_sample(df, [], n, id_col, seed)
+    return rows.orderBy(order, id_col).drop(order, *own)
 
 
 def positional_split(df: DataFrame, id_col: str = "id", seed: int = 42,
@@ -158,8 +173,8 @@ def per_class_sample(df: DataFrame, label_col: str, n: int, id_col: str = "id",
     task per class, and a join on the class alone would send a class's rows to one task.  Here only rows up to
     their class's cut bucket are shuffled, by (class, bucket).
     """
-    rows, _, own = _cut_sample(df, [label_col], n, id_col, seed)
-    return rows.drop(*own)
+    rows, order, own = _cut_sample(df, [label_col], n, id_col, seed)
+    return rows.drop(order, *own)
 
 
 def dedup_keep_first(df: DataFrame, key_col: str, id_col: str = "id") -> DataFrame:
