@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from ticketlens.functions.names import free_names  # noqa: F401 - used by the operators
+from ticketlens.session import CHECKPOINT_CONF, named_folder, use_local_folder
+
 #: Text bytes that one vectorised step works on: bounds a Python worker's memory
 #: whatever the number of rows in an Arrow batch.
 STEP_BYTES = 2 << 20
@@ -28,12 +29,9 @@ def scratch(spark: SparkSession, tag: str) -> str:
     Only where the session names none and runs in local mode (tests) is a folder
     of our own set; on a cluster an unset folder is an error.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    base = named_folder(use_local_folder(spark))
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="llm-checkpoint-")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     return os.path.join(base, "llm", f"{tag}-{uuid.uuid4().hex}")
 
 
@@ -53,17 +51,6 @@ def extended(schema: StructType, **more: str | DataType) -> StructType:
     return out
 
 
-def free_names(taken, *names: str) -> list[str]:
-    """``names``, each with underscores in front until no column of ``taken`` is called so (in any case of letters)."""
-    used, out = {c.lower() for c in taken}, []
-    for name in names:
-        while name.lower() in used:
-            name = f"_{name}"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def rate_sample(df: DataFrame, id_col: str, most: int, total: int, seed: int = 7) -> DataFrame:
     """About ``most`` of ``total`` rows (all, when there are no more), chosen by a hash
     of the id; used only where a bounded sample of labelled rows may fit a model."""
