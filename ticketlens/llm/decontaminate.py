@@ -7,84 +7,91 @@ of a document are complete within its shard: no shuffle.
 
 The suffix array of a shard holds the suffixes that start with the first words of some
 test window (three words, fewer for shorter items): no other suffix can match. Words stand as 64-bit
-hashes, and suffixes are ordered by them, which is as good an order as any.
+hashes that mix all their bytes, and suffixes are ordered by them, which is as good an order as any; words of one test
+block never share a hash, and every document word of an occurrence is compared with its test word byte by byte before it counts.
 
-Test items are shipped in blocks of at most ``BLOCK_WORDS`` words; a larger test set is searched
-block after block, and every block adds to the hits found so far.
+Windows that several items share, or one item repeats, are one window with a list of items, so repeated items cost nothing
+more. Test items are dealt into blocks of about ``BLOCK_WORDS`` words, each built in a task. One block is one pass over the
+documents. A larger test set is searched block after block; only row numbers and what was found at them are stored in between.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ticketlens.llm.common import merged_spans, steps, stored, text_bytes
+from ticketlens.llm.common import extended, free_names, merged_spans, steps, stored, text_bytes
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
 _PREFIX = 3
+_LONG = 64      # bytes from which a word is hashed by itself
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[list(range(0x30, 0x3A)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100))] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
-_VALUE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest asked for so far is kept."""
-    if len(_POWERS.get(int(base), ())) < n:
-        p = np.full(max(n, 1 << 16), base, np.uint64)
-        p[0] = 1
-        _POWERS[int(base)] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[int(base)][:n]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each text's first word and the total).
-
-    Words are runs of 0-9, a-z (A-Z folded) and non-ASCII bytes; they end with their text.
-    """
-    n = len(offsets) - 1
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    low = _FOLD[buf]
-    inside = _IS_WORD[low]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = offsets[1:-1][offsets[1:-1] < len(buf)]
-    begins[edges] = inside[edges]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[edges > 0]
-    ends[edges - 1] = inside[edges - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    sums = np.cumsum(_VALUE[low] * _powers(_BASE, len(low)), dtype=np.uint64)
-    word = sums[end] - np.where(start > 0, sums[start - 1], np.uint64(0))
-    word = _mix(word * _powers(_BASE_INVERSE, len(low))[start])
-    return word, np.searchsorted(start, offsets)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+class Words:
+    """The words of some texts: runs of 0-9, a-z (A-Z folded) and non-ASCII bytes; they end with their text."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, seed: int = 0):
+        self.bytes = _FOLD[buf]
+        inside = _IS_WORD[self.bytes]
+        begins, ends = inside.copy(), inside.copy()
+        if len(buf):
+            begins[1:] &= ~inside[:-1]
+            ends[:-1] &= ~inside[1:]
+            edges = offsets[1:-1]
+            begins[edges[edges < len(buf)]] = inside[edges[edges < len(buf)]]
+            ends[edges[edges > 0] - 1] = inside[edges[edges > 0] - 1]
+        self.start = np.flatnonzero(begins)
+        self.size = np.flatnonzero(ends) + 1 - self.start
+        self.first = np.searchsorted(self.start, offsets)      # index of each text's first word, and the total
+        self.hash = self._hashes(seed)
+
+    def _hashes(self, seed: int) -> np.ndarray:
+        h = _mix(self.size.astype(np.uint64) + np.uint64(seed) * _STEP)
+        raw = np.zeros(len(self.bytes) + 8, np.uint8)
+        raw[:len(self.bytes)] = self.bytes
+        eight = np.ndarray(len(self.bytes) + 1, "<u8", raw, strides=(1,))      # the eight bytes from each place on
+        keep = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+        short = np.flatnonzero(self.size <= _LONG)
+        for at in range(0, _LONG, 8):
+            short = short[self.size[short] > at]
+            if not len(short):
+                break
+            part = eight[self.start[short] + at] & keep[np.minimum(self.size[short] - at, 8)]
+            h[short] = _mix((h[short] + _STEP) ^ part)
+        for k in np.flatnonzero(self.size > _LONG):
+            word = self.bytes[self.start[k]: self.start[k] + self.size[k]].tobytes()
+            h[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        return h
+
+    def text(self, k: int) -> bytes:
+        return self.bytes[self.start[k]: self.start[k] + self.size[k]].tobytes()
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:
     h = words[: len(words) - size + 1].copy()
     for j in range(1, size):
-        h = _mix(h * _BASE + words[j: len(words) - size + 1 + j])
+        h = _mix(h * _STEP + words[j: len(words) - size + 1 + j])
     return h
 
 
@@ -98,23 +105,58 @@ def _depth_keys(words: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int)
 
 
 class TestBlock:
-    """A block of test items: words, items, windows and what suffixes must start with."""
+    """A block of test items: words, distinct windows with their items and places, and what suffixes must start with."""
 
-    def __init__(self, ids: list, lists: list[np.ndarray], window: int):
+    def __init__(self, ids: list[str], texts: list[str | None], window: int):
         self.ids, self.window = ids, window
-        sizes = np.array([len(x) for x in lists], np.int64)
-        self.words = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-        off = np.r_[0, np.cumsum(sizes)]
-        self.item_end = off[1:]
+        raw = [(t or "").encode() for t in texts]
+        buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+        self.seed = 0
+        while True:      # words of the block have hashes of their own
+            found = Words(buf, off, self.seed)
+            known: dict[int, bytes] = {}
+            if all(known.setdefault(int(h), found.text(k)) == found.text(k) for k, h in enumerate(found.hash)):
+                break
+            self.seed += 1
+        self.words, self.off = found.hash, found.first
+        self.known = np.array(sorted(known), np.uint64)
+        self.spelt = [known[int(h)] for h in self.known]
+        self._ready = False
+
+    def __getstate__(self):
+        return {k: getattr(self, k) for k in ("ids", "window", "seed", "words", "off", "known", "spelt")} | {"_ready": False}
+
+    def ready(self) -> TestBlock:
+        """Windows and prefixes, made where they are used and not shipped."""
+        if self._ready:
+            return self
+        sizes, window = np.diff(self.off), self.window
         n = np.where(sizes >= window, sizes - window + 1, np.minimum(sizes, 1))
-        self.item = np.repeat(np.arange(len(sizes)), n)
-        self.at = np.repeat(off[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        self.length = np.minimum(window, sizes[self.item])
+        item = np.repeat(np.arange(len(sizes)), n)
+        at = np.repeat(self.off[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        length = np.minimum(window, sizes[item])
+        low = _depth_keys(self.words, at, at + length, window)
+        # equal windows are one; a window of fewer words ends with zeros, which no hash of a word is taken for
+        keyed = np.rec.fromarrays([low, length], names="low,length")
+        _, first, of = np.unique(keyed, return_index=True, return_inverse=True)
+        self.low, self.length = low[first], length[first]
+        order = np.argsort(of, kind="stable")
+        self.place_at, self.place_end = at[order], self.off[1:][item[order]]
+        self.place_from = np.searchsorted(of[order], np.arange(len(first) + 1))
+        self.item = item[order]
         self.starts = {}
         for size in sorted(set(np.minimum(self.length, _PREFIX).tolist())):
-            own = self.at[np.minimum(self.length, _PREFIX) == size]
+            own = at[first][np.minimum(self.length, _PREFIX) == size]
             self.starts[size] = np.unique(_grams(self.words, size)[own]) if size else own[:0]
-        self.low = _depth_keys(self.words, self.at, self.at + self.length, window)
+        self.spelt_size = np.array([len(w) for w in self.spelt], np.int64)
+        self.spelt_from = np.cumsum(self.spelt_size) - self.spelt_size
+        self.spelt_bytes = np.frombuffer(b"".join(self.spelt), np.uint8)
+        self._ready = True
+        return self
+
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        found = [np.unique(self.item[self.place_from[w]: self.place_from[w + 1]]) for w in windows]
+        return {self.ids[i] for i in np.unique(np.concatenate(found))} if found else set()
 
     def candidates(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Positions whose suffix starts like some window, within its document."""
@@ -131,15 +173,15 @@ class TestBlock:
             keep[maybe[maybe + size <= end[maybe]]] = True
         return np.flatnonzero(keep)
 
-    def search(self, words: np.ndarray, doc_off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, words, test window) of every occurrence of a window in the shard."""
-        n_docs = len(doc_off) - 1
+    def search(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, words, window) of every occurrence of a window in the shard."""
+        doc_off = words.first
         end = np.repeat(doc_off[1:], np.diff(doc_off))
-        at = self.candidates(words, end) if n_docs else np.zeros(0, np.int64)
+        at = self.candidates(words.hash, end) if len(doc_off) > 1 else np.zeros(0, np.int64)
         if not len(at):
             none = np.zeros(0, np.int64)
             return none, none, none
-        keys = _depth_keys(words, at, end[at], self.window)
+        keys = _depth_keys(words.hash, at, end[at], self.window)
         order = np.argsort(keys, kind="stable")
         array, keys = at[order], keys[order]
         first = np.searchsorted(keys, self.low, "left")
@@ -154,41 +196,105 @@ class TestBlock:
         window = np.repeat(np.arange(len(n)), n)
         pos, length = array[place], self.length[window]
         ok = pos + length <= end[pos]
+        pos, length, window = pos[ok], length[ok], window[ok]
+        wrong = np.r_[0, np.cumsum(self._misspelt(words, pos, length))]
+        ok = wrong[pos + length] == wrong[pos]
         return pos[ok], length[ok], window[ok]
 
-    def longest(self, words: np.ndarray, doc_off: np.ndarray, pos: np.ndarray,
-                window: np.ndarray) -> np.ndarray:
-        """Words of the longest verbatim match that begins at each found place."""
-        end = np.repeat(doc_off[1:], np.diff(doc_off))[pos]
-        mine = self.at[window]
+    def _misspelt(self, words: Words, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which words of the occurrences are not, byte by byte, the test word with their hash."""
+        wrong = np.zeros(len(words.hash), bool)
+        cover = np.zeros(len(words.hash) + 1, np.int64)
+        np.add.at(cover, pos, 1)
+        np.add.at(cover, pos + length, -1)
+        mine = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        theirs = np.searchsorted(self.known, words.hash[mine])
+        same = words.size[mine] == self.spelt_size[theirs]
+        wrong[mine[~same]] = True
+        mine, theirs = mine[same], theirs[same]
+        size = words.size[mine]
+        if len(mine):
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            differ = words.bytes[np.repeat(words.start[mine], size) + step] != self.spelt_bytes[np.repeat(self.spelt_from[theirs], size) + step]
+            wrong[mine[np.add.reduceat(differ, np.cumsum(size) - size) > 0]] = True
+        return wrong
+
+    def longest(self, words: Words, pos: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Words of the longest match, in any item, that begins at each found place.
+
+        All places of the found windows go on word by word; those that have read the same stay one class, so equal items are
+        one, and an occurrence follows the class that reads what it reads.
+        """
         size = self.length[window].copy()
-        stop = self.item_end[self.item[window]]
-        live = np.arange(len(pos))
-        while len(live):
-            a, b = pos[live] + size[live], mine[live] + size[live]
-            ok = (a < end[live]) & (b < stop[live])
-            live, a, b = live[ok], a[ok], b[ok]
-            live = live[words[a] == self.words[b]]
+        seen = np.unique(window)
+        n = self.place_from[seen + 1] - self.place_from[seen]
+        place = np.repeat(self.place_from[seen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        kind, at, stop = np.repeat(np.arange(len(seen)), n), self.place_at[place], self.place_end[place]
+        live, mine = np.arange(len(pos)), np.searchsorted(seen, window)
+        end = np.repeat(words.first[1:], np.diff(words.first))[pos]
+        whole = self.length[seen] == self.window      # a shorter window is a whole item
+        keep = whole[kind]
+        kind, at, stop = kind[keep], at[keep] + self.window, stop[keep]
+        keep = whole[mine]
+        live, mine = live[keep], mine[keep]
+        while len(live) and len(at):
+            keep = at < stop
+            kind, at, stop = kind[keep], at[keep], stop[keep]
+            keep = pos[live] + size[live] < end[live]
+            live, mine = live[keep], mine[keep]
+            if not len(at) or not len(live):
+                break
+            spelt, code = np.unique(self.words[at], return_inverse=True)
+            classes, kind = np.unique(kind * len(spelt) + code, return_inverse=True)
+            read = words.hash[pos[live] + size[live]]
+            code = np.minimum(np.searchsorted(spelt, read), len(spelt) - 1)
+            key = mine * len(spelt) + code
+            mine = np.minimum(np.searchsorted(classes, key), len(classes) - 1)
+            ok = (spelt[code] == read) & (classes[mine] == key)
+            live, mine = live[ok], mine[ok]
             size[live] += 1
+            at = at + 1
         return size
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[TestBlock]:
-    """Test items in blocks of at most ``most`` words (an item with more stands alone); an empty block where there is no item."""
-    ids, lists, held = [], [], 0
-    for row in items.select(id_col, text_col).toLocalIterator():
-        raw = np.frombuffer((row[1] or "").encode(), np.uint8)
-        words, _ = words_of(raw, np.array([0, len(raw)]))
-        if held and held + len(words) > most:
-            yield TestBlock(ids, lists, window)
-            ids, lists, held = [], [], 0
-        ids.append("" if row[0] is None else str(row[0]))
-        lists.append(words)
-        held += len(words)
-    yield TestBlock(ids, lists, window)      # never left out: a full block is given only when an item follows it
+    """Test items in blocks of about ``most`` words (an item more at most), each built in a task and fetched when its turn comes; an empty
+    block where there is no item.
+
+    Items are dealt by the words of the items before them, in hash order: words are summed per hash bucket first.
+    """
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumns({"h": F.xxhash64("id", "text"), "n": F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)), "line": F.monotonically_increasing_id()})
+    rows = stored(rows.withColumn("bucket", F.col("h").bitwiseAND(1023)), "decontaminate-items")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("bucket").agg(F.sum("n").alias("s"))
+    sums = sums.select(F.col("bucket").alias("of"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("bucket").orderBy("h", "line").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rows.join(sums, F.col("bucket") == F.col("of"))
+    place = F.col("earlier") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    dealt = dealt.select("id", "text", F.floor(place / most).cast("long").alias("block"))
+
+    def build(own: pd.DataFrame) -> pd.DataFrame:
+        texts = [None if t is None or t != t else t for t in own["text"]]
+        made = TestBlock(own["id"].tolist(), texts, window)
+        return pd.DataFrame({"block": [own["block"].iloc[0]], "made": [pickle.dumps(made)]})
+
+    made = stored(dealt.groupBy("block").applyInPandas(build, "block long, made binary"), "decontaminate-blocks")
+    numbers = [r[0] for r in made.select("block").orderBy("block").collect()]
+    for k in numbers:
+        yield pickle.loads(made.where(F.col("block") == k).first()["made"])
+    if not numbers:
+        yield TestBlock([], [], window)
 
 
 FOUND = ("n_words", "hit_spans", "items")
+_SPANS = "array<struct<begin:int,end:int,longest:int>>"
+_SPANS_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("begin", "end", "longest")]))
+_NAMES_TYPE = T.ArrayType(T.StringType())
+_SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("longest", pa.int32())])
 
 
 def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
@@ -198,44 +304,73 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     (ids, as strings, of the test items with an occurring window, sorted).
 
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is
-    one window. Null and empty texts have no words. Input columns named like a result
-    column are replaced; repeated rows are treated alike; an empty test set finds nothing. Blocks of the test set are
-    searched one after the other, what they find is stored between them: one block at a time is at the driver and the executors.
+    one window. Null and empty texts have no words; a very long text is searched whole, in about 20 bytes of memory a byte. Input
+    columns named like a result column are replaced; repeated rows are treated alike, repeated items are found once each; an empty
+    test set finds nothing. Blocks of the test set are searched one after the other: one block at a time is at the driver and the
+    executors, and only row numbers and finds are stored between them.
     """
     docs = docs.drop(*FOUND)
-    spans = "array<struct<begin:int,end:int,longest:int>>"
-    found = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(spans).alias("hit_spans"),
-                        F.lit(None).cast("array<string>").alias("items"))
-    schema = found.schema
     context = docs.sparkSession.sparkContext
-    arrow = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("longest", pa.int32())])
-    before = None
-    for made in _blocks(items, item_id_col, item_text_col, window, block_words):
-        if before is not None:      # the block before is done and released before this one is shipped
-            found = stored(found, "decontaminate")
-            before.destroy()
-        before = block = context.broadcast(made)
-
-        def searched(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            test = block.value
-            for batch in batches:
-                buf, off = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
-                for a, b in steps(off):
-                    part = batch.slice(a, b - a)
-                    yield _search_step(part, buf[off[a]: off[b]], off[a: b + 1] - off[a], test, arrow)
-
-        found = found.mapInArrow(searched, schema)
-    return found
-
-
-def _search_step(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, test: TestBlock,
-                 arrow: pa.DataType) -> pa.RecordBatch:
-    words, doc_off = words_of(buf, off)
-    pos, length, window = test.search(words, doc_off)
-    longest = test.longest(words, doc_off, pos, window)
+    rest = _blocks(items, item_id_col, item_text_col, window, block_words)
+    block, after = next(rest), next(rest, None)
+    shared = context.broadcast(block)
+    if after is None:
+        return _searched(docs, text_col, shared)
+    row, of = free_names([*docs.columns, *FOUND], "_row", "_of")
+    lined = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    finds = []
+    while after is not None:      # the block before is done and released before the next one is shipped
+        found = _searched(lined.select(row, text_col), text_col, shared).where(F.size("hit_spans") > 0)
+        finds.append(stored(found.select(F.col(row).alias(of), "hit_spans", "items"), "decontaminate-finds"))
+        shared.destroy()
+        block, after = after, next(rest, None)
+        shared = context.broadcast(block)
+    earlier = finds[0]
+    for f in finds[1:]:
+        earlier = earlier.unionByName(f)
+    more_spans, more_items = free_names([*lined.columns, *FOUND, of], "_spans", "_items")
+    earlier = earlier.groupBy(of).agg(F.flatten(F.collect_list("hit_spans")).alias(more_spans),      # a list per block
+                                      F.flatten(F.collect_list("items")).alias(more_items))
+    both = _searched(lined, text_col, shared).join(earlier, F.col(row) == F.col(of), "left")
+    spans = F.when(F.col(more_spans).isNull(), F.col("hit_spans")).otherwise(_merged(F.concat("hit_spans", F.col(more_spans))))
+    names = F.array_sort(F.array_distinct(F.concat("items", F.coalesce(F.col(more_items), F.array().cast("array<string>")))))
+    return both.select(*(F.col(f"`{c}`") for c in docs.columns), "n_words", spans.alias("hit_spans"), names.alias("items"))
+
+
+def _merged(spans: Column) -> Column:
+    """Overlapping or touching spans as one, its longest match the longest of theirs."""
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        one = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"),
+                       F.greatest(last["longest"], s["longest"]).alias("longest"))
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["begin"]), grown).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), add)
+
+
+def _searched(docs: DataFrame, text_col: str, shared) -> DataFrame:
+    """``docs`` with what the block finds."""
+    schema = extended(docs.schema, n_words="long", hit_spans=_SPANS_TYPE, items=_NAMES_TYPE)
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = shared.value.ready()
+        for batch in batches:
+            buf, off = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
+            for a, b in steps(off):
+                yield _search_step(batch.slice(a, b - a), buf[off[a]: off[b]], off[a: b + 1] - off[a], test)
+
+    return docs.mapInArrow(searched, schema)
+
+
+def _search_step(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, test: TestBlock) -> pa.RecordBatch:
+    words = Words(buf, off, test.seed)
+    pos, length, window = test.search(words)
+    longest = test.longest(words, pos, window)
+    doc_off = words.first
     doc = np.searchsorted(doc_off, pos, "right") - 1
-    spans: dict[int, list] = {}
-    names: dict[int, set] = {}
+    spans: list[list] = [[] for _ in range(part.num_rows)]
+    names: list[list] = [[] for _ in range(part.num_rows)]
     order = np.lexsort((pos, doc))
     doc, pos, length, window, longest = (x[order] for x in (doc, pos, length, window, longest))
     cuts = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, int)
@@ -245,23 +380,10 @@ def _search_step(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, test: T
         in_span = np.searchsorted(begin, pos[a:b] - doc_off[d], "right") - 1
         best = np.zeros(len(begin), np.int64)
         np.maximum.at(best, in_span, longest[a:b])
-        spans[d] = list(zip(begin.tolist(), end.tolist(), best.tolist(), strict=True))
-        names[d] = {test.ids[i] for i in np.unique(test.item[window[a:b]])}
-    old_spans = part.column(part.schema.get_field_index("hit_spans")).to_pylist()
-    old_names = part.column(part.schema.get_field_index("items")).to_pylist()
-    all_spans, all_names = [], []
-    for d in range(part.num_rows):
-        both = sorted((old_spans[d] and [tuple(s.values()) for s in old_spans[d]] or []) + spans.get(d, []))
-        if old_spans[d] and d in spans:
-            begin, end = merged_spans(np.array([s[0] for s in both]), np.array([s[1] for s in both]))
-            both = [(int(x), int(y), max(s[2] for s in both if x <= s[0] < y)) for x, y in zip(begin, end, strict=True)]
-        all_spans.append([{"begin": x, "end": y, "longest": z} for x, y, z in both])
-        all_names.append(sorted({*(old_names[d] or ()), *names.get(d, ())}))
-    fields = [f for f in part.schema if f.name not in FOUND]
-    columns = [part.column(part.schema.get_field_index(f.name)) for f in fields]
-    columns += [pa.array(np.diff(doc_off), pa.int64()), pa.array(all_spans, pa.list_(arrow)),
-                pa.array(all_names, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + list(FOUND))
+        spans[d] = [{"begin": x, "end": y, "longest": z} for x, y, z in zip(begin.tolist(), end.tolist(), best.tolist(), strict=True)]
+        names[d] = sorted(test.items_of(np.unique(window[a:b])))
+    columns = [*part.columns, pa.array(np.diff(doc_off), pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *FOUND])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
