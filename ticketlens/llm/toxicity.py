@@ -6,7 +6,8 @@ starts with (``stem*``); their weights are log odds learned from labelled rows,
 chance are left out. A word of an exception phrase does not count. The weights found are normalised by length and a logistic
 curve over both makes the score.
 
-Fitting reads at most about ``MOST_LABELLED`` labelled rows; the weights a fitting row is calibrated with leave that row out.
+Fitting reads at most about ``MOST_LABELLED`` labelled ids, one text of each; the weights a fitting row is calibrated with leave that
+row out. Every entry and exception that passes its test is kept, so their number is bounded by that sample's texts.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import rate_sample, stored
+from ticketlens.llm.common import free_names, rate_sample, stored
 
 MOST_LABELLED = 20_000     # bound on the labelled rows used for fitting (about; chosen by a hash)
-MOST_CANDIDATES = 200_000  # entries of toxic rows that are counted in the others
-MOST_ENTRIES = 5_000       # entries of the lexicon
+MOST_ENTRIES = 5_000_000   # entries and exceptions; more is an error, none is left out
 LEAST_DOCS = 4             # toxic rows an entry must occur in
 LEAST_ODDS = 1.5           # lower bound of an entry's log odds
 STEMS = range(3, 10)       # lengths of stems
@@ -108,7 +108,7 @@ def matches(find: ahocorasick.Automaton, text: str, exceptions=frozenset()) -> l
         end = _WORD.match(low, start)
         end = end.end() if end else start + len(e)
         word = fold[start:end]
-        before = _WORD.findall(fold[max(0, start - 40): start])[-1:]
+        before = _word_before(fold, start)
         after = _WORD.search(fold, end)
         phrases = (" ".join([*before, word]), f"{word} {after[0]}" if after else word)
         if not exceptions.intersection(phrases):
@@ -116,6 +116,17 @@ def matches(find: ahocorasick.Automaton, text: str, exceptions=frozenset()) -> l
     return out
 
 
+def _word_before(fold: str, start: int) -> list[str]:
+    """The whole word before a place, if there is one."""
+    end = start
+    while end and not _WORD.match(fold[end - 1]):
+        end -= 1
+    begin = end
+    while begin and _WORD.match(fold[begin - 1]):
+        begin -= 1
+    return [fold[begin:end]] if begin < end else []
+
+
 def _counts(seen: Counter) -> pd.DataFrame:
     return pd.DataFrame({"entry": pd.Series(list(seen), dtype=object), "n": np.array(list(seen.values()), np.int64)})
 
@@ -138,13 +149,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, most: int, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(text, label) of about ``most`` labelled rows outside ``held_out``, written once."""
+    """(text, label) of about ``most`` labelled ids outside ``held_out``, written once.
+
+    An id that labels repeat has its greatest label, one that documents repeat its least text, so the bound is on rows; a null
+    text is empty, a null id or label is left out, and a very long text is one text like any other.
+    """
     own = (labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out)
            .groupBy(id_col).agg(F.max(label).cast("int").alias("label")))
     some = rate_sample(own, id_col, most, own.count())
-    # about `most` rows of two numbers: small enough to ship by construction
-    return stored(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-                  .join(F.broadcast(some), id_col).select("text", "label"), "labelled")
+    some = stored(some, "labels")
+    n = some.count()
+    if n <= 2 * most:      # two numbers a row; a hash that deals ids unevenly is left to an ordinary join
+        some = F.broadcast(some)
+    found = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(some, id_col)
+    return stored(found.groupBy(id_col).agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", most: int = MOST_LABELLED) -> Lexicon:
@@ -167,9 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", most
         yield _counts(seen)
 
     rows = (sample.where("label = 1").select("text").mapInPandas(counted, "entry string, n long").groupBy("entry")
-            .agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.col("n").desc(), "entry")
-            .limit(MOST_CANDIDATES).collect())
-    candidates = {r[0]: r[1] for r in rows if log_odds(r[1], 0, toxic, other)[1] > 0}
+            .agg(F.sum("n").alias("n")).where(F.col("n") >= _least_count(toxic, other)))
+    candidates = {r[0]: r[1] for r in _all(rows)}
     shipped = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", most
 
     spared = (sample.mapInPandas(phrases, "phrase string, toxic long, other long").groupBy("phrase")
               .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-              .where(f"other >= {LEAST_DOCS} and other > 4 * toxic").orderBy(F.col("other").desc(), "phrase")
-              .limit(MOST_ENTRIES).collect())
+              .where(f"other >= {LEAST_DOCS} and other > 4 * toxic"))
+    spared = _all(spared)
     lexicon = lexicon._replace(exceptions=frozenset(r[0] for r in spared))
     shipped_both = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -217,6 +234,22 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", most
     return lexicon._replace(curve=tuple(curve.tolist()))
 
 
+def _least_count(toxic: int, other: int) -> int:
+    """Toxic rows from which an entry of no other row passes the test of odds: entries below it cannot."""
+    n = LEAST_DOCS
+    while n <= toxic and log_odds(n, 0, toxic, other)[1] <= 0:
+        n += 1
+    return n
+
+
+def _all(rows: DataFrame) -> list:
+    """Rows for the driver, an error where they are more than the lexicon can have."""
+    found = rows.limit(MOST_ENTRIES + 1).collect()
+    if len(found) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries in the labelled sample")
+    return found
+
+
 def _lexicon(candidates: dict[str, int], clean: dict[str, int], toxic: int, other: int) -> dict[str, tuple[int, int]]:
     """Entries whose odds are sure. A stem gives way to a longer entry found in the same toxic rows, then an entry to a
     stem of it that is as clean."""
@@ -235,8 +268,7 @@ def _lexicon(candidates: dict[str, int], clean: dict[str, int], toxic: int, othe
         above = next((out[s] for n in range(len(stem), STEMS[0] - 1, -1) if (s := stem[:n] + "*") in out), None)
         if above is None or b * above[0] < a * above[1]:
             out[e] = (a, b)
-    best = sorted(out, key=lambda e: (-log_odds(*out[e], toxic, other)[1], e))[:MOST_ENTRIES]
-    return {e: out[e] for e in best}
+    return out
 
 
 RESULT = ("toxic_weight", "toxic_score")
@@ -249,7 +281,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
     repeated rows get the same; input columns named like a result column are replaced.
     """
     docs = docs.drop(*RESULT)
-    shipped = docs.sparkSession.sparkContext.broadcast(lexicon)      # at most MOST_ENTRIES entries and exceptions
+    shipped = docs.sparkSession.sparkContext.broadcast(lexicon)      # what the bounded sample has
 
     @F.pandas_udf("toxic_weight double, toxic_score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -264,5 +296,6 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
             yield pd.DataFrame({"toxic_weight": weight, "toxic_score": 1 / (1 + np.exp(-np.clip(line, -30, 30)))})
 
     keep = docs.columns
-    return (docs.withColumn("_scored", scored(F.col(text_col).cast("string")))
-            .select(*keep, *(F.col(f"_scored.{n}").alias(n) for n in RESULT)))
+    found, = free_names([*keep, *RESULT], "scored")
+    return (docs.withColumn(found, scored(F.col(f"`{text_col}`").cast("string")))
+            .select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"{found}.{n}").alias(n) for n in RESULT)))
