@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import extended, steps, text_bytes
+from ticketlens.llm.common import extended, steps, stored, text_bytes
 
 GRAM = 4
 SLOTS = 1 << 21
@@ -79,7 +79,10 @@ def _text_steps(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
 
 def fit(docs: DataFrame, held_out, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         most: int = MOST_LABELLED, least_docs: int = 3, slots: int = SLOTS) -> Model:
-    """The filter of the languages of labelled rows outside ``held_out`` (about ``most`` of them)."""
+    """The filter of the languages of labelled rows outside ``held_out`` (about ``most`` of them).
+
+    Of rows that repeat an id with a language the least text counts; null texts have no n-grams; long texts count like any other.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out)
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}      # a row per language
     languages = sorted(sizes)
@@ -92,7 +95,10 @@ def fit(docs: DataFrame, held_out, text_col: str = "text", lang_col: str = "lang
     for name, rate in rates.items():
         share = F.when(F.col(lang_col) == name, F.lit(rate)).otherwise(share)
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)
-    sample = labelled.where(part).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sample = labelled.where(part).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
+                                         F.col(id_col).alias("id"))
+    # one text for each id and language: rows that repeat an id do not enlarge the sample
+    sample = stored(sample.groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text"), "language-sample")
     number = {name: k for k, name in enumerate(languages)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +162,12 @@ def votes(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
     return out, n, letters
 
 
-RESULT = ("lang_pred", "lang_score")
+RESULT = ("lang_pred", "lang_score", "lang_votes")
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score (0 to 1: the winner's votes per n-gram, times its lead over the second).
+    """``docs`` with lang_pred, lang_score (0 to 1: the winner's votes per n-gram, times its lead over the second) and
+    lang_votes (the winner's corrected votes; 0 where no n-gram of any learned language is found).
 
     Null texts and texts without a letter are ``und`` with score 0; a text that no n-gram of any
     language fits gets the most frequent language with score 0; ties go to the first name. Input
@@ -175,7 +182,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             for a, b, texts in _text_steps(batch.column(batch.schema.get_field_index(text_col))):
                 if not model.languages:
-                    best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+                    best, score, top = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
                 else:
                     got, n, letters = votes(model, texts)
                     best = got.argmax(axis=1)
@@ -186,7 +193,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     best = np.where(letters > 0, best, len(model.languages))
                     score = np.where(letters > 0, score, 0)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
-                                                 names=[*part.schema.names, *RESULT])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(top, pa.float64())],
+                    names=[*part.schema.names, *RESULT])
 
-    return docs.mapInArrow(judged, extended(docs.schema, lang_pred="string", lang_score="double"))
+    return docs.mapInArrow(judged, extended(docs.schema, lang_pred="string", lang_score="double", lang_votes="double"))

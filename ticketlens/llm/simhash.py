@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import stored, text_bytes
+from ticketlens.llm.common import free_names, stored, text_bytes
 from ticketlens.llm.components import component_roots
 
 SHINGLE = 4
@@ -304,16 +304,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 budget: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each class: the least id, a null after every other, and of one id the least md5 of the text.
 
-    Of rows that repeat that id with that text (one document read twice), all stay; of null ids, one row.
+    Of rows that repeat that id with that text one stays.
     """
+    own_id, own_md5, of_id, of_md5 = free_names(docs.columns, "own_id", "own_md5", "of_id", "of_md5")
     marked = stored(fingerprints(docs, id_col, text_col, shingle, with_md5=True), "fingerprints")
     rooted = _rooted(marked, id_col, budget)
     least = F.min(F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), "md5")).alias("k")
     each = marked.groupBy("fp").agg(least).join(rooted.select("fp", "root"), "fp")
-    kept = stored(each.groupBy("root").agg(F.min("k").alias("k"))
-                  .select("k.nameless", F.col("k.id").alias("_id"), F.col("k.md5").alias("_md5")), "kept")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_md5": _md5(text_col)})
-    named = keyed.where(F.col(id_col).isNotNull()).join(kept.where("not nameless"), ["_id", "_md5"], "left_semi")
-    nameless = (keyed.where(F.col(id_col).isNull()).join(kept.where("nameless"), "_md5", "left_semi")
-                .dropDuplicates(["_md5"]))
-    return named.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    again = marked.groupBy(F.col(id_col).alias("again_id"), F.col("md5").alias("again_md5")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = each.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias(of_id), F.col("k.md5").alias(of_md5))
+    kept = stored(kept.join(again, F.col(of_id).eqNullSafe(F.col("again_id")) & (F.col(of_md5) == F.col("again_md5")), "left")
+                  .select(of_id, of_md5, F.col("n").isNotNull().alias("repeated")), "kept")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_md5: _md5(text_col)})
+    same = F.col(own_id).eqNullSafe(F.col(of_id)) & (F.col(own_md5) == F.col(of_md5))
+    single = keyed.join(kept.where("not repeated"), same, "left_semi")
+    several = keyed.join(kept.where("repeated"), same, "left_semi").dropDuplicates([own_id, own_md5])      # few: rows read twice
+    return single.unionByName(several).select(*(F.col(f"`{c}`") for c in docs.columns))
