@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, histogram_sort, induced_sort, packing, simhash, suffix_dedup, url_filter
+from ticketlens.llm import decontaminate, histogram_sort, induced_sort, packing, simhash, suffix_dedup, toxicity, url_filter
 from ticketlens.llm.components import component_roots
 from ticketlens.llm.queries import tokenizer_path
 
@@ -49,13 +49,31 @@ def test_shards_of_even_rows_are_even(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 200
 
 
-def test_shards_of_one_text_split_by_id_and_of_one_row_repeated_stay(spark):
+def test_shards_of_one_text_and_of_one_row_repeated_are_even(spark):
     same = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"))
     rows = histogram_sort.shard_by_bytes(same).groupBy("shard").count().collect()
     assert {r["count"] for r in rows} == {125}
-    again = spark.range(50).select(F.lit(3).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
-    rows = histogram_sort.shard_by_bytes(again).collect()
-    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(50))
+    again = spark.range(4000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
+    rows = histogram_sort.shard_by_bytes(again.repartition(5)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(by) == 8 and all(abs(len(v) - 500) <= 1 and sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_no_operator_overwrites_a_column_of_the_caller(spark, docs):
+    names = ["_h", "_id", "_cell", "_md5", "_scored", "_judged", "own_h", "own_id", "own_line", "own_cell", "own_md5", "of_id", "of_md5", "scored",
+             "judged", "_rank", "_row", "_of", "h", "line"]
+    own = {n: f"mine{k}" for k, n in enumerate(names)}
+    wide = docs.select("doc_id", "text", *(F.lit(v).alias(n) for n, v in own.items()))
+    lexicon = toxicity.Lexicon({"stone*": (9, 1)}, frozenset(), 10, 10, (0.0, 1.0, 1.0))
+    items = spark.createDataFrame([(1, "river stone"), (2, "a b c d e")], "item_id long, text string")
+    rules = spark.createDataFrame([("block", "net", "/")], "verdict string, host string, path string")
+    for out in (histogram_sort.shard_documents(wide), simhash.one_of_each(wide), toxicity.score(wide, lexicon),
+                url_filter.judge_urls(wide, url_filter.CONTRACT_RULES, url_col="text"), url_filter.judge_urls_by_table(wide, rules, url_col="text"),
+                decontaminate.find_matches(wide, items), decontaminate.find_matches(wide, items, block_words=2)):
+        rows = out.collect()
+        assert rows and all(r[n] == v for r in rows for n, v in own.items())
 
 
 # -- SimHash -----------------------------------------------------------------------------------------------------------
@@ -95,7 +113,7 @@ def test_simhash_classes(docs, texts):
     assert got == {i: (f"{f:016x}", classes[i]) for i, f in fps}
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in texts if classes[i] == i)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i, _ in texts if classes[i] == i})
 
 
 def test_one_of_each_with_null_and_repeated_ids(spark):
@@ -107,7 +125,7 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    want = [(None, alone), (None, all_null), (5, mixed), (1, low), (7, other), (7, other), (None, "")]
+    want = [(None, alone), (None, all_null), (5, mixed), (1, low), (7, other), (None, "")]
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted((str(i), t) for i, t in want)
 
 
@@ -210,6 +228,49 @@ def test_test_blocks_are_shipped_one_after_the_other(spark, docs, monkeypatch):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_whose_polynomial_hashes_collide_are_told_apart(spark):
+    """Thue-Morse words over two letters and their complements collide under any polynomial hash modulo a power of two."""
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, f"x {word} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, other)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.digest(decontaminate.find_matches(docs, items)).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_words_with_one_hash_are_compared_byte_by_byte(monkeypatch):
+    test = decontaminate.TestBlock(["i"], ["one two three"], 10).ready()
+    words = decontaminate.Words(np.frombuffer(b"one xyz three one two three", np.uint8), np.array([0, 27]))
+    words.hash[1] = words.hash[4]      # "xyz" with the hash of "two"
+    assert test.search(words)[0].tolist() == [3]
+
+
+def test_repeated_items_are_one_window(spark):
+    """A thousand equal items over ten thousand occurrences: the occurrences are found once, not once for each item."""
+    text = " ".join(["red green blue"] * 10_000)
+    docs = spark.createDataFrame([(1, text), (2, "red green"), (3, "blue red green blue")], "doc_id long, text string")
+    rows = [(k, "red green blue") for k in range(1000)]
+    found = decontaminate.digest(decontaminate.find_matches(docs, spark.createDataFrame(rows, "item_id long, text string"))).collect()
+    names = hashlib.sha256(",".join(sorted(str(k) for k in range(1000))).encode()).hexdigest()
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"] == names) for r in found} == {
+        1: (30_000, 1000, True), 2: (0, 0, False), 3: (3, 1000, True)}
+    block = decontaminate.TestBlock([str(k) for k in range(1000)], ["red green blue"] * 1000, 10).ready()
+    words = decontaminate.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    pos, length, window = block.search(words)
+    assert len(pos) == 10_000 and set(block.longest(words, pos, window).tolist()) == {3}
+
+
+def test_longest_match_over_several_items(spark):
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words[5:50]))], "doc_id long, text string")
+    items = [(1, " ".join(words[:30])), (2, " ".join(words[:30])), (3, " ".join(words[20:45])), (4, " ".join([*words[5:17], "other"]))]
+    (span,) = decontaminate.find_matches(docs, spark.createDataFrame(items, "item_id long, text string")).first()["hit_spans"]
+    assert (span["begin"], span["end"], span["longest"]) == (0, 40, 25)
+
+
 def test_longest_match_reaches_past_the_window(spark):
     words = [f"w{k}" for k in range(40)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(words[5:30]) + " c")], "doc_id long, text string")
@@ -224,6 +285,24 @@ def test_decontamination_without_items_or_documents(spark, docs, no_docs):
     assert decontaminate.find_matches(no_docs, none).count() == 0
 
 
+# -- URL rules of any size ---------------------------------------------------------------------------------------------
+
+
+def test_rule_table_judges_as_the_trie_does(spark):
+    r = random.Random(8)
+    labels, paths = ["a", "b", "example", "co", "uk", "net", ""], ["/", "/x", "/x/", "/x/y", "/xy", "", "/é/", "/x/y/z"]
+    rules = {(r.choice(["allow", "block"]), ".".join(r.choices(labels[:6], k=r.randrange(1, 4))), r.choice(paths)) for _ in range(120)}
+    urls = [None, "", "no scheme", "http://", "x://?q", "http://A.Net/x\nrest/y", "a://b://c/x"]
+    urls += [f"{r.choice(['http', ''])}://{'.'.join(r.choices(labels, k=r.randrange(0, 5))).upper()}{r.choice(paths)}{r.choice(['', 'z', '/q', '?a=/x', '#x'])}"
+             for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls * 2)), "page_id long, url string")
+    table = spark.createDataFrame(sorted(rules), "verdict string, host string, path string")
+    a, b = url_filter.judge_urls(pages, sorted(rules)), url_filter.judge_urls_by_table(pages, table)
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    none = table.where("false")
+    assert {x["verdict"] for x in url_filter.judge_urls_by_table(pages, none).collect()} == {"allow"}
+
+
 # -- suffix dedup ------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -135,6 +137,61 @@ def test_matches_need_word_boundaries_and_respect_exceptions():
     assert hits("") == [] and toxicity.matches(toxicity.automaton([]), "x") == []
 
 
+def brute_matches(entries, text, exceptions):
+    """Every entry is tried at every place of the folded text."""
+    low = text.lower()
+    fold = low.translate(toxicity._FOLD)
+    is_word = lambda c: re.match(r"[\w@$]", c) is not None
+    out = []
+    for start in range(len(fold)):
+        if start and low[start - 1].isalnum():
+            continue
+        fits = []
+        for e in entries:
+            w = e.rstrip("*")
+            end = start + len(w)
+            if fold.startswith(w, start) and (e[-1] == "*" or end == len(low) or not low[end].isalnum()):
+                fits.append((-len(e), len(w), e))
+        if fits:
+            e = min(fits)[2]
+            end = start
+            while end < len(low) and is_word(low[end]):
+                end += 1
+            end = end if end > start else start + len(e)
+            word = fold[start:end]
+            before = re.findall(r"[\w@$]+", fold[:start])[-1:]
+            after = re.findall(r"[\w@$]+", fold[end:])[:1]
+            if not exceptions & {" ".join([*before, word]), " ".join([word, *after])}:
+                out.append(e)
+    return out
+
+
+def test_scores_of_a_table_against_trying_every_entry(spark, docs, texts):
+    r = random.Random(12)
+    words = "river stone m0ron moron morons gruff gruffy trаsh trash $pring spring ab abc abcd x".split()
+    entries = {e: (r.randrange(5, 40), r.randrange(3)) for e in ["moron", "moro*", "gruf*", "gruffy", "trash", "stone*", "abc", "ab*", "river"]}
+    exceptions = frozenset({"spring trash", "river stone", "stone river", "x abc", f"{'long' * 30} trash"})
+    lexicon = toxicity.Lexicon(entries, exceptions, 50, 900, (-2.0, 1.5, 0.7))
+    own = [(k, " ".join(r.choices(words, k=r.randrange(0, 25))).translate({32: r.choice([" ", ", ", "\n", "  "])})) for k in range(120)]
+    own += [(500, "long" * 30 + " trash"), (501, "ＴＲＡＳＨ trash!"), (502, None), (503, "xmoron moron"), *[(1000 + k, t) for k, (_, t) in enumerate(texts)]]
+    found = toxicity.score(spark.createDataFrame(own, "doc_id long, text string"), lexicon).collect()
+    for x in found:
+        text = x["text"] or ""
+        weight = sum(lexicon.weight(e) for e in brute_matches(entries, text, exceptions))
+        n = text.count(" ") + 1
+        line = -2.0 + 1.5 * np.log1p(weight) + 0.7 * 10 * weight / (n + 10)
+        assert abs(x["toxic_weight"] - weight) < 1e-9 and abs(x["toxic_score"] - 1 / (1 + np.exp(-np.clip(line, -30, 30)))) < 1e-9
+    assert sum(x["toxic_weight"] > 0 for x in found) > 60
+
+
+def test_repeated_ids_do_not_enlarge_the_fitting_sample(spark):
+    rows = [(1, f"text {k % 7}") for k in range(500)] + [(k, "other text") for k in range(2, 30)] + [(None, "no id")] * 50
+    labels = [(1, 1)] * 3 + [(k, 0) for k in range(2, 30)] + [(None, 1), (99, None)]
+    sample = toxicity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"),
+                                      "toxic", F.lit(False), 100).collect()
+    assert len(sample) == 29 and [r["text"] for r in sample if r["label"] == 1] == ["text 0"]
+
+
 def test_only_rows_outside_the_held_out_part_are_learned(spark):
     texts, labels = toxic_tables(spark, 300)
     held = crc_mod("doc_id", 5) == 0
@@ -161,6 +218,48 @@ def test_statistics_do_not_depend_on_the_batch(texts):
     assert np.isclose(words["distinct_words"], 2 / 3) and np.isclose(words["most_common_word"], 2 / 3)
 
 
+def plain_statistics(raw: bytes) -> dict:
+    """One loop or expression per statistic."""
+    n = len(raw)
+    if not n:
+        return dict.fromkeys(quality.STATISTICS, 0.0)
+    white = b" \t\r\x0b\x0c\n"
+    words = [w for w in re.split(rb"[ \t\r\x0b\x0c\n]+", raw) if w]
+    w = max(len(words), 1)
+    is_sign = lambda c: c not in white and not (0x30 <= c < 0x3A or 0x41 <= c < 0x5B or 0x61 <= c < 0x7B or c >= 0x80 or c in b".!?,;:")
+    sizes = [len(x) for x in words]
+    mean = sum(sizes) / w
+    count = Counter(words)
+    share = lambda chars: sum(c in chars for c in raw) / n
+    upper = lambda x: sum(0x41 <= c < 0x5B for c in x)
+    ends = sum(c in b".!?" for c in raw)
+    return {
+        "log_bytes": np.log1p(n), "log_words": np.log1p(len(words)), "word_bytes": mean,
+        "word_bytes_sd": np.sqrt(max(0.0, sum(x * x for x in sizes) / w - mean ** 2)),
+        "upper": upper(raw) / n, "lower": sum(0x61 <= c < 0x7B for c in raw) / n, "digit": sum(0x30 <= c < 0x3A for c in raw) / n,
+        "space": share(b" \t\r\x0b\x0c"), "newline": share(b"\n"), "end_marks": ends / n, "commas": share(b",;:"),
+        "other_signs": sum(map(is_sign, raw)) / n, "high": sum(c >= 0x80 for c in raw) / n,
+        "bytes_per_line": np.log1p(n / (raw.count(b"\n") + 1)), "distinct_words": len(count) / w,
+        "most_common_word": max(count.values(), default=0) / w, "short_words": sum(x <= 3 for x in sizes) / w,
+        "long_words": sum(x >= 9 for x in sizes) / w, "capital_words": sum(0x41 <= x[0] < 0x5B for x in words) / w,
+        "sign_words": sum(is_sign(x[-1]) for x in words) / w, "upper_words": sum(upper(x) >= 2 for x in words) / w,
+        "words_per_end": np.log1p(len(words) / (ends + 1)), "longest_word": np.log1p(max(sizes, default=0)),
+        "distinct_signs": len({c for c in raw if is_sign(c)}),
+        "repeated_signs": sum(a == b and is_sign(a) for a, b in zip(raw, raw[1:], strict=False)) / n,
+    }
+
+
+def test_every_statistic_against_a_plain_one(texts):
+    r = random.Random(3)
+    more = ["".join(r.choices("aB 1.,!?;:#$%\n\té日", k=r.randrange(0, 200))) for _ in range(60)] + ["HELLO World!! ### ok, ok; ok."]
+    raw = [(t or "").encode() for t in [*(t for _, t in texts), *more]]
+    off = np.cumsum([0, *map(len, raw)])
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), off)
+    for k, b in enumerate(raw):
+        want = plain_statistics(b)
+        assert np.allclose(got[k], [want[name] for name in quality.STATISTICS]), (b[:80], dict(zip(quality.STATISTICS, got[k], strict=True)), want)
+
+
 def test_trees_learn_and_flattened_walk_equals_the_plain_one():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 5))
@@ -211,12 +310,58 @@ def test_language_edges(spark, docs, no_docs):
     got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language_id.identify(own, model).collect()}
     assert got[1][0] == "fr" and got[2][0] == "en" and got[1][1] > 0.5
     assert got[3] == got[4] == got[6] == got[7] == ("und", 0.0) and got[5] == ("en", 0.0)
-    assert language_id.identify(docs, model).columns == [*docs.columns, "lang_pred", "lang_score"]
+    assert language_id.identify(docs, model).columns == [*docs.columns, "lang_pred", "lang_score", "lang_votes"]
+    votes = {r["doc_id"]: r["lang_votes"] for r in language_id.identify(own, model).collect()}
+    assert votes[1] > 0 and votes[2] > 0 and votes[5] == votes[3] == votes[4] == 0
     assert language_id.identify(no_docs, model).count() == 0
     nothing = language_id.fit(no_docs, F.lit(False))
     assert {r["lang_pred"] for r in language_id.identify(own, nothing).collect()} == {"und"}
 
 
+def grams(text):
+    """The 4-grams of a text, all that is not a letter being a space, spaces at both ends."""
+    t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()}  ")
+    return [t[k:k + 4] for k in range(len(t) - 3) if t[k:k + 4].strip()]
+
+
+def learned_grams(rows, least=3):
+    """{language: its n-grams}: in ``least`` documents or more, and no less than a quarter of the greatest share."""
+    n, docs = defaultdict(Counter), Counter()
+    for _, text, lang in {(i, lang): (i, t, lang) for i, t, lang in sorted(rows, key=lambda r: (str(r[0]), r[1] or ""), reverse=True)}.values():
+        n[lang].update(set(grams(text)))
+        docs[lang] += 1
+    share = {lang: {g: k / docs[lang] for g, k in own.items() if k >= least} for lang, own in n.items()}
+    top = defaultdict(float)
+    for own in share.values():
+        for g, x in own.items():
+            top[g] = max(top[g], x)
+    return {lang: {g for g, x in own.items() if 4 * x >= top[g]} for lang, own in share.items()}
+
+
+def test_votes_and_choice_against_sets_of_grams(spark):
+    r = random.Random(6)
+    alphabets = {"l1": "abcdefg", "l2": "efghijk", "l3": "日本語文字の"}
+    rows = []
+    for k in range(90):
+        lang = sorted(alphabets)[k % 3]
+        rows.append((k, " ".join("".join(r.choices(alphabets[lang], k=r.randrange(2, 5))) for _ in range(r.randrange(1, 40))), lang))
+    rows += [(200, None, "l1"), (201, "", "l2"), (7, "eeee ffff", "l1"), (202, "unlabelled gggg", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, crc_mod("doc_id", 4) == 2)
+    sets = learned_grams([x for x in rows if x[2] and zlib.crc32(str(x[0]).encode()) % 4 != 2])
+    assert model.languages == sorted(sets)
+    for x in language_id.identify(df, model).collect():
+        g = grams(x["text"])
+        got = {lang: sum(y in own for y in g) for lang, own in sets.items()}
+        best = sorted(got.values(), reverse=True)
+        if not any(c.isalpha() for c in x["text"] or ""):
+            assert (x["lang_pred"], x["lang_score"]) == ("und", 0.0)
+        elif best[0] - best[1] > 0.02 * len(g):      # beyond what false positives can move
+            assert x["lang_pred"] == max(got, key=got.get)
+            assert abs(x["lang_votes"] - best[0]) <= 0.01 * len(g) + 1e-6
+            assert abs(x["lang_score"] - best[0] / len(g) * (best[0] - best[1]) / best[0]) < 0.03
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     texts = [prose(60, k) for k in range(20)]
     train = spark.createDataFrame([(k, t, f"l{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
@@ -237,11 +382,13 @@ def test_stages_against_brute_force(spark, docs, texts, tmp_path):
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     told = stage["language ID"](spark, base, str(tmp_path))
     assert told.columns == base.columns
-    with_letters = [(i, t) for i, t in texts if any(c.isalpha() for c in t or "")]
+    learned = learned_grams([(i, t, "en") for i, t in texts if zlib.crc32(str(i).encode()) % 4 != 2])
+    with_letters = [(i, t) for i, t in texts if set(grams(t)) & learned["en"]]
     assert sorted((r["doc_id"], r["text"]) for r in told.collect()) == sorted(with_letters)
+    assert {0, 29, 132} <= {i for i, _ in with_letters} and not {120, 121, 122, 133} & {i for i, _ in with_letters}
     classes = brute_classes([(i, brute_fingerprint(t)) for i, t in with_letters])
     single = stage["SimHash near-dedup"](spark, told, str(tmp_path))
-    want = [(i, t) for i, t in with_letters if classes[i] == i]
+    want = {(i, t) for i, t in with_letters if classes[i] == i}
     assert sorted((r["doc_id"], r["text"]) for r in single.collect()) == sorted(want)
     clean = stage["suffix-array dedup"](spark, base, str(tmp_path))
     assert clean.columns == base.columns
