@@ -16,10 +16,10 @@ from ticketlens.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay: a null text or one without a letter goes."""
+    """Documents whose language can be told stay: a null text, one without a letter and one without any n-gram of a learned language go."""
     model = language_id.fit(docs, crc_mod("doc_id", 4) == 2)
     found = language_id.identify(docs, model)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_votes") > 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
