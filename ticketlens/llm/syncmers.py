@@ -1,10 +1,13 @@
 """Document fingerprints from closed syncmers, in native expressions only.
 
-A text is a sequence of tokens (runs of non-space characters, cut every eight). Its k-mers are k neighbouring tokens; a
-k-mer is chosen when the least hash among its inner s-mers is that of the first or the last one. The choice looks
-at nothing outside the k-mer, so the same passage of spaced words gives the same anchors wherever it stands; within a longer
-unspaced run the cuts, and so the anchors, depend on where the run begins. The fingerprint is the least ``SKETCH`` distinct anchor hashes
-of the whole text; likeness is the Jaccard estimate of two such sketches.
+A text is a sequence of tokens: a run of non-space characters of at most ``LONGEST_WORD`` code points is one, but longer runs and
+runs with letters of scripts that are written without spaces are split into code points, so an insertion moves tokens and
+never recuts them. Its k-mers are k neighbouring tokens; a k-mer is chosen when the least hash among its inner s-mers is that of the first or
+the last one. The choice looks at nothing outside the k-mer: the same passage gives the same anchors wherever it stands.
+
+The fingerprint is all anchors of the text with their places. Two fingerprints are compared by position: two neighbouring anchors
+match where both texts have them at the same distance, and likeness is the share of matching neighbours among all of both
+(exact, not an estimate). What comes before a passage moves its places and leaves its distances as they are.
 """
 
 from __future__ import annotations
@@ -14,10 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 4
+from ticketlens.llm.common import free_names, stored
+
+K = 6
 S = 2
-SKETCH = 64
-_TOKEN = r"\S{1,8}"
+LONGEST_WORD = 32
+#: Blocks of scripts written without spaces (Thai to Myanmar, Khmer, CJK with kana and Yi, compatibility forms).
+_UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+_TOKEN = rf"(?<!\S)[^\s{_UNSPACED}]{{1,{LONGEST_WORD}}}(?!\S)|\S"
 _LEAST_LONG = -(1 << 63)
 
 
@@ -26,13 +33,18 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _chosen(text: Column, k: int, s: int, with_place: bool) -> Column:
-    """Hashes (or (place, hash) pairs) of the text's closed syncmers."""
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """array<struct<place: token number, hash>> of the closed syncmers of a text, in order.
+
+    A text of fewer than k tokens has one anchor, its whole; a blank one has none; null is an empty text.
+    """
+    if not 1 <= s < k:
+        raise ValueError("s must be from 1 to k - 1")
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
 
     def pair(place: Column, h: Column) -> Column:
-        return F.struct(place.alias("place"), h.alias("hash")) if with_place else h
+        return F.struct(place.alias("place"), h.alias("hash"))
 
     def inner(h: Column) -> Column:
         """s-mer hashes: neighbours joined s - 1 times."""
@@ -62,87 +74,111 @@ def _chosen(text: Column, k: int, s: int, with_place: bool) -> Column:
     return _let(hashes, whole)
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<place: token number, hash>> of the closed syncmers of a text, in order.
+def neighbours(found: Column) -> Column:
+    """What is compared: a hash of every two neighbouring anchors and their distance, each once; of a single anchor its own hash."""
+    def paired(a: Column) -> Column:
+        n = F.size(a)
+        both = F.zip_with(F.slice(a, F.lit(1), n - 1), F.slice(a, F.lit(2), n - 1),
+                          lambda x, y: F.xxhash64(x["hash"], y["hash"], y["place"] - x["place"]))
+        return F.when(n < 2, F.transform(a, lambda x: x["hash"])).otherwise(F.array_distinct(both))
 
-    A text of fewer than k tokens has one anchor, its whole; a blank one has none; null is an empty text.
-    """
-    if not 1 <= s < k:
-        raise ValueError("s must be from 1 to k - 1")
-    return _chosen(F.coalesce(text, F.lit("")), k, s, True)
+    return _let(found, paired)
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The ``size`` least distinct anchor hashes of the whole text, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(_chosen(F.coalesce(text, F.lit("")), k, s, False))), 1, size)
+def as_text(found: Column) -> Column:
+    """``place:hash`` (hexadecimal) of every anchor, joined by commas."""
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.hex(x["place"]), F.lpad(F.hex(x["hash"]), 16, "0"))), ",")
 
 
-def as_text(fingerprint: Column) -> Column:
-    """16 hex digits per hash of a sketch."""
-    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common neighbours among all of two texts' ``neighbours``.
+    Two texts without an anchor are alike (1), one without and another are not (0)."""
+    both = _let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both.cast("double"))
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Jaccard estimate of two sketches: the share of the least hashes of both that both have.
-    Two empty sketches are alike (1), an empty and another are not (0)."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    common = _let(union, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common.cast("double"))
+def _marks(keyed: DataFrame, key: str, h: str, buckets: int) -> list[tuple[int, int]]:
+    """The first (key, hash) of each of at most ``buckets`` buckets of as many rows, in descending key, ascending hash.
+
+    Found exactly, on narrow rows: a range exchange numbers them, and those at the multiples of a bucket's rows come back.
+    """
+    order = [F.col(key).desc(), F.col(h).asc()]
+    lined = stored(keyed.select(key, h).repartitionByRange(*order, F.rand(7)).sortWithinPartitions(*order)
+                   .select(key, h, F.monotonically_increasing_id().alias("at")), "syncmer-order")
+    part, index = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r[0], r[1]) for r in lined.groupBy(part.alias("p")).count().collect())      # a row per partition
+    total = sum(n for _, n in sizes)
+    if not total:
+        return []
+    per = -(-total // buckets)
+    wanted, before = None, 0
+    for p, n in sizes:      # numbers within the partition at which a bucket begins
+        first = -before % per
+        if first < n:
+            mine = (part == p) & (index >= first) & ((index - first) % per == 0)
+            wanted = mine if wanted is None else wanted | mine
+        before += n
+    rows = lined.where(wanted).select(key, h).distinct().collect()
+    return sorted(((r[0], r[1]) for r in rows), key=lambda x: (-x[0], x[1]))
 
 
 def with_next(docs: DataFrame, id_col: str, columns: dict[str, Column], buckets: int) -> DataFrame:
     """``docs`` plus, per entry of ``columns`` (name to expression), the expression and the value that the next row in
     descending id has, as next_<name>; after the last row comes the first.
 
-    Rows go to buckets of neighbouring ids by approximate quantiles (``buckets`` numbers at the driver), one exchange; the
-    first row of every bucket also stands, as a guest, at the end of the bucket before, so no row
-    needs a global order. A null id is the least; rows with one id follow each other by the hash of
-    the first expression.
+    Rows go to buckets of neighbours, one exchange; the first row of every bucket also stands, as a guest, at the end of the
+    bucket before, so no row needs a global order. A null id is the least; rows with one id, and rows without, follow each other by the
+    hash of the first expression, and are spread over buckets by it; only equal rows always share one.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST_LONG))
-    keyed = docs.withColumn("_key", key)
-    marks = keyed.agg(F.percentile_approx("_key", [k / buckets for k in range(1, buckets)], 10_000)).first()[0]
-    marks = sorted(set(marks or []), reverse=True)
-    bucket = F.size(F.filter(F.lit(marks), lambda m: m > F.col("_key"))) if marks else F.lit(0)
-    heads = sorted((r[0], r[1]) for r in keyed.groupBy(bucket.alias("b")).agg(F.max("_key")).collect())
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}       # of the first: the last
-    order = [F.col("_key").desc(), F.xxhash64(next(iter(columns.values())))]
-    rows = keyed.withColumn("_bucket", bucket).withColumn("_guest", F.lit(0))
-    guests = keyed.where(F.col(id_col).isin([h for _, h in heads]) | F.col(id_col).isNull())
-    guests = guests.where(F.col("_key").isin([h for _, h in heads]))
-    guests = (guests.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(order[1])))
-              .where("_n = 1").drop("_n")
-              .withColumn("_bucket", _literal_map(before)[F.col("_key")] if before else F.lit(0))
-              .withColumn("_guest", F.lit(1)))
-    both = rows.unionByName(guests).select("*", *(c.alias(n) for n, c in columns.items()))
-    ahead = Window.partitionBy("_bucket").orderBy("_guest", *order)
-    return (both.select("*", *(F.lead(n).over(ahead).alias(f"next_{n}") for n in columns))
-            .where("_guest = 0").drop("_key", "_bucket", "_guest"))
-
-
-def _literal_map(values: dict[int, int]) -> Column:
-    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k).cast("long"), F.lit(v))))
-
-
-def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S,
-                      size: int = SKETCH) -> DataFrame:
+    taken = [*docs.columns, *columns, *(f"next_{n}" for n in columns)]
+    key, h, place, bucket, guest = free_names(taken, "key", "hash", "place", "bucket", "guest")
+    keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LEAST_LONG)).alias(key),
+                        F.xxhash64(next(iter(columns.values()))).alias(h))
+    marks = _marks(keyed, key, h, buckets)
+    n = len(marks)
+    if not n:
+        return keyed.select(*docs.columns, *(c.alias(m) for m, c in columns.items()), *(c.alias(f"next_{m}") for m, c in columns.items()))
+    keys, hashes = F.lit([k for k, _ in marks]), F.lit([x for _, x in marks])
+
+    def reached(i: Column) -> Column:
+        """Is the row at or after mark i?"""
+        return (F.get(keys, i) > F.col(key)) | ((F.get(keys, i) == F.col(key)) & (F.get(hashes, i) <= F.col(h)))
+
+    steps = [1 << b for b in reversed(range(max(n - 1, 1).bit_length()))]      # binary search
+    at = F.aggregate(F.lit(steps), F.lit(0), lambda i, s: F.when(F.coalesce(reached(i + s), F.lit(False)), i + s).otherwise(i))
+    placed = keyed.withColumn(place, at)
+    head = (F.get(keys, F.col(place)) == F.col(key)) & (F.get(hashes, F.col(place)) == F.col(h))
+    own = F.struct(F.col(place).alias("b"), F.lit(0).alias("g"))
+    also = F.struct(((F.col(place) + n - 1) % n).alias("b"), F.lit(1).alias("g"))
+    both = placed.withColumn(bucket, F.explode(F.when(head, F.array(own, also)).otherwise(F.array(own))))
+    both = both.select(*docs.columns, key, h, F.col(f"{bucket}.b").alias(place), F.col(f"{bucket}.g").alias(guest),
+                       *(c.alias(m) for m, c in columns.items()))
+    ahead = Window.partitionBy(place).orderBy(guest, F.col(key).desc(), h)
+    return (both.select("*", *(F.lead(m).over(ahead).alias(f"next_{m}") for m in columns))
+            .where(F.col(guest) == 0).drop(key, h, place, guest))
+
+
+def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
     """Per row: id, n_chars, fingerprint, near_next, and of the edited text (the last third of its code points replaced by
     the first as many of the next document, descending id): sha256, fingerprint, near_edited.
 
-    Null texts are empty. An only row is its own next. Repeated rows follow each other. An empty table gives an
-    empty result. Other columns are not read.
+    Null texts are empty. An only row is its own next. Repeated rows follow each other. Whole texts are read, however long. An
+    empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    pairs = with_next(own, id_col, {"_body": F.col("_text"), "_print": sketch(F.col("_text"), k, s, size)}, buckets)
-    n = F.length("_text")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
+    pairs = with_next(own.select("id", "body"), "id", {"text": F.col("body")}, buckets)
+    n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("_text", F.lit(1), n - third), F.substring("next__body", F.lit(1), third))
-    made = (pairs.select(id_col, n.cast("long").alias("n_chars"), "_print", "next__print", edited.alias("_edited"))
-            .withColumn("_edited_print", sketch(F.col("_edited"), k, s, size)))
-    return made.select(
-        id_col, "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("_print")).alias("fingerprint"), as_text(F.col("_edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("_print"), F.col("_edited_print"), size).alias("near_edited"),
-        likeness(F.col("_print"), F.col("next__print"), size).alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
+    made = pairs.select("id", n.cast("long").alias("n_chars"), _let(
+        F.struct(F.col("text").alias("own"), F.col("next_text").alias("next"), edited.alias("edited")),
+        lambda t: F.struct(F.sha2(t["edited"].cast("binary"), 256).alias("sha"), anchors(t["own"], k, s).alias("own"),
+                           anchors(t["edited"], k, s).alias("edited"), neighbours(anchors(t["next"], k, s)).alias("next"))).alias("a"))
+    sets = F.struct(neighbours(F.col("a.own")).alias("own"), neighbours(F.col("a.edited")).alias("edited"), F.col("a.next").alias("next"))
+    near = made.select("id", "n_chars", "a", _let(sets, lambda x: F.struct(
+        likeness(x["own"], x["edited"]).alias("edited"), likeness(x["own"], x["next"]).alias("next"))).alias("near"))
+    return near.select(
+        F.col("id").alias(id_col), "n_chars", F.col("a.sha").alias("edited_sha256"), as_text(F.col("a.own")).alias("fingerprint"),
+        as_text(F.col("a.edited")).alias("edited_fingerprint"), F.col("near.edited").alias("near_edited"), F.col("near.next").alias("near_next"))
