@@ -2,16 +2,20 @@
 
 Equal fingerprints are one class from the start. The distinct fingerprints form a binary trie; node
 pairs are traversed together, each step adds the differing bits, and a pair whose bits exceed the budget
-is dropped with everything below it. The top of the trie comes from counts per 16-bit prefix (at most
-65,536 numbers) and cuts the fingerprints into blocks of bounded size; a prefix with more than a block
-is cut by a hash into blocks that are all paired with each other. Each surviving
-pair of blocks is one row that a task traverses to the leaves, level by level in numpy, in
-bounded slices. A task emits the links of a spanning forest only, so a group of near copies never
+is dropped with everything below it.
+
+Two fingerprints within a budget of b bits agree in at least one of b + 1 bands of bits. So the trie is built b + 1 times, rotated to
+begin with each band in turn, and there the first band has budget 0: a part of the trie below one value of the band pairs with
+nothing but itself. Counts per band value (some 40,000 numbers) cut each rotated trie into blocks of bounded size, and every fingerprint is
+shipped b + 1 times whatever their number. A band value with more than a block is cut by a hash into blocks that are all
+paired with each other. A task traverses blocks to the leaves, level by level in numpy, in
+bounded slices, and emits the links of a spanning forest only, so a group of near copies never
 becomes all its pairs; components of those links are the classes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,31 +25,56 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import free_names, stored, text_bytes
+from ticketlens.llm.common import STEP_BYTES, free_names, stored, text_bytes
 from ticketlens.llm.components import component_roots
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-_TOP_BITS = 16
+_TOP_BITS = 13        # bits of a band that are counted
+_ROTATION = 40        # a block's number holds its rotation above these bits
 _SLICE = 200_000      # node pairs expanded at a time
 _LEAF = 16            # leaf pairs below which a node pair is compared directly
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a UTF-8 text: bit 1 where over half the shingles' XXH64 have it."""
-    words = text.lower().split()      # bytes: A-Z only; splits at x20 and x09-x0D only
-    if not words:
-        return 0
-    flat = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    k = min(shingle, len(words))
+def _slices(text: bytes, most: int) -> Iterator[bytes]:
+    """Parts of about ``most`` bytes, cut where no word is."""
+    at = 0
+    while at < len(text):
+        cut = at + most
+        if cut < len(text):
+            space = _WHITE.search(text, cut)
+            cut = space.start() if space else len(text)
+        yield text[at:cut]
+        at = max(cut, at + 1)
+
+
+_WHITE = re.compile(rb"[ \t-\r]")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, most: int = STEP_BYTES) -> int:
+    """64-bit SimHash of a UTF-8 text: bit 1 where over half the shingles' XXH64 have it.
+
+    A long text is read in parts; the last words of a part begin the next one's shingles.
+    """
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1:].tolist(), strict=False)],
-                      ">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    ones, total, held = np.zeros(64, np.int64), 0, []
+    for part in _slices(text, most):
+        words = held + part.lower().split()      # bytes: A-Z only; splits at x20 and x09-x0D only
+        if len(words) < shingle:
+            held = words
+            continue
+        flat = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.r_[0, ends[:-1] + 1]
+        hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1:].tolist(), strict=False)], ">u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+        held = words[len(words) - shingle + 1:]
+    if not total and held:      # fewer words than a shingle: all of them
+        total = 1
+        ones = np.unpackbits(np.array([digest(b" ".join(held), SEED)], ">u8").view(np.uint8)).astype(np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -95,8 +124,9 @@ class Trie:
         return lo, np.where(node + 1 < len(start), start[nxt], len(self.values))
 
 
-def close_pairs(a: Trie, b: Trie, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i of a, j of b) at ``budget`` differing bits or fewer; i < j where ``same``."""
+def close_pairs(a: Trie, b: Trie, budget: int, same: bool, exact: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i of a, j of b) at ``budget`` differing bits or fewer; i < j where ``same``. Pairs that differ in
+    the first ``exact`` bits need not be found."""
     one = np.zeros(1, np.int64)
     stack = [(0, one, one, np.zeros(1, np.int8))]
     last = min(a.depth, b.depth)
@@ -128,7 +158,7 @@ def close_pairs(a: Trie, b: Trie, budget: int, same: bool) -> Iterator[tuple[np.
                     ok &= x != y
                 cx, cy = xk[ok] + i, yk[ok] + j
                 d = diff[ok] + (a.bit[depth + 1][cx] ^ b.bit[depth + 1][cy])
-                ok = d <= budget
+                ok = d <= (0 if depth < exact else budget)
                 level.append((cx[ok], cy[ok], d[ok]))
         stack.append((depth + 1, *(np.concatenate(c) for c in zip(*level, strict=True))))
 
@@ -175,105 +205,99 @@ class Forest:
                 label[:] = up
 
 
-def _block_pairs(counts: dict[int, int], target: int, budget: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """(first block of each 16-bit prefix, blocks of the prefix's node, pairs of blocks)."""
-    weight = np.zeros(1 << _TOP_BITS, np.int64)
-    for prefix, n in counts.items():
-        weight[prefix] = n
-    total = np.r_[0, np.cumsum(weight)]
-    first, chunks = np.zeros(len(weight), np.int64), np.ones(len(weight), np.int64)
-    leaves: dict[tuple[int, int], range] = {}
-    inner: set[tuple[int, int]] = set()
-    made, todo = 0, [(0, 0)]
-    while todo:
-        depth, prefix = todo.pop()
-        width = 1 << (_TOP_BITS - depth)
-        lo = prefix * width
-        n = int(total[lo + width] - total[lo])
-        if not n:
-            continue
-        if n > target and depth < _TOP_BITS:
-            inner.add((depth, prefix))
-            todo += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
-            continue
-        parts = -(-n // target)
-        leaves[depth, prefix] = range(made, made + parts)
-        first[lo: lo + width], chunks[lo: lo + width] = made, parts
-        made += parts
-    pairs, todo = [], [((0, 0), (0, 0), 0)]
-    while todo:
-        a, b, diff = todo.pop()
-        if a in leaves and b in leaves:
-            pairs += [(i, j) for i in leaves[a] for j in leaves[b] if a != b or i <= j]
-            continue
-        if not (a in leaves or a in inner) or not (b in leaves or b in inner):
-            continue
-        kids = lambda x: [(x[0] + 1, 2 * x[1]), (x[0] + 1, 2 * x[1] + 1)]
-        if a in inner and (b in leaves or a[0] <= b[0]) and not (b in inner and b[0] < a[0]):
-            if b in inner and a[0] == b[0]:
-                for i, x in enumerate(kids(a)):
-                    for j, y in enumerate(kids(b)):
-                        if (a != b or i <= j) and diff + (i ^ j) <= budget:
-                            todo.append((x, y, diff + (i ^ j)))
-            else:
-                for i, x in enumerate(kids(a)):
-                    known = b[0] > a[0]
-                    bit = (b[1] >> (b[0] - a[0] - 1)) & 1 if known else i
-                    if diff + (i ^ bit) <= budget:
-                        todo.append((x, b, diff + (i ^ bit)))
-        else:
-            for j, y in enumerate(kids(b)):
-                known = a[0] > b[0]
-                bit = (a[1] >> (a[0] - b[0] - 1)) & 1 if known else j
-                if diff + (j ^ bit) <= budget:
-                    todo.append((a, y, diff + (j ^ bit)))
-    return first, chunks, pairs
+def _bands(budget: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the budget + 1 bands."""
+    edges = [64 * k // (budget + 1) for k in range(budget + 2)]
+    return [(x, y - x) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def _rotated(v: np.ndarray, by: int) -> np.ndarray:
+    """The fingerprints with bit ``by`` (from the top) first."""
+    return v if by % 64 == 0 else v << np.uint64(by % 64) | v >> np.uint64(64 - by % 64)
+
+
+def _layout(counts: dict[tuple[int, int], int], bands: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, blocks) of every rotation and band value: neighbouring values share a block of at most ``target``
+    fingerprints, a value with more has several."""
+    first, chunks = np.zeros((bands, 1 << _TOP_BITS), np.int64), np.ones((bands, 1 << _TOP_BITS), np.int64)
+    made, held, at = 0, 0, -1
+    for (r, value), n in sorted(counts.items()):
+        if n > target or held + n > target or r != at:
+            made, held = made + (held > 0), 0
+        first[r, value] = made + (r << _ROTATION)
+        held, at = held + n, r
+        if n > target:
+            chunks[r, value] = -(-n // target)
+            made, held = made + int(chunks[r, value]), 0
+    return first, chunks
 
 
 def close_links(fps: DataFrame, budget: int = MAX_BITS, least_block: int = 4096, most_block: int = 1 << 17,
                 blocks: int = 48) -> DataFrame:
     """(u, v): links that connect all distinct fingerprints (column fp) at ``budget`` bits or fewer."""
     spark = fps.sparkSession
-    counts = {r[0]: r[1] for r in fps.groupBy(F.shiftrightunsigned("fp", 64 - _TOP_BITS).cast("int").alias("p"))
-              .count().collect()}
-    target = min(most_block, max(least_block, -(-sum(counts.values()) // blocks)))
-    first, chunks, pairs = _block_pairs(counts, target, budget)
+    bands = _bands(budget)
+    tops = [min(width, _TOP_BITS) for _, width in bands]
+    values = F.array(*(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(_turned(F.col("fp"), at), 64 - tops[r]).cast("int").alias("value"))
+                       for r, (at, _) in enumerate(bands)))
+    counts = {(x[0], x[1]): x[2] for x in fps.select(F.inline(values)).groupBy("r", "value").count().collect()}
+    n = sum(c for (r, _), c in counts.items() if r == 0)
+    target = min(most_block, max(least_block, -(-n // blocks)))
+    first, chunks = _layout(counts, len(bands), target)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            top = (v >> np.uint64(64 - _TOP_BITS)).astype(np.int64)
-            block = first[top] + (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[top]
-            order = np.argsort(block, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(block[order]) > 0]) if len(v) else []
-            yield pd.DataFrame({"block": block[order][cut],
-                                "data": [x.tobytes() for x in np.split(v[order], cut[1:])] if len(v) else []})
-
-    def gathered(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "data": [np.sort(np.frombuffer(b"".join(pdf["data"]), np.uint64)).tobytes()]})
+            own = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            for r, (at, _) in enumerate(bands):
+                v = _rotated(own, at)
+                top = (v >> np.uint64(64 - tops[r])).astype(np.int64)
+                block = first[r, top] + (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[r, top]
+                order = np.argsort(block, kind="stable")
+                cut = np.flatnonzero(np.r_[True, np.diff(block[order]) > 0]) if len(v) else []
+                yield pd.DataFrame({"block": block[order][cut],
+                                    "data": [x.tobytes() for x in np.split(v[order], cut[1:])] if len(v) else []})
+
+    # first blocks of band values with several: at most a number per counted value
+    several = np.sort(first[chunks > 1])
+    last = dict(zip(first[chunks > 1].tolist(), (first + chunks)[chunks > 1].tolist(), strict=True))
+
+    def gathered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(np.searchsorted(several, key[0], "right")) - 1
+        low = int(several[at]) if at >= 0 and key[0] < last[int(several[at])] else -1
+        return pd.DataFrame({"block": [key[0]], "low": [low],
+                             "data": [np.sort(np.frombuffer(b"".join(pdf["data"]), np.uint64)).tobytes()]})
 
     made = stored(fps.select("fp").mapInPandas(packed, "block long, data binary")
-                  .groupBy("block").applyInPandas(gathered, "block long, data binary"), "blocks")
-    ends = spark.createDataFrame(pairs or [(0, 0)], "a long, b long")
-    rows = (ends.join(made.select(F.col("block").alias("a"), F.col("data").alias("left")), "a")
-            .join(made.select(F.col("block").alias("b"), F.col("data").alias("right")), "b"))
+                  .groupBy("block").applyInPandas(gathered, "block long, low long, data binary"), "blocks")
+    left = made.select(F.col("block").alias("a"), F.col("data").alias("left"), "low")
+    pairs = left.select("a", F.col("a").alias("b"), "left", F.lit(None).cast("binary").alias("right"))
+    if len(several):
+        right = made.where("low >= 0").select(F.col("block").alias("b"), F.col("data").alias("right"), F.col("low").alias("of"))
+        pairs = pairs.unionByName(left.join(right, (F.col("low") == F.col("of")) & (F.col("a") < F.col("b"))).select("a", "b", "left", "right"))
     per_task = max(1, (32 << 20) // (16 * target))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(pairs) // per_task))
+    rows = sum(int(c * (c + 1) // 2) for c in chunks[chunks > 1]) + len(np.unique(first))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
     def traversed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a, b, left, right in pdf[["a", "b", "left", "right"]].itertuples(index=False):
-                x = Trie(np.frombuffer(left, np.uint64))
-                y = x if a == b else Trie(np.frombuffer(right, np.uint64))
+            for a, b, one, other in pdf[["a", "b", "left", "right"]].itertuples(index=False):
+                at, width = bands[a >> _ROTATION]
+                x = Trie(np.frombuffer(one, np.uint64))
+                y = x if a == b else Trie(np.frombuffer(other, np.uint64))
                 shift = 0 if a == b else len(x.values)
                 forest = Forest(len(x.values) + (len(y.values) if shift else 0))
-                for i, j in close_pairs(x, y, budget, a == b):
+                for i, j in close_pairs(x, y, budget, a == b, width):
                     forest.link(i, j + shift)
-                values = np.r_[x.values, y.values] if shift else x.values
-                tied = np.flatnonzero(forest.label != np.arange(len(values)))
-                yield pd.DataFrame({"u": values[tied].view(np.int64), "v": values[forest.label[tied]].view(np.int64)})
+                v = _rotated(np.r_[x.values, y.values] if shift else x.values, 64 - at)
+                tied = np.flatnonzero(forest.label != np.arange(len(v)))
+                yield pd.DataFrame({"u": v[tied].view(np.int64), "v": v[forest.label[tied]].view(np.int64)})
+
+    return pairs.repartition(parts, "a", "b").mapInPandas(traversed, "u long, v long")
+
 
-    return rows.repartition(parts, "a", "b").mapInPandas(traversed, "u long, v long")
+def _turned(fp, by: int):
+    """``_rotated`` as an expression."""
+    return fp if by % 64 == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
