@@ -42,6 +42,7 @@ LEAST_BUCKETS = 64
 _BLOCK = 1 << 15              # windows handled at a time
 _SPANS = 1 << 14              # spans handled at a time
 _ANCHOR_BYTES = 5             # of an anchor's hash within its bucket; a clash only adds a candidate
+QUEUE_BYTES = 4 << 20         # of the sort's queues that stand in memory; the rest is on disk
 HOT_RUNS = 1 << 15            # an anchor with more runs has its windows dealt one by one
 _NO_ID = np.iinfo(np.int64).max
 
@@ -276,6 +277,11 @@ def _shared_anchors(chunks: DataFrame, make, copies: DataFrame, hot_runs: int) -
     return stored(told.join(copies, "chunk", "full"), "shared-anchors")
 
 
+def _settle(least: np.ndarray, held: list[np.ndarray], low: int) -> None:
+    for place in held:
+        least[place] = low
+
+
 def _bucket_suffixes(text: np.ndarray, size: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(least id of every window of the distinct regions, place of each region's first window)."""
     ends = np.cumsum(size)
@@ -284,20 +290,37 @@ def _bucket_suffixes(text: np.ndarray, size: np.ndarray, ids: np.ndarray, width:
     region = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)      # by place in the marked text
     inside = (np.arange(len(region)) - np.repeat(ends - size + np.arange(len(size)), size + 1)).astype(np.int32)
     whole = inside < windows.astype(np.int32)[region]
-    places, groups, seen = [], [], 0
-    for suffix, common in sorted_suffixes(text, ends, width):
-        group = np.cumsum(common < width) + seen      # a shared prefix of the width: the same string
-        seen = int(group[-1])
-        suffix, group = suffix[suffix < len(region)], group[suffix < len(region)]
-        ok = whole[suffix]
-        suffix = suffix[ok]
-        places.append(at[region[suffix]] + inside[suffix])
-        groups.append(group[ok])
-    place, group = np.concatenate(places), np.concatenate(groups)
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    least = np.empty(len(place), np.int64)
-    own = ids[np.repeat(np.arange(len(size)), windows)[place]]
-    least[place] = np.repeat(np.minimum.reduceat(own, first), np.diff(np.r_[first, len(place)]))
+    least = np.empty(int(windows.sum()), np.int64)
+    held, low = [], _NO_ID      # the string that the batch before ended in: its windows so far, their least id
+    for suffix, common in sorted_suffixes(text, ends, width, QUEUE_BYTES):
+        fresh = common < width      # a shared prefix of the width: the same string
+        real = np.flatnonzero(suffix < len(region))
+        real = real[whole[suffix[real]]]
+        group, suffix = np.cumsum(fresh)[real], suffix[real]
+        place, own = at[region[suffix]] + inside[suffix], ids[region[suffix]]
+        if len(place):
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            value = np.minimum.reduceat(own, first)
+            size_of = np.diff(np.r_[first, len(place)])
+            if held and group[0] == 0:      # goes on
+                low = min(low, int(value[0]))
+                held.append(place[: size_of[0]])
+                first, value, size_of = first[1:], value[1:], size_of[1:]
+                place = place[len(held[-1]):]
+            if len(value):
+                _settle(least, held, low)
+                done = size_of[:-1].sum()
+                least[place[:done]] = np.repeat(value[:-1], size_of[:-1])
+                held, low, last = [place[done:]], int(value[-1]), int(group[-1])
+                open_ = last == int(fresh.sum())      # no string began after it
+            else:
+                open_ = not fresh.any()
+        else:
+            open_ = not fresh.any()
+        if held and not open_:
+            _settle(least, held, low)
+            held, low = [], _NO_ID
+    _settle(least, held, low)
     return least, at
 
 
