@@ -380,6 +380,9 @@ def _places(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[
     return {"size": cols[:, 0], "lo": cols[:, 1], "seq": cols[:, 2], "offset": cols[:, 3]}
 
 
+JOIN_ROWS = 500_000      # rows of three numbers in one hash table
+
+
 def ranked(pieces: DataFrame, parts: int, keys: list[str]) -> DataFrame:
     """``pieces`` with _rank: gapless from 0 among the pieces of a length.
 
@@ -403,13 +406,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     either place); an empty table gives an empty result. Other columns are not read.
     """
     made = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, with_ids)
-    pieces = stored(made.withColumn("_row", F.monotonically_increasing_id()) if with_ids else made, "pieces")
+    pieces = stored(made.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in pieces.groupBy("length").count().collect():     # at most `capacity` rows
         counts[size] = n
     runs = _places(complete_bins(counts, capacity), capacity)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = ranked(pieces.drop("ids"), max(64, parts), [id_col, "piece", "start", "ids_crc32"])
+    base = ranked(pieces.drop("ids"), max(64, parts), [id_col, "piece", "start", "ids_crc32", "_row"])      # a stored number tells equal pieces apart
 
     key = runs["size"] << 44 | runs["lo"]
 
@@ -425,6 +428,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     at = base.withColumn("_place", placed("length", "_rank"))
     if not with_ids:
         return at.select(*columns, *place)
-    # The ids pass one exchange and no sort: they meet the narrow rows' hash table, by the key they were stored with.
-    narrow = at.select("_row", *place).hint("shuffle_hash")
-    return pieces.join(narrow, "_row").select(*columns, "ids", "sequence_id", "offset")
+    # The ids pass one exchange and no sort: they meet the narrow rows' hash table, by the key they were stored with. Partitions
+    # are as many as keep a table at JOIN_ROWS rows.
+    tables = max(parts, -(-int(counts.sum()) // JOIN_ROWS))
+    narrow = at.select("_row", *place).repartition(tables, "_row").hint("shuffle_hash")
+    return pieces.repartition(tables, "_row").join(narrow, "_row").select(*columns, "ids", "sequence_id", "offset")
