@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ticketlens.llm.common import extended, steps, text_bytes
+from ticketlens.llm.common import STEP_BYTES, extended, steps, text_bytes
 from ticketlens.llm.toxicity import labelled_sample
 
 MOST_LABELLED = 20_000
@@ -39,27 +39,32 @@ _KIND[[0x2C, 0x3B, 0x3A]] = 6              # , ; :
 _VALUE = np.random.default_rng(20240605).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One row of STATISTICS per text; an empty text has zeros."""
+class _Raw(NamedTuple):
+    """What is counted in texts, so that parts of one text add up."""
+
+    sums: np.ndarray        # per text: bytes by kind (9), words, their bytes, squares of these, and the counts below
+    longest: np.ndarray     # bytes of the longest word
+    signs: np.ndarray       # (text, sign): does it occur?
+    own: np.ndarray         # text, hash and times of every distinct word, by text and hash
+    hash: np.ndarray
+    times: np.ndarray
+
+
+_COUNTS = ("short_words", "long_words", "capital_words", "sign_words", "upper_words", "repeated_signs")
+
+
+def _raw(buf: np.ndarray, off: np.ndarray) -> _Raw:
     n = len(off) - 1
-    size = np.diff(off).astype(float)
-    out = np.zeros((n, len(STATISTICS)))
-    if not len(buf):
-        return out
     doc = np.repeat(np.arange(n), np.diff(off))
     kind = _KIND[buf]
     each = np.bincount(doc * 9 + kind, minlength=n * 9).reshape(n, 9)
-    some = np.maximum(size, 1)
     inside = (kind != 3) & (kind != 4)
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | (doc[1:] != doc[:-1])
+    begins, ends = inside.copy(), inside.copy()
+    if len(buf):
+        begins[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
+        ends[:-1] &= ~inside[1:] | (doc[1:] != doc[:-1])
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
     own, length = doc[start], (end - start + 1).astype(float)
-    words = np.bincount(own, minlength=n)
-    w = np.maximum(words, 1)
-    mean = np.bincount(own, length, n) / w
     # words by hash: sums of place-mixed byte values
     place = np.arange(len(buf)) - np.maximum.accumulate(np.where(begins, np.arange(len(buf)), 0))
     mixed = (_VALUE[buf] ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,39 +73,68 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     order = np.lexsort((h, own))
     ho, oo = h[order], own[order]
     first = np.flatnonzero(np.r_[True, (ho[1:] != ho[:-1]) | (oo[1:] != oo[:-1])]) if len(ho) else np.zeros(0, int)
-    runs = np.diff(np.r_[first, len(ho)])
-    most = np.zeros(n)
-    np.maximum.at(most, oo[first], runs)
     sign = kind == 7
-    pairs = np.unique(doc[sign].astype(np.int64) << 8 | buf[sign])
-    again = np.r_[False, sign[1:] & sign[:-1] & (buf[1:] == buf[:-1]) & (doc[1:] == doc[:-1])]
+    signs = np.zeros((n, 256), bool)
+    signs[doc[sign], buf[sign]] = True
+    again = np.r_[False, sign[1:] & sign[:-1] & (buf[1:] == buf[:-1]) & (doc[1:] == doc[:-1])] if len(buf) else sign
     upper = np.r_[0, np.cumsum(kind == 0)]
+    longest = np.zeros(n)
+    np.maximum.at(longest, own, length)
+    counts = {
+        "short_words": own[length <= 3], "long_words": own[length >= 9], "capital_words": own[kind[start] == 0], "sign_words": own[kind[end] == 7],
+        "upper_words": own[(upper[end + 1] - upper[start] >= 2) & (length >= 2)], "repeated_signs": doc[again],
+    }
+    columns = [*each.T, np.bincount(own, minlength=n), np.bincount(own, length, n), np.bincount(own, length ** 2, n),
+               *(np.bincount(counts[c], minlength=n) for c in _COUNTS)]
+    return _Raw(np.stack(columns, axis=1).astype(float), longest, signs, oo[first], ho[first], np.diff(np.r_[first, len(ho)]))
+
+
+def _finished(size: np.ndarray, r: _Raw) -> np.ndarray:
+    n = len(size)
+    each, (words, total, squares) = r.sums[:, :9], r.sums[:, 9:12].T
+    count = dict(zip(_COUNTS, r.sums[:, 12:].T, strict=True))
+    some, w = np.maximum(size, 1), np.maximum(words, 1)
+    mean = total / w
+    most = np.zeros(n)
+    np.maximum.at(most, r.own, r.times)
     columns = {
         "log_bytes": np.log1p(size), "log_words": np.log1p(words), "word_bytes": mean,
-        "word_bytes_sd": np.sqrt(np.maximum(0, np.bincount(own, length ** 2, n) / w - mean ** 2)),
+        "word_bytes_sd": np.sqrt(np.maximum(0, squares / w - mean ** 2)),
         **{name: each[:, k] / some for k, name in enumerate(
             ("upper", "lower", "digit", "space", "newline", "end_marks", "commas", "other_signs", "high"))},
         "bytes_per_line": np.log1p(size / (each[:, 4] + 1)),
-        "distinct_words": np.bincount(oo[first], minlength=n) / w, "most_common_word": most / w,
-        "short_words": np.bincount(own[length <= 3], minlength=n) / w,
-        "long_words": np.bincount(own[length >= 9], minlength=n) / w,
-        "capital_words": np.bincount(own[kind[start] == 0], minlength=n) / w,
-        "sign_words": np.bincount(own[kind[end] == 7], minlength=n) / w,
-        "upper_words": np.bincount(own[(upper[end + 1] - upper[start] >= 2) & (length >= 2)], minlength=n) / w,
+        "distinct_words": np.bincount(r.own, minlength=n) / w, "most_common_word": most / w,
+        **{name: count[name] / w for name in _COUNTS[:5]},
         "words_per_end": np.log1p(words / (each[:, 5] + 1)),
-        "longest_word": np.log1p(_most(own, length, n)), "distinct_signs": np.bincount(pairs >> 8, minlength=n),
-        "repeated_signs": np.bincount(doc[again], minlength=n) / some,
+        "longest_word": np.log1p(r.longest), "distinct_signs": r.signs.sum(axis=1),
+        "repeated_signs": count["repeated_signs"] / some,
     }
-    for k, name in enumerate(STATISTICS):
-        out[:, k] = columns[name]
+    out = np.stack([columns[name] for name in STATISTICS], axis=1).astype(float)
     out[size == 0] = 0
     return out
 
 
-def _most(own: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n)
-    np.maximum.at(out, own, value)
-    return out
+def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """One row of STATISTICS per text; an empty text has zeros."""
+    return _finished(np.diff(off).astype(float), _raw(buf, off))
+
+
+def long_statistics(buf: np.ndarray, most: int = STEP_BYTES) -> np.ndarray:
+    """The same for one text, counted in parts that end where no word is."""
+    done, at = None, 0
+    while at < len(buf):
+        cut = min(at + most, len(buf))
+        while cut < len(buf) and _KIND[buf[cut]] not in (3, 4):
+            ahead = np.flatnonzero((_KIND[buf[cut: cut + most]] == 3) | (_KIND[buf[cut: cut + most]] == 4))
+            cut = cut + int(ahead[0]) if len(ahead) else min(cut + most, len(buf))
+        part = _raw(buf[at:cut], np.array([0, cut - at]))
+        if done is not None:
+            every, number = np.unique(np.r_[done.hash, part.hash], return_inverse=True)
+            times = np.bincount(number, np.r_[done.times, part.times])
+            part = _Raw(done.sums + part.sums, np.maximum(done.longest, part.longest), done.signs | part.signs,
+                        np.zeros(len(every), np.int64), every, times)
+        done, at = part, cut
+    return _finished(np.array([float(len(buf))]), done)
 
 
 class Model(NamedTuple):
@@ -171,14 +205,15 @@ def _per_text(df: DataFrame, text_col: str, schema, make) -> DataFrame:
             buf, off = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in steps(off):
                 part = batch.slice(a, b - a)
-                x = statistics(buf[off[a]: off[b]], off[a: b + 1] - off[a])
+                long = b - a == 1 and off[b] - off[a] > STEP_BYTES
+                x = long_statistics(buf[off[a]: off[b]]) if long else statistics(buf[off[a]: off[b]], off[a: b + 1] - off[a])
                 yield pa.RecordBatch.from_arrays([*part.columns, make(x)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "quality", most: int = MOST_LABELLED) -> Model:
-    """Trees from labelled rows outside ``held_out`` (about ``most`` of them)."""
+    """Trees from labelled rows outside ``held_out`` (about ``most`` ids, as ``labelled_sample`` draws them)."""
     sample = labelled_sample(docs, labels, label, held_out, most)
     schema = extended(sample.schema, x=ArrayType(DoubleType()))
     got = _per_text(sample, "text", schema, lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))).select("label", "x").collect()
@@ -187,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label: str = "quality", mo
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with quality_score (0 to 1). Null and empty texts are scored as empty; repeated rows get the same
-    score; an input column named quality_score is replaced."""
+    """``docs`` with quality_score (0 to 1). Null and empty texts are scored as empty; a very long text is counted in parts; repeated rows
+    get the same score; an input column named quality_score is replaced."""
     docs = docs.drop("quality_score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)      # trees x nodes numbers
     return _per_text(docs, text_col, extended(docs.schema, quality_score="double"),
