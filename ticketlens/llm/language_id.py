@@ -28,6 +28,7 @@ SLOTS = 1 << 21
 HASHES = 3
 MOST_LABELLED = 20_000     # bound on the labelled rows that fit the filter (about; chosen by a hash)
 UNDETERMINED = "und"
+PART = 1 << 20             # code points of a long text that are looked up at a time
 _STEP = np.random.default_rng(20240604).integers(1, 1 << 62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -44,29 +45,38 @@ class Model(NamedTuple):
     usual: int                 # the language with the most sampled documents
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams_of(texts: list[str], framed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each n-gram, its text, letters of each text) of lower-cased texts.
 
     All that is not a letter counts as a space; a text is framed by spaces; n-grams of spaces only are left out.
     """
-    low = [" " + t.lower() + "  " for t in texts]
+    low = [f" {t.lower()}  " for t in texts] if framed else texts
     size = np.array([len(t) for t in low], np.int64)
     cps = np.frombuffer("".join(low).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
     letter = _is_letter()[cps]
     doc = np.repeat(np.arange(len(texts)), size)
     letters = np.bincount(doc[letter], minlength=len(texts))
     value = np.where(letter, cps, 32).astype(np.uint64)
-    n = len(value) - GRAM + 1
+    n = max(len(value) - GRAM + 1, 0)
     h = np.zeros(n, np.uint64)
     some = np.zeros(n, bool)
     for k in range(GRAM):
         h = (h ^ value[k: n + k]) * _STEP[0]
         h ^= h >> np.uint64(29)
         some |= letter[k: n + k]
-    ok = np.flatnonzero(some & (doc[:n] == doc[GRAM - 1:]))
+    ok = np.flatnonzero(some & (doc[:n] == doc[GRAM - 1:][:n]))
     return h[ok], doc[ok], letters
 
 
+def _parts(text: str, most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(n-gram hashes, letters) of the parts of a long text; n-grams across a cut are those of the part before."""
+    low = f" {text.lower()}  "      # once: a part would not know what its last letter is followed by
+    starts = len(low) - GRAM + 1
+    for at in range(0, starts, most):
+        h, _, _ = grams_of([low[at: at + most + GRAM - 1]], framed=False)
+        yield h, sum(c.isalpha() for c in (low[at: at + most] if at + most < starts else low[at:]))
+
+
 def _slots(h: np.ndarray, k: int, slots: int) -> np.ndarray:
     return ((h * _STEP[k + 1]) >> np.uint64(20)).astype(np.int64) % slots
 
@@ -105,7 +115,13 @@ def fit(docs: DataFrame, held_out, text_col: str = "text", lang_col: str = "lang
         for batch in batches:
             code = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             for a, b, texts in _text_steps(batch.column(1)):
-                h, doc, _ = grams_of(texts)
+                if len(texts) == 1 and len(texts[0]) > PART:
+                    h = np.zeros(0, np.uint64)
+                    for part, _ in _parts(texts[0], PART):
+                        h = np.union1d(h, part)
+                    doc = np.zeros(len(h), np.int64)
+                else:
+                    h, doc, _ = grams_of(texts)
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
@@ -147,19 +163,30 @@ def fit(docs: DataFrame, held_out, text_col: str = "text", lang_col: str = "lang
     return Model(languages, table, fill ** HASHES, usual)
 
 
-def votes(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(corrected votes per text and language, n-grams per text, letters per text)."""
-    h, doc, letters = grams_of(texts)
+def _hits(model: Model, h: np.ndarray, doc: np.ndarray, n_texts: int) -> np.ndarray:
+    """Raw hits per text and language."""
     mask = model.slots[_slots(h, 0, len(model.slots))]
     for k in range(1, HASHES):
         mask = mask & model.slots[_slots(h, k, len(model.slots))]
-    n = np.bincount(doc, minlength=len(texts)).astype(float)
-    out = np.zeros((len(texts), len(model.languages)))
-    for k, rate in enumerate(model.false_rate):
-        hit = (mask[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)
-        got = np.bincount(doc[hit], minlength=len(texts))
-        out[:, k] = np.maximum(0, got - n * rate) / (1 - min(rate, 0.99))
-    return out, n, letters
+    out = np.zeros((n_texts, len(model.languages)))
+    for k in range(len(model.languages)):
+        out[:, k] = np.bincount(doc[(mask[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=n_texts)
+    return out
+
+
+def votes(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(corrected votes per text and language, n-grams per text, letters per text); a long text alone is read in parts."""
+    if len(texts) == 1 and len(texts[0]) > PART:
+        hits, n, letters = np.zeros((1, len(model.languages))), np.zeros(1), np.zeros(1, np.int64)
+        for h, some in _parts(texts[0], PART):
+            hits += _hits(model, h, np.zeros(len(h), np.int64), 1)
+            n += len(h)
+            letters += some
+    else:
+        h, doc, letters = grams_of(texts)
+        hits, n = _hits(model, h, doc, len(texts)), np.bincount(doc, minlength=len(texts)).astype(float)
+    rate = model.false_rate[None, :]
+    return np.maximum(0, hits - n[:, None] * rate) / (1 - np.minimum(rate, 0.99)), n, letters
 
 
 RESULT = ("lang_pred", "lang_score", "lang_votes")
