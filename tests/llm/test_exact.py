@@ -116,6 +116,13 @@ def test_simhash_classes(docs, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i, _ in texts if classes[i] == i})
 
 
+@pytest.mark.parametrize("most", [1, 5, 64, 1 << 21])
+def test_a_fingerprint_does_not_depend_on_the_parts_a_text_is_read_in(texts, most):
+    more = ["A b", "a b c d", "  x\x0by z\x0c w v\r", "w" * 300 + " " + "v " * 40]
+    for t in [*(t for _, t in texts if len(t or "") < 3000), *more]:
+        assert simhash.fingerprint((t or "").encode(), 4, most) == brute_fingerprint(t)
+
+
 def test_one_of_each_with_null_and_repeated_ids(spark):
     from tests.llm.conftest import prose
 
@@ -146,6 +153,51 @@ def test_trie_join_finds_all_pairs(seed):
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_blocks_ship_every_fingerprint_once_for_each_band(spark, monkeypatch):
+    r = random.Random(11)
+    values = sorted({r.getrandbits(64) for _ in range(6000)})
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    kept = []
+    monkeypatch.setattr(simhash, "stored", lambda d, tag: (kept.append((tag, d)), d)[1])
+    simhash.close_links(df, least_block=100, most_block=500, blocks=8).collect()
+    blocks = next(d for tag, d in kept if tag == "blocks")
+    assert sum(len(x["data"]) // 8 for x in blocks.select("data").collect()) == 5 * len(values)
+    assert blocks.count() == blocks.select("block").distinct().count()
+
+
+@pytest.mark.parametrize("budget", [0, 1, 4, 7])
+def test_links_at_other_budgets(spark, budget):
+    r = random.Random(budget)
+    base = [r.getrandbits(64) for _ in range(60)]
+    values = set(base)
+    for v in base:
+        for _ in range(4):
+            w = v
+            for _ in range(r.randrange(1, 9)):
+                w ^= 1 << r.randrange(64)
+            values.add(w)
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    roots = {x["node"]: x["root"] for x in component_roots(simhash.close_links(df, budget=budget, least_block=20, most_block=20)).collect()}
+    label = {v: v for v in values}
+
+    def find(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    order = sorted(values)
+    for k, a in enumerate(order):
+        for b in order[k + 1:]:
+            if (a ^ b).bit_count() <= budget:
+                label[find(a)] = find(b)
+    want, got = defaultdict(set), defaultdict(set)
+    for v in values:
+        s = v - (1 << 64) if v >> 63 else v
+        want[find(v)].add(s)
+        got[roots.get(s, s)].add(s)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_blocks_lose_no_link(spark):
     """Many small blocks, a hot prefix among them: the links still connect what brute force connects."""
     r = random.Random(5)
@@ -379,6 +431,24 @@ def test_induced_sort_orders_suffixes_and_carries_prefixes(monkeypatch, batch, b
             assert n == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize(("batch", "queue"), [(1 << 18, 1 << 22), (1, 16), (3, 1 << 22), (16, 64)])
+def test_least_ids_of_a_bucket_by_batches_and_queues_on_disk(monkeypatch, batch, queue):
+    monkeypatch.setattr(induced_sort, "_BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "QUEUE_BYTES", queue)
+    r = random.Random(batch)
+    for _ in range(15):
+        width = r.choice([3, 5, 8])
+        parts = list({"".join(r.choices("ab" if r.random() < 0.5 else "abcd", k=r.randrange(width, 40))).encode() for _ in range(r.randrange(1, 9))})
+        ids = [r.randrange(50) for _ in parts]
+        least, at = suffix_dedup._bucket_suffixes(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), np.array(ids), width)
+        best = defaultdict(lambda: 99)
+        for p, i in zip(parts, ids, strict=True):
+            for k in range(len(p) - width + 1):
+                best[p[k:k + width]] = min(best[p[k:k + width]], i)
+        for p, a in zip(parts, at.tolist(), strict=True):
+            assert least[a: a + len(p) - width + 1].tolist() == [best[p[k:k + width]] for k in range(len(p) - width + 1)]
+
+
 # -- packing -----------------------------------------------------------------------------------------------------------
 
 

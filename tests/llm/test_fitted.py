@@ -28,8 +28,20 @@ def spark_hash(*values):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def brute_anchors(text, k=4, s=2):
-    h = [spark_hash(t) for t in re.findall(r"[^ \t\n\x0b\f\r]{1,8}", text or "")]
+UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF"
+WHITE = r" \t\n\x0b\f\r"
+
+
+def brute_tokens(text):
+    """Runs of at most 32 code points without an unspaced script, other runs code point by code point."""
+    out = []
+    for run in re.findall(f"[^{WHITE}]+", text or ""):
+        out += [run] if len(run) <= 32 and not re.search(f"[{UNSPACED}]", run) else list(run)
+    return out
+
+
+def brute_anchors(text, k=6, s=2):
+    h = [spark_hash(t) for t in brute_tokens(text)]
     if len(h) < k:
         return [(0, spark_hash(*h))] if h else []
     m = h
@@ -39,30 +51,42 @@ def brute_anchors(text, k=4, s=2):
     for i in range(len(m) - (k - s)):
         window = m[i:i + k - s + 1]
         if min(window[0], window[-1]) <= min(window[1:-1], default=window[0]):
-            out.append((i, spark_hash(*dict.fromkeys([i, *range(i + s, i + k - s, s), i + k - s]) and
-                                      [m[j] for j in (i, *range(i + s, i + k - s, s), i + k - s)])))
+            out.append((i, spark_hash(*[m[j] for j in (i, *range(i + s, i + k - s, s), i + k - s)])))
     return out
 
 
+def spark_int_hash(*values):
+    """XXH64 of longs, the last one an int."""
+    seed = 42
+    for v, size in zip(values, (8, 8, 4), strict=True):
+        seed = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), seed)
+    return seed
+
+
+def brute_neighbours(text):
+    a = brute_anchors(text)
+    return {h for _, h in a} if len(a) < 2 else {spark_int_hash(x[1], y[1], y[0] - x[0]) for x, y in zip(a, a[1:], strict=False)}
+
+
+def alike(a, b):
+    a, b = brute_neighbours(a), brute_neighbours(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_anchors(docs, texts):
-    for k, s in ((4, 2), (5, 1), (6, 3)):
-        rows = docs.select("doc_id", syncmers.anchors(F.col("text"), k, s).alias("a")).collect()
+    more = [(900, "x" * 32 + " " + "x" * 33), (901, "ab日本cd สวัสดี 한국어 텍스트 𠀀𠀁 é e\u0301 b"), (902, "\u00a0nbsp\u00a0 a\x0bb\x1cc")]
+    own = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
+    for k, s in ((6, 2), (4, 2), (5, 1), (6, 3)):
+        rows = own.select("doc_id", syncmers.anchors(F.col("text"), k, s).alias("a")).collect()
         got = sorted((r["doc_id"], [(x["place"], x["hash"]) for x in r["a"]]) for r in rows)
-        assert got == sorted((i, brute_anchors(t, k, s)) for i, t in texts)
+        assert got == sorted((i, brute_anchors(t, k, s)) for i, t in [*texts, *more])
 
 
 def test_fingerprints_of_texts_and_edited_texts(docs, texts):
     rows = [r for r in texts if r[0] != 132]
     order = sorted(rows, reverse=True, key=lambda r: r[0])
     after = {a[0]: b[1] or "" for a, b in zip(order, order[1:] + order[:1], strict=True)}
-
-    def sketch(t):
-        return sorted({h for _, h in brute_anchors(t)})[:64]
-
-    def alike(a, b):
-        union = sorted({*a, *b})[:64]
-        return len({*a} & {*b} & {*union}) / len(union) if union else 1.0
-
+    spelt = lambda t: ",".join(f"{p:X}:{h & (1 << 64) - 1:016X}" for p, h in brute_anchors(t))
     got = {r["doc_id"]: r for r in syncmers.fingerprint_pairs(docs.where("doc_id <> 132")).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
@@ -71,10 +95,39 @@ def test_fingerprints_of_texts_and_edited_texts(docs, texts):
         edited = t[:len(t) - third] + after[i][:third]
         r = got[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == "".join(f"{h & (1 << 64) - 1:016X}" for h in sketch(t))
-        assert r["edited_fingerprint"] == "".join(f"{h & (1 << 64) - 1:016X}" for h in sketch(edited))
-        assert abs(r["near_edited"] - alike(sketch(t), sketch(edited))) < 1e-12
-        assert abs(r["near_next"] - alike(sketch(t), sketch(after[i]))) < 1e-12
+        assert r["fingerprint"] == spelt(t) and r["edited_fingerprint"] == spelt(edited)
+        assert abs(r["near_edited"] - alike(t, edited)) < 1e-12 and abs(r["near_next"] - alike(t, after[i])) < 1e-12
+
+
+def test_near_copies_are_alike_in_any_script(spark):
+    r = random.Random(7)
+    chinese = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(400))
+    thai = "".join(chr(r.randrange(0x0E01, 0x0E2F)) for _ in range(500))
+    english = prose(300, 41)
+    for base in (chinese, thai, english, "x" * 5 + "".join(r.choices("abcdef0123456789", k=600))):
+        for edited in ("q" + base, "two words " + base, base + " end", base[:150] + "zz" + base[150:]):
+            rows = syncmers.fingerprint_pairs(spark.createDataFrame([(2, edited), (1, base)], "doc_id long, text string")).collect()
+            assert all(x["near_next"] > 0.9 for x in rows)
+    apart = syncmers.fingerprint_pairs(spark.createDataFrame([(2, chinese), (1, english)], "doc_id long, text string")).collect()
+    assert all(x["near_next"] == 0 for x in apart)
+
+
+def test_a_long_text_keeps_all_its_anchors(spark):
+    text = prose(30_000, 77)
+    row = syncmers.fingerprint_pairs(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(row["fingerprint"].split(",")) == len(brute_anchors(text)) > 10_000
+
+
+def test_buckets_follow_ids_nulls_and_repeated_ids(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, 7, k, -k]), f"text {k % 170}") for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    least = -(1 << 63)
+    order = sorted(rows, key=lambda x: (-(least if x[0] is None else x[0]), spark_hash(x[1])))
+    want = Counter((a[0], a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    for buckets in (1, 2, 7, 64, 2000):
+        got = Counter(tuple(x) for x in syncmers.with_next(df, "doc_id", {"t": F.col("text")}, buckets).select("doc_id", "text", "next_t").collect())
+        assert got == want
 
 
 def test_next_row_with_repeated_and_null_ids(spark, no_docs):
@@ -258,6 +311,8 @@ def test_every_statistic_against_a_plain_one(texts):
     for k, b in enumerate(raw):
         want = plain_statistics(b)
         assert np.allclose(got[k], [want[name] for name in quality.STATISTICS]), (b[:80], dict(zip(quality.STATISTICS, got[k], strict=True)), want)
+        for most in (1, 7, 100, 1 << 20) if b and len(b) < 3000 else ():
+            assert np.allclose(quality.long_statistics(np.frombuffer(b, np.uint8), most)[0], got[k])
 
 
 def test_trees_learn_and_flattened_walk_equals_the_plain_one():
@@ -362,6 +417,19 @@ def test_votes_and_choice_against_sets_of_grams(spark):
             assert abs(x["lang_score"] - best[0] / len(g) * (best[0] - best[1]) / best[0]) < 0.03
 
 
+def test_votes_do_not_depend_on_the_parts_a_text_is_read_in(spark, monkeypatch):
+    train = spark.createDataFrame([(k, prose(60, k) + " été straße", f"l{k % 2}") for k in range(20)], "doc_id long, text string, lang string")
+    model = language_id.fit(train, F.lit(False), least_docs=1)
+    text = prose(500, 9) + " ÉTÉ 12 !! Straße"
+    whole = language_id.votes(model, [text])
+    for part in (1, 3, 7, 100):
+        monkeypatch.setattr(language_id, "PART", part)
+        again = language_id.votes(model, [text])
+        assert all(np.allclose(a, b) for a, b in zip(whole, again, strict=True))
+        made = language_id.fit(train, F.lit(False), least_docs=1)
+        assert np.array_equal(made.slots, model.slots)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     texts = [prose(60, k) for k in range(20)]
     train = spark.createDataFrame([(k, t, f"l{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
