@@ -14,6 +14,8 @@ from ticketlens.sources.fixtures import (
     sql_pick, sql_queue, sql_rule, sql_str, sql_strip, sql_suffix, sql_word_count,
 )
 
+from ticketlens.operators import kpis as KP  # noqa: E402
+from ticketlens.operators import model_calls as MC  # noqa: E402
 from ticketlens.operators.routing import UNPARSEABLE_REASON  # noqa: E402
 from ticketlens.plans import queries as QU  # noqa: E402
 
@@ -579,5 +581,82 @@ FROM (SELECT id, {grams} AS g FROM social_raw)"""
     q["label_index"] = W + """
 SELECT id, issue_type, CAST(dense_rank() OVER (ORDER BY issue_type) - 1 AS INTEGER) AS label_index FROM labeled"""
 
+    # ---------------------------------------------------------------- checks that a wrong model or job fails
+    nan_w = W.replace("CAST((id * 37) % 71 + 29 AS DOUBLE) / 100.0 AS prob",
+                      "CASE WHEN id % 4 = 1 THEN NULL ELSE CAST((id * 37) % 71 + 29 AS DOUBLE) / 100.0 END AS prob")
+    q["sweep_nan"] = nan_w + _sweep_sql() + _round_select(SWEEP_DOUBLES, ["is_recommended_threshold"], "sweep")
+
+    def isotonic(points: str, out: str) -> str:
+        """Least-squares monotone fit of (x, n, h) by the max-min formula."""
+        return f""",
+pts AS ({points}),
+p AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(h) OVER (ORDER BY x) AS ch FROM pts),
+ab AS (SELECT a.i AS a, b.i AS b, CAST(b.ch - a.ch + a.h AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM p a JOIN p b ON a.i <= b.i),
+low AS (SELECT p.i, a, min(m) AS m FROM p JOIN ab ON a <= p.i AND b >= p.i GROUP BY p.i, a),
+fit AS (SELECT i, max(m) AS fitted FROM low GROUP BY i)
+SELECT {out}, round(fitted, 6) AS fitted FROM p JOIN fit USING (i)"""
+
+    q["calibration_curve"] = W + isotonic(
+        "SELECT prob AS x, count(*) AS n, CAST(count(*) FILTER (WHERE (id * 7919) % 101 < (id * 37) % 71 + 29) AS BIGINT) AS h FROM scored GROUP BY prob",
+        "round(x, 6) AS score, n")
+    q["calibration_cells"] = "WITH z AS (SELECT doc_id, n_chars, CAST(n_chars % 997 AS DOUBLE) / 200 - 2.5 AS z FROM documents)" + isotonic(
+        "SELECT CAST(least(floor(64 / (1 + exp(-z))), 63) AS INTEGER) AS x, count(*) AS n, "
+        "CAST(count(*) FILTER (WHERE (doc_id * 7919) % 101 < (n_chars % 997) / 10.0) AS BIGINT) AS h FROM z GROUP BY 1", "x AS cell, n, h AS hits")
+    q["fold_terms"] = W + f""",
+folds AS (SELECT id, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM (
+  SELECT id, row_number() OVER (PARTITION BY issue_type ORDER BY {MD5_ORDER}, id) AS rn FROM labeled)),
+toks AS (SELECT id, unnest(regexp_extract_all(text, '\\b\\w\\w+\\b')) AS term FROM labeled)
+SELECT CAST(f AS INTEGER) AS fold, term, count(*) AS tf, count(DISTINCT id) AS df
+FROM toks JOIN folds USING (id) JOIN range(5) r(f) ON f <> fold GROUP BY f, term"""
+    weak = f""",
+weak AS (SELECT id, text, {sql_keyword_issue('text')} AS label FROM labeled)"""
+    q["lr_optimality"] = W + weak + """
+SELECT label, least(40000, (SELECT count(DISTINCT term) FROM (SELECT unnest(regexp_extract_all(text, '\\b\\w\\w+\\b')) AS term FROM labeled))) AS n_terms,
+       TRUE AS at_optimum
+FROM (SELECT DISTINCT label FROM weak)"""
+    tests = f"""
+SELECT label, count(*) AS n_test, TRUE AS is_learned{{more}} FROM (
+  SELECT label, row_number() OVER (PARTITION BY label ORDER BY {MD5_ORDER}, id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM weak)
+WHERE rn <= least((n + 4) // 5, n - 1) GROUP BY label"""
+    q["learned_labels"] = W + weak + tests.format(more="")
+    q["calibrated_labels"] = W + weak + tests.format(more=", TRUE AS is_calibrated")
+    q["cv_learned"] = "SELECT CAST(fold AS INTEGER) AS fold, TRUE AS is_learned, TRUE AS mean_fits, TRUE AS std_fits FROM range(5) t(fold)"
+    q["train_targets"] = W + f""",
+labels2 AS (
+  SELECT id, 'issue_type' AS target, issue_type AS label FROM labeled
+  UNION ALL SELECT id, 'keyword', {sql_keyword_issue('text')} FROM labeled
+)
+SELECT target, label, count(*) AS support, TRUE AS is_learned FROM (
+  SELECT target, label, row_number() OVER (PARTITION BY target, label ORDER BY {MD5_ORDER}, id) AS rn,
+         count(*) OVER (PARTITION BY target, label) AS n FROM labels2)
+WHERE rn <= least((n + 4) // 5, n - 1) GROUP BY target, label"""
+    q["model_roundtrip"] = W + weak + " SELECT label, count(*) AS n, count(*) AS n_equal FROM weak GROUP BY label"
+
+    # ---------------------------------------------------------------- calls, files, jobs
+    staged = _routed(False).split("staged AS")[0] + "staged AS" + _routed(False).split("staged AS")[1].split("routed AS")[0].rstrip().rstrip(",")
+
+    def answer(prompt: str) -> str:
+        return ("CASE WHEN strpos(text, 'opening hours') > 0 THEN NULL ELSE '{\"issue_type\": \"ads\", \"suggested_path\": \"queue\", \"length\": ' "
+                f"|| CAST({len(prompt)} + length(text) AS VARCHAR) || '}}' END")
+
+    refused = "CASE WHEN strpos(text, 'opening hours') > 0 THEN 'refused' END"
+    q["classify_calls"] = W + staged + f"""
+SELECT id, {answer(MC.CLASSIFY_PROMPT)} AS reply, {refused} AS error FROM staged WHERE st = 'band'"""
+    q["enrichment_calls"] = W + staged + f"""
+SELECT id, coalesce({answer(MC.SUMMARY_PROMPT)}, '') AS summary, {answer(MC.RESOLUTION_PROMPT)} AS resolution, {refused} AS resolution_error
+FROM staged WHERE st = 'mid'"""
+    q["csv_folder"] = W + "SELECT id, '\"quoted\", ' || text || chr(10) || ', end' AS text, inbound FROM social_raw"
+    q["labeled_csv"] = W + "SELECT id, coalesce(subject, '') || ' ' || coalesce(description, '') AS text, issue_type FROM labeled"
+    q["result_tables"] = R + """
+SELECT stage AS name, count(*) AS n FROM routed GROUP BY stage
+UNION ALL SELECT 'share', count(DISTINCT route) FROM routed UNION ALL SELECT 'stale', 0 UNION ALL SELECT 'missing', -1"""
+    q["kpis_empty"] = "SELECT CAST(0.0 AS DOUBLE) AS tickets, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in KP.KPI_COLUMNS if c != "tickets")
+    q["cross_fill"] = W + """
+SELECT id, 'no subject' AS "case", description AS subject, description FROM tickets_raw
+UNION ALL SELECT id, 'no description', subject, subject FROM tickets_raw"""
+    q["triage_job"] = W + f"""
+SELECT 'labeled' AS name, count(*) AS n FROM labeled UNION ALL SELECT 'routed', count(*) FROM labeled
+UNION ALL SELECT 'by_rule', count({sql_rule('lower(text)', 1)}) FROM labeled UNION ALL SELECT 'sweep', 10 UNION ALL SELECT 'kpis_fit', 1"""
+
     _ = (tax, sql_contains_any)
     return q

@@ -493,6 +493,271 @@ def q_model_to_route(spark: SparkSession, sf: str) -> DataFrame:
                       F.count_if(F.col("route").isNull()).alias("n_without_route"))
 
 
+# ----------------------------------------------------------------------------- checks that a wrong model or job fails
+
+def _weak_rows(spark, sf):
+    """Every labelled text with the label that the keyword rules give it: a label that its words decide."""
+    lab = FX.labeled(spark, sf).select("id", "text")
+    return lab.withColumn("label", TX.keyword_issue("text"))
+
+
+def q_sweep_nan(spark: SparkSession, sf: str) -> DataFrame:
+    """NaN scores: counted, but in no band of the sweep."""
+    s = FX.scored(spark, sf)
+    return r6(PO.threshold_sweep(s.withColumn("prob", F.when(F.col("id") % 4 == 1, F.lit(float("nan"))).otherwise(F.col("prob")))))
+
+
+def _curve(points: DataFrame) -> DataFrame:
+    """The fitted value at each summarised point."""
+    from ..operators import ml as ML
+
+    model = ML.isotonic_fit(points).setFeaturesCol("score").setPredictionCol("fitted")
+    return model.transform(points)
+
+
+def q_calibration_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Isotonic curve through the summary of all scores; each score has a cell of its own, so it is the exact fit."""
+    from ..operators import ml as ML
+
+    won = (F.col("id") * 7919) % 101 < (F.col("id") * 37) % 71 + 29
+    rows = FX.scored(spark, sf).select(F.col("prob").alias("score"), won.alias("hit"))
+    return r6(_curve(ML.calibration_points(rows, [])).select("score", "n", "fitted"))
+
+
+def q_calibration_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where a cell holds many scores: the fit of the cells' shares."""
+    from ..operators import ml as ML
+
+    z = (F.col("n_chars") % 997).cast("double") / 200 - 2.5
+    won = (F.col("doc_id") * 7919) % 101 < (F.col("n_chars") % 997) / 10
+    rows = FX.read_table(spark, sf, "documents").select(z.alias("score"), won.alias("hit"))
+    return r6(_curve(ML.calibration_points(rows, [], cells=64)).select("cell", "n", F.col("hits").cast("long").alias("hits"), "fitted"))
+
+
+def q_fold_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences and rows of every term in each fold's training rows: the total minus the fold's own share."""
+    from ..operators import ml as ML
+
+    rows = FX.labeled(spark, sf).select("id", "text", "issue_type")
+    terms = SM.kfold_assign(ML.tokenised(rows, ML.TfidfSpec(ngram_max=1)).drop("text"), "issue_type", "id", 5, C.SEED)
+    totals = ML._kept(ML.term_totals(terms, "_tf_terms", {str(f): F.col("fold") == f for f in range(5)}))
+    out = None
+    for f in range(5):
+        own = ML.without_part(totals, str(f)).where("df > 0").select(F.lit(f).alias("fold"), "term", "tf", "df")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def q_lr_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """A fitted logistic regression stands at the one optimum of its objective: gradient plus penalty near 0, per class."""
+    from ..operators import ml as ML
+    from . import checks as CK
+
+    rows = _weak_rows(spark, sf)
+    spec = ML.TfidfSpec(ngram_max=1)
+    clf = ML.fit_classifier(rows, "label", spec, calibrate=False, max_iter=300)
+    data = ML.drop_internal(clf.features.transform(rows)).select("label", "features")
+    model = clf.lr_models[0]
+    found = CK.optimality(data, "label", clf.labels, model.coefficientMatrix.toArray(), model.interceptVector.toArray())
+    return found.select("label", "n_terms", (F.col("residual") < 0.02).alias("at_optimum"))
+
+
+def q_learned_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out rows of every label, and whether a model fitted on the others tells nine of ten of them."""
+    from ..operators import ml as ML
+
+    sp = SM.stratified_split(_weak_rows(spark, sf), "label", "id", C.SEED)
+    clf = ML.fit_classifier(sp.where("split = 'train'"), "label", calibrate=False, max_iter=50)
+    out = clf.transform(sp.where("split = 'test'"))
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_test"),
+                                    (F.avg((F.col("prediction") == F.col("label")).cast("double")) >= 0.9).alias("is_learned"))
+
+
+def q_calibrated_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the calibrated model, and whether its confidence is right on average, within a tenth."""
+    from ..operators import ml as ML
+
+    sp = SM.stratified_split(_weak_rows(spark, sf), "label", "id", C.SEED)
+    clf = ML.fit_classifier(sp.where("split = 'train'"), "label", ML.TfidfSpec(ngram_max=1), calibrate=True, folds=3, max_iter=50)
+    hit = (F.col("prediction") == F.col("label")).cast("double")
+    out = clf.transform(sp.where("split = 'test'"))
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_test"), (F.avg(hit) >= 0.9).alias("is_learned"),
+                                    (F.abs(F.avg("confidence") - F.avg(hit)) <= 0.1).alias("is_calibrated"))
+
+
+def q_cv_learned(spark: SparkSession, sf: str) -> DataFrame:
+    """Each fold tells nine of ten of its rows; the mean and deviation are those of the folds."""
+    from ..operators import ml as ML
+
+    cv = ML.cv_accuracy(_weak_rows(spark, sf), "label", ML.TfidfSpec(ngram_max=1), max_iter=50)
+    w = Window.partitionBy()
+    return cv.select("fold", (F.col("accuracy") >= 0.9).alias("is_learned"), (F.abs(F.col("cv_mean") - F.avg("accuracy").over(w)) < 1e-9).alias("mean_fits"),
+                     (F.abs(F.col("cv_std") - F.stddev_pop("accuracy").over(w)) < 1e-9).alias("std_fits"))
+
+
+def q_train_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two targets trained from one tokenised table: held-out support of every label, and whether a target that the words
+    decide is learned."""
+    from ..operators import ml as ML
+
+    rows = FX.labeled(spark, sf).select("id", "text", "issue_type", TX.keyword_issue("text").alias("keyword"))
+    got = ML.train_text_models(rows, ["issue_type", "keyword"], with_cv=False, calibrate=False, max_iter=40)
+    out = None
+    for target, r in got.items():
+        own = r.report.where("label NOT LIKE '% avg'").select(F.lit(target).alias("target"), "label", F.col("support").cast("long").alias("support"),
+                                                             F.lit(bool(target == "issue_type" or r.accuracy >= 0.9)).alias("is_learned"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A saved and loaded model predicts what the fitted one does: rows per label, and how many predictions are equal."""
+    import uuid
+
+    from ..operators import ml as ML
+    from ..session import shared_path
+    from ..sources import sinks as SK
+
+    rows = _weak_rows(spark, sf)
+    clf = ML.fit_classifier(rows, "label", ML.TfidfSpec(ngram_max=1), calibrate=False, max_iter=20)
+    path = shared_path(spark, "roundtrip", uuid.uuid4().hex)
+    SK.save_classifier(clf, path)
+    back = SK.load_classifier(spark, path)
+    a = clf.transform(rows).withColumnsRenamed({"prediction": "first", "confidence": "c"}).drop("probabilities")
+    both = back.transform(a)
+    same = (F.col("first") == F.col("prediction")) & (F.abs(F.col("c") - F.col("confidence")) < 1e-12)
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_equal"))
+
+
+# ----------------------------------------------------------------------------- calls, files, jobs
+
+def _answering_client():
+    """A client that answers with the prompt's length and refuses prompts about opening hours."""
+    import json
+
+    def call(prompt: str) -> str:
+        if "opening hours" in prompt:
+            raise RuntimeError("refused")
+        return json.dumps({"issue_type": "ads", "suggested_path": "queue", "length": len(prompt)})
+
+    return call
+
+
+def _ledger(spark) -> str:
+    import uuid
+
+    from ..session import shared_path
+
+    return shared_path(spark, "ledger", uuid.uuid4().hex)
+
+
+def q_classify_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every low-band ticket called once through the ledger, twice over: the second run finds all replies there."""
+    from ..operators import model_calls as MC
+
+    band, ledger = RT.low_band(FX.scored(spark, sf)), _ledger(spark)
+    MC.classify_replies(band, _answering_client, ledger=ledger, unit_calls=500)
+    return MC.classify_replies(band, _answering_client, ledger=ledger, unit_calls=500)
+
+
+def q_enrichment_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary and resolution of every middle-band ticket through the ledger."""
+    from ..operators import model_calls as MC
+
+    return MC.enrichment_replies(RT.middle_band(FX.scored(spark, sf)), _answering_client, ledger=_ledger(spark), unit_calls=2000)
+
+
+def _as_csv(rows: DataFrame, path: str) -> None:
+    rows.coalesce(1).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def q_csv_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages written as CSV, quotes and line breaks in the texts, and read back from the folder."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources import readers as RD
+    from ..sources import sinks as SK
+
+    path = shared_path(spark, "csv", uuid.uuid4().hex)
+    rows = FX.social_raw(spark, sf).withColumn("text", F.concat(F.lit('"quoted", '), F.col("text"), F.lit("\n, end")))
+    _as_csv(rows, path)
+    back = RD.require_rows(RD.first_table(RD.read_folder(spark, path)), "messages")
+    return back.select(F.col("id").cast("long").alias("id"), "text", F.col("inbound").cast("boolean").alias("inbound"))
+
+
+def q_labeled_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled rows as a CSV without a text column: the text is built from subject and description."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources import readers as RD
+
+    path = shared_path(spark, "csv", uuid.uuid4().hex)
+    rows = FX.labeled(spark, sf).select("id", "subject", "description", "issue_type")
+    _as_csv(rows, path)
+    return RD.read_labeled_eval(spark, path).select(F.col("id").cast("long").alias("id"), "text", "issue_type")
+
+
+def q_result_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Routed rows written by stage and small results written as one file, read back; a stale result emptied, a missing one none."""
+    import uuid
+
+    from .. import schemas as SC
+    from ..session import shared_path
+    from ..sources import readers as RD
+    from ..sources import sinks as SK
+
+    at = shared_path(spark, "results", uuid.uuid4().hex)
+    routed = SK.materialize(spark, routed_with_replies(spark, sf), f"{at}/routed", ["stage"])
+    SK.write_small(KP.queue_share(routed), f"{at}/share")
+    SK.write_small(KP.queue_share(routed), f"{at}/stale")
+    SK.overwrite_empty(spark, SC.EVAL_COMPARISON, f"{at}/stale")
+    share, stale, missing = (RD.read_result(spark, f"{at}/{n}") for n in ("share", "stale", "never"))
+    out = routed.groupBy(F.col("stage").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    for name, df in (("share", share), ("stale", stale), ("missing", missing)):
+        own = spark.range(1).select(F.lit(name).alias("name"), F.lit(-1).cast("long").alias("n")) if df is None else \
+            df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(own)
+    return out
+
+
+def q_kpis_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """KPIs of a routed table without a row: the ids of all tickets are below zero in none."""
+    return r6(KP.routing_kpis(RT.route(FX.scored(spark, sf)).where("id < 0")))
+
+
+def q_cross_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Tickets without a subject column, and without a description column: each takes the other."""
+    t = FX.tickets_raw(spark, sf)
+    a = UN.map_structured(t.drop("subject"), **UN.FIXTURE_TICKET_COLUMNS).select("id", F.lit("no subject").alias("case"), "subject", "description")
+    b = UN.map_structured(t.drop("description"), **UN.FIXTURE_TICKET_COLUMNS).select("id", F.lit("no description").alias("case"), "subject", "description")
+    return a.unionByName(b)
+
+
+def q_triage_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole triage job: rows of its tables, tickets that rules route, and whether its own KPIs are those of its routed table."""
+    from . import jobs as JB
+
+    cfg = JB.TriageConfig(label_targets=("issue_type",), with_cv=False, max_iter=10, folds=2, fit_rows=2000, unit_calls=100_000)
+    res = JB.run_triage(spark, FX.social_raw(spark, sf), FX.tickets_raw(spark, sf), _ledger(spark), client_factory=_answering_client, cfg=cfg,
+                        ticket_aliases=UN.FIXTURE_TICKET_COLUMNS["aliases"])
+    routed = res["routed"]
+    again = KP.routing_kpis(routed).select(*(F.col(c).alias(f"a_{c}") for c in ("tickets", "rule_based_rate", "human_triage_rate")))
+    same = (F.col("tickets") == F.col("a_tickets")) & (F.abs(F.col("rule_based_rate") - F.col("a_rule_based_rate")) < 1e-9) \
+        & (F.abs(F.col("human_triage_rate") - F.col("a_human_triage_rate")) < 1e-9)
+    kpis = res["routing_metrics"].select("tickets", "rule_based_rate", "human_triage_rate").join(again, F.col("tickets") == F.col("a_tickets"))
+    parts = [res["labeled"].agg(F.lit("labeled").alias("name"), F.count(F.lit(1)).alias("n")),
+             routed.agg(F.lit("routed").alias("name"), F.count(F.lit(1)).alias("n")),
+             routed.agg(F.lit("by_rule").alias("name"), F.count_if(F.col("stage") == C.STAGE_RULE).alias("n")),
+             res["threshold_sweep"].agg(F.lit("sweep").alias("name"), F.count(F.lit(1)).alias("n")),
+             kpis.agg(F.lit("kpis_fit").alias("name"), F.count_if(same).alias("n"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 QUERIES = {
     "normalize_text": q_normalize_text,
     "clean_placeholders": q_clean_placeholders,
@@ -567,4 +832,22 @@ QUERIES = {
     "calibrated_score": q_calibrated_score,
     "cv_accuracy": q_cv_accuracy,
     "benchmark_summary": q_benchmark_summary,
+    "sweep_nan": q_sweep_nan,
+    "calibration_curve": q_calibration_curve,
+    "calibration_cells": q_calibration_cells,
+    "fold_terms": q_fold_terms,
+    "lr_optimality": q_lr_optimality,
+    "learned_labels": q_learned_labels,
+    "calibrated_labels": q_calibrated_labels,
+    "cv_learned": q_cv_learned,
+    "train_targets": q_train_targets,
+    "model_roundtrip": q_model_roundtrip,
+    "classify_calls": q_classify_calls,
+    "enrichment_calls": q_enrichment_calls,
+    "csv_folder": q_csv_folder,
+    "labeled_csv": q_labeled_csv,
+    "result_tables": q_result_tables,
+    "kpis_empty": q_kpis_empty,
+    "cross_fill": q_cross_fill,
+    "triage_job": q_triage_job,
 }
