@@ -632,6 +632,12 @@ SELECT target, label, count(*) AS support, TRUE AS is_learned FROM (
 WHERE rn <= least((n + 4) // 5, n - 1) GROUP BY target, label"""
     q["model_roundtrip"] = W + weak + " SELECT label, count(*) AS n, count(*) AS n_equal FROM weak GROUP BY label"
 
+    q["sublinear_weights"] = W + tfidf(docs, "1 + ln(count(*))", 2) + " SELECT id, term, round(weight, 6) AS weight FROM weights"
+    q["benchmark_models"] = f"SELECT model, label, n_test, is_learned FROM ({q['learned_labels']}), (VALUES ('ml_baseline'), ('ml_improved')) m(model)"
+    q["local_run"] = W + ev + """
+SELECT issue_type AS name, count(*) AS n FROM es GROUP BY issue_type
+UNION ALL SELECT 'routed', count(*) FROM es UNION ALL SELECT 'sweep', 10"""
+
     # ---------------------------------------------------------------- calls, files, jobs
     staged = _routed(False).split("staged AS")[0] + "staged AS" + _routed(False).split("staged AS")[1].split("routed AS")[0].rstrip().rstrip(",")
 

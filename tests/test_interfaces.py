@@ -48,6 +48,24 @@ def test_rows_beyond_the_cut_are_filtered_before_any_exchange(spark):
         assert rows.count() <= most
 
 
+def test_splits_move_only_the_rows_of_the_cut_bucket(spark):
+    from collections import Counter
+
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 5 > 0, (F.col("id") % 3).cast("string")).alias("label"), F.lit("wide text").alias("text"))
+    df.write.mode("overwrite").parquet(path := f"/tmp/ticketlens-split-{os.getpid()}")
+    df = spark.read.parquet(path)
+    n = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    for out, want in ((SM.stratified_split(df, "label"), {k: -(-v // 5) for k, v in n.items()}), (SM.positional_split(df), None)):
+        rows = out.collect()
+        assert len(rows) == 60_000
+        if want:
+            assert Counter(r["label"] for r in rows if r["split"] == "test") == want
+        else:
+            assert sum(r["split"] == "train" for r in rows) == 48_000
+        far, near = out._jdf.queryExecution().optimizedPlan().toString().split("Window [row_number()")
+        assert "Union" in far and far.index("Project") < far.index("Generate explode(array(")      # the far branch: no window above its scan
+
+
 def test_class_samples_of_null_and_many_classes(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 4 > 0, (F.col("id") % 50).cast("string")).alias("label"))
     got = {r["label"]: r["count"] for r in SM.per_class_sample(df, "label", 7).groupBy("label").count().collect()}
@@ -126,3 +144,26 @@ def test_queries_need_no_spark_defaults(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], env=env, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
                           capture_output=True, text=True, timeout=300)
     assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
+def test_rule_tables_of_any_size_against_brute_force(spark):
+    """No rule, a few, and very many, patterns of 0 to 40 characters; whatever the size, only texts with a passing gram are shuffled."""
+    import random
+
+    r = random.Random(4)
+    texts = ["", None, "é日本", "😀😀x"] + ["".join(r.choices("abcdé 日😀", k=r.randrange(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(k % 90, t) for k, t in enumerate(texts * 2)], "id long, text string").repartition(5)
+    schema = "ord int, pattern string, queue string, issue_type string"
+    few = [(k, "".join(r.choices("abcdé 日😀", k=r.randrange(1, 6))), f"q{k}", f"i{k}") for k in range(40)]
+    many = few + [(1000 + k, f"never {k:06d} there", "q", "i") for k in range(100_000)]
+    for rules in ([], few, [*few, (7, "", "all", "all")], [(5, "bc", "q5", "i5"), (5, "bc", "q4", "i4")], many):
+        best = {p: min(x for x in rules if x[1] == p) for p in {x[1] for x in rules if len(rules) < 1000 or x[0] < 1000}}
+        out = LK.rule_match_table(df, "text", spark.createDataFrame(rules, schema))
+        got = {(x["text"], x["rule_queue"], x["rule_issue_type"]) for x in out.collect()}
+        want = set()
+        for t in set(texts):
+            hit = min((b[0], b[2], b[3]) for p, b in best.items() if p in t) if t is not None and any(p in t for p in best) else (0, None, None)
+            want.add((t, *hit[1:]))
+        assert got == want and out.count() == len(texts) * 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter (size(") < plan.index("Generate explode(array(filter(")      # grams are tested before anything is shuffled

@@ -54,6 +54,29 @@ def test_fold_weights_equal_a_refit(spark, rows):
         assert np.allclose(product.getScalingVec().toArray(), other_product.getScalingVec().toArray())
 
 
+@pytest.mark.parametrize("tracked", [40, 400, 100_000])
+def test_a_vocabulary_by_sketch_is_the_counted_one(spark, monkeypatch, tracked):
+    """With few counters the error bound does not separate and all terms are counted; with more the candidates suffice."""
+    r = np.random.default_rng(2)
+    rows = [(k, " ".join(f"w{x}" for x in r.zipf(1.3, 60) if x < 5000)) for k in range(400)]
+    terms = ML.tokenised(spark.createDataFrame(rows, "id long, text string").repartition(6), spec := ML.TfidfSpec(ngram_max=1, vocab_size=3, min_df=2.0)).cache()
+    parts = {"a": F.col("id") % 3 == 0, "b": F.col("id") < 200}
+    full = ML._kept(ML.term_totals(terms, "_tf_terms", parts))
+    monkeypatch.setattr(ML, "SKETCH_FROM", 100)
+    monkeypatch.setattr(ML, "SKETCHED_TERMS", tracked)
+    counted = []
+    whole = ML.term_totals
+    monkeypatch.setattr(ML, "term_totals", lambda *a: (counted.append(len(a)), whole(*a))[1])
+    totals = ML.vocabulary_totals(terms, "_tf_terms", spec, parts)
+    assert counted == ([4, 3] if tracked == 40 else [4])      # 4: candidates only
+    for view in (lambda t: t, lambda t: ML.of_part(t, "a"), lambda t: ML.without_part(t, "b")):
+        a, b = ML.weighting(view(totals), 400, spec), ML.weighting(view(full), 400, spec)
+        assert a.stages[0].vocabulary == b.stages[0].vocabulary
+        assert np.array_equal(a.stages[1].getScalingVec().toArray(), b.stages[1].getScalingVec().toArray())
+    if tracked == 400:
+        assert totals.count() < full.count()
+
+
 def test_texts_are_tokenised_once_for_all_targets(spark, rows, monkeypatch):
     calls = []
     once = ML.tokenised

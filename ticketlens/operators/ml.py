@@ -15,6 +15,7 @@ fits at most ``CALIBRATION_CELLS`` weighted points per class, whatever the numbe
 
 from __future__ import annotations
 
+import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -48,6 +49,8 @@ TOKEN_PATTERN = r"\b\w\w+\b"   # words of two or more word characters
 # covers the whole table.
 MAX_FIT_ROWS = 200_000
 LR_TOL = 1e-4                   # the lbfgs stopping tolerance of the scikit-learn models
+SKETCHED_TERMS = 1_000_000      # terms that the frequency sketch of a vocabulary tracks
+SKETCH_FROM = 50_000_000        # occurrences from which a vocabulary's candidates come from a sketch; the same vocabulary either way
 CALIBRATION_CELLS = 4096        # weighted points that a calibration curve is fitted on, at most
 
 
@@ -141,10 +144,10 @@ def tokenised(df: DataFrame, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf")
     return Pipeline(stages=_terms_stages(spec, prefix)).fit(df).transform(df).select(*[c for c in kept if c != terms], terms)
 
 
-def term_totals(terms: DataFrame, terms_col: str, parts: dict[str, Column] | None = None) -> DataFrame:
+def term_totals(terms: DataFrame, terms_col: str, parts: dict[str, Column] | None = None, only: DataFrame | None = None) -> DataFrame:
     """``(term, tf, df)`` over all rows: occurrences, and rows that have the term; with ``parts`` (name → condition on a
     row) also ``tf_<name>, df_<name>`` over the rows that meet it.  One pass whatever the number of parts: a row's terms
-    are sorted, so the first of equal ones marks the row.
+    are sorted, so the first of equal ones marks the row.  ``only``: a table of the terms to count (at most ``SKETCHED_TERMS``).
     """
     parts = parts or {}
     marked = F.transform(F.array_sort(terms_col), lambda t: t)
@@ -152,6 +155,8 @@ def term_totals(terms: DataFrame, terms_col: str, parts: dict[str, Column] | Non
     each = F.transform("_ts", lambda t, i: F.struct(
         t.alias("term"), F.when((i > 0) & (F.get(F.col("_ts"), i - 1) == t), F.lit(0)).otherwise(F.lit(1)).alias("_new")))
     e = d.select(F.inline(each), *[f"_in_{name}" for name in parts])
+    if only is not None:      # bounded by the sketch
+        e = e.join(F.broadcast(only), "term")
     one = F.lit(1)
     sums = [F.count(one).alias("tf"), F.sum("_new").alias("df")]
     for name in parts:
@@ -160,6 +165,46 @@ def term_totals(terms: DataFrame, terms_col: str, parts: dict[str, Column] | Non
     return e.groupBy("term").agg(*sums)
 
 
+def _sketched(terms: DataFrame, terms_col: str) -> tuple[DataFrame, int]:
+    """Terms that a frequency sketch of all occurrences returns, with its counts, and the occurrences above which no term is missing.
+
+    Sketches of groups of tasks are combined.  A sketch of M counters is off by at most 3.5 / M of all occurrences and returns every
+    term that occurs more than twice that; where it has met no more terms than it tracks, its counts are exact and add up to all.
+    """
+    spread = terms.select(F.explode(terms_col).alias("term"), (F.spark_partition_id() % 16).alias("_g"))
+    states = spread.groupBy("_g").agg(F.expr(f"approx_top_k_accumulate(term, {SKETCHED_TERMS})").alias("s"), F.count(F.lit(1)).alias("n"))
+    one = states.agg(F.expr(f"approx_top_k_combine(s, {SKETCHED_TERMS})").alias("s"), F.sum("n").alias("n"))
+    found = _kept(one.select("n", F.inline(F.expr(f"approx_top_k_estimate(s, {SKETCHED_TERMS})"))))
+    row = found.agg(F.max("n").alias("n"), F.sum("count").alias("seen")).first()
+    counters = 1 << math.ceil(math.log2(SKETCHED_TERMS / 0.75))
+    exact = row["n"] is not None and row["n"] == row["seen"]
+    return found.select(F.col("item").alias("term")), 0 if exact else 2 * math.ceil(3.5 * (row["n"] or 0) / counters)
+
+
+def vocabulary_totals(terms: DataFrame, terms_col: str, spec: TfidfSpec, parts: dict[str, Column] | None = None) -> DataFrame:
+    """``term_totals`` of every term that a vocabulary of ``spec`` can hold, over all rows, over each part and over the rest of each
+    part; written once.
+
+    Of a large table a frequency sketch names the candidates, and only those are counted exactly, so the shuffle is not one row per
+    distinct term and task.  Where the last term of some vocabulary is not above the sketch's error, all terms are counted.
+    """
+    n = terms.agg(F.sum(F.size(terms_col))).first()[0] or 0 if spec.vocab_size is not None else 0
+    if n > SKETCH_FROM:
+        only, floor = _sketched(terms, terms_col)
+        totals = _kept(term_totals(terms, terms_col, parts, only))
+        views = [totals, *(f(totals, name) for name in parts or {} for f in (of_part, without_part))]
+        if not floor or all(_separated(v, spec, floor) for v in views):
+            return totals
+    return _kept(term_totals(terms, terms_col, parts))
+
+
+def _separated(totals: DataFrame, spec: TfidfSpec, floor: int) -> bool:
+    """Is the last term of the vocabulary above ``floor`` occurrences?"""
+    top = totals.where(F.col("df") >= max(spec.min_df, 1)).orderBy(F.col("tf").desc()).limit(spec.vocab_size)
+    last = top.agg(F.min("tf").alias("tf"), F.count(F.lit(1)).alias("n")).first()
+    return last["n"] == spec.vocab_size and last["tf"] > floor
+
+
 def without_part(totals: DataFrame, name: str) -> DataFrame:
     """``(term, tf, df)`` of the rows outside a part: total minus the part's share."""
     return totals.select("term", (F.col("tf") - F.col(f"tf_{name}")).alias("tf"), (F.col("df") - F.col(f"df_{name}")).alias("df"))
@@ -197,7 +242,8 @@ def _with_terms(spec: TfidfSpec, weights: PipelineModel, df: DataFrame, prefix:
 def fit_tfidf(df: DataFrame, spec: TfidfSpec = TfidfSpec(), prefix: str = "_tf") -> PipelineModel:
     """Fit terms → counts (→ 1+ln) → idf+1 → L2 as one PipelineModel: one pass over the texts."""
     n = df.count()
-    return _with_terms(spec, weighting(term_totals(tokenised(df, spec, prefix), f"{prefix}_terms"), n, spec, prefix), df, prefix)
+    totals = vocabulary_totals(tokenised(df, spec, prefix), f"{prefix}_terms", spec)
+    return _with_terms(spec, weighting(totals, n, spec, prefix), df, prefix)
 
 
 def drop_internal(df: DataFrame, prefixes: tuple[str, ...] = ("_tf", "_tfw", "_tfc")) -> DataFrame:
@@ -375,7 +421,7 @@ def fit_classifier(train: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec
     per fold and averaged.  Null labels are an error."""
     terms = _kept(tokenised(train.select(id_col, label_col, F.col(spec.input_col)), spec).drop(spec.input_col))
     indexer, labels = label_indexer(terms, label_col)
-    weights = weighting(term_totals(terms, "_tf_terms"), terms.count(), spec)
+    weights = weighting(vocabulary_totals(terms, "_tf_terms", spec), terms.count(), spec)
     data = drop_internal(weights.transform(terms))
     return fit_features(data, label_col, labels, _with_terms(spec, weights, train.select(spec.input_col)), indexer, balanced, max_iter,
                         calibrate, folds, seed, id_col, parallelism)
@@ -398,7 +444,7 @@ def cv_accuracy(df: DataFrame, label_col: str, spec: TfidfSpec = TfidfSpec(), ba
     Returns one row per fold plus mean and population std as columns."""
     terms = tokenised(df.select(id_col, label_col, F.col(spec.input_col)), spec).drop(spec.input_col)
     terms = _kept(SM.kfold_assign(terms, label_col, id_col, folds, seed))
-    totals = _kept(term_totals(terms, "_tf_terms", {str(f): F.col("fold") == f for f in range(folds)}))
+    totals = vocabulary_totals(terms, "_tf_terms", spec, {str(f): F.col("fold") == f for f in range(folds)})
     return _fold_accuracies(terms, totals, "", label_col, spec, balanced, max_iter, folds, id_col, parallelism)
 
 
@@ -456,7 +502,7 @@ def train_text_models(df: DataFrame, targets: list[str], seed: int = 42, calibra
     parts = {f"{t}_train": F.col(f"_split_{t}") == "train" for t in targets}
     if with_cv:
         parts |= {f"{t}_{f}": F.col(f"_fold_{t}") == f for t in targets for f in range(folds)}
-    totals = _kept(term_totals(terms, "_tf_terms", parts))
+    totals = vocabulary_totals(terms, "_tf_terms", spec, parts)
     return {t: _train_target(terms, totals, t, df, spec, seed, calibrate, id_col, with_cv, max_iter, folds) for t in targets}
 
 

@@ -10,7 +10,8 @@ deterministic across runs, engines and retries.
   moving the table: rows are counted per order-key bucket, the bucket that holds the n-th row is
   a scalar subquery (for classes: a map), and rows beyond it are filtered out before the first exchange.
   Only the rows left, n and a bucket's worth, are ranked.
-* Exact ranks inside large groups (stratified split, folds) never sort a whole
+* Splits (stratified, positional) compare a row's own key with such a cut: no row moves but those of the cut bucket.
+* Exact ranks inside large groups (folds) never sort a whole
   group in one task: rows are bucketed by the first 4 hex digits of the order key
   (65,536 ordered buckets), bucket sizes are counted and prefix-summed on the small
   count table, and the rank is ``rows in earlier buckets + row_number in bucket``.
@@ -105,9 +106,30 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str = "id", seed: in
     """Adds ``split``: the first ``ceil(n_label * test_num / test_den)`` rows of each label
     in seeded hash order are ``test``, the rest ``train``.  A label keeps at least one row in
     train (a label with a single row is trained on, never only tested); null labels are a label."""
-    r, rank, total, own = _with_rank(df, [label_col], id_col, seed)
-    n_test = F.expr(f"least((`{total}` * {int(test_num)} + {int(test_den) - 1}) div {int(test_den)}, `{total}` - 1)")
-    return r.withColumn("split", F.when(F.col(rank) <= n_test, F.lit("test")).otherwise(F.lit("train"))).drop(*own)
+    return _split(df, [label_col], lambda n: f"least((`{n}` * {int(test_num)} + {int(test_den) - 1}) div {int(test_den)}, `{n}` - 1)",
+                  id_col, seed, "test", "train")
+
+
+def _split(df: DataFrame, group_cols: list[str], wanted, id_col: str, seed: int, first: str, rest: str) -> DataFrame:
+    """Adds ``split``: ``first`` for as many rows of a group, in ``(md5 order key, id)`` order, as the SQL expression
+    ``wanted`` makes of its size, ``rest`` for the others.
+
+    Rows are not moved: the bucket that the cut falls into is a scalar subquery, a row of another bucket is on one side
+    of it by its own key, and only the rows of that bucket are ranked.
+    """
+    df = df.drop("split")
+    order, b, c, upto, total, rn, cut = free_names([*df.columns, "split"], ORDER_COL, "_b", "_c", "_upto", "_total", "_rn", "_cut")
+    keyed = df.withColumn(order, TX.md5_order(seed, F.col(id_col)))
+    keyed = keyed.withColumn(b, F.coalesce(_bucket(order), F.lit(-1)))      # a null key comes first
+    counts = _bucket_counts(keyed, group_cols, b, c, upto, total)
+    limit = _limit(counts, group_cols, F.expr(wanted(total)), b, c, upto)
+    marked = keyed.withColumn(cut, TX.evaluated_once(F.struct(limit.alias("at"), F.col(b).alias("b"))))
+    at, own = F.col(f"{cut}.at"), F.col(f"{cut}.b")
+    far = marked.where(own != at["b"]).withColumn("split", F.when(own < at["b"], F.lit(first)).otherwise(F.lit(rest)))
+    inner = Window.partitionBy(*group_cols, b).orderBy(F.col(order), F.col(id_col))
+    near = marked.where(own == at["b"]).withColumn(rn, F.row_number().over(inner))
+    near = near.withColumn("split", F.when(F.col(rn) <= at["need"], F.lit(first)).otherwise(F.lit(rest))).drop(rn)
+    return far.unionByName(near).drop(order, b, cut)
 
 
 def kfold_assign(df: DataFrame, label_col: str, id_col: str = "id", k: int = 5, seed: int = 42) -> DataFrame:
@@ -116,26 +138,30 @@ def kfold_assign(df: DataFrame, label_col: str, id_col: str = "id", k: int = 5,
     return r.withColumn("fold", ((F.col(rank) - 1) % k).cast("int")).drop(*own)
 
 
+def _limit(counts: DataFrame, group_cols: list[str], wanted, b: str, c: str, upto: str):
+    """For a row's group the bucket ``b`` in which the running count reaches ``wanted``, and how many of its rows are
+    ``need``-ed: a scalar subquery (for classes a map of two numbers per class); null where a group has fewer rows."""
+    place = F.min(F.when(F.col(upto) >= wanted, F.struct(F.col(b).alias("b"), (wanted - F.col(upto) + F.col(c)).alias("need"))))
+    if not group_cols:
+        return counts.agg(place).scalar()
+    label = F.col(group_cols[0])
+    cuts = counts.groupBy(label).agg(place.alias(c)).where(F.col(c).isNotNull())
+    entry = F.when(label.isNotNull(), F.struct(label.alias("k"), F.col(c).alias("v")))
+    one = cuts.agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.max(F.when(label.isNull(), F.col(c))).alias("z"))
+    found = one.select(F.struct("m", "z")).scalar()
+    return F.when(label.isNull(), found["z"]).otherwise(F.try_element_at(found["m"], label))
+
+
 def _cut_sample(df: DataFrame, group_cols: list[str], n: int, id_col: str, seed: int) -> tuple[DataFrame, str, list[str]]:
     """The first ``n`` rows (of each group) in ``(md5 order key, id)`` order: (rows, order column, helper columns).
 
-    The cut bucket, where the running count reaches ``n``, and how many of its rows are needed are found on the count table by a
-    scalar subquery.  Rows of later buckets never reach an exchange, those of earlier ones are in, those of the cut bucket are ranked.
+    Rows of buckets after the cut bucket never reach an exchange, those of earlier ones are in, those of the cut bucket are ranked.
     """
     order, b, c, upto, total, rn, cut = free_names(df.columns, ORDER_COL, "_b", "_c", "_upto", "_total", "_rn", "_cut")
     keyed = df.withColumn(order, TX.md5_order(seed, F.col(id_col)))
     keyed = keyed.withColumn(b, F.coalesce(_bucket(order), F.lit(-1)))      # a null key comes first
     counts = _bucket_counts(keyed, group_cols, b, c, upto, total)
-    place = F.min(F.when(F.col(upto) >= n, F.struct(F.col(b).alias("b"), (n - F.col(upto) + F.col(c)).alias("need"))))
-    if group_cols:
-        label = F.col(group_cols[0])
-        cuts = counts.groupBy(label).agg(place.alias(c)).where(F.col(c).isNotNull())
-        entry = F.when(label.isNotNull(), F.struct(label.alias("k"), F.col(c).alias("v")))
-        one = cuts.agg(F.map_from_entries(F.collect_list(entry)).alias("m"), F.max(F.when(label.isNull(), F.col(c))).alias("z"))
-        found = one.select(F.struct("m", "z")).scalar()      # two numbers per class
-        limit = F.when(label.isNull(), found["z"]).otherwise(F.try_element_at(found["m"], label))
-    else:
-        limit = counts.agg(place).scalar()
+    limit = _limit(counts, group_cols, F.lit(n), b, c, upto)
     # evaluated once: a filter on a plain column would copy the label's and the key's expressions
     near = keyed.withColumn(cut, TX.evaluated_once(F.struct(limit.alias("at"), F.col(b).alias("b"))))
     near = near.where(F.col(f"{cut}.at").isNull() | (F.col(f"{cut}.b") <= F.col(f"{cut}.at.b")))
@@ -160,10 +186,7 @@ def positional_split(df: DataFrame, id_col: str = "id", seed: int = 42,
                      train_num: int = 4, train_den: int = 5) -> DataFrame:
     """Adds ``split``: the first ``floor(n * train_num / train_den)`` rows in seeded hash
     order are ``train`` (not stratified); exact ranks via hash buckets, no global sort task."""
-    everything, = free_names(df.columns, "_all")
-    r, rank, total, own = _with_rank(df.withColumn(everything, F.lit(0)), [everything], id_col, seed)
-    n_train = F.expr(f"(`{total}` * {int(train_num)}) div {int(train_den)}")
-    return r.withColumn("split", F.when(F.col(rank) <= n_train, F.lit("train")).otherwise(F.lit("test"))).drop(*own, everything)
+    return _split(df, [], lambda n: f"(`{n}` * {int(train_num)}) div {int(train_den)}", id_col, seed, "train", "test")
 
 
 def per_class_sample(df: DataFrame, label_col: str, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:

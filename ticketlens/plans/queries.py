@@ -426,7 +426,7 @@ def q_balanced_weights(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import ml as ML
 
     lab = FX.labeled(spark, sf).select("id", "issue_type")
-    labels = sorted(r[0] for r in lab.select("issue_type").distinct().collect())
+    _, labels = ML.label_indexer(lab, "issue_type")      # null labels are an error there
     return r6(ML.balanced_weights(lab, "issue_type", labels, "weight"))
 
 
@@ -629,6 +629,41 @@ def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_equal"))
 
 
+def q_sublinear_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight of every term of every document in the benchmark baseline's features (1 + ln tf, terms of two documents or more)."""
+    from ..operators import ml as ML
+
+    docs = FX.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), TX.normalize_text("text").alias("text"))
+    return r6(ML.tfidf_rows(docs, ML.fit_tfidf(docs, ML.BASELINE_SPEC)))
+
+
+def q_benchmark_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's two models on labels that the words decide: held-out rows per label, and whether nine of ten are told."""
+    from ..operators import ml as ML
+
+    sp = ML._kept(SM.stratified_split(_weak_rows(spark, sf).withColumnRenamed("label", "issue_type"), "issue_type", "id", C.SEED))
+    train, test = sp.where("split = 'train'").drop("split"), sp.where("split = 'test'")
+    out = None
+    for name, clf in (("ml_baseline", ML.fit_baseline(train, "issue_type", max_iter=60)),
+                      ("ml_improved", ML.fit_improved(train, "issue_type", max_iter=60))):
+        own = clf.transform(test).groupBy(F.lit(name).alias("model"), F.col("issue_type").alias("label")).agg(
+            F.count(F.lit(1)).alias("n_test"), (F.avg((F.col("prediction") == F.col("issue_type")).cast("double")) >= 0.9).alias("is_learned"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def q_local_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The local run on the merged eval set: rows per label of its training frame, rows routed, rows of the sweep."""
+    from . import jobs as JB
+
+    cfg = JB.TriageConfig(label_targets=("issue_type", "urgency"), with_cv=False, max_iter=10, folds=2, fit_rows=2000)
+    es = ES.merge_eval_set(_base(spark, sf), _candidates(spark, sf))
+    res = JB.run_local(spark, es, _ledger(spark), cfg)
+    parts = res["issue_counts"].select(F.col("issue_type").alias("name"), F.col("count").alias("n"))
+    parts = parts.unionByName(res["routed"].agg(F.lit("routed").alias("name"), F.count(F.lit(1)).alias("n")))
+    return parts.unionByName(res["threshold_sweep"].agg(F.lit("sweep").alias("name"), F.count(F.lit(1)).alias("n")))
+
+
 # ----------------------------------------------------------------------------- calls, files, jobs
 
 def _answering_client():
@@ -842,6 +877,9 @@ QUERIES = {
     "cv_learned": q_cv_learned,
     "train_targets": q_train_targets,
     "model_roundtrip": q_model_roundtrip,
+    "sublinear_weights": q_sublinear_weights,
+    "benchmark_models": q_benchmark_models,
+    "local_run": q_local_run,
     "classify_calls": q_classify_calls,
     "enrichment_calls": q_enrichment_calls,
     "csv_folder": q_csv_folder,
