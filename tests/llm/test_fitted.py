@@ -1,19 +1,22 @@
 """Fingerprints, learned operators and the pipeline: brute force, held-out accuracy and defined edge cases."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ticketlens.llm import language_id, quality, queries, syncmers, toxicity
-from ticketlens.llm.common import crc_mod
+from ticketlens.llm.common import crc_mod, delete
 from ticketlens.llm.queries import tokenizer_path
+from ticketlens.session import named_folder
 from tests.llm.conftest import prose
 from tests.llm.test_exact import brute_classes, brute_fingerprint, brute_hits, brute_removed
 
@@ -491,7 +494,13 @@ def test_packed_stage_carries_the_ids_of_every_row(spark, tmp_path):
 
 
 def test_pipeline_runs_over_a_whole_table(spark):
+    base = pathlib.Path(named_folder(spark)) / "llm"
+    before = set(base.iterdir()) if base.exists() else set()
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(base.iterdir()) - before
+    assert [p.name.rsplit("-", 1)[0] for p in left] == ["best-fit-packing"]      # nothing else of the run is left behind
+    with pytest.raises(ValueError, match="not a scratch folder"):
+        delete(spark, str(base))
     by = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert by.where("n <> end or n > 2048").count() == 0 and by.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5

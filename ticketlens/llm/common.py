@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,53 @@ def scratch(spark: SparkSession, tag: str) -> str:
     base = named_folder(use_local_folder(spark))
     if not base:
         raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-    return os.path.join(base, "llm", f"{tag}-{uuid.uuid4().hex}")
+    path = os.path.join(base, "llm", f"{tag}-{uuid.uuid4().hex}")
+    for made in _WATCHED:
+        made.append(path)
+    return path
+
+
+_WATCHED: list[list[str]] = []      # of the blocks of ``only_keeping`` that are open
+
+
+@contextmanager
+def only_keeping(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables made within the block are deleted at its end, but for the paths put into the list it gives.
+
+    For a caller that writes its result within the block: what was stored on the way is then read by nothing more. Only
+    folders that ``scratch`` named in this block are touched.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+    _WATCHED.append(made)
+    try:
+        yield kept
+    finally:
+        _WATCHED.remove(made)
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder, through Spark's own file system."""
+    if not re.search(r"/llm/[\w-]+-[0-9a-f]{32}$", path):
+        raise ValueError(f"not a scratch folder: {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later stages neither
     recompute it nor depend on the executors that made it."""
+    return stored_at(df, tag)[0]
+
+
+def stored_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """The same, and the folder."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def extended(schema: StructType, **more: str | DataType) -> StructType:
