@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import decontaminate, language_id, packing, simhash, suffix_dedup
-from ticketlens.llm.common import crc_mod, stored, table
+from ticketlens.llm.common import crc_mod, delete, only_keeping, stored_at, table
 from ticketlens.llm.queries import tokenizer_path
 
 
@@ -64,8 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's result is written to the shared folder.
+
+    Once a stage is written, the tables stored on its way and the result of the stage before are deleted.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with only_keeping(spark) as kept:
+            docs, path = stored_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
