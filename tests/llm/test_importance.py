@@ -76,7 +76,7 @@ def test_repeated_rows_null_ids_and_ties(spark):
 def test_empty_tables_clashing_names_and_one_text_in_parts(spark, docs, no_docs):
     target = spark.createDataFrame([], "text string")
     assert found(no_docs, target) == []
-    clash = docs.selectExpr("*", "'a' as weight", "'b' as rank", "'c' as score", "'d' as at", "'e' as own_score", "'f' as place", "'g' as `n.words`")
+    clash = docs.selectExpr("*", "'a' as weight", "'b' as rank", "'c' as score", "'d' as at", "'e' as own_score", "'f' as place")
     out = importance.resample(clash, docs)
     assert {"at", "own_score", "place", "lang", "fp"} <= set(out.columns) and "text" not in out.columns
     assert {(r["at"], r["own_score"], r["place"]) for r in out.collect()} == {("d", "e", "f")}
