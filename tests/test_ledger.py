@@ -2,6 +2,7 @@
 
 import glob
 import os
+import uuid
 
 import pytest
 
@@ -40,7 +41,7 @@ def band(spark, n=60):
 
 
 def test_a_killed_run_goes_on_where_it_was(spark, tmp_path):
-    ledger, calls = shared_path(spark, f"ledger-{tmp_path.name}"), str(tmp_path)
+    ledger, calls = shared_path(spark, f"ledger-{uuid.uuid4().hex}"), str(tmp_path)
     with pytest.raises(Exception):  # noqa: B017, PT011 - whatever Spark makes of a lost task
         MC.classify_replies(band(spark), counting(calls, dies_after=35), partitions=1, ledger=ledger, unit_calls=10).collect()
     committed = MC.read_ledger(spark, ledger).count()
@@ -52,7 +53,7 @@ def test_a_killed_run_goes_on_where_it_was(spark, tmp_path):
 
 
 def test_nothing_is_paid_twice_and_changed_texts_are_paid(spark, tmp_path):
-    ledger, calls = shared_path(spark, f"ledger-{tmp_path.name}"), str(tmp_path)
+    ledger, calls = shared_path(spark, f"ledger-{uuid.uuid4().hex}"), str(tmp_path)
     rows = band(spark, 20)
     first = MC.classify_replies(rows, counting(calls), ledger=ledger).collect()
     again = MC.classify_replies(rows.unionByName(rows), counting(calls), ledger=ledger).collect()
@@ -62,7 +63,7 @@ def test_nothing_is_paid_twice_and_changed_texts_are_paid(spark, tmp_path):
 
 
 def test_failed_calls_are_kept_or_called_again(spark, tmp_path):
-    ledger, calls = shared_path(spark, f"ledger-{tmp_path.name}"), str(tmp_path)
+    ledger, calls = shared_path(spark, f"ledger-{uuid.uuid4().hex}"), str(tmp_path)
     rows = band(spark, 12)
     first = MC.classify_replies(rows, counting(calls, fails="ticket 7"), ledger=ledger).collect()
     assert [r["error"] for r in first if r["id"] == 7] == ["refused"]
@@ -74,7 +75,7 @@ def test_failed_calls_are_kept_or_called_again(spark, tmp_path):
 
 def test_enrichment_through_the_ledger_equals_the_direct_calls(spark, tmp_path):
     rows = spark.createDataFrame([(1, "odd"), (2, None), (None, "odd")], "id long, text string")
-    ledger = shared_path(spark, f"ledger-{tmp_path.name}")
+    ledger = shared_path(spark, f"ledger-{uuid.uuid4().hex}")
     direct = MC.enrichment_replies(rows.where("id is not null"), counting(str(tmp_path))).collect()
     kept = MC.enrichment_replies(rows, counting(str(tmp_path)), ledger=ledger)
     assert kept.columns == ["id", "summary", "resolution", "resolution_error"]
@@ -93,7 +94,7 @@ def test_a_stream_with_a_client_equals_the_batch_also_after_a_crash(spark, tmp_p
     (tmp_path / "calls").mkdir()
     src, sink, calls = f"{tmp_path}/src", f"{tmp_path}/sink", f"{tmp_path}/calls"
     rows = write_batches(spark, src)
-    name = f"routing-{tmp_path.name}"
+    name = f"routing-{uuid.uuid4().hex}"
     low = sum(t.startswith("odd") and p <= C.RoutingThresholds().low_confidence for _, t, _, p, _ in rows)
 
     def start(client):

@@ -75,8 +75,7 @@ def rule_match_table(df: DataFrame, text_col: str, registry: DataFrame) -> DataF
     h, found_h, grams, bits = free_names([*df.columns, *RULE_COLUMNS], "_h", "_found_h", "_grams", "_bits")
     t = F.col(text_col)
     index = _rule_index(spark, registry)
-    n_bits = index.select(_filter_bits(F.count(F.lit(1)))).first()[0]
-    lengths = [r[0] for r in index.select(F.length("gram")).distinct().collect()]      # at most four numbers
+    n_bits, lengths = index.select(_filter_bits(F.count(F.lit(1))), F.collect_set(F.length("gram"))).first()      # at most five numbers
     keyed = df.withColumn(h, F.sha2(t.cast("binary"), 256))
     passing = F.filter(_grams(F.col("text"), lengths), lambda g: _in_filter(F.col(bits), g, n_bits))
     texts = (keyed.where(t.isNotNull()).select(h, t.alias("text"), _filter_words(index, n_bits).scalar().alias(bits))
