@@ -34,7 +34,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark import keyword_only
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,7 @@ TOKEN_PATTERN = r"\b\w\w+\b"   # words of two or more word characters
 # Bound on the labelled rows that fit a model (drawn by ``sampling.hash_sample``); scoring always
 # covers the whole table.
 MAX_FIT_ROWS = 200_000
+ROWS_PER_FIT_TASK = 25_000
 LR_TOL = 1e-4                   # the lbfgs stopping tolerance of the scikit-learn models
 SKETCHED_TERMS = 1_000_000      # terms that the frequency sketch of a vocabulary tracks
 SKETCH_FROM = 50_000_000        # occurrences from which a vocabulary's candidates come from a sketch; the same vocabulary either way
@@ -219,11 +220,11 @@ def weighting(totals: DataFrame, n: int, spec: TfidfSpec = TfidfSpec(), prefix:
     frequent terms that ``min_df`` rows have (ties by term)."""
     least = spec.min_df if spec.min_df >= 1 else spec.min_df * n
     kept = totals.where((F.col("df") >= max(least, 1)) & (F.col("tf") > 0)).orderBy(F.col("tf").desc(), "term")
-    rows = (kept if spec.vocab_size is None else kept.limit(spec.vocab_size)).select("term", "df").collect()
-    if not rows:
+    rows = (kept if spec.vocab_size is None else kept.limit(spec.vocab_size)).select("term", "df").toPandas()
+    if not len(rows):
         raise ValueError("no term is in as many rows as the vocabulary asks for")
-    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=f"{prefix}_terms", outputCol=f"{prefix}_cnt")
-    idf = np.log((n + 1.0) / (np.array([r["df"] for r in rows], float) + 1.0)) + 1.0
+    cv = _count_model(rows["term"].tolist(), f"{prefix}_terms", f"{prefix}_cnt")
+    idf = np.log((n + 1.0) / (rows["df"].to_numpy(float) + 1.0)) + 1.0
     stages: list[Transformer] = [cv]
     tf_col = f"{prefix}_cnt"
     if spec.sublinear:
@@ -234,6 +235,17 @@ def weighting(totals: DataFrame, n: int, spec: TfidfSpec = TfidfSpec(), prefix:
     return PipelineModel(stages=stages)
 
 
+def _count_model(vocabulary: list[str], terms_col: str, out_col: str) -> CountVectorizerModel:
+    """``CountVectorizerModel.from_vocabulary`` in one call: that one makes a call to the JVM for every term."""
+    sep = "\x01"      # no term has it: tokens are word characters, n-grams are joined by spaces
+    if any(sep in t or not t for t in vocabulary):
+        return CountVectorizerModel.from_vocabulary(vocabulary, inputCol=terms_col, outputCol=out_col)
+    jvm = SparkSession.active().sparkContext._jvm
+    terms = jvm.org.apache.commons.lang3.StringUtils.split(sep.join(vocabulary), sep)
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", terms)
+    return model.setInputCol(terms_col).setOutputCol(out_col)
+
+
 def _with_terms(spec: TfidfSpec, weights: PipelineModel, df: DataFrame, prefix: str = "_tf") -> PipelineModel:
     """The pipeline from texts on: tokenising, then ``weights``."""
     return PipelineModel(stages=[*Pipeline(stages=_terms_stages(spec, prefix)).fit(df).stages, *weights.stages])
@@ -379,6 +391,8 @@ def fit_features(data: DataFrame, label_col: str, labels: list[str], features: P
         data = balanced_weights(data, label_col, labels)
         weight_col = "_w"
     data = data.select(id_col, label_col, "features", "_y", *([weight_col] if weight_col else []))
+    # a step of the optimiser adds up a gradient as large as the model for every task: few tasks on few rows
+    data = data.repartition(max(1, -(-data.select(label_col).count() // ROWS_PER_FIT_TASK)), id_col)
     if not calibrate:
         data = _kept(data)
         model = _lr(max_iter, 1.0 / max(data.count(), 1), weight_col).fit(data)      # C = 1: the weights sum to n
