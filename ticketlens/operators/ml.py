@@ -351,6 +351,14 @@ def _lr(max_iter: int, reg: float, weight_col: str | None) -> LogisticRegression
     return lr
 
 
+def _fitted(lr: LogisticRegression, data: DataFrame) -> LogisticRegressionModel:
+    """The fitted model without its training summary: that one holds the session, which the model's scoring function would
+    ship to the tasks, and a session that has made an observation cannot be shipped."""
+    model = lr.fit(data)
+    model._java_obj.setSummary(data.sparkSession.sparkContext._jvm.scala.Option.empty())
+    return model
+
+
 def label_indexer(rows: DataFrame, label_col: str) -> tuple[PipelineModel, list[str]]:
     """Labels in order → 0..k-1, as a pipeline, and the labels."""
     labels = sorted((r[0] for r in rows.select(label_col).distinct().collect()), key=lambda x: (x is None, x))
@@ -395,7 +403,7 @@ def fit_features(data: DataFrame, label_col: str, labels: list[str], features: P
     data = data.repartition(max(1, -(-data.select(label_col).count() // ROWS_PER_FIT_TASK)), id_col)
     if not calibrate:
         data = _kept(data)
-        model = _lr(max_iter, 1.0 / max(data.count(), 1), weight_col).fit(data)      # C = 1: the weights sum to n
+        model = _fitted(_lr(max_iter, 1.0 / max(data.count(), 1), weight_col), data)      # C = 1: the weights sum to n
         return TextClassifier(features, indexer, [model], None, labels)
     foldded = _kept(SM.kfold_assign(data, label_col, id_col, folds, seed))
 
@@ -403,7 +411,7 @@ def fit_features(data: DataFrame, label_col: str, labels: list[str], features: P
         tr = foldded.filter(F.col("fold") != f)
         if balanced:      # weights of the fold's own rows: they sum to the row count that sets regParam
             tr = balanced_weights(tr.drop("_w"), label_col, labels)
-        return _lr(max_iter, 1.0 / max(tr.count(), 1), weight_col).fit(tr)
+        return _fitted(_lr(max_iter, 1.0 / max(tr.count(), 1), weight_col), tr)
 
     models = _parallel(fit_fold, range(folds), parallelism)
     curves = _calibration(foldded, models, len(labels), parallelism)
