@@ -1,7 +1,10 @@
 """Edges that the registered queries do not reach on the driver tables."""
 
 import json
+import math
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlens import config as C
@@ -75,6 +78,26 @@ def test_vocabulary_without_a_bound_keeps_every_term(spark):
     assert rows.select("term").distinct().count() == 101
 
 
+def test_a_vocabulary_without_a_bound_stays_a_table(spark, monkeypatch):
+    """Rare and frequent terms, rows that share an id, and a row without a term; no vocabulary comes to the driver."""
+    texts = ["aa bb bb", "aa cc cc cc", "aa", "", "aa bb bb", "dd aa"]
+    df = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "id long, text string")
+    monkeypatch.setattr(ML, "FREQUENT_TERMS", 2)
+    monkeypatch.setattr(ML, "_count_model", lambda *a: pytest.fail("a vocabulary at the driver"))
+    for spec in (ML.TfidfSpec(ngram_max=1, vocab_size=None), ML.BASELINE_SPEC):
+        model = ML.fit_tfidf(df, spec)
+        assert [r["term"] for r in model.frequent.collect()] == ["aa"]
+        seen = Counter(t for x in texts for t in set(x.split()))
+        want = []
+        for k, x in enumerate(texts):
+            w = {t: (1 + math.log(n) if spec.sublinear else n) * (math.log(7 / (seen[t] + 1)) + 1) for t, n in Counter(x.split()).items()
+                 if seen[t] >= spec.min_df}
+            want += [(k // 2, t, v / math.sqrt(sum(y * y for y in w.values()))) for t, v in w.items()]
+        got = sorted(tuple(r) for r in ML.tfidf_rows(df, model).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)])
+
+
 def test_triage_job_from_folders(spark, tmp_path):
     social, tickets = tmp_path / "social", tmp_path / "tickets"
     social.mkdir(), tickets.mkdir()
