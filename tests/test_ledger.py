@@ -62,6 +62,22 @@ def test_nothing_is_paid_twice_and_changed_texts_are_paid(spark, tmp_path):
     assert len(os.listdir(calls)) == 25
 
 
+def test_units_without_a_bound_on_callers_are_tasks_of_one_job_that_commit_themselves(spark, tmp_path):
+    ledger, calls = shared_path(spark, f"ledger-{uuid.uuid4().hex}"), str(tmp_path)
+    spark.sparkContext.setJobGroup(group := uuid.uuid4().hex, "calls")
+    out = MC.classify_replies(band(spark, 120), counting(calls), ledger=ledger, unit_calls=2)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) < 30 and out.count() == 120 and len(os.listdir(calls)) == 120      # 60 units
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        MC.classify_replies(band(spark, 400).where("id >= 120"), counting(calls, dies_after=300), ledger=ledger, unit_calls=5)
+    committed, paid = MC.read_ledger(spark, ledger).count(), len(os.listdir(calls))
+    cores = spark.sparkContext.defaultParallelism
+    assert 120 < committed < 400 and paid - committed <= 20 * cores      # what was paid and not committed: units that callers were at
+    again = MC.classify_replies(band(spark, 400), counting(calls), ledger=ledger, unit_calls=5).collect()
+    assert len(again) == 400 and all(r["reply"] for r in again) and len(os.listdir(calls)) == paid + 400 - committed
+
+
 def test_failed_calls_are_kept_or_called_again(spark, tmp_path):
     ledger, calls = shared_path(spark, f"ledger-{uuid.uuid4().hex}"), str(tmp_path)
     rows = band(spark, 12)
