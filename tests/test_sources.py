@@ -88,3 +88,16 @@ def test_folder_scan_names_tables_and_the_first(spark, tmp_path):
     for bad in ("empty", "missing"):
         with pytest.raises(FileNotFoundError):
             RD.read_folder(spark, str(tmp_path / bad))
+
+
+def test_csv_of_several_files_is_one_table(spark, tmp_path, monkeypatch):
+    """No file holds more than its bound of rows, and all files of a job are read, line breaks and quotes included."""
+    from ticketlens.plans import queries as Q
+
+    at = f"{tmp_path}/csv"
+    monkeypatch.setattr(Q, "CSV_ROWS", 10)
+    rows = spark.createDataFrame([(k, f'"s{k}"', f"line\nof {k}", "ads") for k in range(95)], "id long, subject string, description string, issue_type string")
+    Q._as_csv(rows.repartition(3), at)
+    assert len(list((tmp_path / "csv").glob("*.csv"))) >= 10
+    for df in (RD.first_table(RD.read_folder(spark, at)), RD.read_labeled_eval(spark, at)):
+        assert sorted((int(r["id"]), r["subject"], r["description"]) for r in df.collect()) == [(k, f'"s{k}"', f"line\nof {k}") for k in range(95)]
