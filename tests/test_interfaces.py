@@ -167,3 +167,13 @@ def test_rule_tables_of_any_size_against_brute_force(spark):
         assert got == want and out.count() == len(texts) * 2
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter (size(") < plan.index("Generate explode(array(filter(")      # grams are tested before anything is shuffled
+
+
+def test_numbered_patterns_do_not_all_come_back_for_a_text(spark):
+    """Thousands of numbered patterns share their short grams; an indexed gram belongs to few of them."""
+    rules = spark.range(20_000).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("ref "), F.col("id")).alias("pattern"),
+                                       F.lit("q").alias("queue"), F.col("id").cast("string").alias("issue_type"))
+    assert LK._rule_index(spark, rules).groupBy("gram").count().agg(F.max("count")).first()[0] <= 20
+    rows = spark.createDataFrame([(1, "about ref 12345 please"), (2, "ref 19"), (3, "ref"), (4, "xref 7"), (5, None)], "id long, text string")
+    got = {r["id"]: r["rule_issue_type"] for r in LK.rule_match_table(rows, "text", rules).collect()}
+    assert got == {1: "1", 2: "1", 3: None, 4: "7", 5: None}
