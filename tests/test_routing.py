@@ -149,3 +149,11 @@ def test_staged_table_routes_like_scored_and_prunes_partitions(spark):
         assert sorted(r["id"] for r in a.collect()) == sorted(r["id"] for r in band_fn(scored).collect())
         p = a._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(routing_band" in p
+
+
+def test_rules_lower_a_text_once(spark):
+    df = spark.createDataFrame([(1, "ACCOUNT LOCKED", 0.7), (2, None, 0.7)], "id long, text string, prob double")
+    out = RT.assign_stage(df)
+    assert out.columns == ["id", "text", "prob", "_rule", "_stage"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r["_rule"] is None for r in out.orderBy("id").collect()] == [False, True]

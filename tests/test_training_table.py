@@ -90,6 +90,22 @@ def test_texts_are_tokenised_once_for_all_targets(spark, rows, monkeypatch):
     assert got["u"].model.transform(rows).columns == [*rows.columns, "prediction", "confidence", "probabilities"]
 
 
+def test_terms_are_those_of_the_ml_stages_without_a_python_or_scala_function(spark):
+    from pyspark.ml.feature import NGram, RegexTokenizer
+
+    texts = ["", "a", "ab", "Ab cd", "x ab, cd-ef  gh", "é ab caf\u00e9s \u0130stanbul \u212aelvin", "a_b __ 12 ab\tcd\nef", "中文 ab 中cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for n in (1, 2, 3):
+        got = ML.tokenised(df, ML.TfidfSpec(ngram_max=n))
+        assert "UDF" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want, grams = RegexTokenizer(inputCol="text", outputCol="k1", pattern=ML.TOKEN_PATTERN, gaps=False).transform(df), ["k1"]
+        for k in range(2, n + 1):
+            want = NGram(n=k, inputCol="k1", outputCol=f"k{k}").transform(want)
+            grams.append(f"k{k}")
+        want = {r["id"]: r["terms"] for r in want.select("id", F.concat(*grams).alias("terms")).collect()}
+        assert {r["id"]: r["_tf_terms"] for r in got.collect()} == want
+
+
 def test_null_labels_are_a_clear_error(spark, rows):
     df = rows.withColumn("y", F.when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.col("y")))
     with pytest.raises(ValueError, match="null labels"):
