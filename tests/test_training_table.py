@@ -106,6 +106,19 @@ def test_terms_are_those_of_the_ml_stages_without_a_python_or_scala_function(spa
         assert {r["id"]: r["_tf_terms"] for r in got.collect()} == want
 
 
+def test_two_models_of_the_same_terms_make_them_once(spark, rows):
+    from ticketlens.plans import jobs as JB
+
+    got = ML.train_text_models(rows, ["y", "u"], with_cv=False, max_iter=20, folds=2)
+    scored = JB.score(rows, got["y"].model, got["u"].model)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2      # the words and the runs of two, for both models
+    a, b = ({r["id"]: r for r in got[t].model.transform(rows).collect()} for t in ("y", "u"))
+    for r in scored.collect():
+        assert (r["label"], r["urgency"]) == (a[r["id"]]["prediction"], b[r["id"]]["prediction"])
+        assert r["prob"] == pytest.approx(a[r["id"]]["confidence"], abs=1e-12)
+
+
 def test_null_labels_are_a_clear_error(spark, rows):
     df = rows.withColumn("y", F.when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.col("y")))
     with pytest.raises(ValueError, match="null labels"):
